@@ -5,15 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grovewise.llm.common import table
 
 
+def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.sharding import shard_documents
+
+    rows = shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.common import stored
+    from grovewise.llm.maxscore import quantised, top_k
+
+    vectors = stored(quantised(table(spark, sf_dir, "embeddings")), "maxscore-vectors")
+    found = top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovewise.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_mix_sources,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shard_documents, op4_maxscore_topk, op10_mix_sources)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_maxscore_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
