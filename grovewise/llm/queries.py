@@ -38,13 +38,27 @@ def op6_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.tokencount import count_tokens
+    from grovewise.llm.tokens import vocabulary_path
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), limit=512)
+
+
+def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.packing import pack_documents
+    from grovewise.llm.tokens import vocabulary_path
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), capacity=4096, closing=2)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovewise.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op9_pack_documents, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {
     "op4_maxscore_topk": """
         WITH v AS (
