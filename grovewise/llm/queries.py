@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from grovewise.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op2_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovewise.llm.sharding import shard_documents
 
@@ -58,7 +70,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op9_pack_documents, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op9_pack_documents, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {
     "op4_maxscore_topk": """
         WITH v AS (
