@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import log
@@ -71,12 +72,16 @@ class Lexicon:
 
 
 def weigh(matcher, text: str) -> tuple[float, int]:
-    """(summed weight of the hits, number of words): per word its heaviest term, unless an exception phrase covers it."""
+    """(summed weight of the distinct terms hit, number of words).
+
+    A word counts for its heaviest term, unless an exception phrase covers it; a term that comes again adds half its
+    weight once more, so one repeated line isn't mistaken for much evidence.
+    """
     folded = fold(text)
     n_words = folded.count(" ") + folded.count("\n") + 1
     if matcher is None:
         return 0.0, n_words
-    hits: dict[int, tuple[int, float]] = {}
+    hits: dict[int, tuple[int, float, str]] = {}
     excused: list[tuple[int, int]] = []
     for last, (size, meanings) in matcher.iter(folded):
         start, end = last - size + 1, last + 1
@@ -87,10 +92,12 @@ def weigh(matcher, text: str) -> tuple[float, int]:
             if kind == 0 and closed:
                 excused.append((start, end))
             elif kind == 1 or kind == 2 and closed:
-                hits[start] = max(hits.get(start, (0, 0.0)), (end, weight), key=lambda h: h[1])
+                hits[start] = max(hits.get(start, (0, 0.0, "")), (end, weight, folded[start:end]), key=lambda h: h[1])
     if excused:
         hits = {s: h for s, h in hits.items() if not any(a <= s and h[0] <= b for a, b in excused)}
-    return sum(w for _, w in hits.values()), n_words
+    times = Counter(term for _, _, term in hits.values())
+    weights = {term: w for _, w, term in hits.values()}
+    return sum(w * (1.0 + 0.5 * (times[t] > 1)) for t, w in weights.items()), n_words
 
 
 def _features(lexicon: Lexicon, labelled: bool):
@@ -128,7 +135,7 @@ def _contexts(only: frozenset[str] | None):
 def learn_lexicon(sample: DataFrame, exceptions: Iterable[str] = (), certainty: float = 0.1, precision: float = 0.9, least: int = 3) -> Lexicon:
     """A lexicon from (doc_id, text, y).
 
-    A term enters if at least ``precision`` of its contexts are in toxic texts and as many by chance would be expected
+    A word enters if at least ``precision`` of its contexts, and a beginning if all, are in toxic texts and as many by chance would be expected
     of fewer than ``certainty`` of all the terms that were tried. Its weight is its smoothed log odds. What is collected
     is bounded by the sample. A sample without toxic or without clean texts gives an empty lexicon.
     """
@@ -146,7 +153,7 @@ def learn_lexicon(sample: DataFrame, exceptions: Iterable[str] = (), certainty:
     stems: dict[str, float] = {}
     for term, t in in_toxic.items():
         n = in_clean.get(term, 0)
-        if t < precision * (t + n):
+        if t < precision * (t + n) or n and term.endswith("*"):
             continue
         # log of the chance that t of t + n contexts are toxic: log(share**t * binomial), an upper bound for n = 0
         chance = t * log(share) + sum(log((t + n - k) / (k + 1)) for k in range(n))
