@@ -57,6 +57,12 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.kneserney import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovewise.llm.packing import pack_documents
     from grovewise.llm.tokens import vocabulary_path
@@ -70,7 +76,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op9_pack_documents, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op8_kneser_ney, op9_pack_documents, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {
     "op4_maxscore_topk": """
         WITH v AS (
