@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.cells import cell_runs, dealt_to_cells, pairs, whole_cells
+from grovewise.llm.cells import cell_runs, dealt_to_cells, pairs, star_forest, whole_cells
 from grovewise.llm.common import stored
 from grovewise.llm.components import connected_components
 
@@ -84,26 +84,6 @@ def _file(tables: int, probes: int, seed: int):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star forest with the components of the links a-b."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def _verify(tables: int, probes: int, least: float):
     """Sorted rows of whole cells to link counts (id, n, null) and forest edges (id, 0, other)."""
 
@@ -136,7 +116,7 @@ def _verify(tables: int, probes: int, least: float):
             if len(i):
                 links.append((ids[i], ids[j]))
         found = np.flatnonzero(n_links)
-        ends = _forest(*(np.concatenate(e) for e in zip(*links, strict=True))) if links else (np.zeros(0, np.int64),) * 2
+        ends = star_forest(*(np.concatenate(e) for e in zip(*links, strict=True))) if links else (np.zeros(0, np.int64),) * 2
         n = np.concatenate((n_links[found], np.zeros(len(ends[0]), np.int64)))
         other = pa.array(np.concatenate((np.zeros(len(found), np.int64), ends[1])), mask=np.arange(len(n)) < len(found))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[found], ends[0]))), pa.array(n), other], names=["id", "n", "other"])

@@ -1,9 +1,17 @@
 """Near-duplicate documents: universal hash minima, banding, signature verification, full-set confirmation, components.
 
-Texts of equal shingle sets are one class. Classes that share a band's minima are candidates: first each bucket's least
-class with every other, and once these links are known, the pairs of a bucket that they leave in different components.
-Signatures must nearly agree (4.5 standard deviations below the threshold at most), then full sets decide. So a group
-of near copies costs one comparison for each member, while no pair that could join two components goes unchecked.
+Texts of equal shingle sets are one class. Classes that share a band's minima are candidates if their signatures nearly
+agree (4.5 standard deviations below the threshold at most), and full sets decide. Since components are asked for, a
+pair within one component needs no check:
+
+1. each bucket's least class is compared with its other members;
+2. of a bucket that this leaves in several components, the candidate pairs across them are reduced to a spanning forest,
+   which is checked;
+3. candidates of both steps form clusters. Where a cluster still has several components, all its pairs across them are
+   compared within cells, which return the links that join components.
+
+So no step returns more rows than it reads, however large a group of near copies is, and no candidate pair that could
+join two components goes unchecked.
 """
 
 from __future__ import annotations
@@ -17,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.cells import cell_runs, dealt_to_cells, pairs, whole_cells
+from grovewise.llm.cells import cell_runs, dealt_to_cells, pairs, star_forest, whole_cells
 from grovewise.llm.common import stored
 from grovewise.llm.components import connected_components
 from grovewise.llm.shingles import mixed, shared, shingles_of
@@ -84,20 +92,55 @@ def _agreeing(least: float):
     return run
 
 
+def _across(cells: pa.Table, key: str, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The cells' pairs (i, j) in different components whose signatures agree in ``least`` of their places."""
+    start, size, part, across = cell_runs(cells, key)
+    component, minima = cells.column("component").to_numpy(), _stack(cells.column("signature"))
+    for i, j in pairs(start, size):
+        fit = (component[i] != component[j]) & (across[i] == (part[i] != part[j]))
+        i, j = i[fit], j[fit]
+        near = np.concatenate([(minima[i[k : k + 4096]] == minima[j[k : k + 4096]]).mean(axis=1) >= least for k in range(0, len(i), 4096)] or [np.zeros(0, bool)])
+        yield i[near], j[near]
+
+
 def _agreeing_in_cells(least: float):
-    """Pairs of a bucket in different components whose signatures agree in ``least`` of their places."""
+    """A spanning forest of the candidate pairs across components of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in whole_cells(batches, "bucket"):
-            start, size, part, across = cell_runs(cells, "bucket")
-            node, component = (cells.column(k).to_numpy() for k in ("node", "component"))
-            minima = _stack(cells.column("signature"))
-            for i, j in pairs(start, size):
-                fit = (component[i] != component[j]) & (across[i] == (part[i] != part[j]))
-                i, j = i[fit], j[fit]
-                near = np.concatenate([(minima[i[k : k + 4096]] == minima[j[k : k + 4096]]).mean(axis=1) >= least for k in range(0, len(i), 4096)] or [np.zeros(0, bool)])
-                i, j = i[near], j[near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+            node = cells.column("node").to_numpy()
+            found = [(node[i], node[j]) for i, j in _across(cells, "bucket", least) if len(i)]
+            if found:
+                b, a = star_forest(*(np.concatenate(e) for e in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _joining_in_cells(least: float, width: int, percent: int):
+    """The confirmed links that join components of a cluster, a spanning forest of them in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in whole_cells(batches, "cluster"):
+            node, component = cells.column("node").to_numpy(), cells.column("component").to_numpy()
+            sets = shingles_of(cells.column("text").combine_chunks(), width)
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := joined.get(c, c)) != c:
+                    joined[c] = c = joined.get(up, up)
+                return c
+
+            links = []
+            for i, j in _across(cells, "cluster", least):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = root(component[x]), root(component[y])
+                    if p != q:
+                        both = shared(sets[x], sets[y])
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                            joined[max(p, q)] = min(p, q)
+                            links.append((node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([k[n] for k in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -166,12 +209,21 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows
 
     first = stored(connected_components(linked), "minhash-first")
     placed = members.join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "rows")
-    mixed_ = stored(mixed_, "minhash-mixed")
-    rest = placed.join(mixed_.select("bucket"), "bucket", "left_semi").join(signatures.select("node", "signature"), "node")
-    more = dealt_to_cells(rest, mixed_, "bucket", "node", cell_rows).mapInArrow(_agreeing_in_cells(least), "a long, b long").distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "minhash-rest")
-    final = connected_components(linked.unionByName(confirmed(more, "minhash-more")))
+    several = F.min("component") != F.max("component")
+    sizes = stored(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several"), "minhash-several")
+    signed_heads = signatures.select("node", "signature")
+    rest = placed.join(sizes.select("bucket"), "bucket", "left_semi").join(signed_heads, "node")
+    forest = dealt_to_cells(rest, sizes, "bucket", "node", cell_rows).mapInArrow(_agreeing_in_cells(least), "a long, b long")
+    forest = stored(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-forest")
+    linked = linked.unionByName(confirmed(forest.join(tried, ["a", "b"], "left_anti"), "minhash-forest-links"))
+
+    second = stored(connected_components(linked), "minhash-second")
+    clusters = connected_components(tried.unionByName(forest)).withColumnRenamed("component", "cluster")
+    clustered = clusters.join(second, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    sizes = stored(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several"), "minhash-clusters")
+    rest = clustered.join(sizes.select("cluster"), "cluster", "left_semi").join(signed_heads, "node").join(texts.withColumnRenamed("_id", "node"), "node")
+    joining = dealt_to_cells(rest, sizes, "cluster", "node", cell_rows // 4, 4096).mapInArrow(_joining_in_cells(least, width, percent), "a long, b long")
+    final = connected_components(linked.unionByName(stored(joining, "minhash-joining")))
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
