@@ -227,3 +227,13 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that near-duplicate detection keeps: one document of each group.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
+    kept = near_documents(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where(F.col("doc_id").isNull()))

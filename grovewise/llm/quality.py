@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grovewise.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample, lasso_logistic
 from grovewise.llm.shingles import text_bytes, words_of
@@ -83,13 +84,13 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def column(self) -> Column:
-        """The score as one expression over the statistics' columns."""
+    def column(self, prefix: str = "") -> Column:
+        """The score as one expression over the statistics' columns, whose names start with ``prefix``."""
         total = F.lit(self.bias)
         for rule, weight in self.rules:
             holds = None
             for stat, below, value in rule:
-                c = F.col(STATS[stat]) <= F.lit(value) if below else F.col(STATS[stat]) > F.lit(value)
+                c = F.col(prefix + STATS[stat]) <= F.lit(value) if below else F.col(prefix + STATS[stat]) > F.lit(value)
                 holds = c if holds is None else holds & c
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -168,3 +169,27 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresho
     model = fit_rules(sample[list(STATS)].to_numpy(), sample["y"].to_numpy())
     scored = measured(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose quality score reaches ``threshold``, with all their columns.
+
+    Statistics travel beside the rows under names that no column of ``docs`` has, so texts aren't shuffled.
+    """
+    sample = measured(labelled_sample(docs, labels, "quality", rows), labelled=True).toPandas()
+    model = fit_rules(sample[list(STATS)].to_numpy(), sample["y"].to_numpy())
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names = [prefix + s for s in STATS]
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                x = statistics(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=[*part.schema.names, *names])
+
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return docs.mapInArrow(run, schema).where(model.column(prefix) >= threshold).select(*docs.columns)

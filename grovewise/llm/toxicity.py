@@ -163,6 +163,11 @@ def learn_lexicon(sample: DataFrame, exceptions: Iterable[str] = (), certainty:
     return Lexicon(words, stems, tuple(exceptions))
 
 
+def _score(lexicon: Lexicon, weight: np.ndarray, words: np.ndarray) -> np.ndarray:
+    b, w, d = lexicon.coefficients
+    return 1 / (1 + np.exp(-(b + _inputs(weight, words) @ np.array([w, d]))))
+
+
 def _inputs(weight, words):
     return np.column_stack((np.log1p(weight), np.log1p(100 * weight / (words + 20))))
 
@@ -194,3 +199,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresh
     """Fit on ``labels.toxic`` outside the held-out fold and score every row of ``docs``."""
     lexicon = fit(labelled_sample(docs, labels, "toxic", rows))
     return score_toxicity(docs, lexicon, threshold).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose toxicity score stays below ``threshold``, with all their columns."""
+    lexicon = fit(labelled_sample(docs, labels, "toxic", rows))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = lexicon.matcher()
+        for batch in batches:
+            found = np.array([weigh(matcher, t or "") for t in batch.column(at).to_pylist()], dtype=np.float64).reshape(-1, 2)
+            yield batch.filter(pa.array(_score(lexicon, found[:, 0], found[:, 1]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
