@@ -1,0 +1,5 @@
+"""The registered queries; importing this package registers them."""
+
+from grovewise.plans import paths
+
+REGISTERED = (paths,)
