@@ -11,6 +11,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import regex
@@ -21,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PLAIN = 0x180
 PLAIN_TEXT = re.compile(f"[\\x00-{chr(PLAIN - 1)}‐-‧€]*")
 #: Room for words in a worker's memory.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -140,6 +141,7 @@ class WordTokens:
     """
 
     END = b"\xff"  # in no UTF-8 text: marks a piece's end in the merge loop
+    SIMPLE = re.compile(rb"([A-Za-z]+)([!-&(-/:;=-@[-`{}~]*)")  # letters, then marks that open no contraction or special token
 
     def __init__(self, path: str) -> None:
         import tiktoken
@@ -157,10 +159,13 @@ class WordTokens:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat: list[int] = []
-        self.bounds: list[int] = [0]
+        self.flat, self.bounds = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64)
 
     def word(self, word: bytes) -> list[int]:
+        if m := self.SIMPLE.fullmatch(word):
+            letters, marks = m.groups()
+            found = self.merge(letters.lower() + self.END)
+            return found + self.merge(marks + self.END) if marks else found
         text = word.decode("utf-8")
         if ord(max(text)) >= PLAIN or "İ" in text or "<|" in text or not text.isprintable():
             return self.library.encode(text, add_special_tokens=False).ids
@@ -168,22 +173,34 @@ class WordTokens:
         pieces = (text,) if text.isalpha() else self.piece.findall(text)
         return [i for p in pieces for i in self.merge(p.encode("utf-8") + self.END)]
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Append the ids of new words to the flat store, which doubles when it is full."""
+        found = [self.word(w) for w in words]
+        n, flat = len(self.known), np.fromiter(chain.from_iterable(found), dtype=np.uint32)
+        ends = self.bounds[n] + np.cumsum(np.fromiter(map(len, found), dtype=np.int64))
+        while n + len(found) >= len(self.bounds):
+            self.bounds = np.append(self.bounds, np.zeros_like(self.bounds))
+        while self.bounds[n] + len(flat) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.bounds[n] : self.bounds[n] + len(flat)] = flat
+        self.bounds[n + 1 : n + 1 + len(found)] = ends
+        self.known.update(zip(words, range(n, n + len(found)), strict=True))
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, offsets of the texts)."""
         if len(self.known) > WORDS_KEPT:
             self._forget()
         words = [t.encode("utf-8").split() for t in texts]
-        known, flat, bounds = self.known, self.flat, self.bounds
-        for w in {w for ws in words for w in ws if w not in known}:
-            known[w] = len(bounds) - 1
-            flat.extend(self.word(w))
-            bounds.append(len(flat))
-        at = np.array([known[w] for ws in words for w in ws], dtype=np.int64)
-        every, cuts = np.array(flat, dtype=np.uint32), np.array(bounds, dtype=np.int64)
+        every_word = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.known.get, every_word, repeat(-1)), dtype=np.int64, count=len(every_word))
+        if len(new := np.flatnonzero(at < 0)):
+            self._learn({every_word[i] for i in new})
+            at[new] = [self.known[every_word[i]] for i in new]
+        every, cuts = self.flat, self.bounds
         size = cuts[at + 1] - cuts[at]
         upto = np.append(0, np.cumsum(size))
         out = every[np.repeat(cuts[at] - upto[:-1], size) + np.arange(upto[-1])]
-        return out, upto[np.append(0, np.cumsum([len(ws) for ws in words]))]
+        return out, upto[np.append(0, np.cumsum([len(ws) for ws in words], dtype=np.int64))]
 
 
 @lru_cache(maxsize=2)
