@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers them."""
 
-from grovewise.plans import paths
+from grovewise.plans import changes, paths, relations
 
-REGISTERED = (paths,)
+REGISTERED = (changes, paths, relations)
