@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers them."""
 
-from grovewise.plans import changes, paths, relations, transforms
+from grovewise.plans import changes, paths, relations, sources, transforms
 
-REGISTERED = (changes, paths, relations, transforms)
+REGISTERED = (changes, paths, relations, sources, transforms)
