@@ -94,3 +94,23 @@ def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
     moved = root != np.arange(len(nodes))
     return nodes[moved], nodes[root[moved]]
+
+
+class Forest:
+    """Links gathered as a star forest: reduced whenever more than ``room`` wait, so memory follows nodes, not links."""
+
+    def __init__(self, room: int = 1 << 18) -> None:
+        self.room, self.waiting, self.held = room, 0, []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held.append((a, b))
+            self.waiting += len(a)
+            if self.waiting > self.room:
+                self.held = [self.links()]
+                self.waiting = 0
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return star_forest(*(np.concatenate(e) for e in zip(*self.held, strict=True)))

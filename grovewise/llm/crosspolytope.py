@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.cells import cell_runs, dealt_to_cells, pairs, star_forest, whole_cells
+from grovewise.llm.cells import Forest, cell_runs, dealt_to_cells, pairs, whole_cells
 from grovewise.llm.common import stored
 from grovewise.llm.components import connected_components
 
@@ -95,7 +95,7 @@ def _verify(tables: int, probes: int, least: float):
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         codes = np.frombuffer(b"".join(cells.column("codes").to_pylist()), dtype=np.int32).reshape(len(ids), tables, probes)
         table, code = (bucket // (1 << 31)) % tables, (bucket % (1 << 31)).astype(np.int32)
-        n_links, links = np.zeros(len(ids), dtype=np.int64), []
+        n_links, links = np.zeros(len(ids), dtype=np.int64), Forest()
         some = np.add.reduceat(own, start) > 0
         for i, j in pairs(start[some], size[some]):
             fit = (own[i] | own[j]) & (ids[i] != ids[j]) & (across[i] == (part[i] != part[j]))
@@ -113,10 +113,9 @@ def _verify(tables: int, probes: int, least: float):
             i, j = i[good], j[good]
             np.add.at(n_links, i, copies[j])
             np.add.at(n_links, j, copies[i])
-            if len(i):
-                links.append((ids[i], ids[j]))
+            links.add(ids[i], ids[j])
         found = np.flatnonzero(n_links)
-        ends = star_forest(*(np.concatenate(e) for e in zip(*links, strict=True))) if links else (np.zeros(0, np.int64),) * 2
+        ends = links.links()
         n = np.concatenate((n_links[found], np.zeros(len(ends[0]), np.int64)))
         other = pa.array(np.concatenate((np.zeros(len(found), np.int64), ends[1])), mask=np.arange(len(n)) < len(found))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[found], ends[0]))), pa.array(n), other], names=["id", "n", "other"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.cells import cell_runs, dealt_to_cells, pairs, star_forest, whole_cells
+from grovewise.llm.cells import Forest, cell_runs, dealt_to_cells, pairs, whole_cells
 from grovewise.llm.common import stored
 from grovewise.llm.components import connected_components
 from grovewise.llm.shingles import mixed, shared, shingles_of
@@ -109,10 +109,11 @@ def _agreeing_in_cells(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in whole_cells(batches, "bucket"):
             node = cells.column("node").to_numpy()
-            found = [(node[i], node[j]) for i, j in _across(cells, "bucket", least) if len(i)]
-            if found:
-                b, a = star_forest(*(np.concatenate(e) for e in zip(*found, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            forest = Forest()
+            for i, j in _across(cells, "bucket", least):
+                forest.add(node[i], node[j])
+            b, a = forest.links()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 

@@ -102,15 +102,17 @@ def mix_sources(
     pieces = pieces.withColumn("words", overlap)
 
     # Slots: chunks first, so that a large source is dealt to many tasks.
-    total = F.lit(src.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0])
+    n_slots = src.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    total, tasks = F.lit(n_slots), max(1, -(-n_slots // (64 * shard_slots)))
     chunks = src.where("n_slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / shard_slots))))
     first = F.col("chunk") * shard_slots
-    slots = chunks.repartition("source_no", "chunk").withColumn("k", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("n_slots")) - 1)))
+    slots = chunks.repartition(tasks, "source_no", "chunk").withColumn("k", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("n_slots")) - 1)))
     place = _permuted(F.col("slots_before") + F.col("k"), total, F.lit(-1), seed)
     block = _permuted(F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"), F.col("source_no"), seed)
     slots = slots.select(F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("slot"), "source_no", "k", block.alias("block"))
 
-    uses = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+    # Both sides grow with the input: never broadcast.
+    uses = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
     taken = pieces.join(uses, ["source_no", "block"], "left").groupBy(*keep).agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"))
     documents = taken.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return Mix(src, slots, pieces, documents)
