@@ -134,13 +134,18 @@ def history_log(lines: DataFrame, value: str = "value") -> DataFrame:
     return known.withColumn("change", F.col("code") != "T").withColumn("interest", F.col("code") == "T")
 
 
-def read_gxl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, arcs) of a GXL graph, through the XML reader."""
+def read_gxl(spark: SparkSession, path: str, by_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, arcs) of a GXL graph, through the XML reader.
+
+    ``by_line``: each element stands on a line of its own, so that files are split between tasks; else elements may
+    span lines and a file is one task. By line the reader takes every line for a row, so those of other tags are left out.
+    """
     kind = "`type` struct<`_xlink:href`: string>"
-    reader = lambda tag: spark.read.option("rowTag", tag).option("multiLine", "false").option("ignoreNamespace", "false")
-    nodes = reader("node").schema(f"_id string, {kind}").xml(path).select(F.col("_id").alias("id"), F.col("type")["_xlink:href"].alias("kind"))
-    arcs = reader("edge").schema(f"_from string, _to string, {kind}").xml(path).select(F.col("_from").alias("src"), F.col("_to").alias("dst"), F.col("type")["_xlink:href"].alias("kind"))
-    return nodes, arcs
+    reader = lambda tag: spark.read.option("rowTag", tag).option("multiLine", str(not by_line).lower()).option("ignoreNamespace", "false")
+    nodes = reader("node").schema(f"_id string, {kind}").xml(path).where("_id is not null")
+    arcs = reader("edge").schema(f"_from string, _to string, {kind}").xml(path).where("_from is not null and _to is not null")
+    href = F.col("type")["_xlink:href"].alias("kind")
+    return nodes.select(F.col("_id").alias("id"), href), arcs.select(F.col("_from").alias("src"), F.col("_to").alias("dst"), href)
 
 
 def gxl_lines(nodes: DataFrame, arcs: DataFrame) -> DataFrame:

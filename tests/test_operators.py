@@ -203,6 +203,20 @@ def test_files_patterns_logs_and_code(spark, tmp_path):
     assert got[1]["modifiers"] == ["private"] and got[3]["returns"] == "String" and {r["package"] for r in got} == {"p.q"}
 
 
+def test_gxl_by_line_and_over_lines(spark, tmp_path):
+    nodes = spark.createDataFrame([("n1", "A"), ("n2", "B&C")], "id string, kind string")
+    arcs = spark.createDataFrame([("n1", "n2", "in")], "src string, dst string, kind string")
+    documents.gxl_lines(nodes, arcs).write.text(str(tmp_path / "lines"))
+    (tmp_path / "whole.gxl").write_text(
+        '<gxl><graph id="g">\n<node id="n1">\n<type xmlns:xlink="http://www.w3.org/1999/xlink" xlink:href="A"/>\n</node>\n'
+        '<node id="n2"><type xmlns:xlink="http://www.w3.org/1999/xlink"\n xlink:href="B&amp;C"/></node>\n'
+        '<edge from="n1" to="n2">\n<type xmlns:xlink="http://www.w3.org/1999/xlink" xlink:href="in"/></edge>\n</graph></gxl>'
+    )
+    for path, by_line in ((tmp_path / "lines", True), (tmp_path / "whole.gxl", False)):
+        n, a = documents.read_gxl(spark, str(path), by_line)
+        assert sorted(map(tuple, n.collect())) == [("n1", "A"), ("n2", "B&C")] and list(map(tuple, a.collect())) == [("n1", "n2", "in")]
+
+
 def test_html_is_read_tolerantly(spark):
     rows = documents.shred_html("d", "<p>one<br>two<p>three</div><b>x")
     assert [r[7] for r in rows] == ["p", "br", "p", "b"] and rows[0][9] == "one two"
