@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +58,14 @@ def remainder(doc_id: Column, n: int) -> Column:
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     """How many hash buckets keep about ``per_bucket`` rows each; grows with the table."""
     return max(16, -(-rows // per_bucket))
+
+
+def text_slices(batch: pa.RecordBatch, column: str | int, rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and ``size`` bytes of text, so that a task's working memory doesn't
+    follow the length of the texts around; a longer text comes alone."""
+    upto = np.append(0, np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovewise.llm.cells import Forest, cell_runs, dealt_to_cells, pairs, whole_cells
-from grovewise.llm.common import stored
+from grovewise.llm.common import stored, text_slices
 from grovewise.llm.components import connected_components
 from grovewise.llm.shingles import mixed, shared, shingles_of
 
@@ -52,8 +52,7 @@ def _sign(width: int, bands: int, rows: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
+            for part in text_slices(batch, "text", AT_ONCE):
                 sets = shingles_of(part.column("text"), width)
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(size)

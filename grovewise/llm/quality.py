@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grovewise.llm.common import text_slices
 from grovewise.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample, lasso_logistic
 from grovewise.llm.shingles import text_bytes, words_of
 
@@ -60,8 +61,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 def _measured(labelled: bool, at_once: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
+            for part in text_slices(batch, "text", at_once):
                 x = statistics(part.column("text"))
                 y = part.column("y").cast(pa.int32()) if labelled else pa.nulls(part.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), y, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=["doc_id", "y", *STATS])
@@ -186,8 +186,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in text_slices(batch, at):
                 x = statistics(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=[*part.schema.names, *names])
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovewise.llm.common import text_slices
 from grovewise.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample, logistic
 
 # Look-alikes by the letter they resemble: Cyrillic, Greek and others. Digits stand for letters in every position.
@@ -103,10 +104,10 @@ def weigh(matcher, text: str) -> tuple[float, int]:
 def _features(lexicon: Lexicon, labelled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
-            found = [weigh(matcher, t or "") for t in batch.column("text").to_pylist()]
-            y = batch.column("y") if labelled else pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), y.cast(pa.int32()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "y", "weight", "words"])
+        for part in (p for b in batches for p in text_slices(b, "text")):
+            found = [weigh(matcher, t or "") for t in part.column("text").to_pylist()]
+            y = part.column("y") if labelled else pa.nulls(part.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), y.cast(pa.int32()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "y", "weight", "words"])
 
     return run
 
@@ -125,8 +126,8 @@ def terms_of(text: str) -> Iterator[tuple[str, str]]:
 
 def _contexts(only: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = {(t, c) for text in batch.column("text").to_pylist() for t, c in terms_of(text) if only is None or t in only}
+        for part in (p for b in batches for p in text_slices(b, "text", size=1 << 18)):
+            found = {(t, c) for text in part.column("text").to_pylist() for t, c in terms_of(text) if only is None or t in only}
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["term", "context"])
 
     return run
@@ -208,8 +209,8 @@ def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
-            found = np.array([weigh(matcher, t or "") for t in batch.column(at).to_pylist()], dtype=np.float64).reshape(-1, 2)
-            yield batch.filter(pa.array(_score(lexicon, found[:, 0], found[:, 1]) < threshold))
+        for part in (p for b in batches for p in text_slices(b, at)):
+            found = np.array([weigh(matcher, t or "") for t in part.column(at).to_pylist()], dtype=np.float64).reshape(-1, 2)
+            yield part.filter(pa.array(_score(lexicon, found[:, 0], found[:, 1]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
