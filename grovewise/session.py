@@ -32,11 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: texts differ in length by orders of magnitude, so a count of rows alone bounds no memory.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once an application, so that workers need no installation."""
+    """Send this package's code to the executors, once an application, so that workers need no installation, and bound
+    Arrow batches by bytes where the session doesn't."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
