@@ -97,12 +97,22 @@ def sort_corresponding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_graph_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By date at a low priority, but urgent orders first at a high one; urgent orders among each other by id.
 
-    Dates order the non-urgent ones; the greedy order over the constraint graph gives what the SQL sorts by.
+    The SQL takes a tenth of the customers; ``order_graph_priority_all`` orders those of all.
     """
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1").select(F.col("o_custkey").alias("parent"), F.concat(F.lit("o"), "o_orderkey").alias("id"), "o_orderdate", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-    rest = ordering.value_edges(o.where("not urgent"), "parent", "o_orderdate", 1)
-    first = ordering.relative_edges(o.where("urgent"), o.where("not urgent"), "parent", before=True, priority=9)
-    return ordering.priority_order(o, rest.unionByName(first), "parent")
+    return _urgent_first(table(spark, sf_dir, "orders").where("o_custkey % 10 = 1"))
+
+
+@query("SELECT o_custkey AS parent, 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, dense, 'o' || o_orderkey)::INT AS place FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE dense_rank() OVER (PARTITION BY o_custkey, o_orderpriority = '1-URGENT' ORDER BY o_orderdate) END AS dense FROM orders)")
+def order_graph_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of ``order_graph_priority`` among the orders of all customers."""
+    return _urgent_first(table(spark, sf_dir, "orders"))
+
+
+def _urgent_first(orders: DataFrame) -> DataFrame:
+    """Urgent orders have no date rank, and so only their ids order them; neither constraint can conflict with itself."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    o = orders.select(F.col("o_custkey").alias("parent"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.when(urgent, 0).when(~urgent, 1).otherwise(2).alias("late"), F.when(~F.coalesce(urgent, F.lit(False)), F.col("o_orderdate")).alias("date"))
+    return ordering.ranked_order(o, "parent", [F.col("late"), F.col("date")]).select("parent", "id", "place")
 
 
 @query("""

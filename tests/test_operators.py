@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime, timedelta
 from math import expm1, isnan
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -91,6 +93,65 @@ def test_greedy_order_keeps_a_total_order(order):
     assert ordering.greedy_order(sorted(order), {e: 1 for e in zip(order, order[1:], strict=False)}) == list(order)
 
 
+def plain_greedy(ids, edges):
+    """The greedy order by its definition, each step looking at all."""
+    left, out = sorted(ids), []
+    while left:
+        best = min(left, key=lambda i: (max((p for (a, b), p in edges.items() if b == i and a != b and a in left), default=float("-inf")), i))
+        left.remove(best)
+        out.append(best)
+    return out
+
+
+@given(st.dictionaries(st.tuples(st.sampled_from("abcdefg"), st.sampled_from("abcdefg")), st.integers(0, 4)))
+@settings(max_examples=200, deadline=None)
+def test_greedy_order_equals_its_definition(edges):
+    assert ordering.greedy_order(list("gfedcba"), edges) == plain_greedy("abcdefg", edges)
+
+
+def test_greedy_order_of_many_children_is_quick():
+    ids = [f"{i:05}" for i in range(20_000)]
+    began = time.perf_counter()
+    assert ordering.greedy_order(ids, {e: 1 for e in zip(ids[1:], ids, strict=False)}) == ids[::-1]
+    assert time.perf_counter() - began < 10
+
+
+def test_ranked_order_equals_the_constraint_graph_and_cuts_a_large_parent(spark):
+    rows = [(None if i % 50 == 0 else "big" if i % 3 else f"p{i % 7}", f"x{i * 7919 % 1000}", i % 11 == 0, i * 31 % 13) for i in range(600)]
+    df = spark.createDataFrame(rows, "parent string, id string, urgent boolean, day int")
+    got = ordering.ranked_order(df, "parent", [~F.col("urgent"), F.when(~F.col("urgent"), F.col("day"))])
+    assert got.columns == [*df.columns, "place"]
+    want = {}
+    for parent in {r[0] for r in rows}:
+        kids = [r for r in rows if r[0] == parent]
+        days = sorted({k[3] for k in kids if not k[2]})
+        edges = {(a[1], b[1]): 9 if a[2] else 1 for a in kids for b in kids if not b[2] and (a[2] or days.index(a[3]) + 1 == days.index(b[3]))}
+        want |= {(parent, i): k for k, i in enumerate(ordering.greedy_order([k[1] for k in kids], edges), 1)}
+    assert {(r["parent"], r["id"]): r["place"] for r in got.collect()} == want
+
+
+def same_as_sql(spark, name, d="/root/testdata/sf0.001"):
+    """The rows of a query, which are those of its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for p in Path(d).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
+    got = entry.queries()[name](spark, d)
+    want = con.sql(entry.oracle_sql()[name])
+    rows = sorted(tuple(r) for r in got.collect())
+    assert got.columns == want.columns and rows == sorted(want.fetchall())
+    return rows
+
+
+def test_order_graph_priority_takes_every_order(spark):
+    rows = same_as_sql(spark, "order_graph_priority_all")
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert set(same_as_sql(spark, "order_graph_priority")) < set(rows)
+
+
 def test_sequence_and_moved(spark):
     kids = spark.createDataFrame([("p", "x", 2), ("p", "y", 1), ("p", "z", 3)], "parent string, id string, pos int")
     edges = ordering.sequence_edges(kids, "parent", "pos", 1)
