@@ -168,6 +168,73 @@ def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(_graph(spark, sf_dir)[1])
 
 
+# The SQL above takes some orders and customers by id; the queries below take all. Suppliers without debt are based in their
+# nation, those in debt have no arc.
+_ALL_ARCS = "SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst, 'has' AS kind FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'made' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'o' || o_orderkey, 'n' || (o_orderkey % 25), 'ships' FROM orders UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'base' FROM supplier WHERE s_acctbal >= 0"
+_ALL_NODES = f"{_NODES} UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier"
+
+
+def _whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, arcs): as ``_graph``, but with an arc to each customer and one from each order, and with suppliers."""
+    c, o, s = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
+    a = lambda x, k: F.concat(F.lit(x), F.col(k).cast("string"))
+    arcs = c.select(a("n", "c_nationkey").alias("src"), a("c", "c_custkey").alias("dst"), F.lit("has").alias("kind"))
+    arcs = arcs.union(o.where("o_orderpriority = '1-URGENT'").select(a("c", "o_custkey"), a("o", "o_orderkey"), F.lit("made")))
+    arcs = arcs.union(o.select(a("o", "o_orderkey"), F.concat(F.lit("n"), (F.col("o_orderkey") % 25).cast("string")), F.lit("ships")))
+    arcs = arcs.union(s.where("s_acctbal >= 0").select(a("n", "s_nationkey"), a("s", "s_suppkey"), F.lit("base")))
+    return _graph(spark, sf_dir)[0].union(s.select(a("s", "s_suppkey"), F.lit("supplier"))), arcs
+
+
+@query(_REACH.format(_ALL_ARCS, "dst", "src"))
+def graph_reach_fwd_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, arcs = _whole_graph(spark, sf_dir)
+    return graph.reachable(arcs, nodes.where("id = 'n3'")).select("id")
+
+
+@query(_REACH.format(_ALL_ARCS, "src", "dst"))
+def graph_reach_rev_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, arcs = _whole_graph(spark, sf_dir)
+    return graph.reachable(arcs, nodes.where("id = 'n3'"), reverse=True).select("id")
+
+
+@query(f"SELECT id, kind FROM ({_ALL_NODES}) WHERE id NOT IN (SELECT src FROM ({_ALL_ARCS}) UNION SELECT dst FROM ({_ALL_ARCS}))")
+def graph_isolated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.isolated(*_whole_graph(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT 'out' AS direction, dst AS id FROM ({_ALL_ARCS}) WHERE src IN ('n1', 'c1', 'c2') UNION SELECT DISTINCT 'in', src FROM ({_ALL_ARCS}) WHERE dst IN ('n1', 'c1', 'c2')")
+def graph_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, arcs = _whole_graph(spark, sf_dir)
+    chosen = nodes.where("id in ('n1', 'c1', 'c2')")
+    out = graph.neighbours(arcs, chosen).select(F.lit("out").alias("direction"), "id")
+    return out.unionByName(graph.neighbours(arcs, chosen, incoming=True).select(F.lit("in").alias("direction"), "id"))
+
+
+@query(f"SELECT id FROM ({_ALL_NODES}) WHERE kind <> 'order' AND id NOT IN (SELECT dst FROM ({_ALL_ARCS}))")
+def graph_complement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, arcs = _whole_graph(spark, sf_dir)
+    return graph.complement(nodes.where("kind <> 'order'"), arcs.select(F.col("dst").alias("id"))).select("id")
+
+
+@query(f"SELECT src, dst, bool_or(composite) AS composite, count(*) AS n_arcs FROM (SELECT coalesce(s.g, src) AS src, coalesce(d.g, dst) AS dst, s.g IS NOT NULL OR d.g IS NOT NULL AS composite FROM ({_ALL_ARCS}) LEFT JOIN ({_GROUPS}) s ON s.id = src LEFT JOIN ({_GROUPS}) d ON d.id = dst) WHERE NOT (composite AND src = dst) GROUP BY src, dst")
+def graph_contract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").where("n_nationkey < 12")
+    group = lambda k: F.concat(F.lit("g"), (F.col(k) % 4).cast("string")).alias("group")
+    members = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), group("c_nationkey")).union(n.select(F.concat(F.lit("n"), "n_nationkey"), group("n_nationkey")))
+    return graph.contract(_whole_graph(spark, sf_dir)[1], members)
+
+
+@query(f"SELECT src, dst, a.kind FROM ({_ALL_ARCS}) a JOIN ({_ALL_NODES}) s ON s.id = src JOIN ({_ALL_NODES}) d ON d.id = dst WHERE a.kind IN ('has', 'ships') AND s.kind IN ('nation', 'customer') AND d.kind IN ('nation', 'customer')")
+def graph_visible_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, arcs = _whole_graph(spark, sf_dir)
+    return graph.visible(arcs, nodes, ["nation", "customer"], ["has", "ships"]).select("src", "dst", "kind")
+
+
+@query(f"SELECT id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM (SELECT src AS id, 0 AS i, 1 AS o FROM ({_ALL_ARCS}) UNION ALL SELECT dst, 1, 0 FROM ({_ALL_ARCS})) GROUP BY id")
+def graph_degrees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_whole_graph(spark, sf_dir)[1])
+
+
 @query()
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drawing for each region of its nations in a ring; seeded, hence repeatable, without a SQL form."""

@@ -152,6 +152,18 @@ def test_order_graph_priority_takes_every_order(spark):
     assert set(same_as_sql(spark, "order_graph_priority")) < set(rows)
 
 
+def test_whole_graph_has_an_arc_for_each_customer_and_order(spark):
+    d = "/root/testdata/sf0.001"
+    n = {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("customer", "orders")}
+    degrees = {r[0]: r[1:] for r in same_as_sql(spark, "graph_degrees_all")}
+    assert sum(o for i, (_, o) in degrees.items() if i[0] == "o") == n["orders"]
+    assert sum(i for k, (i, _) in degrees.items() if k[0] == "c") == n["customer"]
+    for name in ("reach_fwd", "reach_rev", "neighbors", "contract", "visible"):
+        assert same_as_sql(spark, f"graph_{name}_all"), name
+    for name in ("isolated", "complement"):  # of few suppliers, none is in debt
+        assert same_as_sql(spark, f"graph_{name}_all", "/root/testdata/sf0.01"), name
+
+
 def test_sequence_and_moved(spark):
     kids = spark.createDataFrame([("p", "x", 2), ("p", "y", 1), ("p", "z", 3)], "parent string, id string, pos int")
     edges = ordering.sequence_edges(kids, "parent", "pos", 1)
