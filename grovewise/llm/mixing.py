@@ -1,13 +1,14 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 Every source is one long stream of its documents' words, cut into blocks of a fixed number of words. Each source gets
-as many slots as its target asks for. A pseudorandom permutation of all slots deals them to output shards, which draws
-each shard's source counts from the multinomial law given the sources' totals (totals are held at the targets, so that
-small sources come as near as large ones). Within a source, slot number k reads block perm(k mod blocks); the
-permutation visits every block once before any block again, so no block, and no document, is used more than
-ceil(slots / blocks) times.
-
-Permutations are ``(p * x + q) mod n`` with ``p`` a prime above every possible ``n``: coprime to ``n``, hence bijective.
+as many slots as its target asks for. All slots are ranked by a seeded hash and the ranks cut into output shards, which
+draws each shard's source counts from the multinomial law given the sources' totals (totals are held at the targets, so
+that small sources come as near as large ones). A source's slots are numbered in the order of shards by running sums over
+their counts; slot number k reads block perm(k mod blocks). The permutation visits every block once before any block
+again, so no block, and no document, is used more than ceil(slots / blocks) times.
+
+Permutations of blocks are ``(p * x + q) mod n`` with ``p`` a prime above every possible ``n``: coprime to ``n``, hence
+bijective.
 """
 
 from __future__ import annotations
@@ -70,6 +71,24 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limi
     return level.select("source", "source_no", "source_size", "weight", target.alias("target"))
 
 
+def _dealt(drawn: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """Slots (source_no, x) in the order of a seeded hash: ``place`` among all and ``k`` among the source's, from 0.
+
+    Buckets of the hash follow each other; what lies before one, of all and of each source, are running sums of counts.
+    """
+    hash_ = F.xxhash64("source_no", "x", F.lit(seed + 2))
+    hashed = drawn.withColumn("hash", hash_).withColumn("bucket", F.pmod(F.col("hash"), F.lit(buckets)))
+    counts = hashed.groupBy("bucket", "source_no").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.groupBy("bucket").agg(F.sum("n").alias("n"))
+    every = every.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("place_before"))
+    own = counts.select("bucket", "source_no", (F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")).alias("k_before"))
+    order = ["hash", "source_no", "x"]
+    ranked = hashed.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)) - 1)
+    ranked = ranked.withColumn("own_at", F.row_number().over(Window.partitionBy("bucket", "source_no").orderBy(*order)) - 1)
+    ranked = ranked.join(every, "bucket").join(own, ["bucket", "source_no"])
+    return ranked.withColumn("place", F.col("place_before") + F.col("at")).withColumn("k", F.col("k_before") + F.col("own_at"))
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limit: int = 3, share: float = 1.0,
     block_words: int = 128, shard_slots: int = 4096, seed: int = 42,
@@ -84,11 +103,11 @@ def mix_sources(
     src = targets(sizes, weights, limit, share).withColumn("blocks", F.ceil(F.col("source_size") / block_words))
     slots_of = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.col("blocks") * limit)
     src = src.withColumn("n_slots", F.when(F.col("source_size") > 0, slots_of).otherwise(F.lit(0)).cast("long"))
-    src = stored(src.withColumn("slots_before", F.sum("n_slots").over(Window.orderBy("source_no")) - F.col("n_slots")), "mix-sources")
+    src = stored(src, "mix-sources")
 
     # A document's first word in its source's stream: the words of the buckets before, and of the rows before in its own.
     keyed = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    keyed = keyed.join(src.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src", "blocks", "n_slots", "slots_before", "weight")
+    keyed = keyed.join(src.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src", "blocks", "n_slots", "weight")
     sums = keyed.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = sums.select("source_no", "bucket", (F.sum("bucket_size").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("bucket_size")).alias("bucket_start"))
     within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -103,13 +122,13 @@ def mix_sources(
 
     # Slots: chunks first, so that a large source is dealt to many tasks.
     n_slots = src.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
-    total, tasks = F.lit(n_slots), max(1, -(-n_slots // (64 * shard_slots)))
+    tasks = max(1, -(-n_slots // (64 * shard_slots)))
     chunks = src.where("n_slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / shard_slots))))
     first = F.col("chunk") * shard_slots
-    slots = chunks.repartition(tasks, "source_no", "chunk").withColumn("k", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("n_slots")) - 1)))
-    place = _permuted(F.col("slots_before") + F.col("k"), total, F.lit(-1), seed)
+    drawn = chunks.repartition(tasks, "source_no", "chunk").withColumn("x", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("n_slots")) - 1)))
+    slots = _dealt(drawn.select("source_no", "blocks", "x"), buckets_for(n_slots), seed)
     block = _permuted(F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"), F.col("source_no"), seed)
-    slots = slots.select(F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("slot"), "source_no", "k", block.alias("block"))
+    slots = slots.select(F.floor(F.col("place") / shard_slots).alias("shard"), (F.col("place") % shard_slots).alias("slot"), "source_no", "k", block.alias("block"))
 
     # Both sides grow with the input: never broadcast.
     uses = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")

@@ -507,6 +507,26 @@ def test_mix_comes_near_its_targets_and_repeats(spark, corpus):
     assert empty.documents.count() == 0 and empty.slots.count() == 0
 
 
+@pytest.mark.parametrize("words", (700, 2500))
+def test_shards_draw_multinomial_counts_and_number_each_sources_slots(spark, words):
+    from grovewise.llm.mixing import mix_sources
+
+    docs = spark.range(20).selectExpr("id AS doc_id", f"repeat('w ', {words} + 13 * int(id)) AS text", "'en' AS lang", "concat('s', id) AS source", "0L AS n_chars")
+    slots = sorted((r["shard"], r["slot"], r["source_no"], r["k"]) for r in mix_sources(docs, block_words=1, shard_slots=256).slots.collect())
+    n, of = len(slots), Counter(s for _, _, s, _ in slots)
+    assert [(a, b) for a, b, _, _ in slots] == [(i // 256, i % 256) for i in range(n)]
+    seen = Counter()
+    for _, _, s, k in slots:
+        assert k == seen[s]
+        seen[s] += 1
+    full = n // 256
+    got = Counter((a, s) for a, _, s, _ in slots if a < full)
+    # Given the totals, a count has the hypergeometric variance: of some 1,000 to 3,700 the mean ratio is near 1.
+    law = {s: 256 * m / n * (1 - m / n) * (n - 256) / (n - 1) for s, m in of.items()}
+    ratio = sum((got[a, s] - 256 * m / n) ** 2 / law[s] for a in range(full) for s, m in of.items()) / (full * len(of))
+    assert 0.85 < ratio < 1.15
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     import corpus_pipeline
 
