@@ -141,6 +141,14 @@ def reconcile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.reconcile(have, want, "k")
 
 
+@query("SELECT k, CASE WHEN h IS NULL THEN 'added' WHEN w IS NULL THEN 'deleted' ELSE 'matched' END AS state FROM (SELECT DISTINCT o_orderkey || '/' || o_orderstatus AS k, 1 AS h FROM orders) FULL JOIN (SELECT DISTINCT l_orderkey || '/' || l_linestatus AS k, 1 AS w FROM lineitem) USING (k)")
+def reconcile_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with their status against those of all lines; ``reconcile_keys`` takes the first few ids."""
+    key = lambda k, status: F.concat(F.col(k).cast("string"), F.lit("/"), status).alias("k")
+    have, want = table(spark, sf_dir, "orders").select(key("o_orderkey", "o_orderstatus")), table(spark, sf_dir, "lineitem").select(key("l_orderkey", "l_linestatus"))
+    return snapshots.reconcile(have, want, "k")
+
+
 _OLD = "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_size AS size FROM part WHERE p_partkey % 3 <> 0"
 _NEW = "SELECT p_partkey + 1000000 AS id, CASE WHEN p_partkey % 4 = 0 THEN p_name || '!' ELSE p_name END AS name, p_brand AS brand, CASE WHEN p_partkey % 8 = 1 THEN -p_size ELSE p_size END AS size FROM part WHERE p_partkey % 5 <> 0"
 _ONE = "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {0}) AS c FROM {1}) WHERE c = 1"

@@ -164,6 +164,13 @@ def test_whole_graph_has_an_arc_for_each_customer_and_order(spark):
         assert same_as_sql(spark, f"graph_{name}_all", "/root/testdata/sf0.01"), name
 
 
+def test_reconcile_takes_every_key_and_finds_all_states(spark):
+    rows = same_as_sql(spark, "reconcile_keys_all")
+    assert {state for _, state in rows} == {"added", "deleted", "matched"}
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert sum(state != "added" for _, state in rows) == orders
+
+
 def test_sequence_and_moved(spark):
     kids = spark.createDataFrame([("p", "x", 2), ("p", "y", 1), ("p", "z", 3)], "parent string, id string, pos int")
     edges = ordering.sequence_edges(kids, "parent", "pos", 1)
