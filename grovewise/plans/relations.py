@@ -94,7 +94,7 @@ def anneal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = similarity.pairs_within(n, ["problem"], "n_nationkey")
     cost = 60 - 100 * similarity.name_commonality(F.col("x.n_name"), F.col("y.n_name"))
     problems = pairs.select(F.col("x.problem").alias("problem"), F.col("x.n_nationkey").alias("a"), F.col("y.n_nationkey").alias("b"), cost.alias("cost"))
-    return similarity.anneal(problems, "problem", groups=3, steps=20)
+    return similarity.anneal(problems, "problem", groups=3)
 
 
 _ARCS = "SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst, 'has' AS kind FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'made' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'o' || o_orderkey, 'n' || (o_orderkey % 25), 'ships' FROM orders WHERE o_orderkey % 97 = 0"

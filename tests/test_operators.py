@@ -242,6 +242,15 @@ def test_annealing_separates_what_clashes(spark):
     assert len({r["group"] for r in got if r["id"] < 3}) == 1 and len({r["group"] for r in got}) == 2 and {r["cost"] for r in got} == {-600.0}
 
 
+def test_anneal_assignment_searches_with_the_operators_steps(spark, monkeypatch):
+    from grovewise.plans import relations
+
+    asked, anneal = [], similarity.anneal
+    monkeypatch.setattr(similarity, "anneal", lambda *a, **how: asked.append(how) or anneal(*a, **how))
+    got = relations.anneal_assignment(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 25 and "steps" not in asked[0]
+
+
 def test_graph_operators(spark):
     arcs = spark.createDataFrame([("a", "b", "k"), ("b", "c", "k"), ("c", "a", "k"), ("c", "d", "l"), ("e", "d", "l")], "src string, dst string, kind string")
     nodes = spark.createDataFrame([(x, "n") for x in "abcdef"], "id string, kind string")
