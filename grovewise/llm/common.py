@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What parts words in every contract: runs of the bytes that are neither space nor 0x09 to 0x0D.
@@ -55,9 +55,22 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
-    """How many hash buckets keep about ``per_bucket`` rows each; grows with the table."""
-    return max(16, -(-rows // per_bucket))
+def buckets_for(rows: int, per_bucket: int = 2_000) -> int:
+    """How many hash buckets keep about ``per_bucket`` rows each; grows with the table, and is never so few that a hot
+    key's buckets leave tasks without work."""
+    return max(1024, -(-rows // per_bucket))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str, span: int = 4096) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of a smaller ``order`` (an integer) of the same keys.
+
+    In two levels, runs of ``span`` numbers and rows within a run, so that a key with very many rows is no one task's.
+    """
+    runs = df.withColumn("_run", F.floor(F.col(order) / span))
+    whole = runs.groupBy(*keys, "_run").agg(F.sum(value).alias("_whole"))
+    whole = whole.withColumn("_before", F.sum("_whole").over(Window.partitionBy(*keys).orderBy("_run")) - F.col("_whole")).drop("_whole")
+    within = F.sum(value).over(Window.partitionBy(*keys, "_run").orderBy(order)) - F.col(value)
+    return runs.withColumn(out, within).join(whole, [*keys, "_run"]).withColumn(out, F.col(out) + F.col("_before")).drop("_run", "_before")
 
 
 def text_slices(batch: pa.RecordBatch, column: str | int, rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -10,6 +11,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -507,24 +509,77 @@ def test_mix_comes_near_its_targets_and_repeats(spark, corpus):
     assert empty.documents.count() == 0 and empty.slots.count() == 0
 
 
-@pytest.mark.parametrize("words", (700, 2500))
-def test_shards_draw_multinomial_counts_and_number_each_sources_slots(spark, words):
+def _hash(seed, *values):
+    """Spark's xxhash64 of longs and ints (given as (value,))."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v), seed=seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+@pytest.mark.parametrize("words", (300, 900))
+def test_slots_are_multinomial_draws_corrected_to_their_totals(spark, words):
     from grovewise.llm.mixing import mix_sources
 
     docs = spark.range(20).selectExpr("id AS doc_id", f"repeat('w ', {words} + 13 * int(id)) AS text", "'en' AS lang", "concat('s', id) AS source", "0L AS n_chars")
-    slots = sorted((r["shard"], r["slot"], r["source_no"], r["k"]) for r in mix_sources(docs, block_words=1, shard_slots=256).slots.collect())
-    n, of = len(slots), Counter(s for _, _, s, _ in slots)
-    assert [(a, b) for a, b, _, _ in slots] == [(i // 256, i % 256) for i in range(n)]
-    seen = Counter()
-    for _, _, s, k in slots:
-        assert k == seen[s]
-        seen[s] += 1
+    mix = mix_sources(docs, block_words=1, shard_slots=256, seed=42)
+    slots = sorted((r["shard"], r["slot"], r["drawn"], r["source_no"], r["k"]) for r in mix.slots.collect())
+    n = len(slots)
+    assert [(a, b) for a, b, *_ in slots] == [(i // 256, i % 256) for i in range(n)]
+    asked = {r["source_no"]: r["n_slots"] for r in mix.sources.collect()}
+    assert n == sum(asked.values())
+    # Draws, one by one: the source in whose share the slot's hash falls.
+    ends, at = [], 0
+    for s in sorted(asked):
+        at += asked[s]
+        ends.append((at, s))
+    for shard, slot, drawn, _, _ in slots[:: max(1, n // 300)]:
+        u = _hash(42, shard, slot, (44,)) % n
+        assert drawn == next(s for end, s in ends if u < end)
+    # Counts of shards have the multinomial variance, far more evenly drawn ones would not.
     full = n // 256
-    got = Counter((a, s) for a, _, s, _ in slots if a < full)
-    # Given the totals, a count has the hypergeometric variance: of some 1,000 to 3,700 the mean ratio is near 1.
-    law = {s: 256 * m / n * (1 - m / n) * (n - 256) / (n - 1) for s, m in of.items()}
-    ratio = sum((got[a, s] - 256 * m / n) ** 2 / law[s] for a in range(full) for s, m in of.items()) / (full * len(of))
-    assert 0.85 < ratio < 1.15
+    got = Counter((a, s) for a, _, s, _, _ in slots if a < full)
+    ratio = sum((got[a, s] - 256 * m / n) ** 2 / (256 * m / n * (1 - m / n)) for a in range(full) for s, m in asked.items()) / (full * len(asked))
+    assert 0.8 < ratio < 1.25
+    # Totals are as asked for, every number once, and few slots were corrected: about the root of their number.
+    for s, m in asked.items():
+        assert sorted(k for *_, x, k in slots if x == s) == list(range(m))
+    assert sum(d != s for _, _, d, s, _ in slots) < 2 * len(asked) * n**0.5
+
+
+def test_words_taken_are_those_of_the_blocks_that_slots_read(spark, corpus):
+    from grovewise.llm.mixing import PRIMES, mix_sources
+
+    docs = spark.createDataFrame(corpus + ODD, DOCS)
+    mix = mix_sources(docs, block_words=16, shard_slots=32)
+    got, taken = rows_of(mix.documents), Counter()
+    source = {r["source_no"]: r for r in rows_of(mix.sources)}
+    stream, first = defaultdict(list), {}
+    for r in sorted(rows_of(mix.documents), key=lambda r: (r["source_no"], r["start"])):
+        assert r["start"] == len(stream[r["source_no"]]) or not r["size"]
+        stream[r["source_no"]] += [(r["doc_id"], r["source_no"], r["start"])] * r["size"]
+    for r in rows_of(mix.slots):
+        s, no = source[r["source_no"]], r["source_no"]
+        prime, n = PRIMES[_hash(42, (no,), (42,)) % 4], s["blocks"]
+        assert r["block"] == (prime % n * (r["k"] % n) + _hash(42, (no,), (43,)) % n) % n
+        for word in stream[no][16 * r["block"] : 16 * r["block"] + 16]:
+            taken[word] += 1
+            first[word] = min(first.get(word, r["shard"]), r["shard"])
+    for r in got:
+        key = (r["doc_id"], r["source_no"], r["start"])
+        assert r["taken"] == (taken[key] if r["size"] else 0) and r["first_shard"] == (first.get(key) if r["size"] else None)
+
+
+def test_mixing_stage_keeps_null_ids_and_columns_of_any_name(spark, corpus):
+    from grovewise.llm.mixing import mixed_documents
+
+    rows = [(*d, 7, 8, 9) for d in corpus] + [(None, "nobody knows this id " * 9, "en", "a", 1, 7, 8, 9)] * 2 + [(3, "another text of id three " * 9, "en", "a", 1, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, DOCS + ", _n int, _taken int, size int")
+    got = rows_of(mixed_documents(docs, weights=(1.0,), block_words=4, limit=3))
+    assert got and all((r["_n"], r["_taken"], r["size"]) == (7, 8, 9) for r in got)
+    assert {r["text"] for r in got} <= {d[1] for d in rows} and any(r["doc_id"] is None for r in got)
+    n = Counter(r["doc_id"] for r in got)
+    assert n[None] % 2 == 0 and max(Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None).values()) <= 4
+    assert mixed_documents(docs.limit(0)).columns == docs.columns and mixed_documents(docs.limit(0)).count() == 0
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
