@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 PAIRS_AT_ONCE = 1 << 15
 
 
-def dealt_to_cells(rows: DataFrame, sizes: DataFrame, key: str, id_: str, cell_rows: int, cells_rows: int = 65536) -> DataFrame:
+def dealt_to_cells(
+    rows: DataFrame, sizes: DataFrame, key: str, id_: str, cell_rows: int, cells_rows: int = 65536, carry: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``rows`` in cells (key, low, high), sorted within partitions; ``sizes``: (key, rows) of the buckets to compare.
 
     A bucket of up to ``cell_rows`` rows is one cell. A larger one is cut into parts by a hash of ``id_``, and each two
-    parts meet in a cell of their own, so no task gathers a large bucket.
+    parts meet in a cell of their own, so no task gathers a large bucket. ``carry`` adds what only rows in cells need.
     """
     parts = sizes.select(key, F.ceil(F.col("rows") / cell_rows).cast("int").alias("parts"))
     cells = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64(id_), F.col("parts")).cast("int"))
     cells = cells.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     cells = cells.withColumn("low", F.least("part", "other_part")).withColumn("high", F.greatest("part", "other_part"))
+    cells = carry(cells) if carry else cells
     n = max(1, -(-sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] // cells_rows))
     return cells.repartition(n, key, "low", "high").sortWithinPartitions(key, "low", "high")
 
@@ -76,6 +79,20 @@ def pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         at = end
 
 
+def blocks(start: np.ndarray, size: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j within runs of rows whose rows of ``x`` have an inner product of ``least`` or more, found by
+    products of blocks of bounded size."""
+    for s, n in zip(start.tolist(), size.tolist(), strict=True):
+        step = max(1, (1 << 21) // n)
+        for a in range(s, s + n, step):
+            b = min(a + step, s + n)
+            i, j = np.nonzero(x[a:b] @ x[a : s + n].T >= least)
+            up = j > i
+            i, j = i[up] + a, j[up] + a
+            for at in range(0, len(i), 8 * PAIRS_AT_ONCE):
+                yield i[at : at + 8 * PAIRS_AT_ONCE], j[at : at + 8 * PAIRS_AT_ONCE]
+
+
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star forest with the components of the links a-b."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)

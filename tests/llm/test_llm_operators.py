@@ -244,6 +244,30 @@ def test_near_vectors_against_brute_force(spark, cell_rows):
         assert (got[r[0]]["n_links"], got[r[0]]["component_id"], got[r[0]]["kept"]) == (n[r[0]], root(r[0]), root(r[0]) == r[0])
 
 
+def test_near_vectors_of_far_labels_many_widths_and_repeated_ids(spark):
+    from grovewise.llm.crosspolytope import near_vectors
+
+    rows = [(1, [1.0, 2.0, 0.0], 0), (2, [1.0, 2.01, 0.0], 2**18), (3, [1.0, 2.0], 0), (4, [1.0, 2.01], 0), (5, [1.0, 2.0, -0.0], 0)]
+    rows += [(7, [5.0, 0.0, 1.0], 3), (7, [0.0, 9.0, 1.0], 3), (8, [5.0, 0.0, 1.1], 3), (9, [0.0, 9.0, 1.1], 3), (None, [5.0, 0.0, 1.0], 3)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label long, node int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(docs).collect())
+    assert got == [(0, 0, None, True), (1, 1, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 1, False), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+    assert near_vectors(docs.limit(0)).count() == 0
+
+
+def test_near_vectors_in_large_cells(spark):
+    from grovewise.llm.crosspolytope import near_vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.3
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame([(i, r.tolist(), "one") for i, r in enumerate(x)], "vec_id long, embedding array<float>, label string"), cell_rows=100).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (np.einsum("id,jd->ij", y, y) >= 0.93).sum(axis=1) - 1
+    assert 1000 < want.sum() < 300 * 299 and sum(got.values()) > 0.998 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     from grovewise.llm.components import connected_components
 
