@@ -14,13 +14,16 @@ PAIRS_AT_ONCE = 1 << 15
 
 def dealt_to_cells(
     rows: DataFrame, sizes: DataFrame, key: str, id_: str, cell_rows: int, cells_rows: int = 65536, carry: Callable[[DataFrame], DataFrame] | None = None,
+    cell_bytes: int | None = None,
 ) -> DataFrame:
     """``rows`` in cells (key, low, high), sorted within partitions; ``sizes``: (key, rows) of the buckets to compare.
 
     A bucket of up to ``cell_rows`` rows is one cell. A larger one is cut into parts by a hash of ``id_``, and each two
     parts meet in a cell of their own, so no task gathers a large bucket. ``carry`` adds what only rows in cells need.
+    With ``cell_bytes``, parts are also so many that their share of the buckets' ``bytes`` in ``sizes`` stays below it.
     """
-    parts = sizes.select(key, F.ceil(F.col("rows") / cell_rows).cast("int").alias("parts"))
+    filled = F.col("rows") / cell_rows if cell_bytes is None else F.greatest(F.col("rows") / cell_rows, F.col("bytes") / cell_bytes)
+    parts = sizes.select(key, F.ceil(filled).cast("int").alias("parts"))
     cells = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64(id_), F.col("parts")).cast("int"))
     cells = cells.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     cells = cells.withColumn("low", F.least("part", "other_part")).withColumn("high", F.greatest("part", "other_part"))

@@ -8,30 +8,43 @@ from pyspark.sql import functions as F
 from grovewise.llm.common import stored
 
 
+#: Nodes with at least this share of all edge ends are hubs; hence at most so many are broadcast.
+HUBS = 1000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, least: DataFrame, n_pairs: int) -> DataFrame:
+    """``pairs`` with their node's ``m``; hubs are looked up by a broadcast of HUBS rows at most, so that the pairs of
+    one hub needn't meet in a task."""
+    hub = F.col("degree") >= max(HUBS, -(-n_pairs // HUBS))
+    hubs = F.broadcast(least.where(hub).select("a", "m"))
+    some = pairs.join(hubs, "a")
+    return some.unionByName(pairs.join(hubs.select("a"), "a", "left_anti").join(least.where(~hub).select("a", "m"), "a"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its larger neighbours to its least neighbour (itself included)."""
     pairs = _both_ways(edges)
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return pairs.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("a", "m"))
+    return _with_least(pairs, least, 2 * n).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its smaller neighbours, and itself, to the least of them."""
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    moved = pairs.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+    moved = _with_least(pairs, least, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a long, b long): the least node reachable.
 
-    Each star needs one least value per node, aggregated before the shuffle, and one join that adaptive execution may
-    split, so a hub of any degree isn't gathered in one task. A node pointing at its component's least node is final;
+    Each star needs one least value per node, aggregated before the shuffle, and one join, in which hubs are broadcast,
+    so a hub of any degree isn't gathered in one task. A node pointing at its component's least node is final;
     rounds end when the edges no longer change. Loops, repeated edges and edges with a null end are ignored.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
@@ -41,7 +54,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before, now = mark, stored(_small_star(_large_star(now)), "components")
+        before, now = mark, stored(_small_star(_large_star(now, mark[0]), mark[0]), "components")
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

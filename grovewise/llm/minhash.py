@@ -4,7 +4,8 @@ Texts of equal shingle sets are one class. Classes that share a band's minima ar
 agree (4.5 standard deviations below the threshold at most), and full sets decide. Since components are asked for, a
 pair within one component needs no check:
 
-1. each bucket's least class is compared with its other members;
+1. each bucket's least class is compared with its other members; these pairs are sorted into parts of equal size, so a
+   class that leads large buckets is compared in many tasks, and its text comes once to each;
 2. of a bucket that this leaves in several components, the candidate pairs across them are reduced to a spanning forest,
    which is checked;
 3. candidates of both steps form clusters. Where a cluster still has several components, all its pairs across them are
@@ -16,7 +17,6 @@ join two components goes unchecked.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from math import ceil, log, sqrt
 
@@ -24,14 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grovewise.llm.cells import Forest, cell_runs, dealt_to_cells, pairs, whole_cells
 from grovewise.llm.common import stored, text_slices
 from grovewise.llm.components import connected_components
 from grovewise.llm.shingles import mixed, shared, shingles_of
 
-SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, signature binary"
-SETS_KEPT = 256  # parsed sets that a verifying task keeps at hand
+SIGNED = "n_shingles long, key_a long, key_b long, bands array<long>, signature binary"
+PART_PAIRS = 2048  # pairs of a part that one task compares
+CELL_BYTES = 4 << 20  # text of a cell's part
 AT_ONCE = 256  # documents shingled at once
 
 
@@ -44,7 +46,8 @@ def banding(threshold: float, miss: float = 1e-4, most: int = 200) -> tuple[int,
     return most, 1
 
 
-def _sign(width: int, bands: int, rows: int, seed: int):
+def _sign(at: int, width: int, bands: int, rows: int, seed: int):
+    """Rows, whose text is column ``at``, with the columns of SIGNED."""
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**64, bands * rows, dtype=np.uint64)
@@ -52,8 +55,8 @@ def _sign(width: int, bands: int, rows: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", AT_ONCE):
-                sets = shingles_of(part.column("text"), width)
+            for part in text_slices(batch, at, AT_ONCE):
+                sets = shingles_of(part.column(at).cast(pa.large_string()), width)
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(size)
                 minima = np.zeros((len(sets), bands * rows), dtype=np.uint32)
@@ -68,9 +71,9 @@ def _sign(width: int, bands: int, rows: int, seed: int):
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(banded.ravel()))
                 signed = keys.view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(np.ascontiguousarray(signed[:, 0])), pa.array(np.ascontiguousarray(signed[:, 1])),
+                    *part.columns, pa.array(size), pa.array(np.ascontiguousarray(signed[:, 0])), pa.array(np.ascontiguousarray(signed[:, 1])),
                     flat, pa.array([m.tobytes() for m in minima], pa.binary()),
-                ], names=["doc_id", "n_shingles", "key_a", "key_b", "bands", "signature"])
+                ], names=[*part.schema.names, "n_shingles", "key_a", "key_b", "bands", "signature"])
 
     return run
 
@@ -79,14 +82,26 @@ def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), -1)
 
 
-def _agreeing(least: float):
-    """Pairs (a, b, sig_a, sig_b) whose signatures agree in ``least`` of their places."""
+def _compared(least: float, width: int, percent: int):
+    """Rows sorted by (part, a), each hub before its members, to (a, b, good): the pairs whose signatures agree in
+    ``least`` of their places, and whether 100 * intersection >= ``percent`` * union on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = (_stack(batch.column("sig_a")) == _stack(batch.column("sig_b"))).mean(axis=1) >= least
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+        minima, whole = None, None
+        for batch in (p for b in batches for p in text_slices(b, "text", AT_ONCE)):
+            signed, hub, text = _stack(batch.column("signature")), batch.column("hub").to_pylist(), batch.column("text")
+            ends = list(zip(batch.column("a").to_pylist(), batch.column("node").to_pylist(), strict=True))
+            found: list[tuple[int, int, bool]] = []
+            for k, (a, b) in enumerate(ends):
+                if hub[k]:
+                    minima = signed[k]
+                    whole = shingles_of(text.slice(k, 1).cast(pa.large_string()), width)[0]
+                elif (signed[k] == minima).mean() >= least:
+                    own = shingles_of(text.slice(k, 1).cast(pa.large_string()), width)[0]
+                    both = shared(whole, own)
+                    found.append((a, b, 100 * both >= percent * (len(whole) + len(own) - both)))
+            a, b, good = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     return run
 
@@ -145,29 +160,55 @@ def _joining_in_cells(least: float, width: int, percent: int):
     return run
 
 
-def _confirmed(width: int, percent: int):
-    """Pairs (a, b, text_a, text_b) with 100 * intersection >= percent * union on full sets."""
+def _signed(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """The rows of ``docs`` with a number (``row``) and the columns of SIGNED, stored."""
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(SIGNED).fields])
+    signed = docs.mapInArrow(_sign(docs.columns.index("text"), width, bands, rows, seed), schema)
+    return stored(signed.withColumn("row", F.monotonically_increasing_id()), "minhash-signed")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def set_of(id_: int, text: pa.Scalar) -> np.ndarray:
-            if id_ not in kept:
-                kept[id_] = shingles_of(pa.array([text.as_py()], pa.large_string()), width)[0]
-                if len(kept) > SETS_KEPT:
-                    kept.popitem(last=False)
-            kept.move_to_end(id_)
-            return kept[id_]
+def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """((row, node), links (a, b) between nodes) of signed rows with shingles: a node is the first row of a set."""
+    least = max(0.0, percent / 100 - 4.5 * sqrt(percent / 100 * (1 - percent / 100) / (bands * rows)))
+    keys = ["n_shingles", "key_a", "key_b"]
+    heads = full.groupBy(*keys).agg(F.min("row").alias("node"))
+    nodes = stored(full.select("row", *keys).join(heads, keys).select("row", "node"), "minhash-nodes")
+    filed = full.select(F.col("row").alias("node"), "bands").join(nodes.where("row = node").select("node"), "node", "left_semi")
+    filed = stored(filed.select("node", F.explode("bands").alias("bucket")), "minhash-filed")
+    buckets = filed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    members = stored(filed.join(buckets, "bucket"), "minhash-members")
+    payload = full.select(F.col("row").alias("node"), "signature", "text")
+
+    def compared(pairs_: DataFrame, name: str) -> DataFrame:
+        """(a, b, good) of the pairs whose signatures agree."""
+        pairs_ = stored(pairs_.select("a", "b").distinct(), f"{name}-pairs")
+        n = max(1, -(-pairs_.count() // PART_PAIRS))
+        pairs_ = stored(pairs_.repartitionByRange(n, "a", "b").select(F.spark_partition_id().alias("part"), "a", "b"), f"{name}-parts")
+        ends = pairs_.select("part", "a", F.col("b").alias("node"), F.lit(False).alias("hub"))
+        ends = ends.unionByName(pairs_.select("part", "a").distinct().select("part", "a", F.col("a").alias("node"), F.lit(True).alias("hub")))
+        rows_ = ends.join(payload, "node").repartition(n, "part").sortWithinPartitions("part", "a", F.desc("hub"))
+        return stored(rows_.mapInArrow(_compared(least, width, percent), "a long, b long, good boolean"), name)
+
+    tried = compared(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), "minhash-hubs")
+    linked = tried.where("good").select("a", "b")
 
-        for batch in batches:
-            good = []
-            for a, b, x, y in zip(*(batch.column(k) for k in ("a", "b", "text_a", "text_b")), strict=True):
-                s, t = set_of(a.as_py(), x), set_of(b.as_py(), y)
-                both = shared(s, t)
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    first = stored(connected_components(linked), "minhash-first")
+    placed = members.join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = F.min("component") != F.max("component")
+    sizes = stored(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several"), "minhash-several")
+    rest = stored(placed.join(sizes.select("bucket"), "bucket", "left_semi"), "minhash-rest").join(payload.drop("text"), "node")
+    forest = dealt_to_cells(rest, sizes, "bucket", "node", cell_rows).mapInArrow(_agreeing_in_cells(least), "a long, b long")
+    forest = stored(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-forest")
+    linked = linked.unionByName(compared(forest.join(tried, ["a", "b"], "left_anti"), "minhash-forest-links").where("good").select("a", "b"))
 
-    return run
+    second = stored(connected_components(linked), "minhash-second")
+    clusters = connected_components(tried.select("a", "b").unionByName(forest)).withColumnRenamed("component", "cluster")
+    clustered = stored(clusters.join(second, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component")), "minhash-clustered")
+    sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several")
+    rest = stored(clustered.join(sizes.select("cluster"), "cluster", "left_semi"), "minhash-unjoined").join(payload, "node")
+    sizes = stored(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")), "minhash-clusters")
+    joining = dealt_to_cells(rest, sizes, "cluster", "node", cell_rows // 4, 4096, cell_bytes=CELL_BYTES).mapInArrow(_joining_in_cells(least, width, percent), "a long, b long")
+    return nodes, linked.unionByName(stored(joining, "minhash-joining"))
 
 
 def near_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows: int = 1024, seed: int = 11) -> DataFrame:
@@ -175,65 +216,48 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows
 
     Documents whose sets of ``width``-word shingles have 100 * intersection >= ``percent`` * union are linked; a
     component is named by its least doc_id, which alone is kept. Texts that are null, empty or without words have no
-    shingles and link with nothing. Repeated rows are one node and come back as often as they came. Rows with a null
-    doc_id are nobody's copy: they come back with a null component and are kept. An empty table gives no rows.
+    shingles and link with nothing. Rows that repeat an id are one document: it is linked with whatever any of its texts
+    is linked with, and it comes back as often as it came, with each row's own set size. Rows with a null doc_id are
+    nobody's copy: they come back with a null component and are kept. An empty table gives no rows.
     """
     bands, rows = banding(percent / 100)
-    least = max(0.0, percent / 100 - 4.5 * sqrt(percent / 100 * (1 - percent / 100) / (bands * rows)))
-    signed = stored(docs.select("doc_id", "text").mapInArrow(_sign(width, bands, rows, seed), SIGNED), "minhash-signed")
+    signed = _signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width, bands, rows, seed)
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    keys = ["n_shingles", "key_a", "key_b"]
-    heads = full.groupBy(*keys).agg(F.min("doc_id").alias("node"))
-    nodes = stored(full.select("doc_id", *keys).distinct().join(heads, keys).select("doc_id", "node").distinct(), "minhash-nodes")
-    head_rows = full.join(nodes.where("doc_id = node"), "doc_id").dropDuplicates(["doc_id"])
-    signatures = stored(head_rows.select(F.col("doc_id").alias("node"), "signature", "bands"), "minhash-heads")
-
-    filed = signatures.select("node", F.explode("bands").alias("bucket"))
-    buckets = stored(filed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "minhash-buckets")
-    members = filed.join(buckets, "bucket")
-    hubs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    sig = signatures.select(F.col("node").alias("_id"), "signature")
-
-    def confirmed(candidates: DataFrame, name: str) -> DataFrame:
-        a = texts.select(F.col("_id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("_id").alias("b"), F.col("text").alias("text_b"))
-        wide = candidates.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-        return stored(wide.mapInArrow(_confirmed(width, percent), "a long, b long"), name)
-
-    one = hubs.join(sig.withColumnRenamed("_id", "b").withColumnRenamed("signature", "sig_b"), "b").join(sig.withColumnRenamed("_id", "a").withColumnRenamed("signature", "sig_a"), "a")
-    tried = stored(one.mapInArrow(_agreeing(least), "a long, b long"), "minhash-hubs")
-    linked = confirmed(tried, "minhash-links")
-    # Equal ids with unequal texts have several heads; they are one node.
-    linked = linked.unionByName(nodes.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
-
-    first = stored(connected_components(linked), "minhash-first")
-    placed = members.join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    several = F.min("component") != F.max("component")
-    sizes = stored(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several"), "minhash-several")
-    signed_heads = signatures.select("node", "signature")
-    rest = placed.join(sizes.select("bucket"), "bucket", "left_semi").join(signed_heads, "node")
-    forest = dealt_to_cells(rest, sizes, "bucket", "node", cell_rows).mapInArrow(_agreeing_in_cells(least), "a long, b long")
-    forest = stored(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-forest")
-    linked = linked.unionByName(confirmed(forest.join(tried, ["a", "b"], "left_anti"), "minhash-forest-links"))
-
-    second = stored(connected_components(linked), "minhash-second")
-    clusters = connected_components(tried.unionByName(forest)).withColumnRenamed("component", "cluster")
-    clustered = clusters.join(second, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
-    sizes = stored(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several"), "minhash-clusters")
-    rest = clustered.join(sizes.select("cluster"), "cluster", "left_semi").join(signed_heads, "node").join(texts.withColumnRenamed("_id", "node"), "node")
-    joining = dealt_to_cells(rest, sizes, "cluster", "node", cell_rows // 4, 4096).mapInArrow(_joining_in_cells(least, width, percent), "a long, b long")
-    final = connected_components(linked.unionByName(stored(joining, "minhash-joining")))
-    out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    nodes, linked = _links(full, width, percent, bands, rows, cell_rows)
+    # Nodes that share an id are linked, each with the least of them.
+    owned = stored(full.select("row", "doc_id").join(nodes, "row").select("doc_id", "node"), "minhash-owned")
+    several = owned.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    same = owned.join(several.drop("high"), "doc_id").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    groups = stored(connected_components(linked.unionByName(same)), "minhash-groups")
+    # The least id of each group, then of each node: ids are aggregated before they meet a large group.
+    least = owned.groupBy("node").agg(F.min("doc_id").alias("id"))
+    least = stored(least.join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "minhash-least")
+    named = least.groupBy("component").agg(F.min("id").alias("component_id"))
+    names = least.where("node <> component").select("node", "component").join(named, "component").select("node", "component_id")
+    names = names.unionByName(named.select(F.col("component").alias("node"), "component_id"))
+    names = owned.join(names, "node").select("doc_id", "component_id").distinct()
+    known = signed.where("doc_id is not null").select("doc_id", "n_shingles").join(names, "doc_id", "left")
+    known = known.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = known.unionByName(signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that near-duplicate detection keeps: one document of each group.
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows: int = 1024, seed: int = 11) -> DataFrame:
+    """The rows of ``docs``, with all their columns, one of each group of near-duplicate texts.
 
-    Of rows that repeat an id one stays; rows with a null id all stay.
+    Groups are of texts, whatever their ids: of rows that repeat an id with unlike texts each may stay, of equal rows one
+    does. The row of the least id stays, null ids last; of several the one of the least hash of all columns. Rows
+    without words all stay. Columns may have any names; an empty table gives no rows.
     """
-    kept = near_documents(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    id_ = inner[docs.columns.index("doc_id")]
+    bands, rows = banding(percent / 100)
+    signed = _signed(docs.toDF(*inner), width, bands, rows, seed)
+    full = signed.where("n_shingles > 0")
+    nodes, linked = _links(full, width, percent, bands, rows, cell_rows)
+    groups = stored(connected_components(linked), "minhash-groups")
+    rank = F.struct(F.col(id_).isNull(), F.col(id_), F.xxhash64(*inner), "row")
+    first = full.select("row", rank.alias("rank")).join(nodes, "row").groupBy("node").agg(F.min("rank").alias("rank"))
+    first = first.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("rank").alias("rank"))
+    kept = signed.join(stored(first.select("rank.row"), "minhash-kept"), "row", "left_semi")
+    return kept.unionByName(signed.where("n_shingles = 0")).select(*inner).toDF(*docs.columns)

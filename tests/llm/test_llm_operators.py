@@ -191,15 +191,18 @@ def test_maxscore_is_exact(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate((rng.normal(size=(300, 16)), np.round(rng.normal(size=(60, 16)))))
     x[:, 3:6] *= rng.random((360, 3)) < 0.2
-    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(1000, None, 0), (1001, [1.0, float("nan")] + [0.0] * 14, 0), (1002, [None] + [0.0] * 15, 0), (5, [9.0] * 16, 0)]
-    vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).cache()
-    assert vectors.count() == 360
-    got = rows_of(top_k(vectors, vectors.where("id % 20 = 0"), k=5, shard_rows=90, query_rows=7))
-    v = {r["id"]: np.array(r["v"]) for r in rows_of(vectors)}
-    for q in (i for i in v if i % 20 == 0):
-        want = sorted(((-(v[q] @ v[i]), i) for i in v if i != q))[:5]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(1000, None, 0), (1001, [1.0, float("nan")] + [0.0] * 14, 0), (1002, [None] + [0.0] * 15, 0), (None, [1.0] * 16, 0)]
+    # Repeated ids stay, as candidates and as queries; other widths are compared among themselves only.
+    rows += [(5, [9.0] * 16, 0)] * 2 + [(20, [-3.0] * 16, 0), (40, [1.0, 2.0], 0), (41, [3.0, 2.0], 0), (60, [], 0)]
+    vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, width int")).cache()
+    assert vectors.count() == 366
+    got = rows_of(top_k(vectors.withColumn("width", F.lit(1)).withColumn("shard", F.lit(1)), vectors.where("id % 20 = 0"), k=5, shard_rows=90, query_rows=7))
+    all_rows = [(r["id"], np.array(r["v"])) for r in rows_of(vectors)]
+    for q in {i for i, _ in all_rows if i % 20 == 0}:
+        want = sorted((-(v @ w), i) for k, v in all_rows if k == q for i, w in all_rows if i != q and len(v) == len(w))[:5]
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
         assert [(i, -s) for s, i in want] == [(i, s) for _, i, s in mine]
+    assert Counter(r["vec_id"] for r in got)[5] > 2 and 41 in {r["vec_id"] for r in got if r["query_id"] == 40}
     assert len(rows_of(top_k(vectors.where("id < 3"), vectors.where("id = 0"), k=5))) == 2
     assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
@@ -319,6 +322,23 @@ def test_near_documents_against_brute_force(spark, corpus, width, percent):
     assert near_documents(df.limit(0)).count() == 0
 
 
+def test_near_documents_of_one_id_with_two_texts(spark, words):
+    from grovewise.llm.minhash import distinct_documents, near_documents
+
+    rnd = random.Random(9)
+    a, b, c = ([rnd.choice(words) for _ in range(60)] for _ in range(3))
+    near = lambda ws: " ".join([*ws[:-1], "changed"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, None), (9, near(a)), (10, near(b)), (12, " ".join(c)), (None, " ".join(c)), (None, " ".join(c)), (13, "")]
+    docs = spark.createDataFrame([(x, t, 1, 2) for x, t in rows], "doc_id long, text string, row int, bands int")
+    for n in (1, 7):  # whatever the partitions
+        got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near_documents(docs.repartition(n)).collect())
+        assert got == [(0, 56, None, True), (0, 56, None, True), (5, 0, 5, True), (5, 56, 5, True), (5, 56, 5, True), (9, 56, 5, False), (10, 56, 5, False), (12, 56, 12, True), (13, 0, 13, True)]
+        kept = distinct_documents(docs.repartition(n))
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[1], rows[2], rows[5], rows[8]], key=str)
+    assert distinct_documents(docs.limit(0)).count() == 0
+
+
 def test_large_group_of_near_copies_is_one_component_without_all_pairs(spark, words):
     from grovewise.llm.minhash import near_documents
 
