@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grovewise.llm.common import stored
 
 
-#: Nodes with at least this share of all edge ends are hubs; hence at most so many are broadcast.
+#: A node with this share of all edge ends, and so many at least, is a hub; hence at most so many are broadcast.
 HUBS = 1000
 
 
@@ -16,27 +16,28 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _with_least(pairs: DataFrame, least: DataFrame, n_pairs: int) -> DataFrame:
-    """``pairs`` with their node's ``m``; hubs are looked up by a broadcast of HUBS rows at most, so that the pairs of
-    one hub needn't meet in a task."""
-    hub = F.col("degree") >= max(HUBS, -(-n_pairs // HUBS))
+def _with_least(pairs: DataFrame, least: DataFrame, hub_degree: int | None) -> DataFrame:
+    """``pairs`` with their node's ``m``; hubs, if there are any, are looked up by a broadcast of HUBS rows at most, so
+    that the pairs of one hub needn't meet in a task."""
+    if hub_degree is None:
+        return pairs.join(least.select("a", "m"), "a")
+    hub = F.col("degree") >= hub_degree
     hubs = F.broadcast(least.where(hub).select("a", "m"))
-    some = pairs.join(hubs, "a")
-    return some.unionByName(pairs.join(hubs.select("a"), "a", "left_anti").join(least.where(~hub).select("a", "m"), "a"))
+    return pairs.join(hubs, "a").unionByName(pairs.join(hubs.select("a"), "a", "left_anti").join(least.where(~hub).select("a", "m"), "a"))
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, hub_degree: int | None) -> DataFrame:
     """Every node links its larger neighbours to its least neighbour (itself included)."""
     pairs = _both_ways(edges)
     least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("a", "m"))
-    return _with_least(pairs, least, 2 * n).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(pairs, least, hub_degree).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    """Every node links its smaller neighbours, and itself, to the least of them."""
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node links its smaller neighbours, and itself, to the least of them; few remain after a large star."""
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
-    moved = _with_least(pairs, least, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
+    moved = pairs.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -50,11 +51,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
     for _ in range(max_rounds):
-        # Unchanged edges have an unchanged sum of hashes; sums are exact and don't depend on order.
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+        # Unchanged edges have an unchanged sum of hashes; sums are exact and don't depend on order. Edges point at the
+        # smaller node, so hubs show as ends.
+        ends = now.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        n, hash_, most = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.max("n")).first()
+        if (n, hash_) == before or not n:
             break
-        before, now = mark, stored(_small_star(_large_star(now, mark[0]), mark[0]), "components")
+        hub_degree = max(HUBS, -(-2 * n // HUBS))
+        before, now = (n, hash_), stored(_small_star(_large_star(now, hub_degree if most >= hub_degree else None)), "components")
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

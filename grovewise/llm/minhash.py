@@ -167,14 +167,15 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> Da
     return stored(signed.withColumn("row", F.monotonically_increasing_id()), "minhash-signed")
 
 
-def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """((row, node), links (a, b) between nodes) of signed rows with shingles: a node is the first row of a set."""
+def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((row, node), links (a, b) between nodes, (node, component)) of signed rows with shingles: a node is the first row
+    of a set."""
     least = max(0.0, percent / 100 - 4.5 * sqrt(percent / 100 * (1 - percent / 100) / (bands * rows)))
     keys = ["n_shingles", "key_a", "key_b"]
     heads = full.groupBy(*keys).agg(F.min("row").alias("node"))
     nodes = stored(full.select("row", *keys).join(heads, keys).select("row", "node"), "minhash-nodes")
     filed = full.select(F.col("row").alias("node"), "bands").join(nodes.where("row = node").select("node"), "node", "left_semi")
-    filed = stored(filed.select("node", F.explode("bands").alias("bucket")), "minhash-filed")
+    filed = filed.select("node", F.explode("bands").alias("bucket"))
     buckets = filed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     members = stored(filed.join(buckets, "bucket"), "minhash-members")
     payload = full.select(F.col("row").alias("node"), "signature", "text")
@@ -182,7 +183,9 @@ def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cel
     def compared(pairs_: DataFrame, name: str) -> DataFrame:
         """(a, b, good) of the pairs whose signatures agree."""
         pairs_ = stored(pairs_.select("a", "b").distinct(), f"{name}-pairs")
-        n = max(1, -(-pairs_.count() // PART_PAIRS))
+        n = -(-pairs_.count() // PART_PAIRS)
+        if not n:
+            return pairs_.withColumn("good", F.lit(True))
         pairs_ = stored(pairs_.repartitionByRange(n, "a", "b").select(F.spark_partition_id().alias("part"), "a", "b"), f"{name}-parts")
         ends = pairs_.select("part", "a", F.col("b").alias("node"), F.lit(False).alias("hub"))
         ends = ends.unionByName(pairs_.select("part", "a").distinct().select("part", "a", F.col("a").alias("node"), F.lit(True).alias("hub")))
@@ -199,16 +202,25 @@ def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cel
     rest = stored(placed.join(sizes.select("bucket"), "bucket", "left_semi"), "minhash-rest").join(payload.drop("text"), "node")
     forest = dealt_to_cells(rest, sizes, "bucket", "node", cell_rows).mapInArrow(_agreeing_in_cells(least), "a long, b long")
     forest = stored(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-forest")
-    linked = linked.unionByName(compared(forest.join(tried, ["a", "b"], "left_anti"), "minhash-forest-links").where("good").select("a", "b"))
-
-    second = stored(connected_components(linked), "minhash-second")
+    more = compared(forest.join(tried, ["a", "b"], "left_anti"), "minhash-forest-links").where("good").select("a", "b")
+    second = first
+    if not more.isEmpty():
+        linked = linked.unionByName(more)
+        second = stored(connected_components(linked), "minhash-second")
     clusters = connected_components(tried.select("a", "b").unionByName(forest)).withColumnRenamed("component", "cluster")
     clustered = stored(clusters.join(second, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component")), "minhash-clustered")
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several")
-    rest = stored(clustered.join(sizes.select("cluster"), "cluster", "left_semi"), "minhash-unjoined").join(payload, "node")
+    rest = stored(clustered.join(sizes.select("cluster"), "cluster", "left_semi"), "minhash-unjoined")
+    if rest.isEmpty():
+        return nodes, linked, second
+    rest = rest.join(payload, "node")
     sizes = stored(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")), "minhash-clusters")
     joining = dealt_to_cells(rest, sizes, "cluster", "node", cell_rows // 4, 4096, cell_bytes=CELL_BYTES).mapInArrow(_joining_in_cells(least, width, percent), "a long, b long")
-    return nodes, linked.unionByName(stored(joining, "minhash-joining"))
+    joining = stored(joining, "minhash-joining")
+    if joining.isEmpty():
+        return nodes, linked, second
+    linked = linked.unionByName(joining)
+    return nodes, linked, stored(connected_components(linked), "minhash-groups")
 
 
 def near_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows: int = 1024, seed: int = 11) -> DataFrame:
@@ -223,12 +235,13 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows
     bands, rows = banding(percent / 100)
     signed = _signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width, bands, rows, seed)
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes, linked = _links(full, width, percent, bands, rows, cell_rows)
+    nodes, linked, groups = _links(full, width, percent, bands, rows, cell_rows)
     # Nodes that share an id are linked, each with the least of them.
     owned = stored(full.select("row", "doc_id").join(nodes, "row").select("doc_id", "node"), "minhash-owned")
     several = owned.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     same = owned.join(several.drop("high"), "doc_id").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    groups = stored(connected_components(linked.unionByName(same)), "minhash-groups")
+    same = stored(same, "minhash-same")
+    groups = groups if same.isEmpty() else stored(connected_components(linked.unionByName(same)), "minhash-same-groups")
     # The least id of each group, then of each node: ids are aggregated before they meet a large group.
     least = owned.groupBy("node").agg(F.min("doc_id").alias("id"))
     least = stored(least.join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "minhash-least")
@@ -254,8 +267,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_
     bands, rows = banding(percent / 100)
     signed = _signed(docs.toDF(*inner), width, bands, rows, seed)
     full = signed.where("n_shingles > 0")
-    nodes, linked = _links(full, width, percent, bands, rows, cell_rows)
-    groups = stored(connected_components(linked), "minhash-groups")
+    nodes, _, groups = _links(full, width, percent, bands, rows, cell_rows)
     rank = F.struct(F.col(id_).isNull(), F.col(id_), F.xxhash64(*inner), "row")
     first = full.select("row", rank.alias("rank")).join(nodes, "row").groupBy("node").agg(F.min("rank").alias("rank"))
     first = first.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("rank").alias("rank"))
