@@ -21,13 +21,13 @@ def held_out(doc_id):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
     """(doc_id, text, y) of about ``rows`` labelled documents outside the held-out fold, drawn by a hash of the id.
 
-    Of several labels of one id the greatest counts. The drawn ids are few, hence broadcast; the texts are stored, so
+    Of several labels of one id the greatest counts; labels other than 0 and 1 don't count. The drawn ids are few, hence broadcast; the texts are stored, so
     that the fit reads ``docs`` once.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) < int(share * (1 << 52)))
     return stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id"), f"{label}-sample")
 
 

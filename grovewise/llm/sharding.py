@@ -1,9 +1,9 @@
 """Sharding: best-fit-decreasing packing of indivisible groups (rows of equal text) into shards of one capacity.
 
 Groups of one size are interchangeable, so the packing runs on the histogram of group sizes: all groups of a size enter
-the tightest bin together as long as they fit, which is what entering one by one would do. Sizes of 2**16 and more are
-rounded up to 16 significant bits, so the histogram has at most 2**16 + 2**15 * 47 rows however many groups there are;
-only it reaches the driver. Runs of groups go back to the rows by their rank within the size, counted in two levels so
+the tightest bin together as long as they fit, which is what entering one by one would do. Sizes enter the packing with
+16 significant bits, rounded up, at most 1 / 32768 too large, so the histogram has at most 2**16 + 2**15 * 47 rows
+however many groups there are; only it reaches the driver. No bin is filled above its capacity for that. Runs of groups go back to the rows by their rank within the size, counted in two levels so
 that a size of very many groups doesn't meet in one task.
 """
 
@@ -91,9 +91,11 @@ def best_fit_decreasing(sizes: Iterable[tuple[int, int]], capacity: int, bins: i
 
 
 def even_capacity(sizes: list[tuple[int, int]], bins: int) -> list[Run]:
-    """Best fit decreasing into exactly ``bins`` bins of the least capacity that holds all.
+    """Best fit decreasing into exactly ``bins`` bins of the least capacity that a bisection finds to hold all.
 
-    Groups larger than an even share take a bin each, first; the others share the remaining bins.
+    Groups larger than an even share take a bin each, first; the others share the remaining bins. The bisection ends at
+    a byte, or at a millionth of the capacity; as best fit may fail above a capacity at which it does, no search short
+    of trying all finds the very least.
     """
     left, own, runs = sorted(sizes, reverse=True), 0, []
     while left and own < bins - 1:
@@ -112,11 +114,9 @@ def even_capacity(sizes: list[tuple[int, int]], bins: int) -> list[Run]:
         high = low + slack
         found = best_fit_decreasing(left, high, n)
         slack = slack * 2 or max(1, low >> 14)
-    floor = low + (slack // 4 if high > low else 0)
-    for _ in range(4):
+    floor = low - 1
+    while high - floor > max(1, high >> 20):
         middle = (floor + high) // 2
-        if middle <= floor or high == low:
-            break
         if closer := best_fit_decreasing(left, middle, n):
             found, high = closer, middle
         else:
@@ -134,7 +134,7 @@ def _class(size):
 def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | None = None) -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot) of ``docs``: equal texts share a shard.
 
-    With ``shards``, all bins exist and the capacity is the least that does; with ``capacity``, as few bins as best fit
+    With ``shards``, all bins exist and the capacity is the least that bisection finds (``even_capacity``); with ``capacity``, as few bins as best fit
     needs. Size is the UTF-8 bytes of the text plus 8. Null texts form one group of size 8 each row, apart from empty
     texts; their crc is null. Repeated rows count each. Slots number a shard's rows from 0 in an order that depends on
     keys and ids only. An empty table gives no rows. Other columns are ignored.

@@ -4,7 +4,8 @@ Folding lower-cases, undoes compatibility forms, drops invisible characters, map
 digits and symbols inside words to the letters they stand for; ``l``, ``i`` and ``1`` become one letter. The lexicon is
 learned from labelled texts folded alike: whole words and word beginnings that toxic texts use in too many different
 contexts for chance. Contexts (previous words) are counted instead of texts, so that copies of one text count once.
-Hits inside exception phrases don't count. The score is logistic in the hits' weight, absolute and by length.
+Hits inside exception phrases don't count: two-word phrases of clean texts that hold a term, come in several contexts and
+never in a toxic text are learned as such, and more can be given. The score is logistic in the hits' weight, absolute and by length.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import log
 
 import numpy as np
@@ -72,16 +73,8 @@ class Lexicon:
         return found if entries else None
 
 
-def weigh(matcher, text: str) -> tuple[float, int]:
-    """(summed weight of the distinct terms hit, number of words).
-
-    A word counts for its heaviest term, unless an exception phrase covers it; a term that comes again adds half its
-    weight once more, so one repeated line isn't mistaken for much evidence.
-    """
-    folded = fold(text)
-    n_words = folded.count(" ") + folded.count("\n") + 1
-    if matcher is None:
-        return 0.0, n_words
+def _hits(matcher, folded: str) -> dict[int, tuple[int, float, str]]:
+    """By its start: end, weight and text of the heaviest term there that no exception phrase covers."""
     hits: dict[int, tuple[int, float, str]] = {}
     excused: list[tuple[int, int]] = []
     for last, (size, meanings) in matcher.iter(folded):
@@ -96,11 +89,41 @@ def weigh(matcher, text: str) -> tuple[float, int]:
                 hits[start] = max(hits.get(start, (0, 0.0, "")), (end, weight, folded[start:end]), key=lambda h: h[1])
     if excused:
         hits = {s: h for s, h in hits.items() if not any(a <= s and h[0] <= b for a, b in excused)}
+    return hits
+
+
+def weigh(matcher, text: str) -> tuple[float, int]:
+    """(summed weight of the distinct terms hit, number of words).
+
+    A word counts for its heaviest term, unless an exception phrase covers it; a term that comes again adds half its
+    weight once more, so one repeated line isn't mistaken for much evidence.
+    """
+    folded = fold(text)
+    n_words = folded.count(" ") + folded.count("\n") + 1
+    if matcher is None:
+        return 0.0, n_words
+    hits = _hits(matcher, folded)
     times = Counter(term for _, _, term in hits.values())
     weights = {term: w for _, w, term in hits.values()}
     return sum(w * (1.0 + 0.5 * (times[t] > 1)) for t, w in weights.items()), n_words
 
 
+def phrases_of(matcher, text: str) -> Iterator[tuple[str, str]]:
+    """(phrase, context) of each hit with the word before it and with the one after, one space apart; the context is the
+    word on the other side of the phrase."""
+    folded = fold(text)
+    hits = _hits(matcher, folded) if matcher is not None else {}
+    if not hits:
+        return
+    words = [(m.start(), m.end()) for m in WORDS.finditer(folded)]
+    word = lambda i: folded[slice(*words[i])] if 0 <= i < len(words) else ""
+    for i, (start, _) in enumerate(words):
+        if start in hits:
+            for a, b, other in ((i - 1, i, i + 1), (i, i + 1, i - 1)):
+                if a >= 0 and b < len(words) and folded[words[a][1] : words[b][0]] == " ":
+                    yield f"{word(a)} {word(b)}", word(other)
+
+
 def _features(lexicon: Lexicon, labelled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
@@ -164,6 +187,28 @@ def learn_lexicon(sample: DataFrame, exceptions: Iterable[str] = (), certainty:
     return Lexicon(words, stems, tuple(exceptions))
 
 
+def _phrases(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = lexicon.matcher()
+        for part in (p for b in batches for p in text_slices(b, "text")):
+            found = {(p, c, y) for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True) for p, c in phrases_of(matcher, text)}
+            columns = list(zip(*found, strict=True)) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["phrase", "context", "y"])
+
+    return run
+
+
+def learn_exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 3) -> tuple[str, ...]:
+    """Phrases with a term of ``lexicon`` that come in at least ``least`` contexts of clean texts and in no toxic text.
+
+    What is collected is bounded by the sample.
+    """
+    seen = sample.select("text", "y").mapInArrow(_phrases(lexicon), "phrase string, context string, y int").distinct()
+    clean, toxic = (F.count(F.when(F.col("y") == y, F.lit(1))).alias(name) for y, name in ((0, "clean"), (1, "toxic")))
+    found = seen.groupBy("phrase").agg(clean, toxic).where((F.col("clean") >= least) & (F.col("toxic") == 0))
+    return tuple(sorted(r["phrase"] for r in found.select("phrase").collect()))
+
+
 def _score(lexicon: Lexicon, weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     b, w, d = lexicon.coefficients
     return 1 / (1 + np.exp(-(b + _inputs(weight, words) @ np.array([w, d]))))
@@ -174,8 +219,9 @@ def _inputs(weight, words):
 
 
 def fit(sample: DataFrame, exceptions: Iterable[str] = ()) -> Lexicon:
-    """The lexicon of a labelled sample with the coefficients of its score."""
+    """The lexicon of a labelled sample, with the given and the learned exceptions and the coefficients of its score."""
     lexicon = learn_lexicon(sample, exceptions)
+    lexicon = replace(lexicon, exceptions=(*lexicon.exceptions, *learn_exceptions(sample, lexicon)))
     rows = sample.mapInArrow(_features(lexicon, True), FEATURES).select("y", "weight", "words").toPandas()
     if rows["y"].nunique() < 2:
         return lexicon
@@ -197,13 +243,23 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) ->
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
-    """Fit on ``labels.toxic`` outside the held-out fold and score every row of ``docs``."""
+    """(doc_id, score, predicted, weight, held_out) for every row of ``docs``, fitted on ``labels.toxic`` outside the
+    held-out fold; labels other than 0 and 1 are ignored.
+
+    Null and empty texts are scored as texts without hits; rows with a null id are scored and not held out; repeated
+    rows are scored each. Without labels of both kinds nothing is toxic. An empty table gives no rows; other columns
+    are ignored.
+    """
     lexicon = fit(labelled_sample(docs, labels, "toxic", rows))
     return score_toxicity(docs, lexicon, threshold).withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose toxicity score stays below ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose toxicity score stays below ``threshold``, with all their columns, of any name.
+
+    Fitted and scored as by ``toxicity``: null and empty texts and rows with a null id stay unless they score so high,
+    repeated rows are judged alike, an empty table gives no rows.
+    """
     lexicon = fit(labelled_sample(docs, labels, "toxic", rows))
     at = docs.columns.index("text")
 

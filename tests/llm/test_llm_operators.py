@@ -59,6 +59,24 @@ def test_statistics_of_odd_texts():
     assert x[4, STATS.index("pipe")] == 2 and x[4, STATS.index("bang")] == 2
 
 
+@given(st.lists(st.text(alphabet="aAbB9 é\t\n|!.,#'", max_size=50), min_size=1, max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_statistics_equal_plain_counts(texts):
+    from grovewise.llm.quality import CLASSES, STATS, statistics
+
+    x = statistics(pa.array(texts))
+    for text, row in zip(texts, x, strict=True):
+        raw = text.encode()
+        ws = [w for w in __import__("re").split(rb"[\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in raw)) if w]
+        n, size, c = max(len(ws), 1), max(len(raw), 1), {k: sum(b in v for b in raw) for k, v in CLASSES.items()}
+        letters = max(c["upper"] + c["lower"] + c["high"] // 2, 1)
+        want = {
+            "n_words": len(ws), "word_bytes": len(raw) / n, "upper": c["upper"] / letters, "digit": c["digit"] / size, "high": c["high"] / size, "distinct": len(set(ws)) / n,
+            "repeated": sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / n, "common": max(Counter(ws).values(), default=0) / n,
+        } | {k: c[k] / n for k in ("mark", "pipe", "bang", "stop", "comma", "line", "quote")}
+        assert np.allclose(row, [want[s] for s in STATS])
+
+
 def test_rules_learn_a_conjunction_and_compile_to_the_same_scores(spark):
     from grovewise.llm.quality import STATS, fit_rules, holds
 
@@ -113,6 +131,66 @@ def test_lexicon_matches_words_stems_and_exceptions():
     assert weigh(Lexicon({}, {}).matcher(), "scum")[0] == 0.0
 
 
+def test_exception_phrases_are_learned_and_change_scores(spark, words):
+    from grovewise.llm.toxicity import fit, learn_exceptions, score_toxicity
+
+    rnd, docs = random.Random(18), []
+    for i in range(600):
+        ws = [rnd.choice(words) for _ in range(30)]
+        if i % 3 == 0:
+            for k in (3, 17, 26):
+                ws[k] = rnd.choice(("vermin", "dolt"))
+        elif i % 20 == 1:
+            ws[9:11] = ["vermin", "control"]
+        docs.append((i, " ".join(ws), int(i % 3 == 0)))
+    sample = spark.createDataFrame(docs, "doc_id long, text string, y int")
+    lexicon = fit(sample)
+    assert "vermin" in lexicon.words and set(lexicon.exceptions) == {"vermin contro" + "i"}
+    new = spark.createDataFrame([(1, "call V3rmin control on monday"), (2, "call vermin on monday")], "doc_id long, text string")
+    weight = {r["doc_id"]: r["weight"] for r in rows_of(score_toxicity(new, lexicon))}
+    assert weight[1] == 0 and weight[2] > 0
+    # The phrases equal a plain count of the neighbours of each hit.
+    seen = defaultdict(lambda: (set(), set()))
+    for _, text, y in docs:
+        ws = ["", *text.replace("l", "i").replace("1", "i").split(), ""]
+        for k in range(1, len(ws) - 1):
+            if any(ws[k] == w for w in lexicon.words) or any(ws[k].startswith(w) for w in lexicon.stems):
+                if k > 1:
+                    seen[ws[k - 1] + " " + ws[k]][y].add(ws[k + 1])
+                if k < len(ws) - 2:
+                    seen[ws[k] + " " + ws[k + 1]][y].add(ws[k - 1])
+    bare = type(lexicon)(lexicon.words, lexicon.stems)
+    assert learn_exceptions(sample, bare, 1) == tuple(sorted(p for p, (clean, toxic) in seen.items() if clean and not toxic))
+
+
+@given(st.lists(st.sampled_from(["scum", "clown", "clown fish", "idiots", "a", "fish", "scum.", "xclown", "idio"]), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_matching_equals_a_plain_scan(ws):
+    from grovewise.llm.toxicity import Lexicon, fold, weigh
+
+    lexicon = Lexicon({"scum": 2.0, "clown": 1.0}, {"idio": 3.0}, ("clown fish",))
+    text = fold(" ".join(ws))
+    covered = {k for k in range(len(text)) if text[k:].startswith("ciown fish".replace("ci", fold("cl"))) and text[k + 10 : k + 11] in ("", " ", ".") and text[k - 1 : k] in ("", " ")}
+    found = Counter()
+    for m in __import__("re").finditer(r"\w+", text):
+        if m.start() in covered:
+            continue
+        for term, w in ((fold("scum"), 2.0), (fold("clown"), 1.0)):
+            if m.group() == term:
+                found[term, w] += 1
+        if m.group().startswith(fold("idio")):
+            found[fold("idio"), 3.0] += 1
+    assert abs(weigh(lexicon.matcher(), " ".join(ws))[0] - sum(w * (1.5 if n > 1 else 1.0) for (_, w), n in found.items())) < 1e-9
+
+
+def test_odd_labels_are_ignored(spark, corpus):
+    from grovewise.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame(corpus, DOCS)
+    labels = spark.createDataFrame([(d[0], (0, 1, 2, None)[i % 4]) for i, d in enumerate(corpus)], "doc_id long, toxic int")
+    assert {r["y"] for r in rows_of(labelled_sample(docs, labels, "toxic"))} == {0, 1}
+
+
 def test_toxicity_learns_and_catches_disguises(spark, words):
     from grovewise.llm.toxicity import clean_documents, fit, score_toxicity, toxicity
     from grovewise.llm.labelled import labelled_sample
@@ -160,6 +238,21 @@ def test_best_fit_decreasing_is_the_one_by_one_packing(sizes):
     assert sorted(left.values()) == sorted(plain)
 
 
+@given(st.lists(st.integers(1, 200), min_size=6, max_size=40), st.integers(2, 5))
+@settings(max_examples=40, deadline=None)
+def test_even_capacity_places_every_group_and_is_near_the_least(sizes, bins):
+    from grovewise.llm.sharding import best_fit_decreasing, even_capacity
+
+    runs = even_capacity(list(Counter(sizes).items()), bins)
+    loads, ranks = Counter(), defaultdict(list)
+    for size, a, b, bin_ in runs:
+        loads[bin_] += size * (b - a)
+        ranks[size] += range(a, b)
+    assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in Counter(sizes).items()} and set(loads) <= set(range(bins))
+    least = next(c for c in range(max(max(sizes), -(-sum(sizes) // bins)), sum(sizes) + 1) if best_fit_decreasing(Counter(sizes).items(), c, bins))
+    assert max(loads.values()) <= max(least, max(sizes)) * 1.1
+
+
 def test_shards_are_even_gapless_and_keep_equal_texts_together(spark, corpus):
     from grovewise.llm.sharding import shard_documents
 
