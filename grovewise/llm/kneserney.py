@@ -31,6 +31,7 @@ from grovewise.llm.shingles import mixed, words_of
 END = np.uint64(0x9D39247E33776D41)  # the hash that stands for the end of a text
 RUN_WORDS = 3_000_000  # words that a counting task holds
 RUNS = "part int, kind int, keys binary, counts binary"
+FAN_IN = 32  # runs that a task merges
 U32 = np.uint64(32)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -252,7 +253,7 @@ def _merge_bigrams(words: Words):
                 held = []
         keys, counts = merged(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
         save(words.uri, f"pairs-{part}", keys)
-        save(words.uri, f"times-{part}", np.minimum(counts, LOW).astype(np.uint32))
+        save(words.uri, f"times-{part}", counts.astype(np.uint32) if not len(counts) or counts.max() <= LOW else counts)
         often = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)
         rows = [(-1, 0, b"", pack(often))]
         bounds = np.array(words.first)
@@ -265,6 +266,22 @@ def _merge_bigrams(words: Words):
     return run
 
 
+def _merge_runs(table: pa.Table) -> pa.Table:
+    """Some of a word part's runs of one kind as one run."""
+    part, kind = (table.column(k)[0].as_py() for k in ("part", "kind"))
+    keys, counts = zip(*(read_run(k.as_py(), c.as_py()) for k, c in zip(table.column("keys"), table.column("counts"), strict=True)), strict=True)
+    return pa.Table.from_batches([batch_of([run_row(part, kind, *merged(np.concatenate(keys), np.concatenate(counts)))])])
+
+
+def _few_runs(runs: DataFrame, n_each: int) -> DataFrame:
+    """``runs``, of which a part and kind has up to ``n_each``, merged until it has few, so that no task gets them all."""
+    while n_each > 2 * FAN_IN:
+        slices = -(-n_each // FAN_IN)
+        sliced = runs.withColumn("slice", F.pmod(F.xxhash64("keys", "counts"), F.lit(slices)))
+        runs, n_each = stored(sliced.groupBy("part", "kind", "slice").applyInArrow(_merge_runs, RUNS), "lm-runs"), slices
+    return runs
+
+
 KINDS = {1: "preceding", 2: "once", 3: "twice", 4: "more"}
 
 
@@ -355,12 +372,15 @@ class Model:
 def train(docs: DataFrame, at_once: int = 512, part_words: int = 8_000_000) -> Model:
     """Count a model of the rows of ``docs`` (text); null texts are empty and count as an end.
 
-    What stays in the driver is a number for each part. At least one row is needed.
+    What stays in the driver is a number for each part. Counts may be any number; 2**32 distinct words or more are an
+    error. A table without rows gives a model that knows no word.
     """
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = stored(texts.mapInArrow(_count_words(at_once), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     v, tokens = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_texts = counted.where(F.col("word") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if v >= LOW:
+        raise ValueError(f"{v} distinct words: bigrams are numbered for fewer than 2**32")
     uri = shared_path(docs.sparkSession, "lm-model")
     bits = max(0, (v // 1_000_000).bit_length())
     sizes = dict(counted.withColumn("part", _signed_part(bits)).groupBy("part").applyInArrow(_write_words(uri), "part int, n long").collect())
@@ -380,7 +400,7 @@ def train(docs: DataFrame, at_once: int = 512, part_words: int = 8_000_000) -> M
     often = np.zeros(6, dtype=np.int64)
     for r in sums.where("part = -1").select("counts").toLocalIterator():
         often += unpack(bytes(r["counts"]), 6).astype(np.int64)
-    before = sums.where("part >= 0").groupBy("part").applyInArrow(_write_sums(words), "part int, k int, n long")
+    before = _few_runs(sums.where("part >= 0"), parts).groupBy("part").applyInArrow(_write_sums(words), "part int, k int, n long")
     before = dict(before.groupBy("k").agg(F.sum("n")).collect())
     preceding = tuple(int(before.get(k, 0)) for k in range(1, 6))
     return Model(words, tuple(int(x) for x in hot), parts, int(n_texts), int(tokens), int(often.sum()), preceding, discounts(list(preceding)), discounts(list(often[1:5])))

@@ -6,8 +6,7 @@ pair within one component needs no check:
 
 1. each bucket's least class is compared with its other members; these pairs are sorted into parts of equal size, so a
    class that leads large buckets is compared in many tasks, and its text comes once to each;
-2. of a bucket that this leaves in several components, the candidate pairs across them are reduced to a spanning forest,
-   which is checked;
+2. of a bucket that this leaves in several components, the candidate pairs across them are reduced to a spanning forest;
 3. candidates of both steps form clusters. Where a cluster still has several components, all its pairs across them are
    compared within cells, which return the links that join components.
 
@@ -178,7 +177,9 @@ def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cel
     filed = filed.select("node", F.explode("bands").alias("bucket"))
     buckets = filed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     members = stored(filed.join(buckets, "bucket"), "minhash-members")
-    payload = full.select(F.col("row").alias("node"), "signature", "text")
+    # Texts and signatures of what shares a bucket, shuffled once; most joins after it need a part of them.
+    payload = full.select(F.col("row").alias("node"), "signature", "text").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    payload = stored(payload, "minhash-payload")
 
     def compared(pairs_: DataFrame, name: str) -> DataFrame:
         """(a, b, good) of the pairs whose signatures agree."""
@@ -202,25 +203,21 @@ def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cel
     rest = stored(placed.join(sizes.select("bucket"), "bucket", "left_semi"), "minhash-rest").join(payload.drop("text"), "node")
     forest = dealt_to_cells(rest, sizes, "bucket", "node", cell_rows).mapInArrow(_agreeing_in_cells(least), "a long, b long")
     forest = stored(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-forest")
-    more = compared(forest.join(tried, ["a", "b"], "left_anti"), "minhash-forest-links").where("good").select("a", "b")
-    second = first
-    if not more.isEmpty():
-        linked = linked.unionByName(more)
-        second = stored(connected_components(linked), "minhash-second")
     clusters = connected_components(tried.select("a", "b").unionByName(forest)).withColumnRenamed("component", "cluster")
-    clustered = stored(clusters.join(second, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component")), "minhash-clustered")
+    clustered = stored(clusters.join(first, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component")), "minhash-clustered")
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), several.alias("several")).where("several").drop("several")
     rest = stored(clustered.join(sizes.select("cluster"), "cluster", "left_semi"), "minhash-unjoined")
     if rest.isEmpty():
-        return nodes, linked, second
+        return nodes, linked, first
     rest = rest.join(payload, "node")
     sizes = stored(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")), "minhash-clusters")
     joining = dealt_to_cells(rest, sizes, "cluster", "node", cell_rows // 4, 4096, cell_bytes=CELL_BYTES).mapInArrow(_joining_in_cells(least, width, percent), "a long, b long")
     joining = stored(joining, "minhash-joining")
     if joining.isEmpty():
-        return nodes, linked, second
-    linked = linked.unionByName(joining)
-    return nodes, linked, stored(connected_components(linked), "minhash-groups")
+        return nodes, linked, first
+    # Stars in place of all links: the components found so far, and what joins them.
+    stars = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return nodes, linked.unionByName(joining), stored(connected_components(stars.unionByName(joining)), "minhash-groups")
 
 
 def near_documents(docs: DataFrame, width: int = 5, percent: int = 80, cell_rows: int = 1024, seed: int = 11) -> DataFrame:
