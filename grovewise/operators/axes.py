@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovewise.operators.ordering import ranked_order
 from grovewise.sources.forest import FIELDS
 
 AXES = (
@@ -100,14 +101,36 @@ def lacks(bound: DataFrame, other: DataFrame, on: Column | Sequence[str]) -> Dat
     return bound.join(other, on, "left_anti")
 
 
+def general(bound: DataFrame, left: DataFrame, right: DataFrame, key: str, value: str, op: str) -> DataFrame:
+    """Bindings for which some item of ``left`` (key, value) and some of ``right`` compare by ``op``: existential over both
+    sequences. ``=`` is a semi-join on the value; orders hold if they hold for the extremes, and items differ unless all
+    are one, so these need a minimum and a maximum for each binding. Nothing holds where a side is empty."""
+    if op == "=":
+        hit = left.join(right.select(key, value), [key, value], "left_semi").select(key).distinct()
+        return bound.join(hit, key, "left_semi")
+    ends = lambda rows, low, high: rows.groupBy(key).agg(F.min(value).alias(low), F.max(value).alias(high))
+    holds = {
+        "!=": "not (_a = _b and _c = _d and _a = _c)", "<": "_a < _d", "<=": "_a <= _d", ">": "_b > _c", ">=": "_b >= _c",
+    }[op]
+    found = ends(left.where(F.col(value).isNotNull()), "_a", "_b").join(ends(right.where(F.col(value).isNotNull()), "_c", "_d"), key).where(holds)
+    return bound.join(found.select(key), key, "left_semi")
+
+
 def every(bound: DataFrame, other: DataFrame, on: Column, holds: Column) -> DataFrame:
     """Bindings all of whose partners satisfy ``holds`` (null counts as false); those without partners do, too."""
     return bound.join(other.where(~F.coalesce(holds, F.lit(False))), on, "left_anti")
 
 
 def document_rank(nodes: DataFrame) -> DataFrame:
-    """Each node's 0-based place in its document."""
-    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1)
+    """Each node's 0-based place in its document. Nodes are ranked within ranges of (document, position), so a document
+    that holds a large part of all nodes is dealt to many tasks."""
+    return ranked_order(nodes, "doc", [F.col("pos")], "id", "rank").withColumn("rank", F.col("rank") - 1)
+
+
+def later_in_document(nodes: DataFrame, into: str = "n_later") -> DataFrame:
+    """How many nodes of its document follow each node: from its rank and the document's size, without comparing pairs."""
+    sizes = nodes.groupBy("doc").agg(F.count(F.lit(1)).alias("_size"))
+    return document_rank(nodes).join(sizes, "doc").withColumn(into, F.col("_size") - 1 - F.col("rank")).drop("_size", "rank")
 
 
 def nearest(bound: DataFrame, nodes: DataFrame, origin: str, attribute: str, into: str = "found") -> DataFrame:

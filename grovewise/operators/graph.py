@@ -14,9 +14,10 @@ def reachable(arcs: DataFrame, start: DataFrame, reverse: bool = False, limit: i
     """(id, depth) of the nodes that ``start`` (id) leads to, itself at depth 0.
 
     Breadth first: each round joins only the newest nodes with the arcs and drops those seen before, so cycles end it.
+    Arcs are stored once; what was seen is stored anew every few rounds, so plans don't grow with the depth.
     """
     frm, to = ("dst", "src") if reverse else ("src", "dst")
-    edges = arcs.select(F.col(frm).alias("id"), F.col(to).alias("next")).distinct()
+    edges = checkpointed(arcs.select(F.col(frm).alias("id"), F.col(to).alias("next")).distinct())
     front = checkpointed(start.select("id").distinct().withColumn("depth", F.lit(0)))
     seen = front
     for depth in range(1, limit + 1):
@@ -25,6 +26,7 @@ def reachable(arcs: DataFrame, start: DataFrame, reverse: bool = False, limit: i
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
+        seen = checkpointed(seen) if depth % 8 == 0 else seen
     raise RuntimeError(f"more than {limit} rounds")
 
 

@@ -1,8 +1,12 @@
 """Declarative rules over a forest, run to a fixpoint with provenance, and maintained when documents change.
 
-A rule is a function from the forest's nodes to bindings: a DataFrame whose ``key`` names each binding, ``refs`` lists the
-ids of the nodes that it rests on, ``docs`` their documents, and whose other columns describe what to insert. Rules say
-which element names they read, so a change elsewhere doesn't run them.
+A rule is a chain of blocks, each binding one more variable to nodes, and an output: a DataFrame whose ``key`` names each
+binding, ``refs`` lists the ids of the nodes that it rests on, ``docs`` their documents, and whose other columns describe
+what to insert. Blocks say which element names they read, so a change elsewhere doesn't run their rule.
+
+Evaluation is by difference: when documents have changed, a rule is evaluated once for each of its blocks with that
+block's nodes taken from these documents only, and only bindings that rest on them are verified. A rule may also be one
+function of all nodes (``bindings``); it is then evaluated in full.
 
 Outputs have deterministic ids, made of rule and key: running again changes nothing, and two runs agree. Each cycle is a
 set of anti-joins against what is known, so only new bindings are written; the loop ends when a cycle adds none.
@@ -10,13 +14,17 @@ set of anti-joins against what is known, so only new bindings are written; the l
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovewise.functions.scalars import md5_base64, sanitize_ascii
+from grovewise.operators.axes import each
 from grovewise.sources.forest import FIELDS
 from grovewise.sources.store import checkpointed
 
@@ -47,6 +55,23 @@ def document_name(text: Column, fallback: Column) -> Column:
     return F.when(name.isNull(), F.concat(fallback, F.lit("xml"))).when(bad, F.raise_error(F.concat(F.lit("bad document name: "), name))).otherwise(name)
 
 
+def _first(bound: DataFrame | None, found: DataFrame) -> DataFrame:
+    if bound is not None:
+        raise ValueError("only a rule's first block may go without a join")
+    return found
+
+
+@dataclass(frozen=True)
+class For:
+    """A block: binds ``var`` to elements of ``name`` (None: any). ``bind`` takes what is bound so far (None at first) and
+    the candidates, a DataFrame of the one variable, and must look at no other nodes. ``target``: outputs go under it."""
+
+    var: str
+    name: str | None
+    bind: Callable[[DataFrame | None, DataFrame], DataFrame] = _first
+    target: bool = False
+
+
 @dataclass(frozen=True)
 class Rule:
     """``reads``: element names whose change can alter the bindings; empty for all."""
@@ -55,6 +80,83 @@ class Rule:
     bindings: Callable[[DataFrame], DataFrame]
     reads: frozenset[str] = frozenset()
     version: str = "1"
+    blocks: tuple[For, ...] = ()
+    output: Callable[[DataFrame], DataFrame] | None = None
+
+
+def rule(id_: str, blocks: Sequence[For], output: Callable[[DataFrame], DataFrame]) -> Rule:
+    """A rule of blocks: what it reads follows from them, its version from their code."""
+    blocks = tuple(blocks)
+    names = [b.name for b in blocks]
+    reads = frozenset() if None in names else frozenset(names)
+    return Rule(id_, lambda nodes: output(_chain(blocks, nodes)), reads, ".".join(stage_marks(blocks, output)), blocks, output)
+
+
+def _chain(blocks: Sequence[For], nodes: DataFrame, at: int | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """The bindings of all blocks; block ``at`` takes its nodes from ``docs`` only."""
+    bound = None
+    for i, b in enumerate(blocks):
+        some = nodes.join(docs, "doc", "left_semi") if i == at else nodes
+        bound = b.bind(bound, each(some, b.var, b.name))
+    return bound
+
+
+def delta(of: Rule, nodes: DataFrame, docs: DataFrame, names: frozenset[str] | None = None) -> DataFrame:
+    """The outputs of bindings that rest on a node of ``docs`` (doc): the union over the blocks of the chains in which
+    that block looks at these documents only. ``names``: element names in them, where known."""
+    some = [i for i, b in enumerate(of.blocks) if names is None or b.name is None or b.name in names]
+    if not of.blocks or not some:
+        return of.bindings(nodes) if not of.blocks else of.bindings(nodes.limit(0))
+    return reduce(DataFrame.unionByName, [of.output(_chain(of.blocks, nodes, i, docs)) for i in some])
+
+
+def _mark(f: Callable) -> str:
+    """A digest of a function's code and of the values that it closes over; functions in it count by their code."""
+
+    def parts(code) -> list:
+        return [code.co_code, code.co_names, [parts(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts]]
+
+    held = [_mark(c.cell_contents) if hasattr(c.cell_contents, "__code__") else repr(c.cell_contents) for c in f.__closure__ or ()]
+    return hashlib.md5(repr([parts(f.__code__), held]).encode()).hexdigest()[:12]
+
+
+def stage_marks(blocks: Sequence[For], output: Callable) -> list[str]:
+    """One mark for each stage: equal marks mean equal blocks, the functions that they use included."""
+    return [hashlib.md5(f"{b.var} {b.name} {b.target} {_mark(b.bind)}".encode()).hexdigest()[:12] for b in blocks] + [_mark(output)]
+
+
+def first_difference(before: Rule, now: Rule) -> int | None:
+    """The first stage in which two forms of a rule differ, None if none does: what earlier stages bind stays valid."""
+    a, b = before.version.split("."), now.version.split(".")
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), None if len(a) == len(b) else min(len(a), len(b)))
+
+
+def nearest_target(blocks: Sequence[For]) -> str:
+    """The variable that outputs go under: the last block's that is a target; other blocks are skipped."""
+    found = [b.var for b in blocks if b.target]
+    if not found:
+        raise ValueError("no block is a target")
+    return found[-1]
+
+
+def dependencies(bound: DataFrame, key: Column, variables: Sequence[str]) -> DataFrame:
+    """(key, doc): the documents of the nodes that each binding's variables hold, which it must be verified against."""
+    docs = F.array_distinct(F.array(*[F.col(v)["doc"] for v in variables]))
+    return bound.select(key.alias("key"), F.explode(docs).alias("doc")).distinct()
+
+
+def serial_ids(rows: DataFrame, parent_key: str, order: str, into: str = "key") -> DataFrame:
+    """Keys for what one binding inserts: the parent's key, with ``-1``, ``-2`` .. only where there are several."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(parent_key))
+    serial = F.row_number().over(Window.partitionBy(parent_key).orderBy(order))
+    return rows.withColumn(into, F.concat(F.col(parent_key), F.when(n > 1, F.concat(F.lit("-"), serial.cast("string"))).otherwise(""), F.lit(".")))
+
+
+def single_roots(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """New documents' roots; a document that would get several is an error."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(doc))
+    error = F.raise_error(F.concat(F.lit("more than one root for document "), F.col(doc))).cast("boolean")
+    return rows.withColumn("_one", F.when(n > 1, error).otherwise(F.lit(True))).where("_one").drop("_one")
 
 
 @dataclass
@@ -89,30 +191,38 @@ def _written(nodes: DataFrame, rows: DataFrame, rule: str) -> tuple[DataFrame, D
     return made.select(*FIELDS), made.select(F.lit(rule).alias("rule"), "key", "refs", "docs", F.col("id").alias("affected"), "checksum")
 
 
-def run(state: State, rules: Sequence[Rule], limit: int = 50) -> State:
+def run(state: State, rules: Sequence[Rule], limit: int = 50, changed: DataFrame | None = None) -> State:
     """Cycles over the rules until one adds nothing; later rules of a cycle see what earlier ones added.
 
-    A rule runs again only when a node of a name that it reads has been added since it ran last.
+    A rule runs again only when a node of a name that it reads has been added since it ran last, and then looks for
+    bindings in the documents of these nodes. ``changed`` (doc): start with these documents in place of all.
     """
-    due = {rule.id for rule in rules}
+    due: dict[str, list[tuple[DataFrame, frozenset[str] | None]] | None] = {r.id: None if changed is None else [(changed, None)] for r in rules}
     for _ in range(limit):
         state.cycles += 1
         if not due:
             return state
-        for rule in rules:
-            if rule.id not in due:
+        for r in rules:
+            if r.id not in due:
                 continue
-            due.discard(rule.id)
-            known = state.mods.where(F.col("rule") == rule.id).select("key")
-            found = _checksum(rule.bindings(state.nodes).dropDuplicates(["key"])).join(known, "key", "left_anti")
-            nodes, mods = _written(state.nodes, found, rule.id)
-            added = {r["name"]: r["count"] for r in nodes.groupBy("name").count().collect()}
+            since = due.pop(r.id)
+            if since is None:
+                bound = r.bindings(state.nodes)
+            else:
+                names = None if any(n is None for _, n in since) else frozenset().union(*(n for _, n in since))
+                bound = delta(r, state.nodes, reduce(DataFrame.unionByName, [d for d, _ in since]).distinct(), names)
+            known = state.mods.where(F.col("rule") == r.id).select("key")
+            found = _checksum(bound.dropDuplicates(["key"])).join(known, "key", "left_anti")
+            nodes, mods = _written(state.nodes, found, r.id)
+            added = {x["name"]: x["count"] for x in nodes.groupBy("name").count().collect()}
             if added:
                 # What was added is stored already: the state is a union of stored tables, without lineage.
                 state.nodes = state.nodes.select(*FIELDS).unionByName(nodes)
                 state.mods = state.mods.unionByName(mods)
                 state.counts["resolved"] += sum(added.values())
-                due |= {r.id for r in rules if not r.reads or r.reads & added.keys()}
+                for x in rules:
+                    if not x.reads or x.reads & added.keys():
+                        due[x.id] = None if x.id in due and due[x.id] is None else [*(due.get(x.id) or []), (nodes.select("doc"), frozenset(added))]
     raise RuntimeError(f"no fixpoint in {limit} cycles")
 
 
@@ -125,7 +235,8 @@ def withdraw(state: State, obsolete: DataFrame, limit: int = 100) -> State:
     front = doomed
     for _ in range(limit):
         roots = front.select(F.col("affected").alias("_top"))
-        inside = state.nodes.select("id", F.explode("path").alias("_top")).join(roots, "_top", "left_semi").select(F.col("id").alias("ref")).distinct()
+        held = state.nodes.join(roots.withColumnRenamed("_top", "id"), "id", "left_semi").select("doc").distinct()
+        inside = state.nodes.join(held, "doc", "left_semi").select("id", F.explode("path").alias("_top")).join(roots, "_top", "left_semi").select(F.col("id").alias("ref")).distinct()
         resting = state.mods.select("rule", "key", "affected", F.explode("refs").alias("ref")).join(inside, "ref", "left_semi").select("rule", "key").distinct()
         within = state.mods.join(inside.withColumnRenamed("ref", "affected"), "affected", "left_semi").select("rule", "key")
         keys = resting.unionByName(within).distinct().join(doomed.select("rule", "key"), ["rule", "key"], "left_anti")
@@ -145,39 +256,97 @@ def withdraw(state: State, obsolete: DataFrame, limit: int = 100) -> State:
 def update(state: State, rules: Sequence[Rule], removed: DataFrame, added: DataFrame, limit: int = 50) -> State:
     """Apply changed base nodes (``removed`` (id), ``added`` nodes) and bring the outputs up to date.
 
-    Mods of rules that read a changed name, or that rest on a changed document, are verified against the bindings as
-    they are now: a binding that is gone or whose output would differ is withdrawn. Then rules run to a fixpoint, which
-    only writes what is missing. The result is that of a run from scratch.
+    Mods that rest on a changed document are verified against the bindings that rest on it now: a binding that is gone or
+    whose output would differ is withdrawn, which changes more documents. Then rules look for new bindings in all
+    documents that changed, and run to a fixpoint. The result is that of a run from scratch.
     """
     touched = checkpointed(state.nodes.join(removed, "id", "left_semi").select("doc", "name").unionByName(added.select("doc", "name")).distinct())
-    names = {r["name"] for r in touched.select("name").distinct().collect()}
     state.nodes = checkpointed(state.nodes.join(removed, "id", "left_anti").select(*FIELDS).unionByName(added.select(*FIELDS)))
+    front = changed = touched
     for _ in range(limit):
-        stale = None
-        for rule in rules:
-            if rule.reads and not rule.reads & names:
+        names, docs = frozenset(r["name"] for r in front.select("name").distinct().collect()), front.select("doc").distinct()
+        lost = []
+        for r in rules:
+            if r.reads and not r.reads & names:
+                continue
+            had = state.mods.where(F.col("rule") == r.id)
+            if r.blocks:
+                keys = had.select("key", F.explode("docs").alias("doc")).join(docs, "doc", "left_semi").select("key").distinct()
+                had = had.join(keys, "key", "left_semi")
+            had = checkpointed(had)
+            if had.isEmpty():
                 continue
-            had = state.mods.where(F.col("rule") == rule.id)
-            now = _checksum(rule.bindings(state.nodes).dropDuplicates(["key"]))
+            now = _checksum(delta(r, state.nodes, docs).dropDuplicates(["key"]))
             alive = now.join(state.nodes.select(F.col("id").alias("target")), "target", "left_semi").unionByName(now.where("target is null")).select("key", "checksum")
-            lost = had.join(alive, ["key", "checksum"], "left_anti").select("rule", "key")
+            lost.append(had.join(alive, ["key", "checksum"], "left_anti").select("rule", "key", "affected"))
             state.counts["verified"] += had.count()
-            stale = lost if stale is None else stale.unionByName(lost)
-        stale = checkpointed(stale) if stale is not None else None
+        stale = checkpointed(reduce(DataFrame.unionByName, lost)) if lost else None
         if stale is None or stale.isEmpty():
             break
-        names |= {r["name"] for r in state.nodes.join(state.mods.join(stale, ["rule", "key"], "left_semi").select(F.col("affected").alias("id")), "id", "left_semi").select("name").distinct().collect()}
-        state = withdraw(state, stale)
+        before = state.nodes
+        state = withdraw(state, stale.select("rule", "key"))
+        front = checkpointed(before.join(state.nodes.select("id"), "id", "left_anti").select("doc", "name").distinct())
+        changed = changed.unionByName(front)
     else:
         raise RuntimeError(f"verification didn't settle in {limit} rounds")
-    return run(state, rules, limit)
+    return run(state, rules, limit, changed.select("doc").distinct())
 
 
 def changed_rules(state: State, before: Sequence[Rule], now: Sequence[Rule]) -> State:
-    """Withdraw the mods of rules that are gone or whose version differs."""
+    """Withdraw the mods of rules that are gone or of which some stage differs."""
     versions = {r.id: r.version for r in now}
     gone = [r.id for r in before if versions.get(r.id) != r.version]
     return withdraw(state, state.mods.where(F.col("rule").isin(gone))) if gone else state
 
 
-__all__ = ["MODS", "Rule", "State", "binding_key", "changed_rules", "document_name", "inserted", "run", "start", "update", "withdraw"]
+def vanished(state: State) -> State:
+    """Withdraw mods that rest on a document which isn't there any more, as found at start-up."""
+    there = state.nodes.select("doc").distinct()
+    gone = state.mods.select("rule", "key", F.explode("docs").alias("doc")).join(there, "doc", "left_anti").select("rule", "key").distinct()
+    return withdraw(state, gone)
+
+
+def gated(state: State, base: DataFrame, engine: str, last_engine: str | None) -> tuple[State, bool]:
+    """(state, run from scratch?): outputs of another version of the engine, or of none, are wiped."""
+    return (state, False) if engine == last_engine else (start(base), True)
+
+
+def assigned_ids(rules: Sequence[tuple[str, tuple[str, ...]]], before: Mapping[str, tuple[str, tuple[str, ...]]], short: Callable[[str], str]) -> list[str]:
+    """Ids of rules (description, earlier descriptions): that of the one rule of ``before`` (id to the same) which had one
+    of these descriptions, else a fresh one from the description's short form. Rules are few, so this is driver's work."""
+    out: list[str] = []
+    for desc, aliases in rules:
+        same = [i for i, (d, a) in before.items() if {d, *a} & {desc, *aliases}]
+        name, n = f"r-{short(desc)}", 1
+        while len(same) != 1 and name in {*before, *out}:
+            n += 1
+            name = f"r-{short(desc)}-{n}"
+        out.append(same[0] if len(same) == 1 else name)
+    return out
+
+
+def toggled(state: State, rules: Sequence[Rule], action: DataFrame, enabled: bool) -> State:
+    """Undo or redo an action, given as the base nodes that it adds: they are taken out, or put in again, and outputs
+    follow."""
+    none = action.limit(0)
+    return update(state, rules, none.select("id"), action) if enabled else update(state, rules, action.select("id"), none)
+
+
+def run_or_revert(base: DataFrame, rules: Sequence[Rule], last_good: Sequence[Rule]) -> tuple[State, bool]:
+    """(state, were they good?): the outputs of ``rules`` or, where these fail, of the last rules that didn't."""
+    try:
+        return run(start(base), rules), True
+    except (AnalysisException, RuntimeError, PySparkException):
+        return run(start(base), last_good), False
+
+
+def keyed_changes(had: DataFrame, now: DataFrame, key: str = "key") -> DataFrame:
+    """(key, action) that bring what was inserted to what is bound now: delete, add or keep. One full outer join."""
+    both = had.select(key, F.lit(True).alias("_h")).distinct().join(now.select(key, F.lit(True).alias("_n")).distinct(), key, "full_outer")
+    return both.select(key, F.when(F.col("_n").isNull(), "delete").when(F.col("_h").isNull(), "add").otherwise("keep").alias("action"))
+
+
+def due_orders(sorts: DataFrame, changed: DataFrame) -> DataFrame:
+    """Orders (parent, doc, ..) to settle at the end of a cycle: those in documents that it didn't change; the others wait
+    until their document is at rest."""
+    return sorts.join(changed.select("doc").distinct(), "doc", "left_anti")

@@ -21,6 +21,18 @@ def snapshot_diff(before: DataFrame, now: DataFrame, key: str, stamp: str, is_di
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
 
 
+def apply_snapshot(diff: DataFrame, source: DataFrame, copy: DataFrame, key: str, stamp: str) -> DataFrame:
+    """(key, stamp, done, columns of ``source``): the working copy after a snapshot's actions (key, action).
+
+    ``source`` holds the files as they are now, with their contents, ``copy`` (key, stamp) what the working copy has with
+    the stamp recorded for it (``recorded``). Deleted files go, new and edited ones are copied; of the others those that
+    are missing from the copy, or whose stamp isn't the recorded one, are copied again. All are equi-joins on the key.
+    """
+    found = diff.where("action <> 'delete'").join(source, key).join(copy.select(key, F.col(stamp).alias("_at"), F.col("recorded").alias("_recorded")), key, "left")
+    done = F.when(F.col("action").isin("add", "edit"), "copied").when(F.col("_at").isNull() | ~F.col("_at").eqNullSafe(F.col("_recorded")), "copied again").otherwise("kept")
+    return found.withColumn("done", done).drop("_at", "_recorded", "action")
+
+
 def reconcile(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
     """(key, state): added, deleted or matched."""
     both = have.select(key, F.lit(1).alias("h")).distinct().join(want.select(key, F.lit(1).alias("w")).distinct(), key, "full_outer")
@@ -101,3 +113,44 @@ def resolve_in_scopes(refs: DataFrame, scopes: Sequence[tuple[str, DataFrame, Co
         many = F.when(known, F.col(f"_n{i}") > 1).otherwise(many)
     status = F.when(many, "ambiguous").when(scope.isNull(), "unresolved").otherwise("resolved")
     return out.select(*refs.columns, found.alias("target"), scope.alias("scope"), status.alias("status"))
+
+
+# Types that have no declaration.
+PRIMITIVES = ("boolean", "byte", "char", "double", "float", "int", "long", "short", "void")
+
+
+def resolve_types(refs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
+    """(ref_id, target, scope, status) of references (ref_id, doc, name, package, enclosing) to types (impl, full).
+
+    ``enclosing`` lists the types around the reference, the innermost first; ``impl`` has ``$`` between nested types.
+    ``imports`` are (doc, name), those of whole packages ending in ``.*``. A name's first part is looked up among the
+    types being defined, their members from the innermost out, the named imports, the own package and the packages
+    imported whole; the first scope that knows it decides, and its other parts are nested types. Where no scope knows it,
+    the shortest leading parts that name a type do. Several types for a name are ambiguous.
+    """
+    refs = refs.withColumn("_first", F.substring_index("name", ".", 1)).withColumn("_rest", F.expr("replace(substring(name, length(substring_index(name, '.', 1)) + 1), '.', '$')"))
+    plain = refs.where(~F.col("name").isin(*PRIMITIVES))
+    known = types.groupBy(F.col("impl").alias("_impl")).agg(F.min("full").alias("_full"), F.count(F.lit(1)).alias("_n"))
+    at = lambda df, scope, place, impl: df.select("ref_id", F.lit(scope).alias("scope"), place.cast("int").alias("_place"), impl.alias("_impl"), "_rest")
+    around = plain.select("*", F.posexplode("enclosing").alias("_pos", "_in"))
+    simple = F.regexp_extract("_in", r"[^.$]+$", 0)
+    given = imports.select("doc", F.col("name").alias("_name"), F.substring_index("name", ".", -1).alias("_last"))
+    own = F.when(F.coalesce("package", F.lit("")) == "", F.col("_first")).otherwise(F.concat("package", F.lit("."), "_first"))
+    sure = at(around.where(simple == F.col("_first")), "defined", F.lit(0), F.col("_in"))
+    sure = sure.unionByName(at(plain.join(given.where("_last <> '*'"), ["doc"]).where("_last = _first"), "import", F.lit(1_000_000), F.col("_name")))
+    maybe = at(around, "member", F.col("_pos") + 1, F.concat("_in", F.lit("$"), "_first")).unionByName(at(plain, "package", F.lit(1_000_001), own))
+    whole = plain.join(given.where("_last = '*'"), "doc")
+    maybe = maybe.unionByName(at(whole, "packages", F.lit(1_000_002), F.concat(F.expr("substring(_name, 1, length(_name) - 1)"), F.col("_first"))))
+    parts = F.split("name", "[.]")
+    walked = plain.where("name like '%.%'").withColumn("_k", F.explode(F.sequence(F.lit(2), F.size(parts))))
+    rest = F.concat(F.when(F.col("_k") < F.size(parts), "$").otherwise(""), F.array_join(F.slice(parts, F.col("_k") + 1, F.size(parts)), "$"))
+    walked = walked.select("ref_id", F.lit("path").alias("scope"), (F.col("_k") + 2_000_000).alias("_place"), F.array_join(F.slice(parts, F.lit(1), F.col("_k")), ".").alias("_impl"), rest.alias("_rest"))
+    found = sure.unionByName(maybe.unionByName(walked).join(known.select("_impl"), "_impl", "left_semi")).distinct()
+    best = found.groupBy("ref_id").agg(F.min("_place").alias("_place"))
+    chosen = found.join(best, ["ref_id", "_place"]).groupBy("ref_id").agg(F.min("scope").alias("scope"), F.min(F.concat("_impl", "_rest")).alias("_impl"), F.countDistinct("_impl").alias("_many"))
+    loaded = refs.select("ref_id", "name").join(chosen, "ref_id", "left").join(known, "_impl", "left")
+    primitive = F.col("name").isin(*PRIMITIVES)
+    many = F.coalesce((F.col("_many") > 1) | (F.col("_n") > 1), F.lit(False))
+    status = F.when(primitive, "resolved").when(many, "ambiguous").when(F.col("_full").isNull(), "unresolved").otherwise("resolved")
+    target = F.when(primitive, F.col("name")).when(~many, F.col("_full"))
+    return loaded.select("ref_id", target.alias("target"), F.when(primitive, "primitive").otherwise(F.col("scope")).alias("scope"), status.alias("status"))

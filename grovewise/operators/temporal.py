@@ -86,25 +86,73 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def _running(rows: DataFrame, keys: Sequence[str], at: str, phase: str, values: Sequence[str]) -> DataFrame:
+    """Running sums of ``values`` in the order of (at, phase), equal places taken together: by hour, then within the hour,
+    so that a key with very many rows isn't one task's."""
+    rows = rows.groupBy(*keys, at, phase).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_hour", F.date_trunc("hour", at))
+    hours = rows.groupBy(*keys, "_hour").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    over = Window.partitionBy(*keys).orderBy("_hour")
+    hours = hours.select(*keys, "_hour", *[(F.sum(f"_{v}").over(over) - F.col(f"_{v}")).alias(f"_{v}") for v in values])
+    within = Window.partitionBy(*keys, "_hour").orderBy(at, phase)
+    summed = rows.withColumns({v: F.sum(v).over(within) for v in values}).join(hours, [*keys, "_hour"])
+    return summed.select(*keys, at, phase, *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values])
+
+
 def mediate(ranges: DataFrame, scopes: Sequence[str], proposal: str, last: Column, now: Column) -> DataFrame:
     """The earliest time on which all proposals agree, per scope.
 
     Interesting ranges are clipped to (last, now); clipped ends and all bounds inside are candidates; a candidate holds
-    if every proposal has a range around it: lower bounds in [from, to), upper bounds in (from, to]. Candidates meet
-    ranges in a join on the scope and are counted by proposal; nothing is compared across scopes.
+    if every proposal has a range around it: lower bounds in [from, to), upper bounds in (from, to]. One sweep over time
+    counts the ranges around each bound, a proposal's overlapping ranges being merged before; nothing is compared in pairs.
     """
     scopes = list(scopes)
     n_of = ranges.groupBy(*scopes).agg(F.countDistinct(proposal).alias("_n"))
-    clipped = ranges.where("interesting").select(*scopes, F.greatest("from_ts", last).alias("lb"), F.least("to_ts", now).alias("ub")).where("lb < ub")
-    bounds = ranges.select(*scopes, F.col("from_ts").alias("b"), F.lit(True).alias("lower")).unionByName(ranges.select(*scopes, F.col("to_ts").alias("b"), F.lit(False).alias("lower"))).distinct()
-    inside = clipped.join(bounds, scopes).where("(lower and b >= lb and b < ub) or (not lower and b > lb and b <= ub)").select(*scopes, "b", "lower")
-    ends = clipped.select(*scopes, F.col("lb").alias("b"), F.lit(True).alias("lower")).unionByName(clipped.select(*scopes, F.col("ub").alias("b"), F.lit(False).alias("lower")))
-    candidates = inside.unionByName(ends).distinct()
-    held = candidates.join(ranges, scopes).where("(lower and b >= from_ts and b < to_ts) or (not lower and b > from_ts and b <= to_ts)")
-    agreed = held.groupBy(*scopes, "b", "lower").agg(F.countDistinct(proposal).alias("_k")).join(n_of, scopes).where("_k = _n")
+    sound = ranges.where("from_ts < to_ts")
+    w = Window.partitionBy(*scopes, proposal).orderBy("from_ts", "to_ts")
+    fresh = F.coalesce(F.col("from_ts") > F.max("to_ts").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    islands = sound.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy(*scopes, proposal, "_island").agg(F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts"))
+    clipped = ranges.where("interesting").select(*scopes, F.greatest("from_ts", last).alias("from_ts"), F.least("to_ts", now).alias("to_ts")).where("from_ts < to_ts")
+
+    def marks(rows: DataFrame, end: str, phase: int, held: int = 0, inside: int = 0, bound: int = 0, clip: int = 0) -> DataFrame:
+        return rows.select(*scopes, F.col(end).alias("b"), F.lit(phase).alias("phase"), *[F.lit(v).cast("long").alias(k) for k, v in (("held", held), ("inside", inside), ("bound", bound), ("clip", clip))])
+
+    # At one time upper bounds come first, then ranges end and begin, then lower bounds.
+    points = marks(merged, "from_ts", 1, held=1)
+    for rows in (
+        marks(merged, "to_ts", 1, held=-1), marks(clipped, "from_ts", 1, inside=1), marks(clipped, "to_ts", 1, inside=-1),
+        marks(ranges, "from_ts", 2, bound=1), marks(ranges, "to_ts", 0, bound=1), marks(clipped, "from_ts", 2, clip=1), marks(clipped, "to_ts", 0, clip=1),
+    ):
+        points = points.unionByName(rows)
+    own = points.groupBy(*scopes, "b", "phase").agg(F.sum("bound").alias("bound"), F.sum("clip").alias("clip")).where("phase <> 1")
+    counted = _running(points, scopes, "b", "phase", ["held", "inside"]).join(own, [*scopes, "b", "phase"])
+    agreed = counted.where("clip > 0 or bound > 0 and inside > 0").join(n_of, scopes).where("held = _n")
     return agreed.groupBy(*scopes).agg(F.min("b").alias("checkpoint"))
 
 
+def without_agreement(scopes: DataFrame, agreed: DataFrame, postponed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, decision, until): ``checkpoint`` where all proposals agree, else ``postpone`` until the latest time that a
+    proposal names, and ``abandon`` where none does."""
+    keys = list(keys)
+    latest = postponed.groupBy(*keys).agg(F.max("postpone_until").alias("_until"))
+    found = scopes.select(*keys).distinct().join(agreed.select(*keys, "checkpoint"), keys, "left").join(latest, keys, "left")
+    decision = F.when(F.col("checkpoint").isNotNull(), "checkpoint").when(F.col("_until").isNotNull(), "postpone").otherwise("abandon")
+    return found.select(*keys, decision.alias("decision"), F.coalesce("checkpoint", "_until").alias("until"))
+
+
+def run_gate(runs: DataFrame, keys: Sequence[str], ended: str, aborted: str, now: Column, least: timedelta) -> DataFrame:
+    """(keys, wait_until): when a job may run again if ``now`` is too soon after its last end, else null. The end of an
+    aborted run counts if there is one, then that of the last complete run; a job that never ran may run."""
+    last = runs.groupBy(*keys).agg(F.max(F.when(F.col(aborted), F.col(ended))).alias("_a"), F.max(F.when(~F.col(aborted), F.col(ended))).alias("_c"))
+    end = F.coalesce("_a", "_c")
+    return last.select(*keys, F.when(now - end < interval(least), end + interval(least)).alias("wait_until"))
+
+
+def quiet_for(quiet: timedelta, precision: timedelta) -> timedelta:
+    """A quiet period that the precision of the times can tell: twice the precision at least."""
+    return max(quiet, 2 * precision)
+
+
 def as_of(revisions: DataFrame, file: str, ts: str, at: Column, value: str, order: str) -> DataFrame:
     """The latest version of each file at a time."""
     return revisions.where(F.col(ts) <= at).groupBy(file).agg(F.max_by(value, F.struct(ts, order)).alias(value))

@@ -174,11 +174,9 @@ def quant_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'n' || a.n_nationkey AS node, count(*) AS n_later FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey GROUP BY a.n_nationkey")
 def node_order_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """$a << $b within a document: keys are equal documents, positions the residual."""
-    f = region_forest(spark, sf_dir, "nation")
-    later = each(f, "b", "nation")
-    pairs = each(f, "a", "nation").join(later, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.pos") < F.col("b.pos")))
-    return pairs.groupBy(F.col("a.id").alias("node")).agg(F.count(F.lit(1)).alias("n_later"))
+    """$a << $b within a document, counted from ranks."""
+    found = axes.later_in_document(region_forest(spark, sf_dir, "nation")).where("n_later > 0")
+    return found.select(F.col("id").alias("node"), F.col("n_later").cast("long").alias("n_later"))
 
 
 @query("SELECT 'r' || n_regionkey AS doc, 'n' || n_nationkey AS id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::BIGINT AS rank FROM nation")

@@ -45,6 +45,36 @@ def pair_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("a", "b", F.round(cost, 4).alias("cost"))
 
 
+_CROSS = "SELECT least(x.l_partkey, y.l_partkey) AS b, greatest(x.l_partkey, y.l_partkey) AS a, 1 - pow(2.0, -sum(CASE x.l_returnflag WHEN 'A' THEN 500 WHEN 'N' THEN 180 ELSE 7 END) / 250) AS crossed FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber AND x.l_partkey <> y.l_partkey GROUP BY ALL"
+_PARENTS = "SELECT a, b, count(*) / greatest(any_value(n), any_value(m)) AS parents FROM (SELECT DISTINCT l_partkey AS a, l_suppkey AS v FROM lineitem) JOIN (SELECT DISTINCT l_partkey AS b, l_suppkey AS v FROM lineitem) USING (v) JOIN (SELECT l_partkey AS a, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) USING (a) JOIN (SELECT l_partkey AS b, count(DISTINCT l_suppkey) AS m FROM lineitem GROUP BY 1) USING (b) GROUP BY a, b"
+
+
+@query(f"SELECT a, b, round(CASE WHEN same THEN {_COST} - 300 * coalesce(crossed, 0) - 300 * coalesce(parents, 0) ELSE 100.0 END, 4) AS cost FROM ({_PAIRS}) p LEFT JOIN ({_CROSS}) USING (a, b) LEFT JOIN ({_PARENTS}) USING (a, b)")
+def pair_cost_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that follow each other in an order refer to each other, by a context and modifier that the line tells;
+    common suppliers stand for common parents. Both terms join the pairs that are compared, not all pairs."""
+    p, l = _pairs(spark, sf_dir), table(spark, sf_dir, "lineitem")  # noqa: E741
+    context = F.when(F.col("l_returnflag") == "A", "extends").when(F.col("l_returnflag") == "N", "implements").otherwise("returns")
+    modifier = F.when(F.col("l_returnflag") == "A", "public").when(F.col("l_returnflag") == "N", "protected").otherwise("private")
+    first = l.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x"), context.alias("context"), modifier.alias("modifier"))
+    then = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("y"))
+    refs = first.join(then, ["l_orderkey", "l_linenumber"]).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "context", "modifier")
+    cross = similarity.cross_references(refs, "a", "b", "context", "modifier")
+    held = l.select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("v")).distinct()
+    parents = similarity.common_share_of_pairs(p.select("a", "b"), held, "id", "v")
+    found = p.join(cross, ["a", "b"], "left").join(parents, ["a", "b"], "left")
+    cost = similarity.pair_cost(F.col("an"), F.col("bn"), F.col("ap"), F.col("bp"), F.coalesce("cross", F.lit(0.0)), F.coalesce("share", F.lit(0.0)), F.col("same"))
+    return found.select("a", "b", F.round(cost, 4).alias("cost"))
+
+
+@query("SELECT 'element' AS action, 'c' || c_custkey AS item, 'd' || CASE WHEN c_acctbal < 0 THEN 'new-' || c_mktsegment ELSE c_nationkey::VARCHAR END AS target FROM customer UNION ALL SELECT DISTINCT 'create', NULL, 'dnew-' || c_mktsegment FROM customer WHERE c_acctbal < 0")
+def emit_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in debt are assigned to groups that don't exist yet, one for each segment."""
+    c = table(spark, sf_dir, "customer")
+    assigned = c.select(F.concat(F.lit("c"), "c_custkey").alias("item"), F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey").cast("string")).alias("group"), F.col("c_mktsegment").alias("fresh"))
+    return similarity.mappings(assigned, "item", "group", F.concat(F.lit("new-"), "fresh"), "d")
+
+
 @query(f"SELECT a, b, round(CASE WHEN same THEN -500 * {_PREFIX} ELSE 100.0 END, 4) AS cost FROM ({_PAIRS})")
 def package_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("a", "b", F.round(similarity.package_cost(F.col("ap"), F.col("bp"), F.col("same")), 4).alias("cost"))
@@ -97,21 +127,23 @@ def anneal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.anneal(problems, "problem", groups=3)
 
 
-_ARCS = "SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst, 'has' AS kind FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'made' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'o' || o_orderkey, 'n' || (o_orderkey % 25), 'ships' FROM orders WHERE o_orderkey % 97 = 0"
+_ARCS = "SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst, 'has' AS kind FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'made' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'o' || o_orderkey, 'n' || (o_orderkey % 25), 'ships' FROM orders UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'base' FROM supplier WHERE s_acctbal >= 0"
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, arcs): nations have customers, who made urgent orders, some of which ship to nations: there are cycles."""
-    c, o, n = (table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    """(nodes, arcs): nations have customers, who made urgent orders; every order ships to a nation, so there are cycles.
+    Suppliers without debt are based in their nation, those in debt have no arc."""
+    c, o, n, s = (table(spark, sf_dir, t) for t in ("customer", "orders", "nation", "supplier"))
     a = lambda x, k: F.concat(F.lit(x), F.col(k).cast("string"))
-    arcs = c.where("c_custkey % 3 <> 0").select(a("n", "c_nationkey").alias("src"), a("c", "c_custkey").alias("dst"), F.lit("has").alias("kind"))
+    arcs = c.select(a("n", "c_nationkey").alias("src"), a("c", "c_custkey").alias("dst"), F.lit("has").alias("kind"))
     arcs = arcs.union(o.where("o_orderpriority = '1-URGENT'").select(a("c", "o_custkey"), a("o", "o_orderkey"), F.lit("made")))
-    arcs = arcs.union(o.where("o_orderkey % 97 = 0").select(a("o", "o_orderkey"), F.concat(F.lit("n"), (F.col("o_orderkey") % 25).cast("string")), F.lit("ships")))
+    arcs = arcs.union(o.select(a("o", "o_orderkey"), F.concat(F.lit("n"), (F.col("o_orderkey") % 25).cast("string")), F.lit("ships")))
+    arcs = arcs.union(s.where("s_acctbal >= 0").select(a("n", "s_nationkey"), a("s", "s_suppkey"), F.lit("base")))
     nodes = n.select(a("n", "n_nationkey").alias("id"), F.lit("nation").alias("kind")).union(c.select(a("c", "c_custkey"), F.lit("customer"))).union(o.select(a("o", "o_orderkey"), F.lit("order")))
-    return nodes, arcs
+    return nodes.union(s.select(a("s", "s_suppkey"), F.lit("supplier"))), arcs
 
 
-_NODES = "SELECT 'n' || n_nationkey AS id, 'nation' AS kind FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer' FROM customer UNION ALL SELECT 'o' || o_orderkey, 'order' FROM orders"
+_NODES = "SELECT 'n' || n_nationkey AS id, 'nation' AS kind FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer' FROM customer UNION ALL SELECT 'o' || o_orderkey, 'order' FROM orders UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier"
 _REACH = "WITH RECURSIVE arcs AS ({}), r AS (SELECT 'n3' AS id UNION SELECT {} FROM r JOIN arcs ON {} = r.id) SELECT id FROM r"
 
 
@@ -168,73 +200,6 @@ def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(_graph(spark, sf_dir)[1])
 
 
-# The SQL above takes some orders and customers by id; the queries below take all. Suppliers without debt are based in their
-# nation, those in debt have no arc.
-_ALL_ARCS = "SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst, 'has' AS kind FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'made' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'o' || o_orderkey, 'n' || (o_orderkey % 25), 'ships' FROM orders UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'base' FROM supplier WHERE s_acctbal >= 0"
-_ALL_NODES = f"{_NODES} UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier"
-
-
-def _whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, arcs): as ``_graph``, but with an arc to each customer and one from each order, and with suppliers."""
-    c, o, s = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
-    a = lambda x, k: F.concat(F.lit(x), F.col(k).cast("string"))
-    arcs = c.select(a("n", "c_nationkey").alias("src"), a("c", "c_custkey").alias("dst"), F.lit("has").alias("kind"))
-    arcs = arcs.union(o.where("o_orderpriority = '1-URGENT'").select(a("c", "o_custkey"), a("o", "o_orderkey"), F.lit("made")))
-    arcs = arcs.union(o.select(a("o", "o_orderkey"), F.concat(F.lit("n"), (F.col("o_orderkey") % 25).cast("string")), F.lit("ships")))
-    arcs = arcs.union(s.where("s_acctbal >= 0").select(a("n", "s_nationkey"), a("s", "s_suppkey"), F.lit("base")))
-    return _graph(spark, sf_dir)[0].union(s.select(a("s", "s_suppkey"), F.lit("supplier"))), arcs
-
-
-@query(_REACH.format(_ALL_ARCS, "dst", "src"))
-def graph_reach_fwd_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, arcs = _whole_graph(spark, sf_dir)
-    return graph.reachable(arcs, nodes.where("id = 'n3'")).select("id")
-
-
-@query(_REACH.format(_ALL_ARCS, "src", "dst"))
-def graph_reach_rev_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, arcs = _whole_graph(spark, sf_dir)
-    return graph.reachable(arcs, nodes.where("id = 'n3'"), reverse=True).select("id")
-
-
-@query(f"SELECT id, kind FROM ({_ALL_NODES}) WHERE id NOT IN (SELECT src FROM ({_ALL_ARCS}) UNION SELECT dst FROM ({_ALL_ARCS}))")
-def graph_isolated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.isolated(*_whole_graph(spark, sf_dir))
-
-
-@query(f"SELECT DISTINCT 'out' AS direction, dst AS id FROM ({_ALL_ARCS}) WHERE src IN ('n1', 'c1', 'c2') UNION SELECT DISTINCT 'in', src FROM ({_ALL_ARCS}) WHERE dst IN ('n1', 'c1', 'c2')")
-def graph_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, arcs = _whole_graph(spark, sf_dir)
-    chosen = nodes.where("id in ('n1', 'c1', 'c2')")
-    out = graph.neighbours(arcs, chosen).select(F.lit("out").alias("direction"), "id")
-    return out.unionByName(graph.neighbours(arcs, chosen, incoming=True).select(F.lit("in").alias("direction"), "id"))
-
-
-@query(f"SELECT id FROM ({_ALL_NODES}) WHERE kind <> 'order' AND id NOT IN (SELECT dst FROM ({_ALL_ARCS}))")
-def graph_complement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, arcs = _whole_graph(spark, sf_dir)
-    return graph.complement(nodes.where("kind <> 'order'"), arcs.select(F.col("dst").alias("id"))).select("id")
-
-
-@query(f"SELECT src, dst, bool_or(composite) AS composite, count(*) AS n_arcs FROM (SELECT coalesce(s.g, src) AS src, coalesce(d.g, dst) AS dst, s.g IS NOT NULL OR d.g IS NOT NULL AS composite FROM ({_ALL_ARCS}) LEFT JOIN ({_GROUPS}) s ON s.id = src LEFT JOIN ({_GROUPS}) d ON d.id = dst) WHERE NOT (composite AND src = dst) GROUP BY src, dst")
-def graph_contract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").where("n_nationkey < 12")
-    group = lambda k: F.concat(F.lit("g"), (F.col(k) % 4).cast("string")).alias("group")
-    members = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), group("c_nationkey")).union(n.select(F.concat(F.lit("n"), "n_nationkey"), group("n_nationkey")))
-    return graph.contract(_whole_graph(spark, sf_dir)[1], members)
-
-
-@query(f"SELECT src, dst, a.kind FROM ({_ALL_ARCS}) a JOIN ({_ALL_NODES}) s ON s.id = src JOIN ({_ALL_NODES}) d ON d.id = dst WHERE a.kind IN ('has', 'ships') AND s.kind IN ('nation', 'customer') AND d.kind IN ('nation', 'customer')")
-def graph_visible_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, arcs = _whole_graph(spark, sf_dir)
-    return graph.visible(arcs, nodes, ["nation", "customer"], ["has", "ships"]).select("src", "dst", "kind")
-
-
-@query(f"SELECT id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM (SELECT src AS id, 0 AS i, 1 AS o FROM ({_ALL_ARCS}) UNION ALL SELECT dst, 1, 0 FROM ({_ALL_ARCS})) GROUP BY id")
-def graph_degrees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_whole_graph(spark, sf_dir)[1])
-
-
 @query()
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drawing for each region of its nations in a ring; seeded, hence repeatable, without a SQL form."""

@@ -16,25 +16,24 @@ from grovewise.sources.forest import region_forest
 def _summary_rules() -> list[rules.Rule]:
     """A document for each region, in it an entry for each nation, in that a flag for rich suppliers: three stages."""
 
-    def reports(n: DataFrame) -> DataFrame:
-        b = each(n, "r", "region")
+    def reports(b: DataFrame) -> DataFrame:
         key = rules.binding_key("report", F.col("r.id"))
         name = rules.document_name(F.concat(F.lit("reports/"), attr("r", "name"), F.lit(".xml ")), key)
         return rules.inserted(b, key, [F.col("r.id")], [F.col("r.doc")], None, "report", F.create_map(F.lit("of"), F.col("r.id")), doc=name)
 
-    def entries(n: DataFrame) -> DataFrame:
-        b = each(n, "n", "nation").join(each(n, "p", "report"), F.col("n.parent_id") == attr("p", "of"))
+    def entries(b: DataFrame) -> DataFrame:
         key = rules.binding_key("entry", F.col("n.id"), F.col("p.id"))
         return rules.inserted(b, key, [F.col("n.id"), F.col("p.id")], [F.col("n.doc"), F.col("p.doc")], F.col("p.id"), "entry", F.create_map(F.lit("of"), F.col("n.id")), attr("n", "name"), F.col("n.ord"))
 
-    def flags(n: DataFrame) -> DataFrame:
-        rich = each(n, "s", "supplier").where(attr("s", "balance").cast("double") > 9000)
-        b = rich.join(each(n, "e", "entry"), F.col("s.parent_id") == attr("e", "of"))
+    def flags(b: DataFrame) -> DataFrame:
         key = rules.binding_key("flag", F.col("s.id"), F.col("e.id"))
         return rules.inserted(b, key, [F.col("s.id"), F.col("e.id")], [F.col("s.doc"), F.col("e.doc")], F.col("e.id"), "flag", value=attr("s", "name"), ord_=F.col("s.ord"))
 
+    rich = rules.For("s", "supplier", lambda _, found: found.where(attr("s", "balance").cast("double") > 9000))
+    into = rules.For("e", "entry", lambda bound, found: bound.join(found, F.col("s.parent_id") == attr("e", "of")), target=True)
+    page = rules.For("p", "report", lambda bound, found: bound.join(found, F.col("n.parent_id") == attr("p", "of")), target=True)
     # The last rule comes first: it finds its targets in a later cycle.
-    return [rules.Rule("flag", flags, frozenset({"supplier", "entry"})), rules.Rule("report", reports, frozenset({"region"})), rules.Rule("entry", entries, frozenset({"nation", "report"}))]
+    return [rules.rule("flag", [rich, into], flags), rules.rule("report", [rules.For("r", "region")], reports), rules.rule("entry", [rules.For("n", "nation"), page], entries)]
 
 
 _OUT = """
@@ -93,18 +92,9 @@ def sort_corresponding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.sort_as_corresponding(children, proxies, "parent", "id").select("parent", "id", "place")
 
 
-@query("SELECT o_custkey AS parent, 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, dense, 'o' || o_orderkey)::INT AS place FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE dense_rank() OVER (PARTITION BY o_custkey, o_orderpriority = '1-URGENT' ORDER BY o_orderdate) END AS dense FROM orders WHERE o_custkey % 10 = 1)")
-def order_graph_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By date at a low priority, but urgent orders first at a high one; urgent orders among each other by id.
-
-    The SQL takes a tenth of the customers; ``order_graph_priority_all`` orders those of all.
-    """
-    return _urgent_first(table(spark, sf_dir, "orders").where("o_custkey % 10 = 1"))
-
-
 @query("SELECT o_custkey AS parent, 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, dense, 'o' || o_orderkey)::INT AS place FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE dense_rank() OVER (PARTITION BY o_custkey, o_orderpriority = '1-URGENT' ORDER BY o_orderdate) END AS dense FROM orders)")
-def order_graph_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of ``order_graph_priority`` among the orders of all customers."""
+def order_graph_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By date at a low priority, but urgent orders first at a high one; urgent orders among each other by id."""
     return _urgent_first(table(spark, sf_dir, "orders"))
 
 

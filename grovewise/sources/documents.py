@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from fnmatch import fnmatchcase
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovewise.functions.scalars import escape_html
+from grovewise.functions.scalars import escape_html, expand
+from grovewise.operators.bindings import joined_text
 from grovewise.sources.forest import FIELDS, NODE
 
 SHRED = NODE + ", error string"
@@ -105,8 +106,13 @@ def shredded(rows: DataFrame, doc: str, text: str, html: bool = False) -> DataFr
     return rows.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(run, SHRED)
 
 
-def load_files(spark: SparkSession, path: str, include: Sequence[str] = ("*",), exclude: Sequence[str] = ()) -> DataFrame:
+# What editors and version control leave behind.
+DEFAULT_EXCLUDES = ("**/*~", "**/#*#", "**/.#*", "**/%*%", "**/._*", "**/CVS", "**/CVS/**", "**/.cvsignore", "**/SCCS", "**/SCCS/**", "**/vssver.scc", "**/.svn", "**/.svn/**", "**/.DS_Store")
+
+
+def load_files(spark: SparkSession, path: str, include: Sequence[str] = ("*",), exclude: Sequence[str] = (), default_excludes: bool = True) -> DataFrame:
     """(doc, modified, text) of the files below ``path``; names relative to it, matched by shell patterns."""
+    exclude = (*exclude, *(DEFAULT_EXCLUDES if default_excludes else ()))
     found = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path)
     root = path.rstrip("/").split("://")[-1].split(":")[-1]
     rel = F.regexp_replace("path", "^.*?" + re.escape(root) + "/", "")
@@ -114,7 +120,7 @@ def load_files(spark: SparkSession, path: str, include: Sequence[str] = ("*",),
     def like(patterns: Sequence[str]) -> Column:
         out = F.lit(False)
         for p in patterns:
-            out = out | rel.rlike("^" + re.escape(p).replace(r"\*\*/", "(.*/)?").replace(r"\*", "[^/]*" if "/" in p else ".*").replace(r"\?", ".") + "$")
+            out = out | rel.rlike("^" + re.escape(p).replace(r"\*\*/", "(.*/)?").replace(r"/\*\*", "/.+").replace(r"\*", "[^/]*" if "/" in p else ".*").replace(r"\?", ".") + "$")
         return out
 
     return found.where(like(include) & ~like(exclude)).select(rel.alias("doc"), F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("text"))
@@ -134,6 +140,33 @@ def history_log(lines: DataFrame, value: str = "value") -> DataFrame:
     return known.withColumn("change", F.col("code") != "T").withColumn("interest", F.col("code") == "T")
 
 
+def revision_log(entries: DataFrame, value: str = "value") -> DataFrame:
+    """(file, name, author, date, commit_id, message) of revision logs, one row of text for each file's entry, as the text
+    reader gives with ``lineSep`` set to the entries' ruler of equal signs.
+
+    Line ends of a message become newlines; text before the first revision names the file; what has no revision number or
+    date is skipped.
+    """
+    parts = F.split(F.col(value), r"(?:^|\n)-{20,}\r?\n")
+    file = F.regexp_extract(parts[0], r"RCS file: ([^\r\n]*)", 1)
+    found = entries.select(F.regexp_replace(file, ",v$", "").alias("file"), F.explode(F.slice(parts, 2, F.size(parts))).alias("_r"))
+    head = lambda name: F.nullif(F.regexp_extract("_r", name + r": ([^;\r\n]*);", 1), F.lit(""))
+    message = F.regexp_replace(F.regexp_replace(F.regexp_extract("_r", r"(?s)^[^\n]*\n[^\n]*\n?(.*)$", 1), "\r\n", "\n"), "\r", "")
+    date = F.coalesce(F.try_to_timestamp(head("date"), F.lit("yyyy/MM/dd HH:mm:ss")), F.try_to_timestamp(head("date"), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz")
+    rows = found.select("file", F.regexp_extract("_r", r"^revision (\S+)", 1).alias("name"), head("author").alias("author"), date.alias("date"), head("commitid").alias("commit_id"), F.btrim(message, F.lit(" \t\r\n")).alias("message"))
+    return rows.where("name <> '' and date is not null")
+
+
+def objects_from_xml(rows: DataFrame, text: str, schema: str, into: str = "object") -> DataFrame:
+    """Documents as structs: attributes are fields with ``_``, repeated elements arrays; broken ones give null."""
+    return rows.withColumn(into, F.from_xml(F.col(text), schema, {"mode": "PERMISSIVE"}))
+
+
+def simple_path(text: Column, names: str) -> Column:
+    """The texts of the elements that ``names``, separated by spaces, lead to from the root's children, as an array."""
+    return F.xpath(text, F.lit("/*/" + "/".join(names.split()) + "/text()"))
+
+
 def read_gxl(spark: SparkSession, path: str, by_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, arcs) of a GXL graph, through the XML reader.
 
@@ -184,6 +217,17 @@ def export_by(rows: DataFrame, key: str, text: str, path: str) -> None:
     rows.select(key, F.col(text).alias("value")).repartition(key).write.partitionBy(key).text(path)
 
 
+def exported(entities: DataFrame, key: str, template: str, sides: Mapping[str, DataFrame], path: str) -> None:
+    """One file of text for each entity: ``template`` with ``#{column}`` by the entity's columns and ``#{side}`` by the
+    lines (column ``line``, in the order of ``ord``) that a side table has for its key, one to a line."""
+    found = entities
+    for name, side in sides.items():
+        lines = joined_text(side, [key], "line", "ord", "\n", name)
+        found = found.join(lines, key, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    text = expand(template, {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in found.columns})
+    export_by(found.select(F.col(key), text.alias("_text")), key, "_text", path)
+
+
 def affecting(mods: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Provenance of some nodes: mods that inserted them or anything above or below them."""
     related = nodes.select("id", F.explode("path").alias("up"))
@@ -192,37 +236,66 @@ def affecting(mods: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return mods.join(below.union(above).distinct().withColumnRenamed("id", "affected"), "affected", "left_semi")
 
 
-TYPE = re.compile(r"\b(class|interface|enum)\s+(\w+)")
-MEMBER = re.compile(r"^\s*((?:(?:public|protected|private|static|final|abstract)\s+)*)([\w.<>\[\]]+)\s+(\w+)\s*(\([^)]*\))?\s*[;={]")
+TYPE = re.compile(r"\b(class|interface|enum)\s+(\w+)(?:\s*<[^{]*?>)?(?:\s+extends\s+([\w.,<>\s]+?))?(?:\s+implements\s+([\w.,<>\s]+?))?\s*\{")
+MEMBER = re.compile(r"^((?:(?:public|protected|private|static|final|abstract|synchronized|native|transient|volatile)\s+)*)(?:<[^>]*>\s*)?(?:([\w.]+(?:<[^()]*>)?(?:\s*\[\s*\])*)\s+)?(\w+)\s*(\([^)]*\))?((?:\s*\[\s*\])*)\s*(?:throws\s+([\w.,\s]+?))?\s*(?:=.*)?$", re.DOTALL)
+NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|@\w+(?:\([^)]*\))?", re.DOTALL)
+MEMBERS = "doc string, package string, type string, kind string, name string, returns string, params array<string>, throws array<string>, extends array<string>, modifiers array<string>, line int"
+
+
+def _names(text: str | None) -> list[str]:
+    """Types of a list, without what they are applied to; arrays keep their brackets."""
+    plain = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", text or ""))
+    return [re.sub(r"\s*\[\s*\]", "[]", t.strip()) for t in plain.split(",") if t.strip()]
+
+
+def _members(doc: str, text: str) -> Iterator[tuple]:
+    """The declarations of one source, read by its braces and semicolons: bodies of methods are skipped."""
+    text = NOISE.sub(lambda m: " " + "\n" * m.group().count("\n"), text)
+    package, types, depth, start = "", [], 0, 0
+    for m in re.finditer(r"[{};]", text):
+        mark, head = m.group(), text[start : m.start()].strip()
+        line = 1 + text.count("\n", 0, m.start() - len(text[start : m.start()].lstrip()))
+        start, inside = m.end(), bool(types) and depth == types[-1][0] + 1
+        if mark == "}":
+            depth -= 1
+            if types and depth == types[-1][0]:
+                types.pop()
+            continue
+        within = "$".join(t for _, t in types)
+        if (t := TYPE.search(head + "{")) and mark == "{" and depth == (types[-1][0] + 1 if types else 0):
+            types.append((depth, t.group(2)))
+            above = _names(t.group(3)) + _names(t.group(4))
+            yield doc, package, "$".join(x for _, x in types), t.group(1), t.group(2), None, [], [], above, head[: t.start()].split(), line
+        elif mark == ";" and depth == 0 and (p := re.match(r"(package|import)\s+(?:static\s+)?([\w.]+(?:\.\*)?)$", head)):
+            if p.group(1) == "package":
+                package = p.group(2)
+            else:
+                yield doc, package, "", "import", p.group(2), None, [], [], [], [], line
+        elif inside and (d := MEMBER.match(head)) and d.group(3) not in ("static", "return"):
+            called, result = d.group(4) is not None, d.group(2)
+            if called and result is None and d.group(3) != types[-1][1] or not called and (result is None or mark == "{" and not head.endswith("=")):
+                depth += mark == "{"
+                continue
+            params = [re.sub(r"^(?:final\s+)?(.*?)\s*\w+((?:\s*\[\s*\])*)$", r"\1\2", p) for p in _names((d.group(4) or "()")[1:-1])]
+            kind = "field" if not called else "constructor" if result is None else "method"
+            returns = _names(result + d.group(5))[0] if result else None
+            yield doc, package, within, kind, d.group(3), returns, params, _names(d.group(6)), [], d.group(1).split(), line
+        depth += mark == "{"
 
 
 def code_members(units: DataFrame) -> DataFrame:
-    """(doc, package, type, kind, name, returns, modifiers, line) of simple Java-like sources (doc, text).
+    """(MEMBERS) of Java-like sources (doc, text): types with what they extend, fields, methods and constructors with the
+    types of their parameters and of what they throw, and imports.
 
-    A line-based reader for declarations one to a line; bodies and annotations are skipped. It is a source for tests
-    and examples, not a compiler front end.
+    Comments, texts and annotations are dropped, bodies skipped; of several variables in one declaration the last counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in MEMBERS.split(", ")]
         for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
-                package, depth, types = "", 0, []
-                for n, line in enumerate((text or "").splitlines(), 1):
-                    code = re.sub(r"//.*", "", line)
-                    if m := re.match(r"\s*package\s+([\w.]+)\s*;", code):
-                        package = m.group(1)
-                    elif m := TYPE.search(code):
-                        types.append((depth, m.group(2)))
-                        out.append((doc, package, "$".join(t for _, t in types), m.group(1), m.group(2), None, [], n))
-                    elif types and depth == types[-1][0] + 1 and (m := MEMBER.match(code)) and m.group(2) not in ("return", "package", "import"):
-                        out.append((doc, package, "$".join(t for _, t in types), "method" if m.group(4) else "field", m.group(3), m.group(2), m.group(1).split(), n))
-                    depth += code.count("{") - code.count("}")
-                    while types and depth <= types[-1][0] and "}" in code:
-                        types.pop()
-            yield pd.DataFrame(out, columns=["doc", "package", "type", "kind", "name", "returns", "modifiers", "line"])
-
-    return units.select("doc", "text").mapInPandas(run, "doc string, package string, type string, kind string, name string, returns string, modifiers array<string>, line int")
+            yield pd.DataFrame([row for doc, text in zip(pdf["doc"], pdf["text"], strict=True) for row in _members(doc, text or "")], columns=names)
+
+    return units.select("doc", "text").mapInPandas(run, MEMBERS)
 
 
 def matches(name: str, include: Sequence[str], exclude: Sequence[str]) -> bool:
