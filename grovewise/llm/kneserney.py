@@ -1,12 +1,17 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted arrays that workers map into memory.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, stored as sorted arrays that workers map into
+memory.
 
 1. Words are hashed and counted; parts by the hash's leading bits become sorted arrays of hashes and counts in the
-   shared folder. A word's number is its place in that order.
-2. Tasks count bigrams as pairs of numbers, sorted and compressed, and Spark shuffles these runs by part. A part is a
-   hash of the first word, or of both words where the first is so frequent that its followers wouldn't fit a part.
-3. Each part is merged into a sorted array of pairs and counts; how many followers a word has once, twice and more, and
-   how many words precede it, goes to the word's part as runs again.
-4. Scoring tasks map all arrays and look up whole batches, sorted, by binary search.
+   shared folder. A word's number is its place in that order; the number after the last starts a text.
+2. Tasks count n-grams as tuples of numbers, sorted and compressed, and Spark shuffles these runs by part: a hash of the
+   trigram; for bigrams of the first word, or of both words where the first is so frequent that its followers wouldn't fit
+   a part.
+3. Each trigram part is merged into a sorted array of hashed trigrams and their counts; to the bigram parts go, as runs
+   again, how many words come before each bigram (one that starts a text keeps its count) and, for each pair as a context,
+   how often it comes and how many followers it has once, twice and more.
+4. Each bigram part is merged into sorted arrays alike; the same goes to the words' parts for words as contexts, with how
+   many words precede each word.
+5. Scoring tasks map the arrays and look up whole batches, sorted, by binary search.
 
 Tasks write a file under a name of their own and then move it, and write the same bytes when they run again.
 """
@@ -25,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import remainder, shared_path, stored
+from grovewise.llm.common import remainder, shared_path, stored, text_slices
 from grovewise.llm.shingles import mixed, words_of
 
 END = np.uint64(0x9D39247E33776D41)  # the hash that stands for the end of a text
 RUN_WORDS = 3_000_000  # words that a counting task holds
-RUNS = "part int, kind int, keys binary, counts binary"
+RUNS = "part int, kind int, keys binary, counts binary, last binary"
+TRIGRAM_PART_WORDS = 4_000_000
+ODD = np.uint64(0xD6E8FEB86659FD93)
 FAN_IN = 32  # runs that a task merges
 U32 = np.uint64(32)
 LOW = np.uint64(0xFFFFFFFF)
@@ -87,10 +94,16 @@ def unpack(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
-def run_row(part: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes, bytes]:
-    """Sorted keys as differences, with their counts."""
+def run_row(part: int, kind: int, keys: np.ndarray, counts: np.ndarray, last: np.ndarray | None = None) -> tuple[int, int, bytes, bytes, bytes]:
+    """Sorted keys as differences, with their counts and, for trigrams, the last word."""
     size = len(keys).to_bytes(8, "little")
-    return part, kind, size + pack(np.diff(keys, prepend=np.uint64(0))), pack(counts)
+    return part, kind, size + pack(np.diff(keys, prepend=np.uint64(0))), pack(counts), b"" if last is None else pack(last)
+
+
+def small(values: np.ndarray) -> np.ndarray:
+    """In the least type that holds them."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
 
 def read_run(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +112,9 @@ def read_run(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "kind", "keys", "counts"])
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "kind", "keys", "counts", "last"])
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +184,8 @@ def _with_end(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _count_words(at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                words, counts = np.unique(_with_end(batch.column("text").slice(at, at_once))[0], return_counts=True)
+            for part in text_slices(batch, "text", at_once):
+                words, counts = np.unique(_with_end(part.column("text"))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
     return run
@@ -226,8 +240,8 @@ def _count_bigrams(words: Words, hot: np.ndarray, parts: int, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                before, numbers = _bigrams(words, *_numbered(words, batch.column("text").slice(at, at_once)))
+            for part in text_slices(batch, "text", at_once):
+                before, numbers = _bigrams(words, *_numbered(words, part.column("text")))
                 held.append((before.astype(np.uint64) << U32) | numbers.astype(np.uint64))
                 n += len(numbers)
                 if n >= RUN_WORDS:
@@ -239,26 +253,137 @@ def _count_bigrams(words: Words, hot: np.ndarray, parts: int, at_once: int):
     return run
 
 
+# ---- trigrams
+
+
+def _sorted3(pairs: np.ndarray, last: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams (first two words, last word) in order, with their counts."""
+    order = np.lexsort((last, pairs))
+    pairs, last = pairs[order], last[order]
+    cuts = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (last[1:] != last[:-1]))) if len(pairs) else np.zeros(0, int)
+    if counts is None:
+        return pairs[cuts], last[cuts], np.diff(np.append(cuts, len(pairs)))
+    return pairs[cuts], last[cuts], np.add.reduceat(counts[order], cuts) if len(cuts) else counts[order]
+
+
+def _trigram_keys(pairs: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mixed(mixed(pairs) + last.astype(np.uint64) * ODD)
+
+
+def _pairs_before(words: Words, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The two words before each token as one number; before the first and second of a text there are starts."""
+    second = np.append(words.size, before[:-1])
+    second[first[:-1]] = words.size
+    return (second.astype(np.uint64) << U32) | before.astype(np.uint64)
+
+
+def _count_trigrams(words: Words, parts: int, at_once: int):
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pairs, last, counts = _sorted3(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        part = (_trigram_keys(pairs, last) % np.uint64(parts)).astype(np.int64)
+        return batch_of([run_row(p, 0, k, c, w) for p, (k, c, w) in split(part, pairs, counts, last)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in text_slices(batch, "text", at_once):
+                numbers, first = _numbered(words, part.column("text"))
+                held.append((_pairs_before(words, _bigrams(words, numbers, first)[0], first), numbers.astype(np.uint32)))
+                n += len(numbers)
+                if n >= RUN_WORDS:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return run
+
+
+#: Kinds of runs for bigram parts: bigrams with their counts, and what pairs have as contexts.
+CONTEXT = {11: "total", 12: "once", 13: "twice", 14: "more"}
+
+
+def _merge_trigrams(words: Words, hot: np.ndarray, bigram_parts: int):
+    """A part's runs to its arrays, and runs for the bigram parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        now = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+        held: list[tuple] = []
+        for k, c, w in zip(table.column("keys"), table.column("counts"), table.column("last"), strict=True):
+            keys, counts = read_run(k.as_py(), c.as_py())
+            held.append((keys, unpack(w.as_py(), len(keys)).astype(np.uint32), counts))
+            if sum(len(h[0]) for h in held) > max(len(now[0]), 1 << 20):  # merge when as much as is merged waits
+                now, held = _sorted3(*(np.concatenate(x) for x in zip(now, *held, strict=True))), []
+        pairs, last, counts = _sorted3(*(np.concatenate(x) for x in zip(now, *held, strict=True)))
+
+        start = (np.uint64(words.size) << U32) | np.uint64(words.size)
+        opening = pairs == start
+        bigrams = [((np.uint64(words.size) << U32) | last[opening].astype(np.uint64), counts[opening])]
+        pairs, last, counts = pairs[~opening], last[~opening], counts[~opening]
+        keys = _trigram_keys(pairs, last)
+        order = np.argsort(keys)
+        save(words.uri, f"trigrams-{part}", keys[order])
+        save(words.uri, f"counts-{part}", small(counts[order]))
+        rows = [(-1, 0, b"", pack(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)), b"")]
+
+        bigrams.append(np.unique(((pairs & LOW) << U32) | last.astype(np.uint64), return_counts=True))
+        for k, n in bigrams:
+            to = _bigram_part(words, (k >> U32).astype(np.int64), (k & LOW).astype(np.int64), hot, bigram_parts)
+            rows += [run_row(p, 0, x, m) for p, (x, m) in split(to, k, n)]
+        if len(pairs):
+            cuts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            contexts = pairs[cuts]
+            to = _bigram_part(words, (contexts >> U32).astype(np.int64), (contexts & LOW).astype(np.int64), hot, bigram_parts)
+            for kind, of in zip(CONTEXT, (counts, counts == 1, counts == 2, counts > 2), strict=True):
+                n = np.add.reduceat(of.astype(np.int64), cuts)
+                has = n > 0
+                rows += [run_row(p, kind, x, m) for p, (x, m) in split(to[has], contexts[has], n[has])]
+        return pa.Table.from_batches([batch_of(rows)])
+
+    return run
+
+
+def _summed(runs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of one kind as one."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, c in runs:
+        held.append(read_run(k, c))
+        if sum(len(h[0]) for h in held) > max(len(keys), 1 << 20):  # merge when as much as is merged waits
+            keys, counts = merged(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
+            held = []
+    return merged(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
+
+
 def _merge_bigrams(words: Words):
-    """A part's runs to its arrays; to each word's part go: preceding words (kind 1), followers once, twice, more (2-4)."""
+    """A part's runs to its arrays; to each word's part go: preceding words (kind 1), followers once, twice, more (2-4) and
+    what all followers' counts sum up to (5)."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, c in zip(table.column("keys"), table.column("counts"), strict=True):
-            held.append(read_run(k.as_py(), c.as_py()))
-            if sum(len(h[0]) for h in held) > max(len(keys), 1 << 20):  # merge when as much as is merged waits
-                keys, counts = merged(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
-                held = []
-        keys, counts = merged(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
+        runs: dict[int, list[tuple[bytes, bytes]]] = {}
+        for kind, k, c in zip(table.column("kind").to_pylist(), table.column("keys"), table.column("counts"), strict=True):
+            runs.setdefault(kind, []).append((k.as_py(), c.as_py()))
+        keys, counts = _summed(runs.get(0, []))
         save(words.uri, f"pairs-{part}", keys)
-        save(words.uri, f"times-{part}", counts.astype(np.uint32) if not len(counts) or counts.max() <= LOW else counts)
-        often = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)
-        rows = [(-1, 0, b"", pack(often))]
+        save(words.uri, f"times-{part}", small(counts))
+        if 11 in runs:
+            contexts, total = _summed(runs[11])
+            save(words.uri, f"contexts-{part}", contexts)
+            save(words.uri, f"total-of-{part}", small(total))
+            for kind in (12, 13, 14):
+                own, n = _summed(runs.get(kind, []))
+                values = np.zeros(len(contexts), dtype=np.uint64)
+                values[np.searchsorted(contexts, own)] = n
+                save(words.uri, f"{CONTEXT[kind]}-of-{part}", small(values))
+        rows = [(-1, 0, b"", pack(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)), b"")]
         bounds = np.array(words.first)
-        for kind, of in ((1, keys & LOW), (2, keys[counts == 1] >> U32), (3, keys[counts == 2] >> U32), (4, keys[counts > 2] >> U32)):
-            ids, n = np.unique(of, return_counts=True)
+        for kind, of in ((1, keys & LOW), (2, keys[counts == 1] >> U32), (3, keys[counts == 2] >> U32), (4, keys[counts > 2] >> U32), (5, keys >> U32)):
+            if kind == 5:
+                ids, n = merged(of, counts)
+            else:
+                ids, n = np.unique(of, return_counts=True)
             for p, (i, m) in split(np.minimum(np.searchsorted(bounds, ids.astype(np.int64), side="right") - 1, len(bounds) - 1), ids, n):
                 rows.append(run_row(p, kind, i, m))
         return pa.Table.from_batches([batch_of(rows)])
@@ -282,7 +407,7 @@ def _few_runs(runs: DataFrame, n_each: int) -> DataFrame:
     return runs
 
 
-KINDS = {1: "preceding", 2: "once", 3: "twice", 4: "more"}
+KINDS = {1: "preceding", 2: "once", 3: "twice", 4: "more", 5: "total"}
 
 
 def _write_sums(words: Words):
@@ -315,17 +440,43 @@ def discounts(often: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
+def _place(there: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, is it there?) of each key in a sorted array that isn't empty."""
+    at = np.minimum(np.searchsorted(there, keys), len(there) - 1)
+    return at, there[at] == keys
+
+
 @dataclass(frozen=True)
 class Model:
     words: Words
     hot: tuple[int, ...]
     parts: int
+    trigram_parts: int  # 0 for a model of order 2
     texts: int
     tokens: int
     pairs: int
     preceding: tuple[int, ...]  # words with 1, 2, 3, 4, more preceding words
     d1: tuple[float, float, float]  # discounts of numbers of preceding words
     d2: tuple[float, float, float]  # discounts of bigram counts
+    d3: tuple[float, float, float] = (0.5, 0.75, 0.9)  # discounts of trigram counts
+
+    @property
+    def order(self) -> int:
+        return 3 if self.trigram_parts else 2
+
+    def _looked_up(self, keys: np.ndarray, part: np.ndarray, of: str, names: tuple[str, ...]) -> list[np.ndarray]:
+        """The values of some arrays at keys, which are looked up in the sorted arrays ``of``; 0 where there is none."""
+        out = [np.zeros(len(keys), dtype=np.int64) for _ in names]
+        for p, (k, where) in split(part, keys, np.arange(len(keys))):
+            there = mapped(self.words.uri, f"{of}-{p}")
+            if len(there):
+                at, found = _place(there, k)
+                for values, name in zip(out, names, strict=True):
+                    values[where[found]] = mapped(self.words.uri, f"{name}-{p}")[at[found]]
+        return out
+
+    def _pair_part(self, pairs: np.ndarray) -> np.ndarray:
+        return _bigram_part(self.words, (pairs >> U32).astype(np.int64), (pairs & LOW).astype(np.int64), np.array(self.hot, dtype=np.int64), self.parts)
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: tokens, known tokens, base score and log10 probability."""
@@ -343,10 +494,8 @@ class Model:
         low = (kept + (spare if self.pairs else 1.0) / (v + 1))[back]
 
         contexts, cback = np.unique(before, return_inverse=True)
-        is_start = contexts == v
-        total = np.where(is_start, self.texts, words.values("raw", contexts))
-        start = {name: int(mapped(words.uri, f"{name}-{len(words.first) - 1}")[0]) if self.pairs else 0 for name in ("once", "twice", "more")}
-        followers = [np.where(is_start, start[k], words.values(k, contexts)) for k in ("once", "twice", "more")]
+        start = {name: int(mapped(words.uri, f"{name}-{len(words.first) - 1}")[0]) if self.pairs else 0 for name in ("once", "twice", "more", "total")}
+        total, *followers = (np.where(contexts == v, start[k], words.values(k, contexts)) for k in ("total", "once", "twice", "more"))
         back_off = sum(x * n for x, n in zip(self.d2, followers, strict=True)) / np.maximum(total, 1)
         back_off = np.where(total > 0, back_off, 1.0)
         unseen_before = np.append(True, numbers[:-1] == v)  # an unknown word isn't the start
@@ -354,27 +503,50 @@ class Model:
 
         known = ~unseen_before & (numbers < v)
         pairs, pback = np.unique((before[known].astype(np.uint64) << U32) | numbers[known].astype(np.uint64), return_inverse=True)
-        times = np.zeros(len(pairs), dtype=np.int64)
-        part = _bigram_part(words, (pairs >> U32).astype(np.int64), (pairs & LOW).astype(np.int64), np.array(self.hot, dtype=np.int64), self.parts)
-        for p, (k, where) in split(part, pairs, np.arange(len(pairs))):
-            there = mapped(words.uri, f"pairs-{p}")
-            if len(there):
-                at = np.minimum(np.searchsorted(there, k), len(there) - 1)
-                times[where] = np.where(there[at] == k, mapped(words.uri, f"times-{p}")[at], 0)
+        (times,) = self._looked_up(pairs, self._pair_part(pairs), "pairs", ("times",))
         d = np.array([0.0, *self.d2])
         high = np.zeros(len(numbers))
         high[known] = np.maximum(times - d[np.minimum(times, 3)], 0)[pback]
         p = np.where(unseen_before, low, high / np.maximum(total, 1)[cback] + back_off[cback] * low)
+        if self.trigram_parts:
+            p = self._with_trigrams(numbers, before, first, unseen_before, p)
         sums = [np.add.reduceat(x, first[:-1]) if len(texts) else np.zeros(0) for x in (np.log10(p), base, (raw > 0)[back].astype(np.int64))]
         return {"n_tokens": np.diff(first), "n_known": sums[2], "base_score": sums[1], "score": sums[0]}
 
+    def _with_trigrams(self, numbers: np.ndarray, before: np.ndarray, first: np.ndarray, unseen_before: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The probabilities of tokens with two known words, or the start and one, before them; the others' stay."""
+        opening = np.zeros(len(numbers), dtype=bool)
+        opening[first[:-1]] = True
+        usable = np.flatnonzero(~opening & ~unseen_before & ~np.append(True, unseen_before[:-1]))
+        pairs = _pairs_before(self.words, before, first)[usable]
+        contexts, back = np.unique(pairs, return_inverse=True)
+        total, *followers = self._looked_up(contexts, self._pair_part(contexts), "contexts", ("total-of", "once-of", "twice-of", "more-of"))
+        back_off = np.where(total > 0, sum(x * n for x, n in zip(self.d3, followers, strict=True)) / np.maximum(total, 1), 1.0)
+        keys, kback = np.unique(_trigram_keys(pairs, numbers[usable]), return_inverse=True)
+        (times,) = self._looked_up(keys, (keys % np.uint64(self.trigram_parts)).astype(np.int64), "trigrams", ("counts",))
+        d = np.array([0.0, *self.d3])
+        high = np.maximum(times - d[np.minimum(times, 3)], 0)[kback] * (numbers[usable] < self.words.size)
+        out = p.copy()
+        out[usable] = high / np.maximum(total, 1)[back] + back_off[back] * p[usable]
+        return out
 
-def train(docs: DataFrame, at_once: int = 512, part_words: int = 8_000_000) -> Model:
-    """Count a model of the rows of ``docs`` (text); null texts are empty and count as an end.
+
+def _often(runs: DataFrame) -> np.ndarray:
+    """How many n-grams have which count, up to 5 or more, as the parts have noted."""
+    often = np.zeros(6, dtype=np.int64)
+    for r in runs.where("part = -1").select("counts").toLocalIterator():
+        often += unpack(bytes(r["counts"]), 6).astype(np.int64)
+    return often
+
+
+def train(docs: DataFrame, order: int = 3, at_once: int = 512, part_words: int = 8_000_000) -> Model:
+    """Count a model of ``order`` 2 or 3 of the rows of ``docs`` (text); null texts are empty and count as an end.
 
     What stays in the driver is a number for each part. Counts may be any number; 2**32 distinct words or more are an
     error. A table without rows gives a model that knows no word.
     """
+    if order not in (2, 3):
+        raise ValueError(f"a model of order {order}: 2 and 3 are known")
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = stored(texts.mapInArrow(_count_words(at_once), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     v, tokens = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -395,15 +567,21 @@ def train(docs: DataFrame, at_once: int = 512, part_words: int = 8_000_000) -> M
     parts, limit = max(1, -(-tokens // part_words)), part_words // 8
     hot_hashes = np.sort(np.array([r["word"] for r in counted.where(F.col("n") > limit).select("word").collect()], dtype=np.int64).view(np.uint64))
     hot = np.append(words.numbers(hot_hashes), [v] if n_texts > limit else []).astype(np.int64)
-    runs = texts.mapInArrow(_count_bigrams(words, hot, parts, at_once), RUNS)
+    trigram_parts, d3 = 0, (0.5, 0.75, 0.9)
+    if order == 3:
+        trigram_parts = max(1, -(-tokens // min(part_words, TRIGRAM_PART_WORDS)))
+        runs = texts.mapInArrow(_count_trigrams(words, trigram_parts, at_once), RUNS)
+        runs = stored(runs.groupBy("part").applyInArrow(_merge_trigrams(words, hot, parts), RUNS), "lm-bigrams")
+        d3 = discounts(list(_often(runs)[1:5]))
+        runs = runs.where("part >= 0")
+    else:
+        runs = texts.mapInArrow(_count_bigrams(words, hot, parts, at_once), RUNS)
     sums = stored(runs.groupBy("part").applyInArrow(_merge_bigrams(words), RUNS), "lm-sums")
-    often = np.zeros(6, dtype=np.int64)
-    for r in sums.where("part = -1").select("counts").toLocalIterator():
-        often += unpack(bytes(r["counts"]), 6).astype(np.int64)
+    often = _often(sums)
     before = _few_runs(sums.where("part >= 0"), parts).groupBy("part").applyInArrow(_write_sums(words), "part int, k int, n long")
     before = dict(before.groupBy("k").agg(F.sum("n")).collect())
     preceding = tuple(int(before.get(k, 0)) for k in range(1, 6))
-    return Model(words, tuple(int(x) for x in hot), parts, int(n_texts), int(tokens), int(often.sum()), preceding, discounts(list(preceding)), discounts(list(often[1:5])))
+    return Model(words, tuple(int(x) for x in hot), parts, trigram_parts, int(n_texts), int(tokens), int(often.sum()), preceding, discounts(list(preceding)), discounts(list(often[1:5])), d3)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -414,8 +592,7 @@ def score_documents(docs: DataFrame, model: Model, at_once: int = 512) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
+            for part in text_slices(batch, "text", at_once):
                 found = model.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[pa.array(x) for x in found.values()]], names=["doc_id", *found])
 
@@ -423,13 +600,13 @@ def score_documents(docs: DataFrame, model: Model, at_once: int = 512) -> DataFr
     return docs.select("doc_id", text).mapInArrow(run, SCORES)
 
 
-def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3) -> DataFrame:
     """Train on the rows whose crc32 of the id leaves another remainder than ``held``, and score all.
 
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Rows with a null id are scored and count
     as held out. Repeated rows are counted and scored each. Other columns are ignored; an empty table gives no rows.
     """
     out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(True))
-    model = train(docs.where(~out))
+    model = train(docs.where(~out), order)
     scored = score_documents(docs, model)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
