@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import stored
+from grovewise.llm.common import stored, text_slices
 from grovewise.llm.tokens import word_tokens
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -25,12 +25,11 @@ PACKED = PIECES + ", sequence_id long, offset long"
 GROUP_IDS = 1 << 32  # sequence ids of a group
 
 
-def _cut(vocabulary: str, capacity: int, closing: int, at_once: int = 512):
+def _cut(vocabulary: str, capacity: int, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
+            for part in text_slices(batch, "text"):
                 ids, cuts = tokens.ids([t or "" for t in part.column("text").to_pylist()])
                 out: list[tuple] = []
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
@@ -73,7 +72,8 @@ def pack_documents(
     each. An empty table gives no rows; other columns are ignored.
     """
     pieces = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_cut(vocabulary, capacity, closing), PIECES)
-    pieces = stored(pieces, "packing-pieces")
+    # Numbered, so that repeated rows are dealt to different groups.
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     groups = max(1, round(pieces.count() / group_pieces))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,5 +82,5 @@ def pack_documents(
         pdf["sequence_id"] = pdf.pop("group") * GROUP_IDS + sequence
         return pdf[[c.split()[0] for c in PACKED.split(", ")]]
 
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     return grouped.groupBy("group").applyInPandas(pack, PACKED)

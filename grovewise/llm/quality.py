@@ -33,12 +33,13 @@ def statistics(texts: pa.Array) -> np.ndarray:
     """(texts, STATS): counts by word or by byte, all finite; an empty text has zeros."""
     data, offsets = text_bytes(texts)
     n = len(offsets) - 1
-    counts = {}
+    counts, filled = {}, np.flatnonzero(np.diff(offsets))
     for name, members in CLASSES.items():
         table = np.zeros(256, dtype=np.uint8)
         table[list(members)] = 1
-        sums = np.append(0, np.cumsum(table[data], dtype=np.int64))
-        counts[name] = sums[offsets[1:]] - sums[offsets[:-1]]
+        counts[name] = np.zeros(n, dtype=np.int64)
+        if len(filled):
+            counts[name][filled] = np.add.reduceat(table[data], offsets[filled], dtype=np.int64)
     words, first = words_of(texts)
     n_words = np.diff(first)
     distinct, common = np.zeros(n), np.zeros(n)
@@ -172,23 +173,22 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresho
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose quality score reaches ``threshold``, with all their columns.
+    """The rows of ``docs`` whose quality score reaches ``threshold``, with all their columns, of any name.
 
-    Statistics travel beside the rows under names that no column of ``docs`` has, so texts aren't shuffled.
+    Scored as by ``quality``, null and empty texts and rows with a null id like others. Statistics travel beside the
+    rows, so texts aren't shuffled.
     """
     sample = measured(labelled_sample(docs, labels, "quality", rows), labelled=True).toPandas()
     model = fit_rules(sample[list(STATS)].to_numpy(), sample["y"].to_numpy())
-    prefix = "_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    names = [prefix + s for s in STATS]
-    at = docs.columns.index("text")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at, names = docs.columns.index("text"), [f"stat_{s}" for s in STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, at):
                 x = statistics(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=[*inner, *names])
 
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    return docs.mapInArrow(run, schema).where(model.column(prefix) >= threshold).select(*docs.columns)
+    renamed = docs.toDF(*inner)
+    schema = T.StructType([*renamed.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return renamed.mapInArrow(run, schema).where(model.column("stat_") >= threshold).select(*inner).toDF(*docs.columns)

@@ -7,6 +7,7 @@ words' hashes. Equal hashes of 64 bits stand for equal shingles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,7 @@ _RNG = np.random.default_rng(20)
 BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 PLACE = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
+BLOCK = 1 << 22  # bytes worked on at once
 BASE_INVERSE = pow(BASE, -1, 2**64)
 
 
@@ -44,19 +46,43 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
+def _blocks(data: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about BLOCK bytes that end where no word goes on: at a space or a text's end."""
+    at = 0
+    while at < len(data):
+        end = min(at + BLOCK, len(data))
+        while end < len(data):
+            stop = SPACE[data[end : end + BLOCK]] | marks[end : min(end + BLOCK, len(data))]
+            if stop.any():
+                end += int(stop.argmax())
+                break
+            end = min(end + BLOCK, len(data))
+        yield at, end
+        at = end
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, first word of each text and the number of words)."""
+    """(hash of every word in order, first word of each text and the number of words).
+
+    Works through the bytes in blocks, so that what it needs at once, beside the texts and the words' hashes, doesn't
+    follow the length of a text: a few bytes for each byte of text.
+    """
     data, offsets = text_bytes(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = SPACE[data]
-    before, after = np.append(True, space[:-1]), np.append(space[1:], True)
-    before[offsets[:-1][offsets[:-1] < len(data)]] = True
-    after[offsets[1:] - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _powers(1 << (len(data) - 1).bit_length() if len(data) > 1 else 2)
-    sums = np.append(np.uint64(0), np.cumsum(BYTE[LOWER[data]] * up[: len(data)], dtype=np.uint64))
-    return mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    marks = np.zeros(len(data) + 1, dtype=bool)
+    marks[offsets] = True
+    hashes, places = [], []
+    for at, end in _blocks(data, marks):
+        part = data[at:end]
+        space = SPACE[part]
+        before, after = np.append(True, space[:-1]) | marks[at:end], np.append(space[1:], True) | marks[at + 1 : end + 1]
+        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        up, down = _powers(1 << (len(part) - 1).bit_length() if len(part) > 1 else 2)
+        sums = np.append(np.uint64(0), np.cumsum(BYTE[LOWER[part]] * up[: len(part)], dtype=np.uint64))
+        hashes.append(mixed((sums[ends] - sums[starts]) * down[starts]))
+        places.append(starts + at)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
 
 
 def shingles_of(texts: pa.Array, width: int) -> list[np.ndarray]:

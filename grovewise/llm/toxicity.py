@@ -269,4 +269,5 @@ def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
             found = np.array([weigh(matcher, t or "") for t in part.column(at).to_pylist()], dtype=np.float64).reshape(-1, 2)
             yield part.filter(pa.array(_score(lexicon, found[:, 0], found[:, 1]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)

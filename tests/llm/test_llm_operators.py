@@ -547,42 +547,87 @@ def test_packing_covers_every_id_once(spark, corpus):
     assert pack_documents(spark.createDataFrame([], DOCS), path).count() == 0
 
 
+@given(st.lists(st.integers(1, 16), max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_assignment_takes_the_cheapest_sequence_with_room(lengths):
+    from grovewise.llm.packing import assign
+
+    lengths = np.array(sorted(lengths, reverse=True), dtype=np.int64)
+    sequence, offset = assign(lengths, 16, 1.0, 0.125)
+    n = max(1, -(-int(lengths.sum()) // 16))
+    load, cost = [0] * n, [0.0] * n
+    for size, s, at in zip(lengths.tolist(), sequence.tolist(), offset.tolist(), strict=True):
+        fits = [(cost[k], k) for k in range(len(load)) if load[k] + size <= 16]
+        want = min(fits)[1] if fits else len(load)
+        if not fits:
+            load.append(0)
+            cost.append(0.0)
+        assert (s, at) == (want, load[want])
+        load[want] += size
+        cost[want] += size + 0.125 * size * size
+
+
+@given(st.lists(st.text(alphabet="ab \n", max_size=30), max_size=6), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_words_dont_depend_on_blocks(texts, block):
+    from grovewise.llm import shingles
+
+    whole, size = shingles.words_of(pa.array(texts, pa.string())), shingles.BLOCK
+    try:
+        shingles.BLOCK = block
+        parts = shingles.words_of(pa.array(texts, pa.string()))
+    finally:
+        shingles.BLOCK = size
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 # ---- language model
 
 
-def test_kneser_ney_against_brute_force(spark, corpus):
+@pytest.mark.parametrize("order", (2, 3))
+def test_kneser_ney_against_brute_force(spark, corpus, order):
     from grovewise.llm.kneserney import discounts, language_model_scores
 
     docs = [*corpus, *ODD]
-    got = rows_of(language_model_scores(spark.createDataFrame(docs, DOCS)))
+    got = rows_of(language_model_scores(spark.createDataFrame(docs, DOCS), order=order))
     tok = lambda t: [*(t or "").encode().lower().split(), "END"]
     learn = [tok(d[1]) for d in docs if d[0] is not None and zlib.crc32(str(d[0]).encode()) % 7 != 2]
     c = Counter(w for ws in learn for w in ws)
-    pairs = Counter(p for ws in learn for p in zip(["START", *ws[:-1]], ws, strict=True))
+    raw = Counter(p for ws in learn for p in zip(["START", *ws[:-1]], ws, strict=True))
+    triples = Counter(p for ws in learn for p in zip(["START", *ws], ws, ws[1:], strict=False))
+    # In a model of order 3 a bigram's count is how many words come before it; those that start a text keep theirs.
+    after = Counter((v, w) for _, v, w in triples)
+    pairs = raw if order == 2 else Counter({**after, **{(u, w): n for (u, w), n in raw.items() if u == "START"}})
     n, v = sum(c.values()), len(c)
-    times, before = Counter(pairs.values()), Counter(w for _, w in pairs)
+    times, before, times3 = Counter(pairs.values()), Counter(w for _, w in pairs), Counter(triples.values())
     d2, d1 = discounts([times[k] for k in (1, 2, 3, 4)]), discounts([Counter(before.values())[k] for k in (1, 2, 3, 4)])
-    follow = defaultdict(Counter)
+    d3 = discounts([times3[k] for k in (1, 2, 3, 4)])
+    follow, follow3 = defaultdict(Counter), defaultdict(Counter)
     for (u, w), k in pairs.items():
         follow[u][w] = k
+    for (t, u, w), k in triples.items():
+        follow3[t, u][w] = k
     cut = lambda d, k: d[min(k, 3) - 1] if k else 0.0
     spare = sum(cut(d1, k) for k in before.values()) / len(pairs)
     low = lambda w: max(before[w] - cut(d1, before[w]), 0) / len(pairs) + spare / (v + 1)
 
-    def p(u, w):
-        f = follow.get(u)
-        if not f:
-            return low(w)
-        return max(f[w] - cut(d2, f[w]), 0) / sum(f.values()) + sum(cut(d2, k) for k in f.values()) / sum(f.values()) * low(w)
+    def mixed(f, d, w, rest):
+        return max(f[w] - cut(d, f[w]), 0) / sum(f.values()) + sum(cut(d, k) for k in f.values()) / sum(f.values()) * rest if f else rest
+
+    def p(t, u, w):
+        two = mixed(follow.get(u), d2, w, low(w))
+        return mixed(follow3.get((t, u)), d3, w, two) if order == 3 and t is not None else two
 
-    assert abs(sum(p("START", w) for w in c) + p("START", "unknown") - 1) < 1e-9
+    assert abs(sum(p(None, "START", w) for w in c) + p(None, "START", "unknown") - 1) < 1e-9
+    first = learn[0]
+    assert abs(sum(p("START", first[0], w) for w in c) + p("START", first[0], "unknown") - 1) < 1e-9
     want = {d[0]: tok(d[1]) for d in docs}
     assert len(got) == len(docs)
     for r in got:
         ws = want[r["doc_id"]]
         assert r["n_tokens"] == len(ws) and r["n_known"] == sum(c[w] > 0 for w in ws) and r["train_tokens"] == n
         assert abs(r["base_score"] - sum(log10((c[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6 * max(1, len(ws))
-        assert abs(r["score"] - sum(log10(p(u, w)) for u, w in zip(["START", *ws[:-1]], ws, strict=True))) < 1e-6 * max(1, len(ws))
+        assert abs(r["score"] - sum(log10(p(t, u, w)) for t, u, w in zip([None, "START", *ws], ["START", *ws], ws, strict=False))) < 1e-6 * max(1, len(ws))
 
 
 def test_frequent_first_words_are_split_over_parts(spark, corpus):
@@ -590,7 +635,7 @@ def test_frequent_first_words_are_split_over_parts(spark, corpus):
 
     docs = spark.createDataFrame(corpus, DOCS)
     whole, parts = train(docs), train(docs, part_words=64)
-    assert parts.parts > 50 and len(parts.hot) > 3
+    assert parts.parts > 50 and parts.trigram_parts > 50 and len(parts.hot) > 3
     a = {r["doc_id"]: r["score"] for r in rows_of(score_documents(docs, whole))}
     b = {r["doc_id"]: r["score"] for r in rows_of(score_documents(docs, parts))}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 * abs(a[k]) for k in a)
@@ -719,6 +764,32 @@ def test_mixing_stage_keeps_null_ids_and_columns_of_any_name(spark, corpus):
     assert mixed_documents(docs.limit(0)).columns == docs.columns and mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, corpus, tmp_path):
+    """Null ids, null and empty texts, repeated rows, unusual columns and empty tables pass every stage."""
+    import corpus_pipeline
+
+    extra = "_n int, key string, row long, `a.b` int, taken int, signature string"
+    rows = [(*d, 1, "k", 2, 3, 4, "s") for d in corpus + ODD]
+    docs = spark.createDataFrame(rows, f"{DOCS}, {extra}")
+    labels = spark.createDataFrame([(d[0], i % 7 and 1, int(i % 9 == 0)) for i, d in enumerate(corpus)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda r: str((r["doc_id"], r["text"]))
+    given = {key(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, docs, str(tmp_path)).collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "packing":
+            assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in docs.collect()} and sum(r["doc_id"] == 5 for r in kept) == 2
+            continue
+        assert {key(r) for r in kept} <= given and all((r["_n"], r["key"], r["a.b"]) == (1, "k", 3) for r in kept)
+        ids = Counter(r["doc_id"] for r in kept)
+        assert ids[None] == 1 or name in ("quality", "toxicity", "mixing")
+        if name == "near_duplicates":
+            assert ids[1] == ids[2] == ids[4] == ids[7] == 1 and ids[5] == 1
+        if name == "mixing":
+            assert ids[1] == ids[2] == ids[4] == 0 and ids[5] in (0, 2, 4, 6, 8)
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     import corpus_pipeline
 
