@@ -69,6 +69,21 @@ def ranked_order(children: DataFrame, parent: str, ranks: Sequence[Column], id_:
     return placed.withColumn(into, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int")).select(*children.columns, into)
 
 
+def running_totals(rows: DataFrame, parent: str, order: Sequence[str], totals: dict[str, str]) -> DataFrame:
+    """``rows`` with running totals per parent in the order of columns, rows of equal order taken together; ``totals`` names
+    each by the column that it sums. Rows are cut into ranges of (parent, order) as by ``ranked_order``."""
+    cut = checkpointed(rows.repartitionByRange(parent, *order).withColumn("_range", F.spark_partition_id()))
+    sums = cut.groupBy(parent, "_range").agg(*[F.sum(v).alias(f"_{k}") for k, v in totals.items()], F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(parent).orderBy("_range")
+    before = [(F.sum(f"_{k}").over(upto) - F.col(f"_{k}")).alias(f"_{k}") for k in totals]
+    offsets = sums.select(F.col(parent).alias("_parent"), F.col("_range").alias("_at"), *before, (F.sum("_n").over(upto) > F.col("_n")).alias("_on")).where("_on")
+    within = Window.partitionBy(parent, "_range").orderBy(*order)
+    # Only parents that go on from an earlier range have an offset: fewer rows than there are ranges.
+    summed = cut.withColumns({k: F.sum(v).over(within) for k, v in totals.items()})
+    found = summed.join(F.broadcast(offsets), F.col(parent).eqNullSafe(F.col("_parent")) & (F.col("_range") == F.col("_at")), "left")
+    return found.select(*rows.columns, *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0))).alias(k) for k in totals])
+
+
 def greedy_order(ids: list[str], edges: dict[tuple[str, str], int]) -> list[str]:
     """Place next the child that the weakest constraint of an unplaced one holds back, ties by id.
 
@@ -125,4 +140,4 @@ def moved(before: DataFrame, after: DataFrame, parent: str) -> DataFrame:
     return before.join(after.withColumnRenamed("place", "_new"), [parent, "id"]).where("place <> _new").select(parent, "id", F.col("_new").alias("place"))
 
 
-__all__ = ["greedy_order", "moved", "priority_order", "ranked_order", "relative_edges", "sequence_edges", "sort_as_corresponding", "sort_by_value", "value_edges"]
+__all__ = ["greedy_order", "moved", "priority_order", "ranked_order", "relative_edges", "running_totals", "sequence_edges", "sort_as_corresponding", "sort_by_value", "value_edges"]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovewise.operators.ordering import running_totals
+
 
 def snapshot_diff(before: DataFrame, now: DataFrame, key: str, stamp: str, is_dir: str | None = None) -> DataFrame:
     """(key, action): add, edit, delete or same. A directory is never edited. One full outer join on the key."""
@@ -79,20 +81,26 @@ def duplicate_names(rows: DataFrame, name: str, order: str) -> DataFrame:
 def dispense_names(rows: DataFrame, name: str, order: str, kind: Column) -> DataFrame:
     """Unique names: a repeated name becomes ``base-N``, a missing one ``kind-N``.
 
-    N starts at the holder's number and moves past names that are taken: the taken numbers of a base are a set, and the
-    n-th free number is found in it, so nobody waits for another's choice.
+    N starts at the holder's number and moves past names that are taken. With the taken numbers of a base in order, the
+    j-th pushes up every number from its own less j - 1 on, so how far a holder moves is a running count; numbers and
+    counts are running totals over ranges, and no base's rows, however many, meet in one task.
     """
-    base = F.coalesce(F.col(name), kind)
-    w = Window.partitionBy("_base").orderBy(F.col(name).isNull(), order)
-    keyed = rows.withColumn("_base", base).withColumn("_k", F.row_number().over(w))
-    keyed = keyed.withColumn("_k", F.when(F.col(name).isNull() & ~F.max(F.col(name).isNotNull()).over(Window.partitionBy("_base")), F.col("_k") + 1).otherwise(F.col("_k")))
-    taken = rows.where(F.col(name).rlike("-[1-9][0-9]*$")).select(F.regexp_extract(name, "^(.*)-([0-9]+)$", 1).alias("_base"), F.regexp_extract(name, "^(.*)-([0-9]+)$", 2).cast("long").alias("_t"))
-    sets = taken.groupBy("_base").agg(F.array_sort(F.collect_set("_t")).alias("_taken"))
-    found = keyed.join(sets, "_base", "left")
-    want = F.col("_k").cast("long") - 1
-    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<long>")), want, lambda n, t: F.when(t <= n, n + 1).otherwise(n))
-    fresh = F.concat("_base", F.lit("-"), free.cast("string"))
-    return found.withColumn("unique_name", F.when((F.col("_k") == 1) & F.col(name).isNotNull(), F.col(name)).otherwise(fresh)).drop("_base", "_k", "_taken")
+    named = F.col(name).isNotNull()
+    keyed = rows.withColumn("_base", F.coalesce(F.col(name), kind)).withColumn("_late", (~named).cast("int")).withColumn("_one", F.lit(1)).withColumn("_named", named.cast("int"))
+    keyed = running_totals(keyed, "_base", ["_late", order], {"_k": "_one", "_held": "_named"})
+    want = F.col("_k").cast("long") - F.when(~named & (F.col("_held") == 0), 0).otherwise(1)
+    keyed = keyed.withColumn("_want", want)
+
+    number = F.regexp_extract(name, "^(.*)-([0-9]+)$", 2).try_cast("long")
+    taken = rows.where(F.col(name).rlike("-[1-9][0-9]*$")).select(F.regexp_extract(name, "^(.*)-([0-9]+)$", 1).alias("_base"), number.alias("_t"), F.lit(1).alias("_one")).where("_t is not null").distinct()
+    taken = running_totals(taken, "_base", ["_t"], {"_j": "_one"}).select("_base", (F.col("_t") - F.col("_j") + 1).alias("_want"), F.lit(1).alias("_push"))
+    marks = taken.unionByName(keyed.select("_base", "_want").distinct().withColumn("_push", F.lit(0)))
+    marks = marks.groupBy("_base", "_want").agg(F.sum("_push").alias("_push"))
+    moved = running_totals(marks, "_base", ["_want"], {"_moved": "_push"}).where("_moved > 0").select("_base", "_want", "_moved")
+    found = keyed.join(moved, ["_base", "_want"], "left")
+    fresh = F.concat("_base", F.lit("-"), (F.col("_want") + F.coalesce("_moved", F.lit(0))).cast("string"))
+    unique = F.when(named & (F.col("_k") == 1), F.col(name)).otherwise(fresh)
+    return found.select(*rows.columns, unique.alias("unique_name"))
 
 
 def resolve_in_scopes(refs: DataFrame, scopes: Sequence[tuple[str, DataFrame, Column]]) -> DataFrame:

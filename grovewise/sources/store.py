@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` as the cluster names it; a temporary folder only where it is unset in local mode, as in
+    tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="grovewise-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
