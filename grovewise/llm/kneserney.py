@@ -4,11 +4,10 @@ memory.
 1. Words are hashed and counted; parts by the hash's leading bits become sorted arrays of hashes and counts in the
    shared folder. A word's number is its place in that order; the number after the last starts a text.
 2. Tasks count n-grams as tuples of numbers, sorted and compressed, and Spark shuffles these runs by part: a hash of the
-   trigram; for bigrams of the first word, or of both words where the first is so frequent that its followers wouldn't fit
-   a part.
-3. Each trigram part is merged into a sorted array of hashed trigrams and their counts; to the bigram parts go, as runs
-   again, how many words come before each bigram (one that starts a text keeps its count) and, for each pair as a context,
-   how often it comes and how many followers it has once, twice and more.
+   context, or of the whole n-gram where the context's words are so frequent that its followers might not fit a part.
+3. Each trigram part is merged into a sorted array of hashed trigrams and their counts, and one of its contexts: how often
+   each comes and how many followers it has once, twice and more. To the bigram parts go, as runs again, how many words
+   come before each bigram (one that starts a text keeps its count), and the same of contexts that were split.
 4. Each bigram part is merged into sorted arrays alike; the same goes to the words' parts for words as contexts, with how
    many words precede each word.
 5. Scoring tasks map the arrays and look up whole batches, sorted, by binary search.
@@ -197,7 +196,7 @@ def _write_words(uri: str):
         words = table.column("word").to_numpy().view(np.uint64)
         order = np.argsort(words)
         save(uri, f"words-{part}", words[order])
-        save(uri, f"raw-{part}", table.column("n").to_numpy()[order])
+        save(uri, f"raw-{part}", small(table.column("n").to_numpy()[order]))
         return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(words)], pa.int64())})
 
     return run
@@ -270,6 +269,15 @@ def _trigram_keys(pairs: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mixed(mixed(pairs) + last.astype(np.uint64) * ODD)
 
 
+def _both_hot(pairs: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Pairs of two frequent words, whose followers are split over parts; others come no more often than such a word."""
+    return np.isin((pairs >> U32).astype(np.int64), hot) & np.isin((pairs & LOW).astype(np.int64), hot)
+
+
+def _trigram_part(pairs: np.ndarray, last: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    return (np.where(_both_hot(pairs, hot), _trigram_keys(pairs, last), mixed(pairs)) % np.uint64(parts)).astype(np.int64)
+
+
 def _pairs_before(words: Words, before: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The two words before each token as one number; before the first and second of a text there are starts."""
     second = np.append(words.size, before[:-1])
@@ -277,10 +285,10 @@ def _pairs_before(words: Words, before: np.ndarray, first: np.ndarray) -> np.nda
     return (second.astype(np.uint64) << U32) | before.astype(np.uint64)
 
 
-def _count_trigrams(words: Words, parts: int, at_once: int):
+def _count_trigrams(words: Words, hot: np.ndarray, parts: int, at_once: int):
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         pairs, last, counts = _sorted3(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        part = (_trigram_keys(pairs, last) % np.uint64(parts)).astype(np.int64)
+        part = _trigram_part(pairs, last, hot, parts)
         return batch_of([run_row(p, 0, k, c, w) for p, (k, c, w) in split(part, pairs, counts, last)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,14 +339,16 @@ def _merge_trigrams(words: Words, hot: np.ndarray, bigram_parts: int):
         for k, n in bigrams:
             to = _bigram_part(words, (k >> U32).astype(np.int64), (k & LOW).astype(np.int64), hot, bigram_parts)
             rows += [run_row(p, 0, x, m) for p, (x, m) in split(to, k, n)]
-        if len(pairs):
-            cuts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-            contexts = pairs[cuts]
-            to = _bigram_part(words, (contexts >> U32).astype(np.int64), (contexts & LOW).astype(np.int64), hot, bigram_parts)
-            for kind, of in zip(CONTEXT, (counts, counts == 1, counts == 2, counts > 2), strict=True):
-                n = np.add.reduceat(of.astype(np.int64), cuts)
-                has = n > 0
-                rows += [run_row(p, kind, x, m) for p, (x, m) in split(to[has], contexts[has], n[has])]
+        cuts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, int)
+        contexts = pairs[cuts]
+        split_up = _both_hot(contexts, hot)
+        to = _bigram_part(words, (contexts >> U32).astype(np.int64), (contexts & LOW).astype(np.int64), hot, bigram_parts)
+        save(words.uri, f"contexts-{part}", contexts[~split_up])
+        for (kind, name), of in zip(CONTEXT.items(), (counts, counts == 1, counts == 2, counts > 2), strict=True):
+            n = np.add.reduceat(of.astype(np.int64), cuts) if len(cuts) else np.zeros(0, np.int64)
+            save(words.uri, f"{name}-of-{part}", small(n[~split_up]))
+            has = split_up & (n > 0)
+            rows += [run_row(p, kind, x, m) for p, (x, m) in split(to[has], contexts[has], n[has])]
         return pa.Table.from_batches([batch_of(rows)])
 
     return run
@@ -362,21 +372,23 @@ def _merge_bigrams(words: Words):
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
+        if part == -1:  # what the trigram parts have noted
+            noted = sum(unpack(c.as_py(), 6) for c in table.column("counts"))
+            return pa.Table.from_batches([batch_of([(-2, 0, b"", pack(noted), b"")])])
         runs: dict[int, list[tuple[bytes, bytes]]] = {}
         for kind, k, c in zip(table.column("kind").to_pylist(), table.column("keys"), table.column("counts"), strict=True):
             runs.setdefault(kind, []).append((k.as_py(), c.as_py()))
         keys, counts = _summed(runs.get(0, []))
         save(words.uri, f"pairs-{part}", keys)
         save(words.uri, f"times-{part}", small(counts))
-        if 11 in runs:
-            contexts, total = _summed(runs[11])
-            save(words.uri, f"contexts-{part}", contexts)
-            save(words.uri, f"total-of-{part}", small(total))
-            for kind in (12, 13, 14):
-                own, n = _summed(runs.get(kind, []))
-                values = np.zeros(len(contexts), dtype=np.uint64)
-                values[np.searchsorted(contexts, own)] = n
-                save(words.uri, f"{CONTEXT[kind]}-of-{part}", small(values))
+        contexts, total = _summed(runs.get(11, []))  # none in a model of order 2
+        save(words.uri, f"split-{part}", contexts)
+        save(words.uri, f"split-total-{part}", small(total))
+        for kind in (12, 13, 14):
+            own, n = _summed(runs.get(kind, []))
+            values = np.zeros(len(contexts), dtype=np.uint64)
+            values[np.searchsorted(contexts, own)] = n
+            save(words.uri, f"split-{CONTEXT[kind]}-{part}", small(values))
         rows = [(-1, 0, b"", pack(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)), b"")]
         bounds = np.array(words.first)
         for kind, of in ((1, keys & LOW), (2, keys[counts == 1] >> U32), (3, keys[counts == 2] >> U32), (4, keys[counts > 2] >> U32), (5, keys >> U32)):
@@ -423,7 +435,7 @@ def _write_sums(words: Words):
             ids, m = read_run(k.as_py(), c.as_py())
             sums[KINDS[kind]][ids.astype(np.int64) - first] += m.astype(np.int64)
         for name, values in sums.items():
-            save(words.uri, f"{name}-{part}", values)
+            save(words.uri, f"{name}-{part}", small(values))
         often = np.bincount(np.minimum(sums["preceding"], 5), minlength=6)
         return pa.table({"part": pa.array([part] * 5, pa.int32()), "k": pa.array(range(1, 6), pa.int32()), "n": pa.array(often[1:], pa.int64())})
 
@@ -520,10 +532,17 @@ class Model:
         usable = np.flatnonzero(~opening & ~unseen_before & ~np.append(True, unseen_before[:-1]))
         pairs = _pairs_before(self.words, before, first)[usable]
         contexts, back = np.unique(pairs, return_inverse=True)
-        total, *followers = self._looked_up(contexts, self._pair_part(contexts), "contexts", ("total-of", "once-of", "twice-of", "more-of"))
+        hot = np.array(self.hot, dtype=np.int64)
+        split_up = _both_hot(contexts, hot)
+        found = np.zeros((4, len(contexts)), dtype=np.int64)
+        whole, parted = contexts[~split_up], contexts[split_up]
+        found[:, ~split_up] = self._looked_up(whole, (mixed(whole) % np.uint64(self.trigram_parts)).astype(np.int64), "contexts", ("total-of", "once-of", "twice-of", "more-of"))
+        found[:, split_up] = self._looked_up(parted, self._pair_part(parted), "split", ("split-total", "split-once", "split-twice", "split-more"))
+        total, *followers = found
         back_off = np.where(total > 0, sum(x * n for x, n in zip(self.d3, followers, strict=True)) / np.maximum(total, 1), 1.0)
-        keys, kback = np.unique(_trigram_keys(pairs, numbers[usable]), return_inverse=True)
-        (times,) = self._looked_up(keys, (keys % np.uint64(self.trigram_parts)).astype(np.int64), "trigrams", ("counts",))
+        keys, one, kback = np.unique(_trigram_keys(pairs, numbers[usable]), return_index=True, return_inverse=True)
+        part = _trigram_part(pairs[one], numbers[usable][one], hot, self.trigram_parts)
+        (times,) = self._looked_up(keys, part, "trigrams", ("counts",))
         d = np.array([0.0, *self.d3])
         high = np.maximum(times - d[np.minimum(times, 3)], 0)[kback] * (numbers[usable] < self.words.size)
         out = p.copy()
@@ -531,15 +550,22 @@ class Model:
         return out
 
 
-def _often(runs: DataFrame) -> np.ndarray:
+def _with_all_parts(runs: DataFrame, parts: int) -> DataFrame:
+    """``runs`` and an empty one for each part, so that every part has its arrays."""
+    none = F.lit(bytearray()).alias("none")
+    empty = runs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(bytearray(8)).alias("keys"), none.alias("counts"), none.alias("last"))
+    return runs.unionByName(empty)
+
+
+def _often(runs: DataFrame, mark: int) -> np.ndarray:
     """How many n-grams have which count, up to 5 or more, as the parts have noted."""
     often = np.zeros(6, dtype=np.int64)
-    for r in runs.where("part = -1").select("counts").toLocalIterator():
+    for r in runs.where(F.col("part") == mark).select("counts").toLocalIterator():
         often += unpack(bytes(r["counts"]), 6).astype(np.int64)
     return often
 
 
-def train(docs: DataFrame, order: int = 3, at_once: int = 512, part_words: int = 8_000_000) -> Model:
+def train(docs: DataFrame, order: int = 2, at_once: int = 512, part_words: int = 8_000_000) -> Model:
     """Count a model of ``order`` 2 or 3 of the rows of ``docs`` (text); null texts are empty and count as an end.
 
     What stays in the driver is a number for each part. Counts may be any number; 2**32 distinct words or more are an
@@ -567,17 +593,16 @@ def train(docs: DataFrame, order: int = 3, at_once: int = 512, part_words: int =
     parts, limit = max(1, -(-tokens // part_words)), part_words // 8
     hot_hashes = np.sort(np.array([r["word"] for r in counted.where(F.col("n") > limit).select("word").collect()], dtype=np.int64).view(np.uint64))
     hot = np.append(words.numbers(hot_hashes), [v] if n_texts > limit else []).astype(np.int64)
-    trigram_parts, d3 = 0, (0.5, 0.75, 0.9)
+    trigram_parts = 0
     if order == 3:
         trigram_parts = max(1, -(-tokens // min(part_words, TRIGRAM_PART_WORDS)))
-        runs = texts.mapInArrow(_count_trigrams(words, trigram_parts, at_once), RUNS)
-        runs = stored(runs.groupBy("part").applyInArrow(_merge_trigrams(words, hot, parts), RUNS), "lm-bigrams")
-        d3 = discounts(list(_often(runs)[1:5]))
-        runs = runs.where("part >= 0")
+        runs = texts.mapInArrow(_count_trigrams(words, hot, trigram_parts, at_once), RUNS)
+        runs = _with_all_parts(runs, trigram_parts).groupBy("part").applyInArrow(_merge_trigrams(words, hot, parts), RUNS)
     else:
         runs = texts.mapInArrow(_count_bigrams(words, hot, parts, at_once), RUNS)
-    sums = stored(runs.groupBy("part").applyInArrow(_merge_bigrams(words), RUNS), "lm-sums")
-    often = _often(sums)
+    sums = stored(_with_all_parts(runs, parts).groupBy("part").applyInArrow(_merge_bigrams(words), RUNS), "lm-sums")
+    often, often3 = _often(sums, -1), _often(sums, -2)
+    d3 = discounts(list(often3[1:5]))
     before = _few_runs(sums.where("part >= 0"), parts).groupBy("part").applyInArrow(_write_sums(words), "part int, k int, n long")
     before = dict(before.groupBy("k").agg(F.sum("n")).collect())
     preceding = tuple(int(before.get(k, 0)) for k in range(1, 6))
@@ -600,10 +625,11 @@ def score_documents(docs: DataFrame, model: Model, at_once: int = 512) -> DataFr
     return docs.select("doc_id", text).mapInArrow(run, SCORES)
 
 
-def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3) -> DataFrame:
+def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> DataFrame:
     """Train on the rows whose crc32 of the id leaves another remainder than ``held``, and score all.
 
-    (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Rows with a null id are scored and count
+    (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). A model of order 3 takes some five times the
+    room of the texts, which is why 2 is the default. Rows with a null id are scored and count
     as held out. Repeated rows are counted and scored each. Other columns are ignored; an empty table gives no rows.
     """
     out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(True))

@@ -634,7 +634,7 @@ def test_frequent_first_words_are_split_over_parts(spark, corpus):
     from grovewise.llm.kneserney import score_documents, train
 
     docs = spark.createDataFrame(corpus, DOCS)
-    whole, parts = train(docs), train(docs, part_words=64)
+    whole, parts = train(docs, 3), train(docs, 3, part_words=64)
     assert parts.parts > 50 and parts.trigram_parts > 50 and len(parts.hot) > 3
     a = {r["doc_id"]: r["score"] for r in rows_of(score_documents(docs, whole))}
     b = {r["doc_id"]: r["score"] for r in rows_of(score_documents(docs, parts))}
