@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster names it; a temporary folder only where it is unset in local mode, as in
     tests."""
@@ -21,8 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="grovewise-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _temporary[app] = _temporary.get(app) or "file://" + tempfile.mkdtemp(prefix="grovewise-shared-")
     return found.rstrip("/")
 
 
