@@ -16,21 +16,27 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _with_least(pairs: DataFrame, least: DataFrame, hub_degree: int | None) -> DataFrame:
-    """``pairs`` with their node's ``m``; hubs, if there are any, are looked up by a broadcast of HUBS rows at most, so
-    that the pairs of one hub needn't meet in a task."""
-    if hub_degree is None:
-        return pairs.join(least.select("a", "m"), "a")
-    hub = F.col("degree") >= hub_degree
-    hubs = F.broadcast(least.where(hub).select("a", "m"))
-    return pairs.join(hubs, "a").unionByName(pairs.join(hubs.select("a"), "a", "left_anti").join(least.where(~hub).select("a", "m"), "a"))
+def joined_apart(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, hot: int | None) -> DataFrame:
+    """``rows`` with what ``found``, unique by ``keys``, has for them. Keys of ``hot`` rows or more (``weight``) are looked up
+    in a broadcast, so that the rows of one key needn't meet in a task; they are few where ``hot`` is a share of all."""
+    if hot is None:
+        return rows.join(found.drop(weight), keys)
+    many = F.broadcast(found.where(F.col(weight) >= hot).drop(weight))
+    rest = rows.join(many.select(*keys), keys, "left_anti").join(found.where(F.col(weight) < hot).drop(weight), keys)
+    return rows.join(many, keys).unionByName(rest)
+
+
+def hot_from(total: int, most: int | None) -> int | None:
+    """From how many rows on a key is hot: a share of ``total``, so that at most HUBS keys are; None if no key has so many."""
+    least = max(HUBS, -(-total // HUBS))
+    return least if (most or 0) >= least else None
 
 
 def _large_star(edges: DataFrame, hub_degree: int | None) -> DataFrame:
     """Every node links its larger neighbours to its least neighbour (itself included)."""
     pairs = _both_ways(edges)
     least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("a", "m"))
-    return _with_least(pairs, least, hub_degree).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return joined_apart(pairs, least, ["a"], "degree", hub_degree).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -56,8 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         unsettled, degrees, most = nodes.agg(F.max(other), F.sum("degree"), F.max("degree")).first()
         if not unsettled:
             break
-        hub_degree = max(HUBS, -(-degrees // HUBS))
-        now = stored(_small_star(_large_star(now, hub_degree if most >= hub_degree else None)), "components")
+        now = stored(_small_star(_large_star(now, hot_from(degrees, most))), "components")
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from grovewise.llm.cells import Forest, cell_runs, dealt_to_cells, pairs, whole_cells
 from grovewise.llm.common import stored, text_slices
-from grovewise.llm.components import connected_components
+from grovewise.llm.components import connected_components, hot_from, joined_apart
 from grovewise.llm.shingles import mixed, shared, shingles_of
 
 SIGNED = "n_shingles long, key_a long, key_b long, bands array<long>, signature binary"
@@ -171,9 +171,10 @@ def _links(full: DataFrame, width: int, percent: int, bands: int, rows: int, cel
     of a set."""
     least = max(0.0, percent / 100 - 4.5 * sqrt(percent / 100 * (1 - percent / 100) / (bands * rows)))
     keys = ["n_shingles", "key_a", "key_b"]
-    heads = full.groupBy(*keys).agg(F.min("row").alias("node"))
-    nodes = stored(full.select("row", *keys).join(heads, keys).select("row", "node"), "minhash-nodes")
-    filed = full.select(F.col("row").alias("node"), "bands").join(nodes.where("row = node").select("node"), "node", "left_semi")
+    heads = stored(full.groupBy(*keys).agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "minhash-sets")
+    total, most = heads.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    nodes = stored(joined_apart(full.select("row", *keys), heads, keys, "n", hot_from(total, most)).select("row", "node"), "minhash-nodes")
+    filed = full.select(F.col("row").alias("node"), "bands").join(heads.select("node"), "node", "left_semi")
     filed = filed.select("node", F.explode("bands").alias("bucket"))
     buckets = filed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     members = stored(filed.join(buckets, "bucket"), "minhash-members")

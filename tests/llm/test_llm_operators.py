@@ -364,9 +364,12 @@ def test_near_vectors_in_large_cells(spark):
     assert 1000 < want.sum() < 300 * 299 and sum(got.values()) > 0.998 * want.sum() and all(got[i] <= want[i] for i in got)
 
 
-def test_components_of_a_long_path_and_a_hub(spark):
+@pytest.mark.parametrize("hubs", (1000, 5))
+def test_components_of_a_long_path_and_a_hub(spark, monkeypatch, hubs):
+    from grovewise.llm import components
     from grovewise.llm.components import connected_components
 
+    monkeypatch.setattr(components, "HUBS", hubs)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(3, 3)]
     random.Random(1).shuffle(edges)
     got = {r["node"]: r["component"] for r in rows_of(connected_components(spark.createDataFrame(edges, "a long, b long")))}
@@ -383,10 +386,12 @@ def brute_sets(text, width):
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_near_documents_against_brute_force(spark, corpus, width, percent):
+def test_near_documents_against_brute_force(spark, corpus, width, percent, monkeypatch):
+    from grovewise.llm import components
     from grovewise.llm.minhash import distinct_documents, near_documents
 
-    docs = [*corpus, *ODD]
+    monkeypatch.setattr(components, "HUBS", 5)
+    docs = [*corpus, *ODD, *((1000 + i, corpus[3][1], "en", "a", 1) for i in range(80))]
     df = spark.createDataFrame(docs, DOCS)
     got = rows_of(near_documents(df, width, percent))
     sets = [(d[0], brute_sets(d[1], width)) for d in docs if d[0] is not None]
