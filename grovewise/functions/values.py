@@ -101,3 +101,9 @@ def deep_equal(a: Column, b: Column) -> Column:
     """Equal items in equal order; empty equals empty, null counts as empty."""
     empty = lambda x: F.size(F.coalesce(x, F.array().cast("array<string>"))) == 0
     return F.when(empty(a) | empty(b), empty(a) & empty(b)).otherwise(a == b)
+
+
+def integer_range(start: Column, end: Column) -> Column:
+    """The integers from ``start`` to ``end`` as an array, empty where the end lies below the start or one is empty."""
+    a, b = start.cast("long"), end.cast("long")
+    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from grovewise.functions.scalars import md5_base64, sanitize_ascii
 from grovewise.operators.axes import each
+from grovewise.operators.snapshots import dispense_names
 from grovewise.sources.forest import FIELDS
 from grovewise.sources.store import checkpointed
 
@@ -152,6 +153,15 @@ def serial_ids(rows: DataFrame, parent_key: str, order: str, into: str = "key")
     return rows.withColumn(into, F.concat(F.col(parent_key), F.when(n > 1, F.concat(F.lit("-"), serial.cast("string"))).otherwise(""), F.lit(".")))
 
 
+def fresh_documents(rows: DataFrame, doc: str, key: str, taken: DataFrame) -> DataFrame:
+    """New documents under names that no document of ``taken`` (doc) and no other new one has: a name that is in use gets
+    a number, in the order of keys."""
+    old = taken.select(F.col("doc").alias(doc)).distinct().withColumn("_new", F.lit(False)).withColumn("_key", F.lit(""))
+    both = rows.select(doc, F.col(key).alias("_key")).withColumn("_new", F.lit(True)).unionByName(old.select(doc, "_key", "_new"))
+    named = dispense_names(both, doc, "_key", F.col("_key")).where("_new").select(F.col("_key").alias(key), "unique_name")
+    return rows.drop(doc).join(named, key).withColumnRenamed("unique_name", doc)
+
+
 def single_roots(rows: DataFrame, doc: str = "doc") -> DataFrame:
     """New documents' roots; a document that would get several is an error."""
     n = F.count(F.lit(1)).over(Window.partitionBy(doc))

@@ -61,6 +61,20 @@ def identity_match(before: DataFrame, now: DataFrame, keys: Sequence[Sequence[st
     return found
 
 
+def hierarchical_match(levels: Sequence[tuple[DataFrame, DataFrame, Sequence[Sequence[str]]]], id_: str, parent: str) -> list[DataFrame]:
+    """(new id, old id) for each level of a hierarchy, given from the top as (before, now, key lists as in
+    ``identity_match``): parents are matched first, and items match only below parents that do. What has no such parent is
+    new, or gone."""
+    out: list[DataFrame] = []
+    for before, now, keys in levels:
+        if out:
+            up = out[-1].select(F.col("new_id").alias(parent), F.col("old_id").alias("_old"))
+            now = now.join(up, parent).drop(parent).withColumnRenamed("_old", parent)
+            keys = [[parent, *k] for k in keys]
+        out.append(identity_match(before, now, keys, id_))
+    return out
+
+
 def change_records(before: DataFrame, now: DataFrame, matches: DataFrame, id_: str, content: Sequence[str]) -> DataFrame:
     """(id, action): matched items whose content differs are edits, the others additions and deletions."""
     print_ = F.xxhash64(*content)

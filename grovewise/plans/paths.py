@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovewise.functions import values
 from grovewise.operators import axes, bindings
 from grovewise.operators.axes import attr, each, step
 from grovewise.registry import query
@@ -226,8 +227,7 @@ def set_topmost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 to @region + 2; an empty range where the end is below the start."""
     n = table(spark, sf_dir, "nation")
-    end = F.col("n_regionkey").cast("long") + 2
-    span = F.when(end >= 2, F.sequence(F.lit(2).cast("long"), end)).otherwise(F.array().cast("array<long>"))
+    span = values.integer_range(F.lit(2), F.col("n_regionkey") + 2)
     return n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.explode(span).alias("i"))
 
 
@@ -243,10 +243,9 @@ def seq_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cond_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     """if (@balance < 0) then .. else order: the union of two filtered branches."""
     f = region_forest(spark, sf_dir, "nation", "customer", "order")
-    c = each(f, "c", "customer").withColumn("poor", attr("c", "balance").cast("double") < 0)
-    then = step(c.where("poor"), f, "c", "parent", None, "x")
-    other = step(c.where("not poor"), f, "c", "child", "order", "x")
-    return then.unionByName(other).select(F.col("c.id").alias("customer"), F.col("x.id").alias("item"))
+    poor = attr("c", "balance").cast("double") < 0
+    found = bindings.choose(each(f, "c", "customer"), poor, lambda c: step(c, f, "c", "parent", None, "x"), lambda c: step(c, f, "c", "child", "order", "x"))
+    return found.select(F.col("c.id").alias("customer"), F.col("x.id").alias("item"))
 
 
 @query("SELECT 'n' || n_nationkey AS id, 'nation' AS name, n_name AS label FROM nation UNION ALL SELECT 'r' || r_regionkey, 'region', r_name FROM region UNION ALL SELECT 's' || s_suppkey, 'other', NULL FROM supplier")

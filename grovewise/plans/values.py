@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.functions import registry, values
-from grovewise.operators import axes, construct, ordering, rules, similarity, snapshots, temporal
+from grovewise.operators import axes, bindings, construct, ordering, rules, similarity, snapshots, temporal
 from grovewise.operators.axes import attr, each
 from grovewise.plans.changes import QUIET, _at
 from grovewise.registry import query
@@ -265,3 +265,41 @@ def binding_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = f.withColumn("doc", F.when(F.col("name") == "nation", F.col("id")).otherwise(F.col("doc")))
     bound = axes.step(each(f, "n", "nation"), f, "n", "parent", "region", "r")
     return rules.dependencies(bound, F.concat(F.col("n.id"), F.lit(".")), ["n", "r"])
+
+
+_SEQUENCES = "SELECT o_custkey AS k, string_agg(o_orderpriority, '/' ORDER BY o_orderkey) AS s FROM orders WHERE o_orderstatus = '{}' GROUP BY o_custkey"
+
+
+@query(f"SELECT a.k AS a, b.k AS b FROM ({_SEQUENCES.format('F')}) a JOIN ({_SEQUENCES.format('P')}) b ON a.s = b.s")
+def join_sequence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers one of whom has, in finished orders, the sequence of priorities that the other has in pending ones."""
+    o = table(spark, sf_dir, "orders")
+    left, right = (bindings.sequences(o.where(F.col("o_orderstatus") == s), "o_custkey", "o_orderpriority", "o_orderkey").withColumnRenamed("o_custkey", k) for s, k in (("F", "a"), ("P", "b")))
+    return left.join(right, "sequence").select("a", "b")
+
+
+_SIDES = ("SELECT c_custkey AS id, c_nationkey AS parent, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 5 <> 0", "SELECT c_custkey + 1000000 AS id, c_nationkey + 100 AS parent, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 7 <> 0")
+
+
+@query(f"""
+    WITH m AS (SELECT n_nationkey + 100 AS new_id, n_nationkey AS old_id FROM nation WHERE n_nationkey % 6 <> 0), b AS ({_SIDES[0]}), n AS (SELECT n.id, m.old_id AS parent, segment, balance FROM ({_SIDES[1]}) n JOIN m ON m.new_id = n.parent),
+    b1 AS (SELECT *, count(*) OVER (PARTITION BY parent, segment, balance) AS c FROM b), n1 AS (SELECT *, count(*) OVER (PARTITION BY parent, segment, balance) AS c FROM n)
+    SELECT n1.id AS new_id, b1.id AS old_id FROM n1 JOIN b1 USING (parent, segment, balance) WHERE n1.c = 1 AND b1.c = 1
+""")
+def identity_in_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations are matched by name, every sixth having got another; customers only below nations that are."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    none = F.lit(None).cast("int")
+    old = n.select(F.col("n_nationkey").alias("id"), none.alias("parent"), F.col("n_name").alias("name"))
+    new = n.select((F.col("n_nationkey") + 100).alias("id"), none.alias("parent"), F.when(F.col("n_nationkey") % 6 == 0, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name")).alias("name"))
+    c.createOrReplaceTempView("_customer")
+    before, now = (spark.sql(s.replace("FROM customer", "FROM _customer")) for s in _SIDES)
+    return snapshots.hierarchical_match([(old, new, [["name"]]), (before, now, [["segment", "balance"]])], "id", "parent")[1]
+
+
+@query("SELECT 'k' || c_custkey AS key, CASE WHEN p = 0 THEN d ELSE d || '-' || p END AS doc FROM (SELECT c_custkey, 'doc-' || c_mktsegment || '.xml' AS d, row_number() OVER (PARTITION BY c_mktsegment ORDER BY 'k' || c_custkey) - CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END AS p FROM customer)")
+def fresh_document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' documents are named by segment; one such name is in use before."""
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit("doc-"), "c_mktsegment", F.lit(".xml")).alias("doc"))
+    taken = spark.range(1).select(F.lit("doc-BUILDING.xml").alias("doc"))
+    return rules.fresh_documents(rows, "doc", "key", taken)
