@@ -103,7 +103,8 @@ def even_capacity(sizes: list[tuple[int, int]], bins: int) -> list[Run]:
         size, count = left[0]
         if size * (bins - own) <= total:
             break
-        runs.append((size, 0, 1, own))
+        taken = sum(r[0] == size for r in runs)
+        runs.append((size, taken, taken + 1, own))
         own += 1
         left = ([(size, count - 1)] if count > 1 else []) + left[1:]
     skipped = {size: sum(1 for r in runs if r[0] == size) for size, *_ in runs}
