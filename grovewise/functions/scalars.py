@@ -1,9 +1,8 @@
-"""Scalar, array, map and hash functions as Spark columns. All stay in the JVM but ``hmac_md5`` and ``sanitize_key``."""
+"""Scalar, array, map and hash functions as Spark columns. All stay in the JVM but ``sanitize_key``."""
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Callable, Mapping
 
 import pandas as pd
@@ -114,11 +113,11 @@ def md5_base64(s: Column) -> Column:
 
 
 def hmac_md5(key: str) -> Callable[[Column], Column]:
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else hmac.new(key.encode(), t.encode(), hashlib.md5).hexdigest())
-
-    return run
+    """The keyed digest as hex: two rounds of md5 over the padded key and the text."""
+    k = key.encode()
+    k = (hashlib.md5(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in k)) for pad in (0x36, 0x5C))
+    return lambda s: F.md5(F.concat(outer, F.unhex(F.md5(F.concat(inner, s.cast("binary"))))))
 
 
 # ---- arrays
