@@ -76,8 +76,31 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op8_kneser_ney, op9_pack_documents, op10_mix_sources)}
+def op11_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.chatformat import conversation_digests, format_conversations
+
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return conversation_digests(format_conversations(turns))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op8_kneser_ney, op9_pack_documents, op10_mix_sources, op11_format_chats)}
 ORACLE_SQL: dict[str, str] = {
+    "op11_format_chats": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+        ), e AS (
+            SELECT *, replace(replace(replace(replace(role, '\\', '\\\\'), '<turn>', '\\<turn>'), '<text>', '\\<text>'), '</turn>', '\\</turn>') AS r,
+                   replace(replace(replace(replace(text, '\\', '\\\\'), '<turn>', '\\<turn>'), '<text>', '\\<text>'), '</turn>', '\\</turn>') AS x FROM t
+        ), f AS (SELECT *, '<turn>' || r || '<text>' || x || '</turn>' || chr(10) AS formatted FROM e)
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
+               coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, formatted), '')) AS loss_sha256,
+               sum(length(formatted))::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
     "op4_maxscore_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
