@@ -85,7 +85,13 @@ def op11_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op8_kneser_ney, op9_pack_documents, op10_mix_sources, op11_format_chats)}
+def op13_whiten_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.whitening import integer_vectors, whitened_components
+
+    return whitened_components(integer_vectors(table(spark, sf_dir, "embeddings")), components=8)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op8_kneser_ney, op9_pack_documents, op10_mix_sources, op11_format_chats, op13_whiten_vectors)}
 ORACLE_SQL: dict[str, str] = {
     "op11_format_chats": """
         WITH t AS (
