@@ -85,13 +85,24 @@ def op11_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovewise.llm.common import stored
+    from grovewise.llm.hardnegatives import hard_negatives, labelled_vectors
+
+    moved = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    rows = stored(labelled_vectors(moved), "pivot-vectors")
+    found = hard_negatives(rows, rows.where("id % 100 = 0"), positives=5, negatives=10, low=30, high=90)
+    scores = (F.col(c).cast("long").alias(c) for c in ("positive_score", "negative_score"))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", *scores)
+
+
 def op13_whiten_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovewise.llm.whitening import integer_vectors, whitened_components
 
     return whitened_components(integer_vectors(table(spark, sf_dir, "embeddings")), components=8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op8_kneser_ney, op9_pack_documents, op10_mix_sources, op11_format_chats, op13_whiten_vectors)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity_lexicon, op3_shard_documents, op4_maxscore_topk, op5_near_vectors, op6_near_documents, op7_count_tokens, op8_kneser_ney, op9_pack_documents, op10_mix_sources, op11_format_chats, op12_hard_negatives, op13_whiten_vectors)}
 ORACLE_SQL: dict[str, str] = {
     "op11_format_chats": """
         WITH t AS (
@@ -119,6 +130,24 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id, score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), n AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
     "op6_near_documents": """
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
