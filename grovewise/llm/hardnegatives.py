@@ -202,7 +202,8 @@ def choose_pivots(rows: DataFrame, pivots: int) -> dict[int, Pivots]:
     out = {}
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     for width, m in sorted(rows.groupBy(F.size("v")).agg(F.sqrt(F.max(norm))).collect()):
-        sample = np.array([r[0] for r in rows.where(F.size("v") == width).select("v").orderBy(F.xxhash64("v", "id")).limit(SAMPLE).collect()]).reshape(-1, width)
+        sample = rows.where(F.size("v") == width).select("v").orderBy(F.xxhash64("v", "id")).limit(SAMPLE).collect()
+        sample = np.array([r[0] for r in sample], float).reshape(len(sample), width)
         every = np.hstack([sample, np.sqrt(np.maximum(m * m - (sample * sample).sum(axis=1), 0.0))[:, None]])
         chosen, far = [0], np.full(len(every), np.inf)
         while len(chosen) < min(pivots, len(every)):
