@@ -1,14 +1,12 @@
-"""Scalar, array, map and hash functions as Spark columns. All stay in the JVM but ``sanitize_key``."""
+"""Scalar, array, map and hash functions as Spark columns. All stay in the JVM."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # ---- arithmetic: an empty (null) operand gives an empty result
 
@@ -99,10 +97,12 @@ def sanitize_ascii(s: Column) -> Column:
     return F.array_join(F.transform(chars, lambda c: F.when(c.rlike("^[A-Za-z0-9]$"), c).when(c == "-", "--").otherwise(F.concat(F.lit("-"), F.lower(F.hex(F.ascii(c).cast("long"))), F.lit("-")))), "")
 
 
-@F.pandas_udf(StringType())
-def sanitize_key(s: pd.Series) -> pd.Series:
-    """As ``sanitize_ascii`` with letters and digits of any script."""
-    return s.map(lambda t: None if t is None else "".join(c if c.isalnum() else "--" if c == "-" else f"-{ord(c):x}-" for c in t))
+def sanitize_key(s: Column) -> Column:
+    """As ``sanitize_ascii`` with letters and digits of any script, as the JVM's tables have them."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    # A character's code point is that of its UTF-32 form.
+    point = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-32"))), "^0*", "")
+    return F.array_join(F.transform(chars, lambda c: F.when(c.rlike(r"^[\p{L}\p{N}]$"), c).when(c == "-", "--").otherwise(F.concat(F.lit("-"), point(c), F.lit("-")))), "")
 
 
 # ---- hashes

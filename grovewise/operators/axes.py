@@ -1,7 +1,11 @@
 """Steps along axes, predicates and positions over bindings.
 
 A binding is a row; a node-valued variable is a struct column of it. A step joins the variable to the forest and adds
-the nodes reached as another variable, so a path is a chain of joins that Catalyst reorders and prunes.
+the nodes reached as another variable, so a path is a chain of joins that Catalyst reorders and prunes. A node is known by
+its document and its id: documents may use the same ids.
+
+Where the forest has the labels of ``intervals.labelled``, descendants, ancestors and what follows or precedes are found
+by intervals, in work that doesn't grow with depth; else by the ids and positions that each node carries.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovewise.operators.intervals import LABELS, structural_step
 from grovewise.operators.ordering import ranked_order
 from grovewise.sources.forest import FIELDS
 
@@ -20,49 +25,69 @@ AXES = (
 )
 
 
+def named(nodes: DataFrame, name: str | None) -> DataFrame:
+    """The name test of every axis: a name, ``*`` for elements of any name, None for nodes of every kind."""
+    return nodes if name is None else nodes.where("kind = 'element'") if name == "*" else nodes.where(F.col("name") == name)
+
+
+def _fields(nodes: DataFrame) -> list[str]:
+    return [*FIELDS, *(c for c in LABELS if c in nodes.columns)]
+
+
 def _as(nodes: DataFrame, var: str, name: str | None, *extra: Column) -> DataFrame:
-    found = nodes.where(F.col("name") == name) if name not in (None, "*") else nodes
-    return found.select(F.struct(*FIELDS).alias(var), *extra)
+    return named(nodes, name).select(F.struct(*_fields(nodes)).alias(var), *extra)
 
 
 def each(nodes: DataFrame, var: str, name: str | None = None, roots: bool = False) -> DataFrame:
-    """All nodes of a name (of every name for None), or the roots only, as variable ``var``."""
+    """All nodes that pass a name test, or the roots only, as variable ``var``."""
     return _as(nodes.where(F.col("parent_id").isNull()) if roots else nodes, var, name)
 
 
 def step(bound: DataFrame, nodes: DataFrame, origin: str, axis: str, name: str | None = None, into: str = "node", outer: bool = False) -> DataFrame:
-    """Bindings extended by each node that ``axis`` leads to from variable ``origin``; ``outer`` keeps those without."""
+    """Bindings extended by each node that ``axis`` leads to from variable ``origin``; ``outer`` keeps those without.
+
+    An attribute of a name is its value, ``*`` or None a struct (name, value) for each.
+    """
+    if axis not in AXES:
+        raise ValueError(f"unknown axis {axis!r}; known: {', '.join(AXES)}")
     how = "left" if outer else "inner"
     at = F.col(origin)
+
+    def joined(rows: DataFrame, reached: DataFrame, key: Column, more: Column | None = None) -> DataFrame:
+        on = (at["doc"] == F.col("_doc")) & (key == F.col("_key"))
+        return rows.join(reached, on if more is None else on & more, how).drop("_doc", "_key")
+
+    def keyed(key: Column, *extra: Column) -> DataFrame:
+        return _as(nodes, into, name, F.col("doc").alias("_doc"), key.alias("_key"), *extra)
+
     if axis == "self":
-        return bound.where(at["name"] == name).withColumn(into, at) if name else bound.withColumn(into, at)
+        passes = F.lit(True) if name is None else at["kind"] == "element" if name == "*" else at["name"] == name
+        return bound.withColumn(into, F.when(passes, at)) if outer else bound.where(passes).withColumn(into, at)
     if axis == "attribute":
-        value = F.element_at(at["attrs"], name)
-        found = bound.withColumn(into, value)
+        if name in (None, "*"):
+            pairs = F.transform(F.array_sort(F.map_entries(at["attrs"])), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+            return bound.withColumn(into, (F.explode_outer if outer else F.explode)(pairs))
+        found = bound.withColumn(into, F.element_at(at["attrs"], name))
         return found if outer else found.where(F.col(into).isNotNull())
     if axis == "child":
-        return bound.join(_as(nodes, into, name, F.col("parent_id").alias("_key")), at["id"] == F.col("_key"), how).drop("_key")
+        return joined(bound, keyed(F.col("parent_id")), at["id"])
     if axis == "parent":
-        return bound.join(_as(nodes, into, name, F.col("id").alias("_key")), at["parent_id"] == F.col("_key"), how).drop("_key")
+        return joined(bound, keyed(F.col("id")), at["parent_id"])
+    if axis.endswith("-sibling"):
+        later = F.col("_ord") > at["ord"] if axis == "following-sibling" else F.col("_ord") < at["ord"]
+        return joined(bound, keyed(F.col("parent_id"), F.col("ord").alias("_ord")), at["parent_id"], later).drop("_ord")
+    if all(c in nodes.columns for c in LABELS):
+        return structural_step(bound, _as(nodes, into, name), origin, axis, into, outer)
     if axis in ("descendant", "descendant-or-self"):
         above = F.col("path") if axis.endswith("self") else F.slice("path", 1, F.size("path") - 1)
-        found = nodes.where(F.col("name") == name) if name else nodes
-        reached = found.select(F.struct(*FIELDS).alias(into), F.explode(above).alias("_key"))
-        return bound.join(reached, at["id"] == F.col("_key"), how).drop("_key")
+        return joined(bound, keyed(F.explode(above)), at["id"])
     if axis in ("ancestor", "ancestor-or-self"):
         above = at["path"] if axis.endswith("self") else F.slice(at["path"], 1, F.size(at["path"]) - 1)
-        keyed = bound.withColumn("_up", (F.explode_outer if outer else F.explode)(above))
-        return keyed.join(_as(nodes, into, name, F.col("id").alias("_key")), F.col("_up") == F.col("_key"), how).drop("_up", "_key")
-    if axis in ("following-sibling", "preceding-sibling"):
-        later = F.col("_ord") > at["ord"] if axis == "following-sibling" else F.col("_ord") < at["ord"]
-        reached = _as(nodes, into, name, F.col("parent_id").alias("_key"), F.col("ord").alias("_ord"))
-        return bound.join(reached, (at["parent_id"] == F.col("_key")) & later, how).drop("_key", "_ord")
-    if axis in ("following", "preceding"):
-        # What follows a node: its ancestors' following siblings, its own, and all that they contain.
-        up = step(bound, nodes, origin, "ancestor-or-self", None, "_anc")
-        side = step(up, nodes, "_anc", f"{axis}-sibling", None, "_side")
-        return step(side, nodes, "_side", "descendant-or-self", name, into).drop("_anc", "_side")
-    raise ValueError(f"unknown axis {axis!r}; known: {', '.join(AXES)}")
+        return joined(bound.withColumn("_up", (F.explode_outer if outer else F.explode)(above)), keyed(F.col("id")), F.col("_up")).drop("_up")
+    # What follows a node: its ancestors' following siblings, its own, and all that they contain.
+    up = step(bound, nodes, origin, "ancestor-or-self", None, "_anc")
+    side = step(up, nodes, "_anc", f"{axis}-sibling", None, "_side")
+    return step(side, nodes, "_side", "descendant-or-self", name, into).drop("_anc", "_side")
 
 
 def attr(var: str, name: str) -> Column:
@@ -72,8 +97,8 @@ def attr(var: str, name: str) -> Column:
 
 def distinct_nodes(bound: DataFrame, var: str, *keys: str) -> DataFrame:
     """One row for each node of ``var`` (and each value of ``keys``): a path's result has no duplicates."""
-    ids = [F.col(f"{var}.id").alias("_id"), *[F.col(k) for k in keys]]
-    return bound.select(var, *ids).dropDuplicates(["_id", *keys]).drop("_id")
+    ids = [F.col(f"{var}.doc").alias("_doc"), F.col(f"{var}.id").alias("_id"), *[F.col(k) for k in keys]]
+    return bound.select(var, *ids).dropDuplicates(["_doc", "_id", *keys]).drop("_doc", "_id")
 
 
 def in_document_order(bound: DataFrame, var: str) -> DataFrame:
@@ -136,5 +161,5 @@ def later_in_document(nodes: DataFrame, into: str = "n_later") -> DataFrame:
 def nearest(bound: DataFrame, nodes: DataFrame, origin: str, attribute: str, into: str = "found") -> DataFrame:
     """The nearest ancestor-or-self with an attribute: the deepest one of the path."""
     up = step(bound, nodes, origin, "ancestor-or-self", None, "_anc").where(attr("_anc", attribute).isNotNull())
-    best = up.groupBy(F.col(f"{origin}.id").alias("_id")).agg(F.max_by(F.col("_anc"), F.size("_anc.path")).alias(into))
-    return bound.join(best, F.col(f"{origin}.id") == F.col("_id")).drop("_id")
+    best = up.groupBy(F.col(f"{origin}.doc").alias("_doc"), F.col(f"{origin}.id").alias("_id")).agg(F.max_by(F.col("_anc"), F.size("_anc.path")).alias(into))
+    return bound.join(best, (F.col(f"{origin}.doc") == F.col("_doc")) & (F.col(f"{origin}.id") == F.col("_id"))).drop("_doc", "_id")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovewise.operators.intervals import stabbed
+from grovewise.sources.store import checkpointed
+
 
 def interval(t: timedelta) -> Column:
     return F.lit(t)
@@ -27,14 +30,16 @@ def quiet_ranges(changes: DataFrame, keys: Sequence[str], ts: str, start: Column
 
 
 def interesting(ranges: DataFrame, points: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Flag ranges that hold an interest point, or are a key's last, and start at or after its first change."""
-    first = changes.groupBy(*keys).agg(F.min(ts).alias("_first"))
-    hit = points.select(*keys, F.col(ts).alias("_at"))
-    within = (F.col("_at") >= F.col("from_ts")) & (F.col("_at") < F.col("to_ts"))
-    found = ranges.join(hit, list(keys)).where(within).select(*keys, "from_ts").distinct().withColumn("_hit", F.lit(True))
-    flagged = ranges.join(found, [*keys, "from_ts"], "left").join(first, list(keys), "left")
-    last = F.max("from_ts").over(Window.partitionBy(*keys)) == F.col("from_ts")
-    flag = F.coalesce((F.coalesce("_hit", F.lit(False)) | last) & (F.col("from_ts") >= F.col("_first")), F.lit(False))
+    """Flag ranges that hold an interest point, or are a key's last, and start at or after its first change.
+
+    Points in a range are counted by a sweep, and last and first are aggregates of a key, so no range meets a point and
+    no key's rows gather.
+    """
+    first = changes.groupBy(*keys).agg(F.min(ts).alias("_first")).join(ranges.groupBy(*keys).agg(F.max("from_ts").alias("_last")), list(keys), "full_outer")
+    held = stabbed(ranges, points, keys, F.col("from_ts"), F.col("to_ts"), F.col(ts), "_before", "_hits")
+    flagged = held.join(first, list(keys), "left")
+    known = F.col("from_ts").isNotNull() & F.col("to_ts").isNotNull()
+    flag = F.coalesce(((F.col("_hits") > 0) & known | (F.col("_last") == F.col("from_ts"))) & (F.col("from_ts") >= F.col("_first")), F.lit(False))
     return flagged.withColumn("interesting", flag).select(*ranges.columns, "interesting")
 
 
@@ -106,6 +111,7 @@ def mediate(ranges: DataFrame, scopes: Sequence[str], proposal: str, last: Colum
     counts the ranges around each bound, a proposal's overlapping ranges being merged before; nothing is compared in pairs.
     """
     scopes = list(scopes)
+    ranges = checkpointed(ranges.select(*scopes, proposal, "from_ts", "to_ts", "interesting"))  # read seven times below
     n_of = ranges.groupBy(*scopes).agg(F.countDistinct(proposal).alias("_n"))
     sound = ranges.where("from_ts < to_ts")
     w = Window.partitionBy(*scopes, proposal).orderBy("from_ts", "to_ts")

@@ -17,40 +17,71 @@ from grovewise.operators.bindings import joined_text
 from grovewise.sources.forest import FIELDS, NODE
 
 SHRED = NODE + ", error string"
+TEXT = "#text"  # what text nodes have for a name
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class _Shredder:
-    """Events to node rows; ids are paths of positions, so the same document gives the same ids."""
+    """Events to node rows; ids are paths of positions, so the same document gives the same ids.
 
-    def __init__(self, doc: str) -> None:
-        self.doc, self.rows, self.stack, self.counts = doc, [], [], [0]
+    An element without elements in it holds its text as its value. Where texts and elements are mixed, texts are nodes of
+    kind ``text`` between them, so that their order is kept; those of white space alone are left out. Without ``mixed``
+    texts around elements are gathered in the value instead. ``own_ids``: ids that elements name are theirs.
+    """
 
-    def open(self, name: str, attrs: dict[str, str]) -> None:
+    def __init__(self, doc: str, mixed: bool, own_ids: bool) -> None:
+        self.doc, self.mixed, self.own_ids, self.rows, self.stack, self.counts = doc, mixed, own_ids, [], [], [0]
+
+    def _add(self, kind: str, name: str, attrs: dict[str, str], value: str | None) -> list:
         pos = [*(self.stack[-1][1] if self.stack else []), self.counts[-1]]
         self.counts[-1] += 1
-        id_ = attrs.get("xml:id") or attrs.get("id") or f"{self.doc}#{'.'.join(map(str, pos))}"
+        id_ = self.own_ids and (attrs.get("xml:id") or attrs.get("id")) or f"{self.doc}#{'.'.join(map(str, pos))}"
         path = [*(self.stack[-1][2] if self.stack else []), id_]
-        self.rows.append([self.doc, id_, path[-2] if len(path) > 1 else None, path, pos, pos[-1], "element", name, attrs, None])
-        self.stack.append((name, pos, path, len(self.rows) - 1))
+        self.rows.append([self.doc, id_, path[-2] if len(path) > 1 else None, path, pos, pos[-1], kind, name, attrs, value])
+        return self.rows[-1]
+
+    def open(self, name: str, attrs: dict[str, str]) -> None:
+        if self.stack:
+            self.stack[-1][5] = True
+        row = self._add("element", name, attrs, None)
+        self.stack.append([name, row[4], row[3], row, [], False])
         self.counts.append(0)
 
     def text(self, data: str) -> None:
-        if self.stack and data.strip():
-            row = self.rows[self.stack[-1][3]]
-            row[9] = f"{row[9]} {data.strip()}" if row[9] else data.strip()
+        if not self.stack or not data:
+            return
+        texts, row = self.stack[-1][4], self.stack[-1][3]
+        if not self.mixed:
+            if data.strip():
+                row[9] = f"{row[9]} {data.strip()}" if row[9] else data.strip()
+        elif texts and texts[-1] is self.rows[-1]:
+            texts[-1][9] += data
+        elif data.strip():
+            texts.append(self._add("text", TEXT, {}, data))
+
+    def _leave(self) -> str:
+        name, _, _, row, texts, mixed = self.stack.pop()
+        self.counts.pop()
+        if texts and not mixed:
+            row[9] = " ".join(t[9].strip() for t in texts)
+            # Texts of an element without elements come right after it.
+            del self.rows[-len(texts) :]
+        return name
 
     def close(self, name: str) -> None:
         while self.stack:  # tolerant: an end tag closes what was left open inside
-            found = self.stack.pop()[0]
-            self.counts.pop()
-            if found == name:
+            if self._leave() == name:
                 return
 
+    def done(self) -> list[list]:
+        while self.stack:
+            self._leave()
+        return self.rows
 
-def shred_xml(doc: str, text: str) -> list[list]:
+
+def shred_xml(doc: str, text: str, mixed: bool = True) -> list[list]:
     """Strict: a document that isn't well-formed raises."""
-    out = _Shredder(doc)
+    out = _Shredder(doc, mixed, True)
 
     def walk(e: ElementTree.Element) -> None:
         name = re.sub(r"^\{.*\}", "", e.tag)
@@ -62,16 +93,16 @@ def shred_xml(doc: str, text: str) -> list[list]:
         out.close(name)
 
     walk(ElementTree.fromstring(text))
-    return out.rows
+    return out.done()
 
 
-def shred_html(doc: str, text: str) -> list[list]:
-    """Tolerant: unclosed and stray tags don't lose content."""
-    out = _Shredder(doc)
+def shred_html(doc: str, text: str, mixed: bool = False) -> list[list]:
+    """Tolerant: unclosed and stray tags don't lose content. Pages repeat ids, so these are attributes only."""
+    out = _Shredder(doc, mixed, False)
 
     class Parser(HTMLParser):
         def handle_starttag(self, tag, attrs):
-            out.open(tag, {k: v or "" for k, v in attrs if k != "id"})
+            out.open(tag, {k: v or "" for k, v in attrs})
             if tag in VOID:
                 out.close(tag)
 
@@ -85,12 +116,16 @@ def shred_html(doc: str, text: str) -> list[list]:
     parser = Parser(convert_charrefs=True)
     parser.feed(text)
     parser.close()
-    return out.rows
+    return out.done()
+
 
+def shredded(rows: DataFrame, doc: str, text: str, html: bool = False, mixed: bool | None = None) -> DataFrame:
+    """Nodes of each row's document, and a row with ``error`` for each that can't be read: one bad file stops nothing.
 
-def shredded(rows: DataFrame, doc: str, text: str, html: bool = False) -> DataFrame:
-    """Nodes of each row's document, and a row with ``error`` for each that can't be read: one bad file stops nothing."""
-    shred = shred_html if html else shred_xml
+    ``mixed`` makes nodes of the texts that stand between elements; by default so for XML, while texts of an HTML element
+    are gathered in its value.
+    """
+    shred, mixed = shred_html if html else shred_xml, (not html) if mixed is None else mixed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [*FIELDS, "error"]
@@ -98,7 +133,7 @@ def shredded(rows: DataFrame, doc: str, text: str, html: bool = False) -> DataFr
             out = []
             for d, t in zip(pdf["doc"], pdf["text"], strict=True):
                 try:
-                    out += [[*r, None] for r in shred(d, t or "")]
+                    out += [[*r, None] for r in shred(d, t or "", mixed)]
                 except (ElementTree.ParseError, ValueError) as e:
                     out.append([d, *[None] * (len(FIELDS) - 1), str(e)])
             yield pd.DataFrame(out, columns=names)
@@ -198,6 +233,8 @@ def serialised(nodes: DataFrame) -> DataFrame:
             kids.setdefault(r.parent_id, []).append(r)
 
         def write(r) -> str:
+            if r.kind == "text":
+                return quote(r.value or "")
             attrs = "".join(f' {k}="{quote(v)}"' for k, v in sorted(dict(r.attrs).items()))
             inner = (quote(r.value) if r.value else "") + "".join(map(write, kids.get(r.id, [])))
             return f"<{r.name}{attrs}>{inner}</{r.name}>" if inner else f"<{r.name}{attrs}/>"
@@ -248,6 +285,18 @@ def _names(text: str | None) -> list[str]:
     return [re.sub(r"\s*\[\s*\]", "[]", t.strip()) for t in plain.split(",") if t.strip()]
 
 
+def _variables(head: str) -> list[str]:
+    """A declaration's variables, the first with what stands before it: cut at commas outside of any brackets."""
+    out, depth = [""], 0
+    for c in head:
+        depth += (c in "([{<") - (c in ")]}>")
+        if c == "," and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def _members(doc: str, text: str) -> Iterator[tuple]:
     """The declarations of one source, read by its braces and semicolons: bodies of methods are skipped."""
     text = NOISE.sub(lambda m: " " + "\n" * m.group().count("\n"), text)
@@ -271,6 +320,10 @@ def _members(doc: str, text: str) -> Iterator[tuple]:
                 package = p.group(2)
             else:
                 yield doc, package, "", "import", p.group(2), None, [], [], [], [], line
+        elif inside and mark == ";" and len(variables := _variables(head)) > 1 and (d := MEMBER.match(variables[0])) and d.group(2) and d.group(4) is None:
+            for v in variables:
+                name, arrays = re.match(r"(?:.*\s)?(\w+)((?:\s*\[\s*\])*)\s*(?:=.*)?$", v if v is variables[0] else v.strip(), re.DOTALL).groups()
+                yield doc, package, within, "field", name, _names(d.group(2) + arrays)[0], [], [], [], d.group(1).split(), line
         elif inside and (d := MEMBER.match(head)) and d.group(3) not in ("static", "return"):
             called, result = d.group(4) is not None, d.group(2)
             if called and result is None and d.group(3) != types[-1][1] or not called and (result is None or mark == "{" and not head.endswith("=")):
@@ -287,7 +340,7 @@ def code_members(units: DataFrame) -> DataFrame:
     """(MEMBERS) of Java-like sources (doc, text): types with what they extend, fields, methods and constructors with the
     types of their parameters and of what they throw, and imports.
 
-    Comments, texts and annotations are dropped, bodies skipped; of several variables in one declaration the last counts.
+    Comments, texts and annotations are dropped, bodies skipped; each variable of a declaration is a field.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
