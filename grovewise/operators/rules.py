@@ -1,20 +1,26 @@
-"""Declarative rules over a forest, run to a fixpoint with provenance, and maintained when documents change.
+"""Declarative rules over a forest, run to a fixpoint with provenance, and maintained when nodes change.
 
 A rule is a chain of blocks, each binding one more variable to nodes, and an output: a DataFrame whose ``key`` names each
 binding, ``refs`` lists the ids of the nodes that it rests on, ``docs`` their documents, and whose other columns describe
 what to insert. Blocks say which element names they read, so a change elsewhere doesn't run their rule.
 
-Evaluation is by difference: when documents have changed, a rule is evaluated once for each of its blocks with that
-block's nodes taken from these documents only, and only bindings that rest on them are verified. A rule may also be one
-function of all nodes (``bindings``); it is then evaluated in full.
+Evaluation is by difference, node by node: when nodes have been added, a rule is evaluated once for each of its blocks
+with that block's nodes taken from the new ones only, the blocks before it from stored partial bindings. When nodes go,
+the bindings and partial bindings that rest on them are found by their ids. A binding is a tuple of nodes, so there is
+one of each and what remains of it needs no counts. A rule may also be one function of all nodes (``bindings``); it is then
+evaluated in full.
 
-Outputs have deterministic ids, made of rule and key: running again changes nothing, and two runs agree. Each cycle is a
-set of anti-joins against what is known, so only new bindings are written; the loop ends when a cycle adds none.
+Outputs have deterministic ids, made of rule and key: running again changes nothing, and two runs agree. Keys and
+references are made of ids, so these must be unique over the forest, which ``start`` checks. Each cycle is a set of
+anti-joins against what is known, so only new bindings are written; what a write added is observed while it runs. The
+loop ends when a cycle adds none.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import types
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,7 +33,7 @@ from grovewise.functions.scalars import md5_base64, sanitize_ascii
 from grovewise.operators.axes import each
 from grovewise.operators.snapshots import dispense_names
 from grovewise.sources.forest import FIELDS
-from grovewise.sources.store import checkpointed
+from grovewise.sources.store import checkpointed, observed
 
 MODS = "rule string, key string, refs array<string>, docs array<string>, affected string, checksum string"
 
@@ -93,32 +99,80 @@ def rule(id_: str, blocks: Sequence[For], output: Callable[[DataFrame], DataFram
     return Rule(id_, lambda nodes: output(_chain(blocks, nodes)), reads, ".".join(stage_marks(blocks, output)), blocks, output)
 
 
-def _chain(blocks: Sequence[For], nodes: DataFrame, at: int | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """The bindings of all blocks; block ``at`` takes its nodes from ``docs`` only."""
+def _chain(blocks: Sequence[For], nodes: DataFrame) -> DataFrame:
     bound = None
-    for i, b in enumerate(blocks):
-        some = nodes.join(docs, "doc", "left_semi") if i == at else nodes
-        bound = b.bind(bound, each(some, b.var, b.name))
+    for b in blocks:
+        bound = b.bind(bound, each(nodes, b.var, b.name))
     return bound
 
 
+def _nothing(of: Rule, nodes: DataFrame) -> DataFrame:
+    return of.bindings(nodes.limit(0))
+
+
+def node_delta(of: Rule, nodes: DataFrame, added: DataFrame, names: frozenset[str] | None = None, partial: Sequence[DataFrame] = ()) -> DataFrame:
+    """The outputs of bindings that hold a node of ``added``, rows of ``nodes``: the union over the blocks of the chains in
+    which that block takes its nodes from ``added``. ``names``: element names in it, where known; ``partial``: the bindings
+    of the first two, three .. blocks, where stored."""
+    if not of.blocks:
+        return of.bindings(nodes)
+    found = []
+    for i, b in enumerate(of.blocks):
+        if names is None or b.name is None or b.name in names:
+            known = min(i - 1, len(partial)) if i > 1 else 0  # stored bindings of known + 1 blocks
+            bound, start = (partial[known - 1], known + 1) if known else (None, 0)
+            for j, c in enumerate(of.blocks[start:], start):
+                bound = c.bind(bound, each(added if j == i else nodes, c.var, c.name))
+            found.append(of.output(bound))
+    return reduce(DataFrame.unionByName, found) if found else _nothing(of, nodes)
+
+
 def delta(of: Rule, nodes: DataFrame, docs: DataFrame, names: frozenset[str] | None = None) -> DataFrame:
-    """The outputs of bindings that rest on a node of ``docs`` (doc): the union over the blocks of the chains in which
-    that block looks at these documents only. ``names``: element names in them, where known."""
-    some = [i for i, b in enumerate(of.blocks) if names is None or b.name is None or b.name in names]
-    if not of.blocks or not some:
-        return of.bindings(nodes) if not of.blocks else of.bindings(nodes.limit(0))
-    return reduce(DataFrame.unionByName, [of.output(_chain(of.blocks, nodes, i, docs)) for i in some])
+    """``node_delta`` for all nodes of some documents (doc)."""
+    return node_delta(of, nodes, nodes.join(docs, "doc", "left_semi"), names)
+
+
+def _mark(f: Callable, seen: frozenset = frozenset()) -> str:
+    """A digest of a function: its code, the values that it closes over, its defaults, and the functions and plain values
+    of its module that it names. Functions count by their own digests, those of Spark and Python by their names."""
+    if isinstance(f, functools.partial):
+        inner = [_mark(f.func, seen), [_held(a, seen) for a in f.args], [(k, _held(v, seen)) for k, v in sorted(f.keywords.items())]]
+        return hashlib.md5(repr(inner).encode()).hexdigest()[:12]
+    code = getattr(f, "__code__", None)
+    if code is None or f in seen:
+        return f"{getattr(f, '__module__', '')}.{getattr(f, '__qualname__', type(f).__qualname__)}"
+    seen = seen | {f}
 
+    def parts(c) -> list:
+        return [c.co_code, c.co_names, [parts(x) if hasattr(x, "co_code") else repr(x) for x in c.co_consts]]
 
-def _mark(f: Callable) -> str:
-    """A digest of a function's code and of the values that it closes over; functions in it count by their code."""
+    def named(c) -> set[str]:
+        return set(c.co_names).union(*(named(x) for x in c.co_consts if hasattr(x, "co_code")))
 
-    def parts(code) -> list:
-        return [code.co_code, code.co_names, [parts(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts]]
+    names = sorted(named(code))
+    world = [(n, _held(f.__globals__[n], seen)) for n in names if n in f.__globals__]
+    # Functions of modules that it names, such as helpers that are called through them.
+    modules = [f.__globals__[n] for n in names if isinstance(f.__globals__.get(n), types.ModuleType) and _own(f.__globals__[n].__name__)]
+    called = [(m.__name__, n, _mark(getattr(m, n), seen)) for m in modules for n in names if isinstance(getattr(m, n, None), types.FunctionType)]
+    held = [_held(c.cell_contents, seen) for c in f.__closure__ or ()]
+    defaults = [_held(d, seen) for d in (*(f.__defaults__ or ()), *(v for _, v in sorted((f.__kwdefaults__ or {}).items())))]
+    return hashlib.md5(repr([parts(code), held, defaults, world, called]).encode()).hexdigest()[:12]
 
-    held = [_mark(c.cell_contents) if hasattr(c.cell_contents, "__code__") else repr(c.cell_contents) for c in f.__closure__ or ()]
-    return hashlib.md5(repr([parts(f.__code__), held]).encode()).hexdigest()[:12]
+
+def _own(module: str) -> bool:
+    return module.split(".")[0] not in ("pyspark", "py4j", "builtins", "functools", "re", "math")
+
+
+def _held(value: object, seen: frozenset) -> str:
+    if isinstance(value, types.ModuleType):
+        return value.__name__
+    if isinstance(value, (types.FunctionType, functools.partial)):
+        return _mark(value, seen) if _own(getattr(value, "__module__", None) or "") else f"{value.__module__}.{value.__qualname__}"
+    if isinstance(value, (tuple, list)):
+        return repr([_held(v, seen) for v in value])
+    if isinstance(value, dict):
+        return repr(sorted((repr(k), _held(v, seen)) for k, v in value.items()))
+    return repr(value) if isinstance(value, (str, bytes, int, float, bool, frozenset, set, type(None), Column)) else f"{type(value).__module__}.{type(value).__qualname__}"
 
 
 def stage_marks(blocks: Sequence[For], output: Callable) -> list[str]:
@@ -171,24 +225,42 @@ def single_roots(rows: DataFrame, doc: str = "doc") -> DataFrame:
 
 @dataclass
 class State:
+    """``partial``: for each rule of three blocks or more, the digest and the bindings of its first two, three .. blocks;
+    ``known``: the rules that ran last."""
+
     nodes: DataFrame
     mods: DataFrame
     cycles: int = 0
     counts: dict[str, int] = field(default_factory=lambda: {"resolved": 0, "withdrawn": 0, "verified": 0})
+    partial: dict[str, list[tuple[str, DataFrame]]] = field(default_factory=dict)
+    known: Sequence[Rule] = ()
 
 
 def start(base: DataFrame) -> State:
+    """The base forest, stored once for all rules. An id that two documents have is an error: see ``qualified``."""
+    base = checkpointed(base.select(*FIELDS))
+    twice = base.groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").first()
+    if twice is not None:
+        raise ValueError(f"id {twice['id']!r} is in several documents ({twice['a']!r}, {twice['b']!r}); rules need ids of their own")
     return State(base, base.sparkSession.createDataFrame([], MODS))
 
 
+def qualified(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ids that begin with their document's path, so that documents may use the same ones."""
+    own = lambda i: F.concat(F.col("doc"), F.lit("#"), i)
+    return nodes.withColumns({"id": own(F.col("id")), "parent_id": own(F.col("parent_id")), "path": F.transform("path", own)})
+
+
 def _checksum(rows: DataFrame) -> DataFrame:
     text = F.concat_ws("\x01", F.coalesce("target", F.lit("")), "name", F.to_json("attrs"), F.coalesce("value", F.lit("")), F.col("ord").cast("string"), F.coalesce("doc", F.lit("")))
     return rows.withColumn("checksum", md5_base64(text))
 
 
-def _written(nodes: DataFrame, rows: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes to add, their mods) for bindings; a binding whose target is gone waits for it."""
-    own = rows.withColumn("own", F.concat("key", F.lit(rule), F.lit(".")))
+def _written(nodes: DataFrame, rows: DataFrame, rule: str) -> tuple[DataFrame, DataFrame, int, frozenset[str]]:
+    """(nodes to add, their mods, their number and names) for bindings; a binding whose target is gone waits for it."""
+    # What a binding inserts under is something that it rests on.
+    refs = F.when(F.col("target").isNull(), F.col("refs")).otherwise(F.array_union("refs", F.array("target")))
+    own = rows.withColumn("own", F.concat("key", F.lit(rule), F.lit("."))).withColumn("refs", refs)
     at = nodes.select(F.col("id").alias("target"), F.col("doc").alias("_doc"), F.col("path").alias("_path"), F.col("pos").alias("_pos"))
     under = own.where("target is not null").join(at, "target")
     fresh = own.where("target is null")
@@ -197,17 +269,70 @@ def _written(nodes: DataFrame, rows: DataFrame, rule: str) -> tuple[DataFrame, D
     }
     inner = under.select(F.col("_doc").alias("doc"), F.col("own").alias("id"), F.col("target").alias("parent_id"), F.concat("_path", F.array("own")).alias("path"), F.concat("_pos", F.array("ord")).alias("pos"), *[v.alias(k) for k, v in columns.items() if k != "id"], "key", "refs", "docs", "checksum")
     roots = fresh.select("doc", F.col("own").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.array("own").alias("path"), F.array("ord").alias("pos"), *[v.alias(k) for k, v in columns.items() if k != "id"], "key", "refs", "docs", "checksum")
-    made = checkpointed(inner.unionByName(roots))
-    return made.select(*FIELDS), made.select(F.lit(rule).alias("rule"), "key", "refs", "docs", F.col("id").alias("affected"), "checksum")
-
-
-def run(state: State, rules: Sequence[Rule], limit: int = 50, changed: DataFrame | None = None) -> State:
+    made, seen = observed(inner.unionByName(roots), n=F.count(F.lit(1)), names=F.collect_set("name"))
+    return made.select(*FIELDS), made.select(F.lit(rule).alias("rule"), "key", "refs", "docs", F.col("id").alias("affected"), "checksum"), seen["n"], frozenset(seen["names"])
+
+
+def _tuples(bound: DataFrame, blocks: Sequence[For]) -> DataFrame:
+    """One of each tuple of nodes."""
+    ids = {f"_id{i}": F.col(f"{b.var}.id") for i, b in enumerate(blocks)}
+    return bound.withColumns(ids).dropDuplicates(list(ids)).drop(*ids)
+
+
+def _all(state: State, of: Rule) -> DataFrame:
+    """A rule's outputs from all nodes; partial bindings are kept, and those of unchanged first blocks used."""
+    if not of.blocks:
+        return of.bindings(state.nodes)
+    marks = stage_marks(of.blocks, of.output)
+    chained = ["".join(marks[: i + 2]) for i in range(max(len(of.blocks) - 2, 0))]
+    kept = [(m, d) for (m, d), now in zip(state.partial.get(of.id, []), chained, strict=False) if m == now]
+    bound = kept[-1][1] if kept else None
+    for i, b in enumerate(of.blocks[len(kept) + 1 if kept else 0 :], len(kept) + 1 if kept else 0):
+        bound = b.bind(bound, each(state.nodes, b.var, b.name))
+        if 1 <= i < len(of.blocks) - 1:
+            bound = checkpointed(_tuples(bound, of.blocks[: i + 1]))
+            kept.append((chained[i - 1], bound))
+    if kept:
+        state.partial[of.id] = kept
+    return of.output(bound)
+
+
+def _more(state: State, of: Rule, added: DataFrame, names: frozenset[str] | None) -> DataFrame:
+    """A rule's outputs that hold an added node; its partial bindings are brought up to date first."""
+    kept = state.partial.get(of.id, [])
+    for i in range(len(kept)):
+        blocks = of.blocks[: i + 2]
+        if names is None or any(b.name is None or b.name in names for b in blocks):
+            bindings_of = Rule(of.id, lambda n, blocks=blocks: _chain(blocks, n), blocks=tuple(blocks), output=lambda bound: bound)
+            fresh = node_delta(bindings_of, state.nodes, added, names, [d for _, d in kept[:i]])
+            kept[i] = (kept[i][0], checkpointed(_tuples(kept[i][1].unionByName(fresh), blocks)))
+    return node_delta(of, state.nodes, added, names, [d for _, d in kept])
+
+
+def _forget(state: State, rules: Sequence[Rule], gone: DataFrame, names: frozenset[str]) -> None:
+    """Drop partial bindings that hold one of some nodes (id), which have these names."""
+    reads = {r.id: r.reads for r in rules}
+    for id_, kept in state.partial.items():
+        if kept and reads.get(id_) and not reads[id_] & names:
+            continue
+        for i, (mark, bound) in enumerate(kept):
+            for var in [f.name for f in bound.schema.fields if f.dataType.typeName() == "struct" and "path" in f.dataType.fieldNames()]:
+                bound = bound.join(gone.select(F.col("id").alias("_gone")), F.col(f"{var}.id") == F.col("_gone"), "left_anti")
+            kept[i] = (mark, checkpointed(bound))
+
+
+def run(state: State, rules: Sequence[Rule], limit: int = 50, changed: DataFrame | None = None, added: DataFrame | None = None, names: frozenset[str] | None = None) -> State:
     """Cycles over the rules until one adds nothing; later rules of a cycle see what earlier ones added.
 
     A rule runs again only when a node of a name that it reads has been added since it ran last, and then looks for
-    bindings in the documents of these nodes. ``changed`` (doc): start with these documents in place of all.
+    bindings that hold one of these nodes. ``added`` (rows of the forest, of ``names`` where these are known): start with
+    these nodes in place of all; ``changed`` (doc): with all nodes of these documents.
     """
-    due: dict[str, list[tuple[DataFrame, frozenset[str] | None]] | None] = {r.id: None if changed is None else [(changed, None)] for r in rules}
+    state.known = tuple(rules)
+    if changed is not None:
+        added = state.nodes.join(changed, "doc", "left_semi")
+    fresh = [r for r in rules if added is None or names is None or not r.reads or r.reads & names]
+    due: dict[str, list[tuple[DataFrame, frozenset[str] | None]] | None] = {r.id: None if added is None else [(added, names)] for r in fresh}
     for _ in range(limit):
         state.cycles += 1
         if not due:
@@ -217,22 +342,21 @@ def run(state: State, rules: Sequence[Rule], limit: int = 50, changed: DataFrame
                 continue
             since = due.pop(r.id)
             if since is None:
-                bound = r.bindings(state.nodes)
+                bound = _all(state, r)
             else:
-                names = None if any(n is None for _, n in since) else frozenset().union(*(n for _, n in since))
-                bound = delta(r, state.nodes, reduce(DataFrame.unionByName, [d for d, _ in since]).distinct(), names)
+                some = None if any(n is None for _, n in since) else frozenset().union(*(n for _, n in since))
+                bound = _more(state, r, reduce(DataFrame.unionByName, [d.select(*FIELDS) for d, _ in since]), some)
             known = state.mods.where(F.col("rule") == r.id).select("key")
             found = _checksum(bound.dropDuplicates(["key"])).join(known, "key", "left_anti")
-            nodes, mods = _written(state.nodes, found, r.id)
-            added = {x["name"]: x["count"] for x in nodes.groupBy("name").count().collect()}
-            if added:
+            nodes, mods, n, made = _written(state.nodes, found, r.id)
+            if n:
                 # What was added is stored already: the state is a union of stored tables, without lineage.
                 state.nodes = state.nodes.select(*FIELDS).unionByName(nodes)
                 state.mods = state.mods.unionByName(mods)
-                state.counts["resolved"] += sum(added.values())
+                state.counts["resolved"] += n
                 for x in rules:
-                    if not x.reads or x.reads & added.keys():
-                        due[x.id] = None if x.id in due and due[x.id] is None else [*(due.get(x.id) or []), (nodes.select("doc"), frozenset(added))]
+                    if not x.reads or x.reads & made:
+                        due[x.id] = None if x.id in due and due[x.id] is None else [*(due.get(x.id) or []), (nodes, made)]
     raise RuntimeError(f"no fixpoint in {limit} cycles")
 
 
@@ -241,8 +365,11 @@ def withdraw(state: State, obsolete: DataFrame, limit: int = 100) -> State:
 
     Each round joins the ids inside the subtrees of newly doomed outputs with the references of the remaining mods.
     """
-    doomed = checkpointed(state.mods.join(obsolete.select("rule", "key").distinct(), ["rule", "key"], "left_semi"))
-    front = doomed
+    count = {"n": F.count(F.lit(1))}
+    doomed, seen = observed(state.mods.join(obsolete.select("rule", "key").distinct(), ["rule", "key"], "left_semi"), **count)
+    if not seen["n"]:
+        return state
+    front, total = doomed, seen["n"]
     for _ in range(limit):
         roots = front.select(F.col("affected").alias("_top"))
         held = state.nodes.join(roots.withColumnRenamed("_top", "id"), "id", "left_semi").select("doc").distinct()
@@ -250,63 +377,86 @@ def withdraw(state: State, obsolete: DataFrame, limit: int = 100) -> State:
         resting = state.mods.select("rule", "key", "affected", F.explode("refs").alias("ref")).join(inside, "ref", "left_semi").select("rule", "key").distinct()
         within = state.mods.join(inside.withColumnRenamed("ref", "affected"), "affected", "left_semi").select("rule", "key")
         keys = resting.unionByName(within).distinct().join(doomed.select("rule", "key"), ["rule", "key"], "left_anti")
-        front = checkpointed(state.mods.join(keys, ["rule", "key"], "left_semi"))
-        if front.isEmpty():
+        front, seen = observed(state.mods.join(keys, ["rule", "key"], "left_semi"), **count)
+        if not seen["n"]:
             break
-        doomed = checkpointed(doomed.unionByName(front))
+        doomed, total = doomed.unionByName(front), total + seen["n"]
     else:
         raise RuntimeError(f"withdrawal didn't settle in {limit} rounds")
-    gone = state.nodes.select("id", F.explode("path").alias("affected")).join(doomed.select("affected"), "affected", "left_semi").select("id").distinct()
-    state.counts["withdrawn"] += doomed.count()
+    gone, seen = observed(state.nodes.select("id", "name", F.explode("path").alias("affected")).join(doomed.select("affected"), "affected", "left_semi").select("id", "name").distinct(), names=F.collect_set("name"))
+    state.counts["withdrawn"] += total
     state.nodes = checkpointed(state.nodes.join(gone, "id", "left_anti").select(*FIELDS))
     state.mods = checkpointed(state.mods.join(doomed.select("rule", "key"), ["rule", "key"], "left_anti"))
+    _forget(state, state.known, gone, frozenset(seen["names"]))
     return state
 
 
+def _alive(state: State, bound: DataFrame) -> DataFrame:
+    """(key, checksum) of what is bound now and has a place to go to."""
+    now = _checksum(bound.dropDuplicates(["key"]))
+    return now.join(state.nodes.select(F.col("id").alias("target")), "target", "left_semi").unionByName(now.where("target is null").select(*now.columns)).select("key", "checksum")
+
+
 def update(state: State, rules: Sequence[Rule], removed: DataFrame, added: DataFrame, limit: int = 50) -> State:
     """Apply changed base nodes (``removed`` (id), ``added`` nodes) and bring the outputs up to date.
 
-    Mods that rest on a changed document are verified against the bindings that rest on it now: a binding that is gone or
-    whose output would differ is withdrawn, which changes more documents. Then rules look for new bindings in all
-    documents that changed, and run to a fixpoint. The result is that of a run from scratch.
+    Mods that rest on a removed node are verified against the bindings that hold an added one: what isn't bound again to
+    the same outcome is withdrawn, with all that rests on it. Rules that are one function of all nodes are verified in
+    full, until nothing more goes. Then rules look for bindings that hold an added node, and run to a fixpoint. The result
+    is that of a run from scratch.
     """
-    touched = checkpointed(state.nodes.join(removed, "id", "left_semi").select("doc", "name").unionByName(added.select("doc", "name")).distinct())
-    state.nodes = checkpointed(state.nodes.join(removed, "id", "left_anti").select(*FIELDS).unionByName(added.select(*FIELDS)))
-    front = changed = touched
+    gone = checkpointed(state.nodes.join(removed.select("id").distinct(), "id", "left_semi").select("id", "name"))
+    added, came = observed(added.select(*FIELDS), names=F.collect_set("name"))
+    state.nodes = checkpointed(state.nodes.join(gone, "id", "left_anti").select(*FIELDS).unionByName(added))
+    names = frozenset(came["names"]) | frozenset(r["name"] for r in gone.select("name").distinct().collect())
+    _forget(state, rules, gone, names)
+    by_blocks, whole = [r for r in rules if r.blocks], [r for r in rules if not r.blocks]
+    # One look at the references finds what rests on removed nodes, for all rules of blocks.
+    keys = state.mods.where(F.col("rule").isin([r.id for r in by_blocks])).select("rule", "key", F.explode("refs").alias("id")).join(gone, "id", "left_semi").select("rule", "key").distinct()
+    had, seen = observed(state.mods.join(keys, ["rule", "key"], "left_semi"), n=F.count(F.lit(1)), rules=F.collect_set("rule"))
+    state.counts["verified"] += seen["n"]
+    lost = []
+    for r in by_blocks:
+        if r.id in seen["rules"]:
+            alive = _alive(state, node_delta(r, state.nodes, added, frozenset(came["names"]), [d for _, d in state.partial.get(r.id, [])]))
+            lost.append(had.where(F.col("rule") == r.id).join(alive, ["key", "checksum"], "left_anti").select("rule", "key"))
     for _ in range(limit):
-        names, docs = frozenset(r["name"] for r in front.select("name").distinct().collect()), front.select("doc").distinct()
-        lost = []
-        for r in rules:
-            if r.reads and not r.reads & names:
-                continue
-            had = state.mods.where(F.col("rule") == r.id)
-            if r.blocks:
-                keys = had.select("key", F.explode("docs").alias("doc")).join(docs, "doc", "left_semi").select("key").distinct()
-                had = had.join(keys, "key", "left_semi")
-            had = checkpointed(had)
-            if had.isEmpty():
-                continue
-            now = _checksum(delta(r, state.nodes, docs).dropDuplicates(["key"]))
-            alive = now.join(state.nodes.select(F.col("id").alias("target")), "target", "left_semi").unionByName(now.where("target is null")).select("key", "checksum")
-            lost.append(had.join(alive, ["key", "checksum"], "left_anti").select("rule", "key", "affected"))
-            state.counts["verified"] += had.count()
-        stale = checkpointed(reduce(DataFrame.unionByName, lost)) if lost else None
-        if stale is None or stale.isEmpty():
+        for r in whole:
+            if not r.reads or r.reads & names:
+                had = state.mods.where(F.col("rule") == r.id)
+                had, seen = observed(had, n=F.count(F.lit(1)))
+                state.counts["verified"] += seen["n"]
+                if seen["n"]:
+                    lost.append(had.join(_alive(state, r.bindings(state.nodes)), ["key", "checksum"], "left_anti").select("rule", "key"))
+        if not lost:
+            break
+        before, withdrawn = state.nodes, state.counts["withdrawn"]
+        state, lost = withdraw(state, reduce(DataFrame.unionByName, lost)), []
+        if state.counts["withdrawn"] == withdrawn or not whole:
             break
-        before = state.nodes
-        state = withdraw(state, stale.select("rule", "key"))
-        front = checkpointed(before.join(state.nodes.select("id"), "id", "left_anti").select("doc", "name").distinct())
-        changed = changed.unionByName(front)
+        names = frozenset(r["name"] for r in before.join(state.nodes.select("id"), "id", "left_anti").select("name").distinct().collect())
     else:
         raise RuntimeError(f"verification didn't settle in {limit} rounds")
-    return run(state, rules, limit, changed.select("doc").distinct())
+    return run(state, rules, limit, added=added, names=frozenset(came["names"]))
 
 
 def changed_rules(state: State, before: Sequence[Rule], now: Sequence[Rule]) -> State:
-    """Withdraw the mods of rules that are gone or of which some stage differs."""
-    versions = {r.id: r.version for r in now}
-    gone = [r.id for r in before if versions.get(r.id) != r.version]
-    return withdraw(state, state.mods.where(F.col("rule").isin(gone))) if gone else state
+    """Withdraw the mods of rules that are gone, and of changed ones those that aren't bound to the same outcome any more.
+
+    The bindings of blocks before the first that differs stay stored and aren't computed again. A rule without blocks is
+    known by its version only, so all its mods go.
+    """
+    versions = {r.id: r for r in now}
+    lost = []
+    for r in before:
+        new = versions.get(r.id)
+        if new is not None and new.version == r.version:
+            continue
+        had = state.mods.where(F.col("rule") == r.id)
+        if new is not None and new.blocks and r.blocks:
+            had = had.join(_alive(state, _all(state, new)), ["key", "checksum"], "left_anti")
+        lost.append(had.select("rule", "key"))
+    return withdraw(state, reduce(DataFrame.unionByName, lost)) if lost else state
 
 
 def vanished(state: State) -> State:

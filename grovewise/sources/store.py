@@ -10,7 +10,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``checkpointed``, and aggregates of the rows that were taken while they were written: no job of their own."""
+    watch = Observation()
+    stored = checkpointed(df.observe(watch, *[m.alias(k) for k, m in metrics.items()]))
+    return stored, watch.get
+
+
 class VersionedTable:
     """A table with versions: ``commit`` adds one, ``read`` opens any, ``abort`` drops an unfinished one."""
 
