@@ -29,20 +29,20 @@ def numbered_rows(rows: DataFrame, into: str = "_row") -> DataFrame:
     return checkpointed(rows.withColumn(into, F.monotonically_increasing_id()))
 
 
-def stabbed(intervals: DataFrame, points: DataFrame, keys: Sequence[str], low: Column, high: Column, at: Column, first: str = "first", into: str = "n") -> DataFrame:
+def stabbed(intervals: DataFrame, points: DataFrame, keys: Sequence[str], low: Column, high: Column, at: Column, first: str = "first", into: str = "n", known_by: Sequence[str] | None = None) -> DataFrame:
     """``intervals`` with ``into``, the number of points of equal ``keys`` in [low, high), and ``first``, the number of those
     before ``low``; 0 points where high is below low. A null bound is infinite: nothing lies before a null ``low`` and
-    nothing after a null ``high``; points at null, and rows of a null key, meet nothing. Column names starting with ``_``
-    are taken."""
+    nothing after a null ``high``; points at null, and rows of a null key, meet nothing. ``known_by``: columns that bounds
+    and keys depend on, so that intervals needn't be numbered. Column names starting with ``_`` are taken."""
     key = F.when(_all_known(keys), F.struct(*keys))
-    rows = numbered_rows(intervals)
+    rows = intervals.withColumn("_row", F.struct(*known_by)) if known_by else numbered_rows(intervals)
     # An infinite low comes before all points (0), a high after them (3); at one place bounds come before points.
     bound = lambda c, side, phase: rows.select(key.alias("_key"), F.when(c.isNull(), phase).otherwise(1).alias("_part"), c.alias("_spot"), F.lit(0).alias("_point"), F.lit(0).cast("long").alias("_w"), "_row", F.lit(side).alias("_side"))
-    dots = points.select(key.alias("_key"), F.lit(1).alias("_part"), at.alias("_spot"), F.lit(1).alias("_point"), F.lit(1).cast("long").alias("_w"), F.lit(None).cast("long").alias("_row"), F.lit(2).alias("_side"))
+    dots = points.select(key.alias("_key"), F.lit(1).alias("_part"), at.alias("_spot"), F.lit(1).alias("_point"), F.lit(1).cast("long").alias("_w"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(2).alias("_side"))
     dots = dots.where("_key is not null and _spot is not null")
     summed = running_totals(bound(low, 0, 0).unionByName(bound(high, 1, 3)).unionByName(dots), "_key", ["_part", "_spot", "_point"], {"_before": "_w"}).where("_point = 0")
     ends = summed.groupBy("_row").agg(*(F.max(F.when((F.col("_side") == s) & F.col("_key").isNotNull(), F.col("_before"))).alias(n) for s, n in ((0, "_lo"), (1, "_hi"))))
-    found = rows.join(ends, "_row")
+    found = rows.join(ends.withColumnRenamed("_row", "_of"), F.col("_row").eqNullSafe(F.col("_of"))).drop("_of")
     return found.withColumn(first, F.coalesce("_lo", F.lit(0)).cast("long")).withColumn(into, F.greatest(F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(0)), F.lit(0)).cast("long")).drop("_lo", "_hi", "_row")
 
 

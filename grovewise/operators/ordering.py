@@ -51,16 +51,17 @@ def value_edges(rows: DataFrame, parent: str, value: str, priority: int) -> Data
     return ranked.join(nxt, (F.col(parent) == F.col("_p")) & (F.col("r") == F.col("_r"))).select(parent, F.col("id").alias("a"), "b", F.lit(priority).alias("priority"))
 
 
-def ranked_order(children: DataFrame, parent: str, ranks: Sequence[Column], id_: str = "id", into: str = "place") -> DataFrame:
-    """Places from 1 among a parent's children by rank columns, ties by id.
+def ranked_order(children: DataFrame, parent: str, ranks: Sequence[Column], id_: str = "id", into: str = "place", descending: bool = False) -> DataFrame:
+    """Places from 1 among a parent's children by rank columns (``descending``: from the greatest on), ties by id.
 
     Constraints that say "each of these before each of those" are consistent by nature: as ranks they need no edges. Rows
     are cut into ranges of (parent, ranks, id), so that the children of one large parent are dealt to many tasks.
     """
     names = [f"_rank{i}" for i in range(len(ranks))]
     ranked = children.withColumns(dict(zip(names, ranks, strict=True)))
-    cut = checkpointed(ranked.repartitionByRange(parent, *names, id_).withColumn("_range", F.spark_partition_id()))
-    within = Window.partitionBy(parent, "_range").orderBy(*names, id_)
+    order = [*(F.col(n).desc() if descending else F.col(n).asc() for n in names), F.col(id_)]
+    cut = checkpointed(ranked.repartitionByRange(parent, *order).withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy(parent, "_range").orderBy(*order)
     # Only parents that go on from an earlier range have an offset: fewer rows than there are ranges.
     sizes = cut.groupBy(parent, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(parent).orderBy("_range")) - F.col("_n")
@@ -84,6 +85,62 @@ def running_totals(rows: DataFrame, parent: str, order: Sequence[str], totals: d
     return found.select(*rows.columns, *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0))).alias(k) for k in totals])
 
 
+def running_extremes(rows: DataFrame, parent: str, order: str, value: str, before: str, after: str) -> DataFrame:
+    """``rows`` with the greatest ``value`` of the rows of its parent before it in ``order``, and the least of those after it;
+    null where there is none. ``order`` is a number that no two rows of a parent share. Two-level, as ``running_totals``."""
+    cut = checkpointed(rows.repartitionByRange(parent, order).withColumn("_range", F.spark_partition_id()))
+    ends = cut.groupBy(parent, "_range").agg(F.max(value).alias("_range_most"), F.min(value).alias("_range_least"))
+    ranges, within = Window.partitionBy(parent).orderBy("_range"), Window.partitionBy(parent, "_range").orderBy(order)
+    past, rest = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    outside = ends.select(F.col(parent).alias("_parent"), F.col("_range").alias("_at"), F.max("_range_most").over(ranges.rowsBetween(*past)).alias("_range_most"), F.min("_range_least").over(ranges.rowsBetween(*rest)).alias("_range_least"))
+    # Only parents that lie in several ranges have an outside: fewer than two rows for each range.
+    outside = outside.where("_range_most is not null or _range_least is not null")
+    own = cut.withColumns({before: F.max(value).over(within.rowsBetween(*past)), after: F.min(value).over(within.rowsBetween(*rest))})
+    found = own.join(F.broadcast(outside), F.col(parent).eqNullSafe(F.col("_parent")) & (F.col("_range") == F.col("_at")), "left")
+    return found.select(*rows.columns, F.greatest(before, "_range_most").alias(before), F.least(after, "_range_least").alias(after))
+
+
+#: Between the labels of neighbours that are numbered anew.
+GAP = 1 << 24
+
+
+def order_labels(children: DataFrame, parent: str, by: Sequence[Column], descending: bool = False) -> DataFrame:
+    """``children`` (parent, id, ord, fresh, ..) with ``label``, an order by ``by``, ties by id, that touches as few as it can.
+
+    Children that aren't ``fresh`` are in order already and keep their ``ord`` as label, as do fresh ones that no other
+    child is out of order with. The others are moved right behind the one that they follow, or before the first. Where the
+    parent has children that aren't ordered, ``follows`` and ``precedes`` are the ``ord`` of a child's neighbours among all
+    of them, and ``last`` the greatest, so that no label is taken twice. ``room`` is false for all children of a parent
+    where some gap is too small: it has to be numbered anew first.
+    """
+    null = F.lit(None).cast("long")
+    at = children.withColumns({c: null for c in ("follows", "precedes", "last") if c not in children.columns})
+    at = ranked_order(at, parent, by, into="_n", descending=descending)
+    at = running_extremes(at, parent, "_n", "ord", "_greatest", "_least")
+    calm = (F.coalesce(F.col("ord") > F.col("_greatest"), F.lit(True))) & (F.coalesce(F.col("ord") < F.col("_least"), F.lit(True)))
+    at = at.withColumn("_stays", F.when(~F.col("fresh") | calm, F.col("ord")))
+    at = checkpointed(running_extremes(at, parent, "_n", "_stays", "_prev", "_next"))
+    moved = at.where("_stays is null").withColumn("_gap", F.struct(parent, "_prev"))
+    placed = ranked_order(moved, "_gap", [F.col("_n")], into="_j")
+    sizes = placed.groupBy(F.col("_gap").alias("_of")).agg(F.count(F.lit(1)).alias("_m"))
+    placed = placed.join(sizes, F.col("_gap").eqNullSafe(F.col("_of")))
+    fixed = at.where("_stays is not null")
+    behind = fixed.select(F.col(parent).alias("_p1"), F.col("_stays").alias("_l1"), F.col("follows").alias("_f"))
+    ahead = fixed.select(F.col(parent).alias("_p2"), F.col("_stays").alias("_l2"), F.col("precedes").alias("_b"))
+    placed = placed.join(behind, F.col(parent).eqNullSafe(F.col("_p1")) & (F.col("_prev") == F.col("_l1")), "left")
+    placed = placed.join(ahead, F.col(parent).eqNullSafe(F.col("_p2")) & (F.col("_next") == F.col("_l2")), "left")
+    low = F.coalesce("_prev", F.when(F.col("_next").isNotNull(), F.col("_b")), F.when(F.col("_next").isNull(), F.coalesce("last", F.lit(0))))
+    high = F.when(F.col("_prev").isNotNull(), F.coalesce("_f", "_next")).otherwise(F.col("_next"))
+    placed = placed.withColumns({"_low": low, "_high": high})
+    j, m = F.col("_j").cast("long"), F.col("_m")
+    between = F.col("_low") + F.floor((F.col("_high") - F.col("_low")).cast("decimal(38,0)") * j / (m + 1)).cast("long")
+    label = F.when(F.col("_high").isNull(), F.col("_low") + j * GAP).when(F.col("_low").isNull(), F.col("_high") - (m + 1 - j) * GAP).otherwise(between)
+    placed = checkpointed(placed.withColumn("label", label).withColumn("_tight", F.coalesce(F.col("_high") - F.col("_low") <= m, F.lit(False))))
+    tight = placed.where("_tight").select(F.col(parent).alias("_p")).distinct().withColumn("room", F.lit(False))
+    both = placed.select(*children.columns, "label").unionByName(fixed.select(*children.columns, F.col("_stays").alias("label")))
+    return both.join(tight, F.col(parent).eqNullSafe(F.col("_p")), "left").select(*children.columns, "label", F.coalesce("room", F.lit(True)).alias("room"))
+
+
 def greedy_order(ids: list[str], edges: dict[tuple[str, str], int]) -> list[str]:
     """Place next the child that the weakest constraint of an unplaced one holds back, ties by id.
 
@@ -140,4 +197,4 @@ def moved(before: DataFrame, after: DataFrame, parent: str) -> DataFrame:
     return before.join(after.withColumnRenamed("place", "_new"), [parent, "id"]).where("place <> _new").select(parent, "id", F.col("_new").alias("place"))
 
 
-__all__ = ["greedy_order", "moved", "priority_order", "ranked_order", "relative_edges", "running_totals", "sequence_edges", "sort_as_corresponding", "sort_by_value", "value_edges"]
+__all__ = ["greedy_order", "moved", "order_labels", "priority_order", "ranked_order", "relative_edges", "running_extremes", "running_totals", "sequence_edges", "sort_as_corresponding", "sort_by_value", "value_edges"]

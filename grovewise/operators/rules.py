@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from grovewise.functions.scalars import md5_base64, sanitize_ascii
 from grovewise.operators.axes import each
+from grovewise.operators.ordering import GAP, order_labels, ranked_order
 from grovewise.operators.snapshots import dispense_names
 from grovewise.sources.forest import FIELDS
 from grovewise.sources.store import checkpointed, observed
@@ -43,11 +44,15 @@ def binding_key(rule: str, *ids: Column) -> Column:
     return F.concat(F.lit(f"_{rule}."), *[x for i in ids for x in (sanitize_ascii(i.cast("string")), F.lit("."))])
 
 
-def inserted(bound: DataFrame, key: Column, refs: Sequence[Column], docs: Sequence[Column], target: Column | None, name: str, attrs: Column | None = None, value: Column | None = None, ord_: Column | None = None, doc: Column | None = None) -> DataFrame:
-    """Bindings in the shape that the engine takes. ``target`` is the node to insert under, null for a new document of
-    path ``doc``."""
+def inserted(bound: DataFrame, key: Column, refs: Sequence[Column], docs: Sequence[Column], target: Column | None, name: str, attrs: Column | None = None, value: Column | None = None, ord_: Column | None = None, doc: Column | None = None, under: str | None = None) -> DataFrame:
+    """Bindings in the shape that the engine takes. ``target`` is the id of the node to insert under, null for a new
+    document of path ``doc``. ``under`` names the variable that holds this node instead: its place is then known from the
+    binding, and the forest needn't be searched for it."""
     null = F.lit(None).cast("string")
+    target = F.col(under)["id"] if under else target
+    place = [F.struct(*[F.col(under)[c].alias(c) for c in ("doc", "path", "pos")]).alias("at")] if under else []
     return bound.select(
+        *place,
         key.alias("key"), F.array(*refs).alias("refs"), F.array_distinct(F.array(*docs)).alias("docs"),
         (null if target is None else target).alias("target"), F.lit(name).alias("name"),
         (F.create_map().cast("map<string,string>") if attrs is None else attrs).alias("attrs"), (null if value is None else value.cast("string")).alias("value"),
@@ -223,26 +228,42 @@ def single_roots(rows: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.withColumn("_one", F.when(n > 1, error).otherwise(F.lit(True))).where("_one").drop("_one")
 
 
+@dataclass(frozen=True)
+class Sort:
+    """Children of a parent are kept in the order of a value: of each binding of ``blocks`` the node that the last one
+    binds is placed by ``by``, a column of the binding. Children that aren't bound stay where they are."""
+
+    id: str
+    blocks: tuple[For, ...]
+    by: Column
+    descending: bool = False
+
+
 @dataclass
 class State:
     """``partial``: for each rule of three blocks or more, the digest and the bindings of its first two, three .. blocks;
-    ``known``: the rules that ran last."""
+    ``known``: the rules that ran last; ``orders``: what each sort has ordered by, (doc, id, by)."""
 
     nodes: DataFrame
     mods: DataFrame
     cycles: int = 0
     counts: dict[str, int] = field(default_factory=lambda: {"resolved": 0, "withdrawn": 0, "verified": 0})
+    sorted: dict[str, int] = field(default_factory=lambda: {"checked": 0, "moved": 0})
     partial: dict[str, list[tuple[str, DataFrame]]] = field(default_factory=dict)
     known: Sequence[Rule] = ()
+    orders: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def start(base: DataFrame) -> State:
-    """The base forest, stored once for all rules. An id that two documents have is an error: see ``qualified``."""
+def start(base: DataFrame, unique: bool = False) -> State:
+    """The base forest, stored once for all rules. An id that two documents have is an error, see ``qualified``; this is
+    checked unless ids are known to be ``unique``."""
     base = checkpointed(base.select(*FIELDS))
-    twice = base.groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").first()
+    twice = None if unique else base.groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").first()
     if twice is not None:
         raise ValueError(f"id {twice['id']!r} is in several documents ({twice['a']!r}, {twice['b']!r}); rules need ids of their own")
-    return State(base, base.sparkSession.createDataFrame([], MODS))
+    # Known to be empty, unlike a DataFrame of no Python rows: joins with it can be broadcast.
+    none = base.sparkSession.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in (c.split(" ") for c in MODS.split(", "))])
+    return State(base, none)
 
 
 def qualified(nodes: DataFrame) -> DataFrame:
@@ -261,8 +282,11 @@ def _written(nodes: DataFrame, rows: DataFrame, rule: str) -> tuple[DataFrame, D
     # What a binding inserts under is something that it rests on.
     refs = F.when(F.col("target").isNull(), F.col("refs")).otherwise(F.array_union("refs", F.array("target")))
     own = rows.withColumn("own", F.concat("key", F.lit(rule), F.lit("."))).withColumn("refs", refs)
-    at = nodes.select(F.col("id").alias("target"), F.col("doc").alias("_doc"), F.col("path").alias("_path"), F.col("pos").alias("_pos"))
-    under = own.where("target is not null").join(at, "target")
+    if "at" in rows.columns:
+        under = own.where("target is not null").select("*", F.col("at.doc").alias("_doc"), F.col("at.path").alias("_path"), F.col("at.pos").alias("_pos"))
+    else:
+        at = nodes.select(F.col("id").alias("target"), F.col("doc").alias("_doc"), F.col("path").alias("_path"), F.col("pos").alias("_pos"))
+        under = own.where("target is not null").join(at, "target")
     fresh = own.where("target is null")
     columns = {
         "id": F.col("own"), "ord": F.col("ord"), "kind": F.lit("element"), "name": F.col("name"), "attrs": F.col("attrs"), "value": F.col("value"),
@@ -394,6 +418,8 @@ def withdraw(state: State, obsolete: DataFrame, limit: int = 100) -> State:
 def _alive(state: State, bound: DataFrame) -> DataFrame:
     """(key, checksum) of what is bound now and has a place to go to."""
     now = _checksum(bound.dropDuplicates(["key"]))
+    if "at" in bound.columns:
+        return now.select("key", "checksum")
     return now.join(state.nodes.select(F.col("id").alias("target")), "target", "left_semi").unionByName(now.where("target is null").select(*now.columns)).select("key", "checksum")
 
 
@@ -459,6 +485,81 @@ def changed_rules(state: State, before: Sequence[Rule], now: Sequence[Rule]) ->
     return withdraw(state, reduce(DataFrame.unionByName, lost)) if lost else state
 
 
+def _with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with new places among their siblings (doc, id, label), of themselves and of what lies below them. Only
+    documents in which something moves are looked through."""
+    docs = labels.select("doc").distinct()
+    held = nodes.join(docs, "doc", "left_semi").select("doc", "id", F.posexplode("path").alias("_depth", "_up"))
+    steps = held.join(labels.select("doc", F.col("id").alias("_up"), "label"), ["doc", "_up"]).groupBy("doc", "id").agg(F.map_from_entries(F.collect_list(F.struct("_depth", "label"))).alias("_new"))
+    found = nodes.join(steps, ["doc", "id"], "left")
+    pos = F.when(F.col("_new").isNull(), F.col("pos")).otherwise(F.transform("pos", lambda p, i: F.coalesce(F.try_element_at("_new", i), p)))
+    return found.withColumn("pos", pos).withColumn("ord", F.element_at("pos", -1)).select(*FIELDS)
+
+
+def _siblings(nodes: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All children of some parents (_p), numbered, and what is beside each: (doc, id, precedes, follows, last)."""
+    kids = nodes.withColumn("_family", F.struct("doc", "parent_id")).join(parents, F.col("_family").eqNullSafe(F.col("_p")), "left_semi").select("doc", "id", "ord", "_family")
+    kids = checkpointed(ranked_order(kids, "_family", [F.col("ord")], "id", "_n").withColumn("_n", F.col("_n").cast("long")))
+    beside = lambda name, n: kids.select(F.col("_family").alias(f"_{name}"), (F.col("_n") + n).alias(f"_n_{name}"), F.col("ord").alias(name))
+    last = kids.groupBy(F.col("_family").alias("_l")).agg(F.max("ord").alias("last"))
+    found = kids
+    for name, n in (("precedes", 1), ("follows", -1)):
+        found = found.join(beside(name, n), F.col("_family").eqNullSafe(F.col(f"_{name}")) & (F.col("_n") == F.col(f"_n_{name}")), "left")
+    return kids, found.join(last, F.col("_family").eqNullSafe(F.col("_l"))).select("doc", "id", "precedes", "follows", "last")
+
+
+def _settle(state: State, sort: Sort) -> DataFrame | None:
+    """Order the children of the parents under which something that ``sort`` binds is new or has another value than before;
+    the nodes that moved, None if none did."""
+    last = sort.blocks[-1].var
+    now = _chain(sort.blocks, state.nodes).select(F.col(f"{last}.doc").alias("doc"), F.col(f"{last}.id").alias("id"), F.col(f"{last}.parent_id").alias("parent_id"), F.col(f"{last}.ord").alias("ord"), sort.by.alias("by"))
+    several = F.raise_error(F.concat(F.lit(f"{sort.id}: more than one value for "), F.col("id"))).cast("boolean")
+    now = now.dropDuplicates(["doc", "id", "by"]).groupBy("doc", "id", "parent_id", "ord").agg(F.any_value("by").alias("by"), F.count(F.lit(1)).alias("_n"))
+    now = checkpointed(now.withColumn("_one", F.when(F.col("_n") > 1, several).otherwise(F.lit(True))).where("_one").drop("_n", "_one"))
+    before = state.orders.get(sort.id)
+    old = now.limit(0) if before is None else before
+    same = (F.col("doc") == F.col("_d")) & (F.col("id") == F.col("_i")) & F.col("by").eqNullSafe(F.col("_b")) & (F.col("ord") == F.col("_o"))
+    kept = old.select(F.col("doc").alias("_d"), F.col("id").alias("_i"), F.col("by").alias("_b"), F.col("ord").alias("_o"), F.lit(False).alias("fresh"))
+    now = now.join(kept, same, "left").withColumn("fresh", F.coalesce("fresh", F.lit(True))).select("doc", "id", "parent_id", "ord", "by", "fresh").withColumn("parent", F.struct("doc", "parent_id"))
+    now = checkpointed(now)
+    due, seen = observed(now.where("fresh").select(F.col("parent").alias("_p")).distinct(), n=F.count(F.lit(1)))
+    state.orders[sort.id] = now.select("doc", "id", "ord", "by")
+    if not seen["n"]:
+        return None
+    state.sorted["checked"] += seen["n"]
+    rows = now.join(due, F.col("parent").eqNullSafe(F.col("_p")), "left_semi")
+    kids, places = _siblings(state.nodes, due)
+    placed, seen = observed(order_labels(rows.join(places, ["doc", "id"]), "parent", [F.col("by")], sort.descending), tight=F.count_if(~F.col("room")), moved=F.count_if(F.col("label") != F.col("ord")))
+    if not seen["moved"]:
+        return None
+    state.sorted["moved"] += seen["moved"]
+    if seen["tight"]:
+        # All children of these parents are numbered anew, with gaps, in the order that they have; then there is room.
+        tight = placed.where("not room").select(F.col("parent").alias("_p")).distinct()
+        wide = checkpointed(kids.join(tight, F.col("_family").eqNullSafe(F.col("_p")), "left_semi").select("doc", "id", (F.col("_n") * GAP).alias("label")))
+        state.nodes = checkpointed(_with_labels(state.nodes, wide))
+        rows = rows.drop("ord").join(state.nodes.select("doc", "id", "ord"), ["doc", "id"])
+        placed = order_labels(rows.join(_siblings(state.nodes, due)[1], ["doc", "id"]), "parent", [F.col("by")], sort.descending)
+    labels = checkpointed(placed.where("label <> ord").select("doc", "id", "label"))
+    state.nodes = checkpointed(_with_labels(state.nodes, labels))
+    state.orders[sort.id] = checkpointed(now.select("doc", "id", "by").join(state.nodes.select("doc", "id", "ord"), ["doc", "id"]))
+    return state.nodes.join(labels.select("doc", "id"), ["doc", "id"], "left_semi")
+
+
+def settle(state: State, sorts: Sequence[Sort], rules: Sequence[Rule] = (), limit: int = 10) -> State:
+    """Once no rule adds anything, and so every document is at rest: bring siblings into their orders. Bindings that rest on
+    a node that moved are verified, since an output may tell its place; this goes on until nothing moves."""
+    for _ in range(limit):
+        moved = [m for m in (_settle(state, s) for s in sorts) if m is not None]
+        if not moved:
+            return state
+        state.cycles += 1
+        if rules:
+            nodes = checkpointed(reduce(DataFrame.unionByName, moved).dropDuplicates(["doc", "id"]))
+            state = update(state, rules, nodes.select("id"), nodes)
+    raise RuntimeError(f"orders didn't settle in {limit} rounds")
+
+
 def vanished(state: State) -> State:
     """Withdraw mods that rest on a document which isn't there any more, as found at start-up."""
     there = state.nodes.select("doc").distinct()

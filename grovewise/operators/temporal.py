@@ -36,7 +36,7 @@ def interesting(ranges: DataFrame, points: DataFrame, changes: DataFrame, keys:
     no key's rows gather.
     """
     first = changes.groupBy(*keys).agg(F.min(ts).alias("_first")).join(ranges.groupBy(*keys).agg(F.max("from_ts").alias("_last")), list(keys), "full_outer")
-    held = stabbed(ranges, points, keys, F.col("from_ts"), F.col("to_ts"), F.col(ts), "_before", "_hits")
+    held = stabbed(ranges, points, keys, F.col("from_ts"), F.col("to_ts"), F.col(ts), "_before", "_hits", [*keys, "from_ts", "to_ts"])
     flagged = held.join(first, list(keys), "left")
     known = F.col("from_ts").isNotNull() & F.col("to_ts").isNotNull()
     flag = F.coalesce(((F.col("_hits") > 0) & known | (F.col("_last") == F.col("from_ts"))) & (F.col("from_ts") >= F.col("_first")), F.lit(False))

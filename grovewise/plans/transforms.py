@@ -23,11 +23,11 @@ def _summary_rules() -> list[rules.Rule]:
 
     def entries(b: DataFrame) -> DataFrame:
         key = rules.binding_key("entry", F.col("n.id"), F.col("p.id"))
-        return rules.inserted(b, key, [F.col("n.id"), F.col("p.id")], [F.col("n.doc"), F.col("p.doc")], F.col("p.id"), "entry", F.create_map(F.lit("of"), F.col("n.id")), attr("n", "name"), F.col("n.ord"))
+        return rules.inserted(b, key, [F.col("n.id"), F.col("p.id")], [F.col("n.doc"), F.col("p.doc")], None, "entry", F.create_map(F.lit("of"), F.col("n.id")), attr("n", "name"), F.col("n.ord"), under="p")
 
     def flags(b: DataFrame) -> DataFrame:
         key = rules.binding_key("flag", F.col("s.id"), F.col("e.id"))
-        return rules.inserted(b, key, [F.col("s.id"), F.col("e.id")], [F.col("s.doc"), F.col("e.doc")], F.col("e.id"), "flag", value=attr("s", "name"), ord_=F.col("s.ord"))
+        return rules.inserted(b, key, [F.col("s.id"), F.col("e.id")], [F.col("s.doc"), F.col("e.doc")], None, "flag", value=attr("s", "name"), ord_=F.col("s.ord"), under="e")
 
     rich = rules.For("s", "supplier", lambda _, found: found.where(attr("s", "balance").cast("double") > 9000))
     into = rules.For("e", "entry", lambda bound, found: bound.join(found, F.col("s.parent_id") == attr("e", "of")), target=True)
@@ -50,7 +50,7 @@ def _outputs(state: rules.State) -> DataFrame:
 
 @query(_OUT.format(""))
 def fixpoint_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = rules.run(rules.start(region_forest(spark, sf_dir, "region", "nation", "supplier")), _summary_rules())
+    state = rules.run(rules.start(region_forest(spark, sf_dir, "region", "nation", "supplier"), unique=True), _summary_rules())
     return _outputs(state)
 
 
@@ -58,7 +58,7 @@ def fixpoint_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth supplier goes, every eighth comes back richer and renamed; outputs follow."""
     base = region_forest(spark, sf_dir, "region", "nation", "supplier")
-    state = rules.run(rules.start(base), _summary_rules())
+    state = rules.run(rules.start(base, unique=True), _summary_rules())
     key = F.substring("id", 2, 20).cast("long")
     edited = base.where((F.col("name") == "supplier") & (key % 8 == 0))
     edited = edited.withColumn("attrs", F.create_map(F.lit("name"), F.concat(F.element_at("attrs", "name"), F.lit("*")), F.lit("balance"), F.lit("10000")))
@@ -68,13 +68,13 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT '_report.r' || r_regionkey || '.' AS key, '_report.r' || r_regionkey || '.report.' AS affected FROM region")
 def insert_copy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = rules.run(rules.start(region_forest(spark, sf_dir, "region")), _summary_rules()[1:2])
+    state = rules.run(rules.start(region_forest(spark, sf_dir, "region"), unique=True), _summary_rules()[1:2])
     return state.mods.select("key", "affected")
 
 
 @query("SELECT DISTINCT 'reports/' || r_name || '.xml' AS doc FROM region")
 def create_doc_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.run(rules.start(region_forest(spark, sf_dir, "region")), _summary_rules()[1:2]).nodes.where("name = 'report'").select("doc").distinct()
+    return rules.run(rules.start(region_forest(spark, sf_dir, "region"), unique=True), _summary_rules()[1:2]).nodes.where("name = 'report'").select("doc").distinct()
 
 
 @query("SELECT o_custkey AS parent, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders")
