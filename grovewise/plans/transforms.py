@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovewise.functions import scalars as S
-from grovewise.operators import ordering, rules
+from grovewise.operators import blocks, ordering, rules
 from grovewise.operators.axes import attr, each, step
 from grovewise.registry import query
 from grovewise.session import table
@@ -176,3 +176,58 @@ def fn_sanitize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed digests; DuckDB has no HMAC."""
     return table(spark, sf_dir, "part").select("p_partkey", S.hmac_md5("secret")(F.col("p_name")).alias("mac"), S.sanitize_key(F.col("p_type")).alias("key"))
+
+
+#: A page for each region, in it an entry for each nation, in that a line for each customer in debt, by balance.
+DEBTS = [
+    {"id": "line", "blocks": [
+        {"for each": "c", "name": "customer", "where": "cast(c.attrs['balance'] as double) < 0"}, {"for each": "e", "name": "entry", "on": "e.attrs['of'] = c.parent_id", "target": True},
+        {"insert": "line", "attrs": {"of": "c.id", "balance": "c.attrs['balance']"}, "value": "c.attrs['name']", "ord": "c.ord"}]},
+    {"id": "page", "blocks": [{"for each": "r", "name": "region"}, {"create-doc": "concat('pages/', r.attrs['name'], '.xml')", "root": "page", "attrs": {"of": "r.id"}}]},
+    {"id": "entry", "blocks": [
+        {"for each": "n", "name": "nation"}, {"for each": "p", "name": "page", "on": "p.attrs['of'] = n.parent_id", "target": True},
+        {"insert": "entry", "attrs": {"of": "n.id"}, "value": "n.attrs['name']", "ord": "n.ord"}]},
+    {"id": "by-balance", "blocks": [{"for each": "l", "name": "line"}, {"sort": "l", "by": "cast(l.attrs['balance'] as double)"}]},
+]
+_DEBTS = """
+    WITH c AS ({}), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey::VARCHAR) AS place FROM c WHERE c_acctbal < 0)
+    SELECT 'line' AS name, 'pages/' || r_name || '.xml' AS doc, c_name AS value, place::BIGINT AS place FROM r JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 'entry', 'pages/' || r_name || '.xml', n_name, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::BIGINT FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 'page', 'pages/' || r_name || '.xml', NULL, 1 FROM region
+"""
+
+
+def _placed(state: rules.State) -> DataFrame:
+    """Outputs with their places among their siblings."""
+    made = state.nodes.where(F.col("name").isin("page", "entry", "line")).withColumn("parent", F.struct("doc", "parent_id"))
+    found = ordering.ranked_order(made, "parent", [F.col("ord")])
+    return found.select("name", "doc", "value", F.col("place").cast("long").alias("place"))
+
+
+@query(_DEBTS.format("SELECT * FROM customer"))
+def rules_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from data to a fixpoint; then lines are brought into the order of their balances."""
+    base = region_forest(spark, sf_dir, "region", "nation", "customer")
+    return _placed(blocks.run(base, DEBTS, unique=True))
+
+
+@query(_DEBTS.format("SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 9 = 0 THEN c_name || '*' ELSE c_name END AS c_name, CASE WHEN c_custkey % 9 = 0 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal FROM customer"))
+def rules_as_data_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after every ninth customer's balance has changed its sign: bindings of these customers are looked at, their
+    lines come, go and move; the rest stays."""
+    base = region_forest(spark, sf_dir, "region", "nation", "customer")
+    state = blocks.run(base, DEBTS, unique=True)
+    changed = base.where((F.col("name") == "customer") & (F.substring("id", 2, 20).cast("long") % 9 == 0))
+    balance = F.element_at("attrs", "balance").cast("double")
+    attrs = F.create_map(F.lit("name"), F.concat(F.element_at("attrs", "name"), F.lit("*")), F.lit("segment"), F.element_at("attrs", "segment"), F.lit("balance"), (-balance).cast("string"))
+    return _placed(blocks.update(state, DEBTS, changed.select("id"), changed.withColumn("attrs", attrs)))
+
+
+@query("SELECT o_custkey AS parent, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)::BIGINT AS place FROM orders")
+def order_labels_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer stand by key; labels bring them into the order of their totals, moving those out of order."""
+    o = table(spark, sf_dir, "orders")
+    key = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") * ordering.GAP
+    rows = o.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("id"), key.alias("ord"), F.lit(True).alias("fresh"), F.col("o_totalprice").alias("by"))
+    found = ordering.order_labels(rows, "parent", [F.col("by")])
+    return ordering.ranked_order(found, "parent", [F.col("label")]).select("parent", "id", F.col("place").cast("long").alias("place"))
