@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grovewise.operators import construct, intervals
 from grovewise.operators.axes import each, step
+from grovewise.operators.pathways import path
 from grovewise.registry import query
 from grovewise.session import table
 from grovewise.sources import documents
@@ -107,3 +108,20 @@ def mixed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     kids = step(each(again, "p", "p"), again, "p", "child", None, "x").select(F.col("p.doc").alias("id"), "x.ord", F.col("x.value").alias("value"))
     at = lambda n: F.max(F.when(F.col("ord") == n, F.col("value")))
     return kids.groupBy("id").agg(at(0).alias("before"), at(1).alias("bold"), at(2).alias("after"))
+
+
+@query("SELECT 'r' || n_regionkey AS region, 'o' || o_orderkey AS last_order FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey) JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'")
+def path_value_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation/customer[@segment = 'BUILDING']/order[last()] as a path that is a value."""
+    f = region_forest(spark, sf_dir, "region", "nation", "customer", "order")
+    p = path().child("nation").child("customer").where(lambda c: F.element_at(c["attrs"], "segment") == "BUILDING", "segment").child("order").at(-1)
+    return p.bind(each(f, "r", "region"), f, "r", "o").select(F.col("r.id").alias("region"), F.col("o.id").alias("last_order"))
+
+
+@query("SELECT DISTINCT 'r' || n_regionkey AS region, 'n' || n_nationkey AS nation FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 300000 AND c_acctbal > 0")
+def path_value_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """//customer[@balance > 0][order[@total > 300000]]/parent::nation: each nation once, by a path inside a filter."""
+    f = region_forest(spark, sf_dir, "region", "nation", "customer", "order")
+    large = path().child("order").where(lambda o: F.element_at(o["attrs"], "total").cast("double") > 300000, "total")
+    p = path().anywhere("customer").where(lambda c: F.element_at(c["attrs"], "balance").cast("double") > 0, "balance").where(large).parent("nation")
+    return p.bind(each(f, "r", "region"), f, "r", "n").select(F.col("r.id").alias("region"), F.col("n.id").alias("nation"))
