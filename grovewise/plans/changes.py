@@ -18,7 +18,7 @@ def _at(text: str):
     return F.to_timestamp_ntz(F.lit(text.split("'")[1]))
 
 
-_RANGES = f"""
+RANGES = f"""
     WITH p AS (SELECT DISTINCT user_id, ts AS to_ts FROM events WHERE ts >= {START} AND ts < {END} UNION SELECT DISTINCT user_id, {END} FROM events),
     g AS (SELECT user_id, coalesce(lag(to_ts) OVER (PARTITION BY user_id ORDER BY to_ts) + INTERVAL 1 SECOND, {START}) AS from_ts, to_ts FROM p),
     ranges AS (SELECT * FROM g WHERE to_ts - from_ts >= INTERVAL 12 HOUR)
@@ -29,12 +29,12 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.quiet_ranges(table(spark, sf_dir, "events"), ["user_id"], "ts", _at(START), _at(END), QUIET, timedelta(seconds=1))
 
 
-@query(_RANGES + "SELECT user_id, from_ts, to_ts FROM ranges")
+@query(RANGES + "SELECT user_id, from_ts, to_ts FROM ranges")
 def quiet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranges(spark, sf_dir)
 
 
-_FLAGGED = _RANGES + """,
+_FLAGGED = RANGES + """,
     first AS (SELECT user_id, min(ts) AS f FROM events GROUP BY user_id),
     flagged AS (SELECT r.*, r.from_ts >= f AND (r.from_ts = max(r.from_ts) OVER (PARTITION BY r.user_id) OR EXISTS (
         SELECT 1 FROM events e WHERE e.user_id = r.user_id AND e.event_type = 'purchase' AND e.ts - INTERVAL 1 MINUTE >= r.from_ts AND e.ts - INTERVAL 1 MINUTE < r.to_ts)) AS interesting

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,9 @@ from grovewise.session import table
 from grovewise.sources import documents
 from grovewise.sources.forest import conversation_forest, region_forest
 from grovewise.sources.store import VersionedTable, checkpointed, shared_folder
+from grovewise.plans.changes import END, QUIET, RANGES, START
 from grovewise.streaming import changes as streams
+from grovewise.streaming import stateful
 
 
 @query()
@@ -116,3 +118,16 @@ def stream_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.run_once(streams.latest(streams.event_stream(spark, folder, e.schema), "user_id", "ts", "event_type"), "complete", each=keep)
     before = e.where(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-28 00:00:00"))).groupBy("user_id").agg(F.max("ts").alias("stamp"))
     return snapshots.snapshot_diff(before, kept["now"], "user_id", "stamp")
+
+
+@query(RANGES + "SELECT user_id, from_ts, to_ts FROM ranges")
+def stream_quiet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quiet ranges by timers of a stateful stream over three files, out of order within a file, equal those of the batch
+    form; a row far in the future moves the watermark past all."""
+    own, folder = stateful.with_timers(spark), f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("user_id", "ts")
+    e.repartitionByRange(3, "ts").write.parquet(folder)
+    e.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.lit(timedelta(days=365))).alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    micros = lambda text: round((datetime.fromisoformat(text.split("'")[1]) - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    found = stateful.quiet_ranges(streams.event_stream(own, folder, e.schema, 10), ["user_id"], "ts", micros(START), micros(END), QUIET, timedelta(days=40), timedelta(seconds=1))
+    return spark.read.parquet(streams.run_once(found, "append")).where("user_id >= 0")
