@@ -24,7 +24,7 @@ from grovewise.llm.common import stored
 
 ANCHOR = "key long, id long, label int, v array<double>, pos_ids array<long>, pos_scores array<double>, floors array<double>"
 VISIT = f"shard long, kind int, {ANCHOR}, d array<double>"
-SAMPLE = 4096  # rows of a width among which pivots are chosen; what is found doesn't depend on the choice
+SAMPLE = 4096  # rows of a width, about, among which pivots are chosen; what is found doesn't depend on the choice
 STEP = 4  # pivots between two cuts of the survivors
 SLACK = 1e-6  # of M: more than rounding can move a distance
 
@@ -198,11 +198,13 @@ def _mined(k: int, bounds: Bounds):
 
 
 def choose_pivots(rows: DataFrame, pivots: int) -> dict[int, Pivots]:
-    """For each width, M over all rows, and pivots each farthest from those before among SAMPLE rows drawn by a hash."""
+    """For each width, M over all rows, and pivots each farthest from those before among about SAMPLE rows drawn at random,
+    at most twice as many."""
     out = {}
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    for width, m in sorted(rows.groupBy(F.size("v")).agg(F.sqrt(F.max(norm))).collect()):
-        sample = rows.where(F.size("v") == width).select("v").orderBy(F.xxhash64("v", "id")).limit(SAMPLE).collect()
+    for width, m, n in sorted(rows.groupBy(F.size("v")).agg(F.sqrt(F.max(norm)), F.count(F.lit(1))).collect()):
+        some = rows.where(F.size("v") == width).select("v")
+        sample = (some.sample(SAMPLE / n, seed=7) if n > SAMPLE else some).limit(2 * SAMPLE).collect() or some.limit(1).collect()
         sample = np.array([r[0] for r in sample], float).reshape(len(sample), width)
         every = np.hstack([sample, np.sqrt(np.maximum(m * m - (sample * sample).sum(axis=1), 0.0))[:, None]])
         chosen, far = [0], np.full(len(every), np.inf)
