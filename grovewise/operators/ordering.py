@@ -23,11 +23,12 @@ def sort_as_corresponding(children: DataFrame, proxies: DataFrame, parent: str,
     """Children in the document order of their proxies (id, doc, pos), per proxy document.
 
     Children whose proxies lie in different documents aren't constrained by each other: documents follow each other in
-    the order of the least id that they hold.
+    the order of the least id that they hold. Children are ranked over ranges, so that those of one parent are many tasks'.
     """
     paired = children.join(proxies, id_)
-    first = F.min(id_).over(Window.partitionBy(parent, "doc"))
-    return paired.withColumn("_first", first).withColumn(into, F.row_number().over(Window.partitionBy(parent).orderBy("_first", "pos", id_))).drop("_first", "doc", "pos")
+    first = paired.groupBy(F.col(parent).alias("_p"), F.col("doc").alias("_d")).agg(F.min(id_).alias("_first"))
+    placed = paired.join(first, F.col(parent).eqNullSafe(F.col("_p")) & F.col("doc").eqNullSafe(F.col("_d"))).drop("_p", "_d")
+    return ranked_order(placed, parent, [F.col("_first"), F.col("pos")], id_, into).drop("_first", "doc", "pos")
 
 
 def relative_edges(chosen: DataFrame, siblings: DataFrame, parent: str, before: bool, priority: int) -> DataFrame:

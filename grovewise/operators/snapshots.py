@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovewise.operators.ordering import running_totals
+from grovewise.operators.ordering import ranked_order, running_totals
 
 
 def snapshot_diff(before: DataFrame, now: DataFrame, key: str, stamp: str, is_dir: str | None = None) -> DataFrame:
@@ -86,10 +86,11 @@ def change_records(before: DataFrame, now: DataFrame, matches: DataFrame, id_: s
 
 
 def duplicate_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """All but the first holder of a name, with their number among its holders."""
-    w = Window.partitionBy(name)
-    found = rows.withColumn("n_holders", F.count(F.lit(1)).over(w)).withColumn("serial", F.row_number().over(w.orderBy(order)))
-    return found.where("n_holders > 1 and serial > 1")
+    """All but the first holder of a name, with their number among its holders. Holders are numbered over ranges, so that
+    those of one name aren't one task's."""
+    numbered = ranked_order(rows, name, [], order, "serial").where("serial > 1")
+    held = rows.groupBy(F.col(name).alias("_name")).agg(F.count(F.lit(1)).alias("n_holders")).where("n_holders > 1")
+    return numbered.join(held, F.col(name).eqNullSafe(F.col("_name"))).select(*rows.columns, "n_holders", "serial")
 
 
 def dispense_names(rows: DataFrame, name: str, order: str, kind: Column) -> DataFrame:
@@ -117,14 +118,20 @@ def dispense_names(rows: DataFrame, name: str, order: str, kind: Column) -> Data
     return found.select(*rows.columns, unique.alias("unique_name"))
 
 
-def resolve_in_scopes(refs: DataFrame, scopes: Sequence[tuple[str, DataFrame, Column]]) -> DataFrame:
+def resolve_in_scopes(refs: DataFrame, scopes: Sequence[tuple[str, DataFrame, Column | Mapping[str, str]]]) -> DataFrame:
     """Resolve each reference in the first scope that knows it.
 
-    ``scopes`` are (name, definitions with column ``target``, join condition) in order of priority. A scope with several
-    targets for a reference makes it ambiguous, a miss in all unresolved; both are recorded, not dropped.
+    ``scopes`` are (name, definitions with column ``target``, how they meet) in order of priority: columns of references to
+    columns of definitions that equal them, or any condition. A scope with several targets for a reference makes it
+    ambiguous, a miss in all unresolved; both are recorded, not dropped. Definitions that are met by columns are aggregated
+    before they are joined, so that no reference is multiplied by them.
     """
     out = refs
     for i, (_, definitions, on) in enumerate(scopes):
+        if isinstance(on, Mapping):
+            own = definitions.groupBy(*[F.col(d).alias(f"_k{j}") for j, d in enumerate(on.values())]).agg(F.min("target").alias(f"_t{i}"), F.countDistinct("target").alias(f"_n{i}"))
+            out = out.join(own, [F.col(r) == F.col(f"_k{j}") for j, r in enumerate(on)], "left").drop(*[f"_k{j}" for j in range(len(on))])
+            continue
         hits = refs.join(definitions, on).groupBy("ref_id").agg(F.min("target").alias(f"_t{i}"), F.countDistinct("target").alias(f"_n{i}"))
         out = out.join(hits, "ref_id", "left")
     n, found, scope, many = range(len(scopes)), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)

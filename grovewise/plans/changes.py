@@ -196,5 +196,5 @@ def resolve_priority_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref_id"), F.col("c_nationkey").alias("nation"))
     orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000").select("o_custkey", F.concat(F.lit("o"), "o_orderkey").alias("target"))
     suppliers = table(spark, sf_dir, "supplier").where("s_acctbal > 8000").select("s_nationkey", F.concat(F.lit("s"), "s_suppkey").alias("target"))
-    scopes = [("own", orders, F.col("ref_id") == F.col("o_custkey")), ("near", suppliers, F.col("nation") == F.col("s_nationkey"))]
+    scopes = [("own", orders, {"ref_id": "o_custkey"}), ("near", suppliers, {"nation": "s_nationkey"})]
     return snapshots.resolve_in_scopes(refs, scopes).drop("nation")

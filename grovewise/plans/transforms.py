@@ -92,17 +92,34 @@ def sort_corresponding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.sort_as_corresponding(children, proxies, "parent", "id").select("parent", "id", "place")
 
 
-@query("SELECT o_custkey AS parent, 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, dense, 'o' || o_orderkey)::INT AS place FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE dense_rank() OVER (PARTITION BY o_custkey, o_orderpriority = '1-URGENT' ORDER BY o_orderdate) END AS dense FROM orders)")
+_URGENT_FIRST = "SELECT o_custkey AS parent, 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, dense, 'o' || o_orderkey)::INT AS place FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE dense_rank() OVER (PARTITION BY o_custkey, o_orderpriority = '1-URGENT' ORDER BY o_orderdate) END AS dense FROM orders)"
+
+
+@query(_URGENT_FIRST)
 def order_graph_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By date at a low priority, but urgent orders first at a high one; urgent orders among each other by id."""
     return _urgent_first(table(spark, sf_dir, "orders"))
 
 
-def _urgent_first(orders: DataFrame) -> DataFrame:
+@query(_URGENT_FIRST)
+def order_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the order graph: successive orders by urgency and date at a high priority, against successive ids at a
+    low one, which lose wherever they conflict."""
+    o = _with_ranks(table(spark, sf_dir, "orders"))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("late", "date", "id"))
+    strong = ordering.sequence_edges(o.withColumn("pos", place), "parent", "pos", 2)
+    weak = ordering.sequence_edges(o, "parent", "id", 1)
+    return ordering.priority_order(o.select("parent", "id"), strong.unionByName(weak), "parent")
+
+
+def _with_ranks(orders: DataFrame) -> DataFrame:
     """Urgent orders have no date rank, and so only their ids order them; neither constraint can conflict with itself."""
     urgent = F.col("o_orderpriority") == "1-URGENT"
-    o = orders.select(F.col("o_custkey").alias("parent"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.when(urgent, 0).when(~urgent, 1).otherwise(2).alias("late"), F.when(~F.coalesce(urgent, F.lit(False)), F.col("o_orderdate")).alias("date"))
-    return ordering.ranked_order(o, "parent", [F.col("late"), F.col("date")]).select("parent", "id", "place")
+    return orders.select(F.col("o_custkey").alias("parent"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.when(urgent, 0).when(~urgent, 1).otherwise(2).alias("late"), F.when(~F.coalesce(urgent, F.lit(False)), F.col("o_orderdate")).alias("date"))
+
+
+def _urgent_first(orders: DataFrame) -> DataFrame:
+    return ordering.ranked_order(_with_ranks(orders), "parent", [F.col("late"), F.col("date")]).select("parent", "id", "place")
 
 
 @query("""
