@@ -52,14 +52,30 @@ def gxl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.unionByName(arcs.select(F.concat("src", F.lit(">"), "dst").alias("id"), "kind"))
 
 
-@query("SELECT CASE WHEN event_type = 'purchase' THEN 'T' ELSE 'M' END AS code, 'u' || user_id AS author, count(*) AS n, count(DISTINCT date_trunc('minute', ts)) AS n_minutes FROM events WHERE event_id % 10 <> 0 GROUP BY ALL")
-def history_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as history lines, every tenth of them broken, and parsed again."""
+_HISTORY = "SELECT CASE WHEN event_type = 'purchase' THEN 'T' ELSE 'M' END AS code, 'u' || user_id AS author, count(*) AS n, count(DISTINCT date_trunc('minute', ts)) AS n_minutes FROM events WHERE event_id % 10 <> 0 GROUP BY ALL"
+
+
+def _history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as history lines, every tenth of them broken."""
     e = table(spark, sf_dir, "events")
     code = F.when(F.col("event_type") == "purchase", "T").otherwise("M")
     line = F.concat_ws(" ", code, F.date_format("ts", "yyyy-MM-dd HH:mm"), F.concat(F.lit("u"), "user_id"), F.lit("1.1"), F.concat(F.lit("f"), "event_id"))
-    lines = e.select(F.when(F.col("event_id") % 10 == 0, F.lit("M broken line")).otherwise(line).alias("value"))
-    return documents.history_log(lines).groupBy("code", "author").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("n_minutes"))
+    return e.select(F.when(F.col("event_id") % 10 == 0, F.lit("M broken line")).otherwise(line).alias("value"))
+
+
+@query(_HISTORY)
+def history_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as history lines, every tenth of them broken, and parsed again."""
+    return documents.history_log(_history_lines(spark, sf_dir)).groupBy("code", "author").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("n_minutes"))
+
+
+@query(_HISTORY)
+def stream_history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as files of a folder, read by a stream."""
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    _history_lines(spark, sf_dir).write.text(folder)
+    found = spark.read.parquet(streams.run_once(streams.history_stream(spark, folder, 4), "append"))
+    return found.groupBy("code", "author").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("n_minutes"))
 
 
 @query("SELECT p_partkey, p_partkey % 3 = 0 AS inherited FROM part")

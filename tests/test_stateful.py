@@ -52,3 +52,28 @@ def test_commit_sessions_by_a_stream_equal_those_of_the_batch(spark, tmp_path):
     want = temporal.commit_sessions(spark.createDataFrame(rows, schema), timedelta(minutes=30))
     columns = ["author", "message", "date", "file", "stretch", "part"]
     assert sorted(map(tuple, got.where("author <> 'far'").select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_log_streams_go_on_after_a_restart(spark, tmp_path):
+    from grovewise.sources import documents
+    from grovewise.streaming import changes
+
+    def runs(stream_of, files, form, name):
+        folder, out, mark = tmp_path / name, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-mark")
+        folder.mkdir()
+        for i, text in enumerate(files):
+            (folder / f"f{i}").write_text(text)
+            stream_of(spark, str(folder)).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(out)
+        want = form(str(folder)).select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > len(files)
+
+    history = ["M 2024-01-02 03:04 u 1.1 f\nbroken\nT 2024-01-02 03:05 v 1.2 g\n", "A 2024-01-03 00:00 u 1.1 h\nX 2024-01-03 00:00 u 1.1 h\nM 2024-01-03 00:01 u 1.3 f\n"]
+    runs(changes.history_stream, history, lambda p: documents.history_log(spark.read.text(p)), "history")
+    entry = lambda f, n: f"\nRCS file: {f},v\n" + "".join(f"{'-' * 28}\nrevision 1.{i}\ndate: 2024/01/0{i} 00:00:00;  author: u;  commitid: c{i};\nmessage {i}\n" for i in range(1, n + 1))
+    logs = [changes.RULER.join([entry("a", 2), entry("b", 1)]), changes.RULER.join([entry("c", 3)])]
+    runs(changes.revision_stream, logs, lambda p: documents.revision_log(spark.read.option("lineSep", changes.RULER).text(p)), "revisions")
+    stream = changes.latest(changes.snapshot_stream(spark, str(tmp_path / "history")).withColumn("v", F.lit(1)), "doc", "modified", "v")
+    kept = {}
+    changes.run_once(stream, "complete", each=lambda batch, _: kept.update({r["doc"].split("/")[-1]: r["stamp"] for r in batch.collect()}))
+    assert set(kept) == {"f0", "f1"}
