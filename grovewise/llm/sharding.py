@@ -1,10 +1,11 @@
 """Sharding: best-fit-decreasing packing of indivisible groups (rows of equal text) into shards of one capacity.
 
 Groups of one size are interchangeable, so the packing runs on the histogram of group sizes: all groups of a size enter
-the tightest bin together as long as they fit, which is what entering one by one would do. Sizes enter the packing with
-16 significant bits, rounded up, at most 1 / 32768 too large, so the histogram has at most 2**16 + 2**15 * 47 rows
-however many groups there are; only it reaches the driver. No bin is filled above its capacity for that. Runs of groups go back to the rows by their rank within the size, counted in two levels so
-that a size of very many groups doesn't meet in one task.
+the tightest bin together as long as they fit, which is what entering one by one would do. Only the histogram reaches the
+driver: exact sizes as long as there are at most CLASSES different ones. Beyond that, which takes more than 60 GB in groups above
+64 KB, sizes enter with 16 significant bits, rounded up, at most 1 / 32768 too large: at most 2**16 + 2**15 * 47 classes
+however many groups there are, and no bin filled above its capacity. Runs of groups go back to the rows by their rank
+within the size, counted in two levels so that a size of very many groups doesn't meet in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from grovewise.llm.common import buckets_for, stored
 
+CLASSES = 1 << 20  # different sizes that the driver packs exactly
 EXACT_BITS = 16
 Run = tuple[int, int, int, int]  # size class, first rank, end rank, bin
 
@@ -136,7 +138,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
     """Rows (doc_id, size, text_crc32, shard, slot) of ``docs``: equal texts share a shard.
 
     With ``shards``, all bins exist and the capacity is the least that bisection finds (``even_capacity``); with ``capacity``, as few bins as best fit
-    needs. Size is the UTF-8 bytes of the text plus 8. Null texts form one group of size 8 each row, apart from empty
+    needs; its bins and runs are the driver's, so it is for thousands of bins, not millions. Size is the UTF-8 bytes of the text plus 8. Null texts form one group of size 8 each row, apart from empty
     texts; their crc is null. Repeated rows count each. Slots number a shard's rows from 0 in an order that depends on
     keys and ids only. An empty table gives no rows. Other columns are ignored.
     """
@@ -152,8 +154,9 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
     )
     n = rows.count()
     salts = buckets_for(n)
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("class", _class(F.col("bytes"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).drop("bytes")
-    groups = stored(groups, "shard-groups")
+    groups = stored(rows.groupBy("key").agg(F.sum("size").alias("class")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")), "shard-groups")
+    if groups.select("class").distinct().count() > CLASSES:
+        groups = groups.withColumn("class", _class(F.col("class")))
     counts = groups.groupBy("class", "salt").count()
     sizes = [(r["class"], r["n"]) for r in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
     runs = even_capacity(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)
