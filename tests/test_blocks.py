@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from grovewise.operators import blocks, rules
 from grovewise.sources.documents import serialised, shredded
 
-DERIVED = [
-    {"id": "r1", "blocks": [{"for each": "foo", "name": "foo"}, {"create-doc": "concat('result-', foo.id, '.xml')", "root": "foo2", "attrs": {"original": "foo.id"}}]},
-    {"id": "r2", "blocks": [{"for each": "fob", "name": "fob"}, {"for each": "t", "name": "foo2", "on": "t.attrs['original'] = fob.parent_id", "target": True}, {"insert": "bar", "value": "fob.attrs['name']"}]},
+SHEETS = [
+    {"id": "r1", "blocks": [{"for each": "plan", "name": "plan"}, {"create-doc": "concat('sheet-', plan.id, '.xml')", "root": "sheet", "attrs": {"of": "plan.id"}}]},
+    {"id": "r2", "blocks": [{"for each": "item", "name": "item"}, {"for each": "t", "name": "sheet", "on": "t.attrs['of'] = item.parent_id", "target": True}, {"insert": "row", "value": "item.attrs['name']"}]},
 ]
 
 
@@ -23,12 +23,12 @@ def xml(state, doc):
 
 
 def test_documents_are_derived_and_follow_edits(spark):
-    state = blocks.run(read(spark, source="<foo id='f'><fob id='g' name='hello'/></foo>"), DERIVED)
-    assert xml(state, "result-f.xml") == '<foo2 original="f"><bar>hello</bar></foo2>' and state.counts["resolved"] == 2
+    state = blocks.run(read(spark, d="<plan id='f'><item id='g' name='first'/></plan>"), SHEETS)
+    assert xml(state, "sheet-f.xml") == '<sheet of="f"><row>first</row></sheet>' and state.counts["resolved"] == 2
     assert sorted((r["key"], r["affected"]) for r in state.mods.collect()) == [("_r1.f.", "_r1.f.r1."), ("_r2.g.-5f-r1-2e-f-2e-r1-2e-.", "_r2.g.-5f-r1-2e-f-2e-r1-2e-.r2.")]
-    edited = read(spark, source="<foo id='f'><fob id='g' name='bye'/></foo>").where("id = 'g'")
-    state = blocks.update(state, DERIVED, edited.select("id"), edited)
-    assert xml(state, "result-f.xml") == '<foo2 original="f"><bar>bye</bar></foo2>'
+    edited = read(spark, d="<plan id='f'><item id='g' name='second'/></plan>").where("id = 'g'")
+    state = blocks.update(state, SHEETS, edited.select("id"), edited)
+    assert xml(state, "sheet-f.xml") == '<sheet of="f"><row>second</row></sheet>'
     assert state.counts == {"resolved": 3, "withdrawn": 1, "verified": 1}  # the document stays
 
 
@@ -62,9 +62,9 @@ def test_sets_sequences_distinct_values_and_single_nodes(spark):
 
 
 def test_a_sort_as_data(spark):
-    sort = {"id": "s", "blocks": [{"for each": "b", "name": "bar"}, {"sort": "b", "by": "lower(b.attrs['name'])"}]}
-    state = blocks.run(read(spark, d="<foo id='f'><bar id='b1' name='zz'/><bar id='b2' name='Aa'/></foo>"), [sort])
-    assert xml(state, "d") == '<foo><bar name="Aa"/><bar name="zz"/></foo>' and state.sorted["checked"] == 1
+    sort = {"id": "s", "blocks": [{"for each": "b", "name": "row"}, {"sort": "b", "by": "lower(b.attrs['name'])"}]}
+    state = blocks.run(read(spark, d="<plan id='f'><row id='b1' name='pear'/><row id='b2' name='Fig'/></plan>"), [sort])
+    assert xml(state, "d") == '<plan><row name="Fig"/><row name="pear"/></plan>' and state.sorted["checked"] == 1
 
 
 @pytest.mark.parametrize(("given", "message"), [
@@ -82,9 +82,9 @@ def test_wrong_rules_are_refused_when_compiled(given, message, spark):
 
 
 def test_what_changed_is_found_by_content_and_types_can_be_added(spark):
-    before = blocks.compiled(DERIVED[1])
-    again = blocks.compiled({"blocks": [dict(reversed(b.items())) for b in DERIVED[1]["blocks"]], "id": "r2"})
-    other = blocks.compiled({"id": "r2", "blocks": [*DERIVED[1]["blocks"][:2], {"insert": "bar", "value": "upper(fob.attrs['name'])"}]})
+    before = blocks.compiled(SHEETS[1])
+    again = blocks.compiled({"blocks": [dict(reversed(b.items())) for b in SHEETS[1]["blocks"]], "id": "r2"})
+    other = blocks.compiled({"id": "r2", "blocks": [*SHEETS[1]["blocks"][:2], {"insert": "row", "value": "upper(item.attrs['name'])"}]})
     assert rules.first_difference(before, again) is None and rules.first_difference(before, other) == 2
     try:
         blocks.block("mark", binds=False)(lambda bound, scope, spec: blocks._made(bound, scope, {}, f"mark-{spec['mark']}", scope.target, None))

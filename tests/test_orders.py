@@ -12,32 +12,32 @@ from grovewise.operators.axes import attr
 from grovewise.sources.forest import NODE
 
 
-def foo(spark, bars, below=True):
-    """foo with bars (id, name, ord), in each of them a leaf, and a fixed child between."""
-    rows = [("source", "f", None, ["f"], [0], 0, "element", "foo", {}, None), ("source", "x", "f", ["f", "x"], [0, 1], 1, "element", "other", {}, None)]
-    rows += [("source", i, "f", ["f", i], [0, o], o, "element", "bar", {"name": n}, None) for i, n, o in bars]
-    rows += [("source", f"{i}.leaf", i, ["f", i, f"{i}.leaf"], [0, o, 0], 0, "element", "leaf", {}, None) for i, _, o in bars if below]
+def bowl(spark, fruits, below=True):
+    """A bowl with fruits (id, name, ord), in each of them a leaf, and a fixed child between."""
+    rows = [("d", "f", None, ["f"], [0], 0, "element", "bowl", {}, None), ("d", "x", "f", ["f", "x"], [0, 1], 1, "element", "other", {}, None)]
+    rows += [("d", i, "f", ["f", i], [0, o], o, "element", "fruit", {"name": n}, None) for i, n, o in fruits]
+    rows += [("d", f"{i}.leaf", i, ["f", i, f"{i}.leaf"], [0, o, 0], 0, "element", "leaf", {}, None) for i, _, o in fruits if below]
     return spark.createDataFrame(rows, NODE)
 
 
 def order(state):
     assert state.nodes.where("ord <> element_at(pos, -1)").count() == 0
     leaves = state.nodes.where("name = 'leaf'").select(F.col("parent_id").alias("id"), F.col("pos").alias("p"))
-    assert state.nodes.where("name = 'bar'").join(leaves, "id").where("slice(p, 1, 2) <> pos").count() == 0
-    return [r["id"] for r in state.nodes.where("name = 'bar'").orderBy("ord").collect()]
+    assert state.nodes.where("name = 'fruit'").join(leaves, "id").where("slice(p, 1, 2) <> pos").count() == 0
+    return [r["id"] for r in state.nodes.where("name = 'fruit'").orderBy("ord").collect()]
 
 
 def test_a_sort_moves_what_changed_and_nothing_else(spark):
-    by_name = rules.Sort("r1", (rules.For("b", "bar"),), F.lower(attr("b", "name")))
-    state = rules.settle(rules.run(rules.start(foo(spark, [("b1", "aardvark", 0), ("b2", "CLARITY", 2), ("b3", "ZZZ", 3)])), []), [by_name])
+    by_name = rules.Sort("by-name", (rules.For("b", "fruit"),), F.lower(attr("b", "name")))
+    state = rules.settle(rules.run(rules.start(bowl(spark, [("b1", "apple", 0), ("b2", "MELON", 2), ("b3", "Quince", 3)])), []), [by_name])
     assert order(state) == ["b1", "b2", "b3"] and state.sorted == {"checked": 1, "moved": 0}
-    edited = foo(spark, [("b3", "bye-bye", 3)]).where("id = 'b3'")
+    edited = bowl(spark, [("b3", "banana", 3)]).where("id = 'b3'")
     state = rules.settle(rules.update(state, [], edited.select("id"), edited), [by_name])
     assert order(state) == ["b1", "b3", "b2"] and state.sorted == {"checked": 2, "moved": 1}
     # The child that isn't sorted stays where it was, and no place is taken twice.
     assert [r["id"] for r in state.nodes.where("parent_id = 'f'").orderBy("ord").collect()] == ["b1", "b3", "x", "b2"]
     before = {r["id"]: r["ord"] for r in state.nodes.collect()}
-    new = foo(spark, [("b4", "around", 9)]).where("id like 'b4%'")
+    new = bowl(spark, [("b4", "apricot", 9)]).where("id like 'b4%'")
     state = rules.settle(rules.update(state, [], new.where("false").select("id"), new), [by_name])
     assert order(state) == ["b1", "b4", "b3", "b2"] and state.sorted == {"checked": 3, "moved": 1 + 1}
     assert {r["id"]: r["ord"] for r in state.nodes.where("id not like 'b4%'").collect()} == before  # there was a gap
@@ -46,18 +46,18 @@ def test_a_sort_moves_what_changed_and_nothing_else(spark):
 
 
 def test_outputs_that_tell_a_place_follow_a_sort(spark):
-    note = rules.rule("n", [rules.For("b", "bar")], lambda b: rules.inserted(b, rules.binding_key("n", F.col("b.id")), [F.col("b.id")], [F.col("b.doc")], None, "note", value=F.col("b.ord").cast("string"), under="b"))
-    down = rules.Sort("d", (rules.For("b", "bar"),), attr("b", "name"), descending=True)
-    state = rules.settle(rules.run(rules.start(foo(spark, [("b1", "a", 0), ("b2", "b", 2)])), [note]), [down], [note])
+    note = rules.rule("n", [rules.For("b", "fruit")], lambda b: rules.inserted(b, rules.binding_key("n", F.col("b.id")), [F.col("b.id")], [F.col("b.doc")], None, "note", value=F.col("b.ord").cast("string"), under="b"))
+    down = rules.Sort("d", (rules.For("b", "fruit"),), attr("b", "name"), descending=True)
+    state = rules.settle(rules.run(rules.start(bowl(spark, [("b1", "a", 0), ("b2", "b", 2)])), [note]), [down], [note])
     assert order(state) == ["b2", "b1"]
-    ords = {r["id"]: str(r["ord"]) for r in state.nodes.where("name = 'bar'").collect()}
+    ords = {r["id"]: str(r["ord"]) for r in state.nodes.where("name = 'fruit'").collect()}
     assert {r["parent_id"]: r["value"] for r in state.nodes.where("name = 'note'").collect()} == ords
 
 
 def test_two_values_for_one_child_are_an_error(spark):
-    twice = rules.Sort("t", (rules.For("x", "bar"), rules.For("b", "bar", lambda bound, found: bound.join(found, F.col("x.parent_id") == F.col("b.parent_id")))), attr("x", "name"))
+    twice = rules.Sort("t", (rules.For("x", "fruit"), rules.For("b", "fruit", lambda bound, found: bound.join(found, F.col("x.parent_id") == F.col("b.parent_id")))), attr("x", "name"))
     with pytest.raises(Exception, match="more than one value"):
-        rules.settle(rules.run(rules.start(foo(spark, [("b1", "a", 0), ("b2", "b", 2)])), []), [twice])
+        rules.settle(rules.run(rules.start(bowl(spark, [("b1", "a", 0), ("b2", "b", 2)])), []), [twice])
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
