@@ -163,3 +163,26 @@ def nearest(bound: DataFrame, nodes: DataFrame, origin: str, attribute: str, int
     up = step(bound, nodes, origin, "ancestor-or-self", None, "_anc").where(attr("_anc", attribute).isNotNull())
     best = up.groupBy(F.col(f"{origin}.doc").alias("_doc"), F.col(f"{origin}.id").alias("_id")).agg(F.max_by(F.col("_anc"), F.size("_anc.path")).alias(into))
     return bound.join(best, (F.col(f"{origin}.doc") == F.col("_doc")) & (F.col(f"{origin}.id") == F.col("_id"))).drop("_doc", "_id")
+
+
+def root(bound: DataFrame, nodes: DataFrame, origin: str, into: str = "root") -> DataFrame:
+    """The root of the tree that a node lies in: where its path begins."""
+    tops = _as(nodes.where(F.col("parent_id").isNull()), into, None, F.col("doc").alias("_doc"), F.col("id").alias("_key"))
+    return bound.join(tops, (F.col(f"{origin}.doc") == F.col("_doc")) & (F.element_at(F.col(f"{origin}.path"), 1) == F.col("_key"))).drop("_doc", "_key")
+
+
+def documents(nodes: DataFrame) -> DataFrame:
+    """(doc) of all documents that are there."""
+    return nodes.select("doc").distinct()
+
+
+def doc_available(bound: DataFrame, nodes: DataFrame, doc: Column, into: str = "available") -> DataFrame:
+    """Bindings with whether the document that ``doc`` names is there; a null name names none."""
+    there = documents(nodes).select(F.col("doc").alias("_there"))
+    return bound.withColumn("_doc", doc).join(there, F.col("_doc") == F.col("_there"), "left").withColumn(into, F.col("_there").isNotNull()).drop("_doc", "_there")
+
+
+def opened(bound: DataFrame, nodes: DataFrame, doc: Column, into: str = "root", name: str | None = None, outer: bool = False) -> DataFrame:
+    """Bindings extended by the roots of the document that ``doc`` names; ``outer`` keeps those whose document is gone."""
+    tops = _as(nodes.where(F.col("parent_id").isNull()), into, name, F.col("doc").alias("_of"))
+    return bound.withColumn("_doc", doc).join(tops, F.col("_doc") == F.col("_of"), "left" if outer else "inner").drop("_doc", "_of")

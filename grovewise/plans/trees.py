@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovewise.operators import construct, intervals
+from grovewise.operators import axes, construct, intervals
 from grovewise.operators.axes import each, step
 from grovewise.operators.pathways import path
 from grovewise.registry import query
@@ -125,3 +125,20 @@ def path_value_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = path().child("order").where(lambda o: F.element_at(o["attrs"], "total").cast("double") > 300000, "total")
     p = path().anywhere("customer").where(lambda c: F.element_at(c["attrs"], "balance").cast("double") > 0, "balance").where(large).parent("nation")
     return p.bind(each(f, "r", "region"), f, "r", "n").select(F.col("r.id").alias("region"), F.col("n.id").alias("nation"))
+
+
+@query("SELECT 's' || s_suppkey AS id, s_suppkey % 7 < 5 AS available, r_name AS region FROM supplier LEFT JOIN region ON r_regionkey = s_suppkey % 7")
+def doc_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the document that each supplier names is there, and its root's name where it is."""
+    f = region_forest(spark, sf_dir, "region", "supplier")
+    name = F.concat(F.lit("r"), F.substring("s.id", 2, 20).cast("long") % 7)
+    known = axes.doc_available(each(f, "s", "supplier"), f, name)
+    found = axes.opened(known, f, name, "r", "region", outer=True)
+    return found.select("s.id", "available", axes.attr("r", "name").alias("region"))
+
+
+@query("SELECT 'o' || o_orderkey AS id, r_name AS region FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def root_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """root(): the root of each order's tree."""
+    f = region_forest(spark, sf_dir, "region", "order")
+    return axes.root(each(f, "o", "order"), f, "o", "r").select("o.id", axes.attr("r", "name").alias("region"))

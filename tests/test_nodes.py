@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from grovewise.operators import bindings, construct, temporal
+from grovewise.operators import axes, bindings, construct, temporal
 from grovewise.operators.axes import each, step
 from grovewise.sources import documents
 
@@ -58,3 +58,13 @@ def test_interesting_ranges_equal_their_definition(spark):
     p, c = (spark.createDataFrame([(k, None if t is None else at(t)) for k, t in rows], "k string, ts timestamp_ntz") for rows in (points, changes))
     got = {(x["k"], x["from_ts"]): x["interesting"] for x in temporal.interesting(r, p, c, ["k"], "ts").collect()}
     assert got == {("a", at(0)): False, ("a", at(5)): True, ("a", at(20)): True, ("b", at(1)): False, ("c", at(3)): True, ("c", at(6)): True}
+
+
+def test_documents_and_roots(spark):
+    rows = spark.createDataFrame([("d", "<a id='x'><b id='y'/></a>"), ("e", "<a id='x'/>")], "doc string, text string")
+    f = documents.shredded(rows, "doc", "text").where("error is null").drop("error")
+    bound = spark.createDataFrame([(1, "d"), (2, "e"), (3, "gone"), (4, None)], "k int, n string")
+    assert sorted(map(tuple, axes.doc_available(bound, f, F.col("n")).select("k", "available").collect())) == [(1, True), (2, True), (3, False), (4, False)]
+    assert sorted((r["k"], r["doc"]) for r in axes.opened(bound, f, F.col("n"), "r", "a").select("k", "r.doc").collect()) == [(1, "d"), (2, "e")]
+    assert axes.opened(bound, f, F.col("n"), "r", "b", outer=True).where("r is null").count() == 4
+    assert sorted(map(tuple, axes.root(each(f, "s"), f, "s").select("s.doc", "s.id", "root.doc", "root.id").collect())) == [("d", "x", "d", "x"), ("d", "y", "d", "x"), ("e", "x", "e", "x")]
