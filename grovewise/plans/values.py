@@ -263,7 +263,8 @@ def binding_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bindings of nations, each a document of its own, with their regions rest on two documents."""
     f = region_forest(spark, sf_dir, "region", "nation")
     f = f.withColumn("doc", F.when(F.col("name") == "nation", F.col("id")).otherwise(F.col("doc")))
-    bound = axes.step(each(f, "n", "nation"), f, "n", "parent", "region", "r")
+    # A reference by id across documents: the parent axis stays within one.
+    bound = each(f, "n", "nation").join(each(f, "r", "region"), F.col("n.parent_id") == F.col("r.id"))
     return rules.dependencies(bound, F.concat(F.col("n.id"), F.lit(".")), ["n", "r"])
 
 
