@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from itertools import chain, groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from grovewise.sources.store import checkpointed
 
@@ -177,20 +181,43 @@ def greedy_order(ids: list[str], edges: dict[tuple[str, str], int]) -> list[str]
     return out
 
 
+#: Places in one batch of the result.
+PLACED = 1 << 15
+
+
 def priority_order(children: DataFrame, edges: DataFrame, parent: str) -> DataFrame:
     """(parent, id, place) from edges (parent, a, b, priority); of repeated edges the greatest priority counts.
 
-    Parents don't interact: each is one small search over its children.
+    Parents don't interact: each is one small search over its children. Children and edges come sorted by parent, and a batch
+    holds those of many, so that a parent costs no call of its own.
     """
-    best = edges.groupBy(parent, "a", "b").agg(F.max("priority")).toDF(parent, "a", "b", "priority")
-    kind = dict(children.dtypes)
-
-    def solve(key: tuple, kids: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        order = greedy_order(kids["id"].tolist(), {(a, b): p for a, b, p in zip(arcs["a"], arcs["b"], arcs["priority"], strict=True)})
-        return pd.DataFrame({parent: [key[0]] * len(order), "id": order, "place": range(1, len(order) + 1)})
-
-    pairs = children.select(parent, "id").groupBy(parent).cogroup(best.groupBy(parent))
-    return pairs.applyInPandas(solve, f"{parent} {kind[parent]}, id {kind['id']}, place int")
+    kind, none = dict(children.dtypes), F.lit(None)
+    kids = children.select(parent, F.col("id").alias("a"), none.cast(kind["id"]).alias("b"), none.cast(dict(edges.dtypes)["priority"]).alias("priority"), F.lit(False).alias("_edge"))
+    both = kids.unionByName(edges.select(parent, "a", "b", "priority", F.lit(True).alias("_edge"))).repartition(parent).sortWithinPartitions(parent)
+    schema = to_arrow_schema(StructType([children.schema[parent], children.schema["id"], StructField("place", IntegerType())]))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (zip(*(b.column(i).to_pylist() for i in range(5)), strict=True) for b in batches)
+        found: list[list] = [[], [], []]
+        for key, own in groupby(chain.from_iterable(rows), itemgetter(0)):
+            ids: list = []
+            arcs: dict[tuple, int] = {}
+            for _, a, b, priority, edge in own:
+                if not edge:
+                    ids.append(a)
+                elif arcs.get((a, b)) is None or priority is not None and priority > arcs[a, b]:
+                    arcs[a, b] = priority
+            order = greedy_order(ids, arcs)
+            found[0].extend([key] * len(order))
+            found[1].extend(order)
+            found[2].extend(range(1, len(order) + 1))
+            if len(found[0]) >= PLACED:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(found, schema, strict=True)], schema=schema)
+                found = [[], [], []]
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(found, schema, strict=True)], schema=schema)
+
+    return both.mapInArrow(solve, f"{parent} {kind[parent]}, id {kind['id']}, place int")
 
 
 def moved(before: DataFrame, after: DataFrame, parent: str) -> DataFrame:
