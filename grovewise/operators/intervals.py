@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovewise.operators.ordering import ranked_order, running_totals
-from grovewise.sources.store import checkpointed
+from grovewise.sources.store import checkpointed, observed
 
 BLOCK = 4096
 LABELS = ("pre", "end")
@@ -80,12 +80,56 @@ def labelled(nodes: DataFrame) -> DataFrame:
     return nodes.join(placed, ["doc", "id"])
 
 
+#: Steps that are ranked by doubling alone.
+FEW = 1 << 18
+
+
+def ranked_steps(steps: DataFrame, few: int = FEW) -> DataFrame:
+    """``steps`` (e, s, n, depth), each followed by step ``s`` or, where it is null, by none, with the sums of ``n`` and ``depth``
+    from each step to its list's end, and ``s`` null; -1 where the list leads to a step that isn't there.
+
+    A step that drew heads takes in the one behind it if that drew tails, which leaves three in four: the rounds together move
+    four times the steps, however many they are. The ``few`` that are left are ranked by doubling links, in as many rounds as
+    their number has binary digits. Then steps that were taken in get the sums of those that took them, less what these
+    had gathered before, in reverse order. No step may follow two.
+    """
+    now, seen = observed(steps, open=F.count("s"))
+    left, taken = seen["open"], []
+    while left > few:
+        toss = F.xxhash64("e", F.lit(len(taken))) % 2 == 0
+        # The last steps of lists are dealt by their own number, which is nobody's follower.
+        heads = now.where(toss).withColumn("_to", F.coalesce("s", -2 - F.col("e")))
+        tails = now.where(~toss).select(F.col("e").alias("_e"), F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("depth").alias("_depth"))
+        met = heads.join(tails, F.col("_to") == F.col("_e"), "full")
+        both, alone = F.col("e").isNotNull() & F.col("_e").isNotNull(), F.col("e").isNull()
+        plus = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+        gone = F.when(both, F.struct(F.col("_e").alias("e"), F.col("e").alias("by"), "n", "depth")).alias("gone")
+        kept, seen = observed(met.select(F.coalesce("e", "_e").alias("e"), F.when(both | alone, F.col("_s")).otherwise(F.col("s")).alias("s"), plus("n"), plus("depth"), gone), open=F.count("s"))
+        now = kept.drop("gone")
+        taken.append(kept.where("gone is not null").select("gone.*"))
+        if seen["open"] == left:
+            break
+        left = seen["open"]
+    # Steps that lead out of what is known get -1; those that go round in a circle are unfinished after all rounds.
+    for _ in range(now.count().bit_length() + 1):
+        ahead = now.select(F.col("e").alias("s"), F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("depth").alias("_d"))
+        open_ = now.where("s >= 0").join(ahead, "s", "left")
+        open_ = open_.select("e", F.when(F.col("_n").isNull(), -1).otherwise(F.col("_s")).alias("s"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
+        now = checkpointed(now.where("s is null or s < 0").unionByName(open_))
+        if now.where("s >= 0").isEmpty():
+            break
+    for gone in reversed(taken):
+        by = now.select(F.col("e").alias("by"), "s", F.col("n").alias("_n"), F.col("depth").alias("_depth"))
+        back = gone.join(by, "by").select("e", "s", (F.col("_n") - F.col("n")).alias("n"), (F.col("_depth") - F.col("depth")).alias("depth"))
+        now = now.unionByName(checkpointed(back))
+    return now
+
+
 def labelled_by_parents(nodes: DataFrame) -> DataFrame:
     """``nodes`` (doc, id, parent_id, ord, ..) with ``pre``, ``end`` and ``level`` (0 for roots), from parents alone.
 
     A walk around the trees enters and leaves every node; what follows each of these steps is known from the node's first
-    child, next sibling or parent. Doubling these links, with the nodes entered and left on the way, ranks all steps in as
-    many rounds as twice the largest document has binary digits; each is one join of the unfinished steps. A node whose
+    child, next sibling or parent. These links, with the nodes entered and left on the way, are ranked by ``ranked_steps``. A node whose
     parent isn't in its document, or that is its own ancestor, gets no labels and is left out, with all below it.
     """
     keyed = numbered_rows(nodes, "_v")
@@ -103,15 +147,7 @@ def labelled_by_parents(nodes: DataFrame) -> DataFrame:
     step = lambda e, s, n, depth: linked.select(e.alias("e"), s.alias("s"), F.lit(n).cast("long").alias("n"), F.lit(depth).cast("long").alias("depth"))
     enter, leave = F.col("_v") * 2, F.col("_v") * 2 + 1
     now = step(enter, F.coalesce(F.col("_child") * 2, leave), 1, 1).unionByName(step(leave, F.coalesce(F.col("_next") * 2, F.col("_parent") * 2 + 1), 0, -1))
-    now = checkpointed(now)
-    # Steps that lead out of what is known get -1; those that go round in a circle are unfinished after all rounds.
-    for _ in range(now.count().bit_length() + 1):
-        ahead = now.select(F.col("e").alias("s"), F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("depth").alias("_d"))
-        open_ = now.where("s >= 0").join(ahead, "s", "left")
-        open_ = open_.select("e", F.when(F.col("_n").isNull(), -1).otherwise(F.col("_s")).alias("s"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        now = checkpointed(now.where("s is null or s < 0").unionByName(open_))
-        if now.where("s >= 0").isEmpty():
-            break
+    now = ranked_steps(now)
     sides = linked.select(enter.alias("e"), "doc", "_v", F.lit(0).alias("side")).unionByName(linked.select(leave.alias("e"), "doc", "_v", F.lit(1).alias("side")))
     done = checkpointed(now.where("s is null").join(sides, "e"))
     sizes = done.where("side = 0").groupBy("doc").agg(F.max("n").alias("_size"))
