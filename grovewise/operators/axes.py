@@ -160,8 +160,14 @@ def later_in_document(nodes: DataFrame, into: str = "n_later") -> DataFrame:
 
 def nearest(bound: DataFrame, nodes: DataFrame, origin: str, attribute: str, into: str = "found") -> DataFrame:
     """The nearest ancestor-or-self with an attribute: the deepest one of the path."""
-    up = step(bound, nodes, origin, "ancestor-or-self", None, "_anc").where(attr("_anc", attribute).isNotNull())
-    best = up.groupBy(F.col(f"{origin}.doc").alias("_doc"), F.col(f"{origin}.id").alias("_id")).agg(F.max_by(F.col("_anc"), F.size("_anc.path")).alias(into))
+    # Only ids and paths meet the nodes, since very many lie below one; bindings themselves are joined by their own id.
+    held = nodes.where(F.element_at("attrs", attribute).isNotNull())
+    own = bound.select(F.col(f"{origin}.doc").alias("_doc"), F.col(f"{origin}.id").alias("_id"), F.col(f"{origin}.path").alias("_path"))
+    up = own.select("_doc", "_id", "_path", F.posexplode("_path").alias("_depth", "_up"))
+    holders = held.select(F.col("doc").alias("_doc"), F.col("id").alias("_up"))
+    deepest = up.join(holders, ["_doc", "_up"], "left_semi").groupBy("_doc", "_id", "_path").agg(F.max("_depth").alias("_depth"))
+    known = _as(held, into, None, F.col("doc").alias("_doc"), F.col("id").alias("_up"))
+    best = deepest.select("_doc", "_id", F.get("_path", F.col("_depth")).alias("_up")).join(known, ["_doc", "_up"]).select("_doc", "_id", into)
     return bound.join(best, (F.col(f"{origin}.doc") == F.col("_doc")) & (F.col(f"{origin}.id") == F.col("_id"))).drop("_doc", "_id")
 
 
