@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from fnmatch import fnmatchcase
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -17,6 +17,8 @@ from grovewise.operators.bindings import joined_text
 from grovewise.sources.forest import FIELDS, NODE
 
 SHRED = NODE + ", error string"
+#: Nodes in one batch of the result: they take many times the bytes of their texts.
+SHREDDED = 1 << 12
 TEXT = "#text"  # what text nodes have for a name
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -119,6 +121,23 @@ def shred_html(doc: str, text: str, mixed: bool = False) -> list[list]:
     return out.done()
 
 
+def shredded_batches(batches: Iterator[pd.DataFrame], shred: Callable[[str, str, bool], list[list]], mixed: bool) -> Iterator[pd.DataFrame]:
+    """Nodes of documents (doc, text) in batches of about ``SHREDDED``, however many documents came in one."""
+    names = [*FIELDS, "error"]
+    for pdf in batches:
+        out = []
+        for d, t in zip(pdf["doc"], pdf["text"], strict=True):
+            try:
+                out += [[*r, None] for r in shred(d, t or "", mixed)]
+            except (ElementTree.ParseError, ValueError) as e:
+                out.append([d, *[None] * (len(FIELDS) - 1), str(e)])
+            if len(out) >= SHREDDED:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+
 def shredded(rows: DataFrame, doc: str, text: str, html: bool = False, mixed: bool | None = None) -> DataFrame:
     """Nodes of each row's document, and a row with ``error`` for each that can't be read: one bad file stops nothing.
 
@@ -128,15 +147,7 @@ def shredded(rows: DataFrame, doc: str, text: str, html: bool = False, mixed: bo
     shred, mixed = shred_html if html else shred_xml, (not html) if mixed is None else mixed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*FIELDS, "error"]
-        for pdf in batches:
-            out = []
-            for d, t in zip(pdf["doc"], pdf["text"], strict=True):
-                try:
-                    out += [[*r, None] for r in shred(d, t or "", mixed)]
-                except (ElementTree.ParseError, ValueError) as e:
-                    out.append([d, *[None] * (len(FIELDS) - 1), str(e)])
-            yield pd.DataFrame(out, columns=names)
+        return shredded_batches(batches, shred, mixed)
 
     return rows.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(run, SHRED)
 
