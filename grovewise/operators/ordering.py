@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from grovewise.sources.store import checkpointed
+from grovewise.sources.store import checkpointed, observed
 
 
 def sort_by_value(children: DataFrame, parent: str, value: Column, id_: str, descending: bool = False, into: str = "place") -> DataFrame:
@@ -56,6 +56,20 @@ def value_edges(rows: DataFrame, parent: str, value: str, priority: int) -> Data
     return ranked.join(nxt, (F.col(parent) == F.col("_p")) & (F.col("r") == F.col("_r"))).select(parent, F.col("id").alias("a"), "b", F.lit(priority).alias("priority"))
 
 
+#: Rows of a range that one task sorts and sums.
+RANGE = 1 << 19
+
+
+def ranges(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``rows`` stored in ranges of ``order`` with each row's ``_range``. There are as many as the setting says, more where
+    these would hold more than about ``RANGE`` rows each, so that a task's memory doesn't follow the size of the table."""
+    spark = rows.sparkSession
+    counted, seen = observed(rows, n=F.count(F.lit(1)))
+    needed = -(-seen["n"] // RANGE)
+    by = (needed,) if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else ()
+    return checkpointed(counted.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def ranked_order(children: DataFrame, parent: str, ranks: Sequence[Column], id_: str = "id", into: str = "place", descending: bool = False) -> DataFrame:
     """Places from 1 among a parent's children by rank columns (``descending``: from the greatest on), ties by id.
 
@@ -65,7 +79,7 @@ def ranked_order(children: DataFrame, parent: str, ranks: Sequence[Column], id_:
     names = [f"_rank{i}" for i in range(len(ranks))]
     ranked = children.withColumns(dict(zip(names, ranks, strict=True)))
     order = [*(F.col(n).desc() if descending else F.col(n).asc() for n in names), F.col(id_)]
-    cut = checkpointed(ranked.repartitionByRange(parent, *order).withColumn("_range", F.spark_partition_id()))
+    cut = ranges(ranked, parent, *order)
     within = Window.partitionBy(parent, "_range").orderBy(*order)
     # Only parents that go on from an earlier range have an offset: fewer rows than there are ranges.
     sizes = cut.groupBy(parent, "_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -78,7 +92,7 @@ def ranked_order(children: DataFrame, parent: str, ranks: Sequence[Column], id_:
 def running_totals(rows: DataFrame, parent: str, order: Sequence[str], totals: dict[str, str]) -> DataFrame:
     """``rows`` with running totals per parent in the order of columns, rows of equal order taken together; ``totals`` names
     each by the column that it sums. Rows are cut into ranges of (parent, order) as by ``ranked_order``."""
-    cut = checkpointed(rows.repartitionByRange(parent, *order).withColumn("_range", F.spark_partition_id()))
+    cut = ranges(rows, parent, *order)
     sums = cut.groupBy(parent, "_range").agg(*[F.sum(v).alias(f"_{k}") for k, v in totals.items()], F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(parent).orderBy("_range")
     before = [(F.sum(f"_{k}").over(upto) - F.col(f"_{k}")).alias(f"_{k}") for k in totals]
@@ -93,7 +107,7 @@ def running_totals(rows: DataFrame, parent: str, order: Sequence[str], totals: d
 def running_extremes(rows: DataFrame, parent: str, order: str, value: str, before: str, after: str) -> DataFrame:
     """``rows`` with the greatest ``value`` of the rows of its parent before it in ``order``, and the least of those after it;
     null where there is none. ``order`` is a number that no two rows of a parent share. Two-level, as ``running_totals``."""
-    cut = checkpointed(rows.repartitionByRange(parent, order).withColumn("_range", F.spark_partition_id()))
+    cut = ranges(rows, parent, order)
     ends = cut.groupBy(parent, "_range").agg(F.max(value).alias("_range_most"), F.min(value).alias("_range_least"))
     ranges, within = Window.partitionBy(parent).orderBy("_range"), Window.partitionBy(parent, "_range").orderBy(order)
     past, rest = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)

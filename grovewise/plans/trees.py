@@ -54,7 +54,8 @@ _TREE = """
 @query(_TREE + ", s AS (SELECT x.doc, x.id, count(*) AS n FROM f x JOIN f y ON x.doc = y.doc AND y.pos[1:len(x.pos)] = x.pos WHERE x.name <> 'order' GROUP BY ALL UNION ALL SELECT doc, id, 1 FROM f WHERE name = 'order') SELECT p.doc, p.id, p.pre::BIGINT AS pre, (p.pre + s.n)::BIGINT AS \"end\" FROM p JOIN s USING (doc, id)")
 def interval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of all nodes in document order and of what comes after their last descendants."""
-    return _labelled(spark, sf_dir, "region", "nation", "customer", "order").select("doc", "id", "pre", "end")
+    # Read once, so not stored: only ids are joined with their numbers.
+    return intervals.labelled(region_forest(spark, sf_dir, "region", "nation", "customer", "order")).select("doc", "id", "pre", "end")
 
 
 @query("SELECT 'c' || o_custkey AS node, 'o' || o_orderkey AS descendant FROM orders UNION ALL SELECT 'n' || c_nationkey, 'o' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'r' || n_regionkey, 'o' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
