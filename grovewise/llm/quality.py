@@ -2,7 +2,8 @@
 
 Statistics of whole texts are counted over Arrow batches. Shallow trees, boosted on a bounded sample, propose rules:
 every path from the root is a conjunction of bounds. A lasso logistic regression keeps few of them, and the kept rules
-become one Spark column expression over the statistics.
+are summed where the statistics are counted: as one column expression, hundreds of rules nested in each other, they take
+the driver hundreds of MB to compile.
 """
 
 from __future__ import annotations
@@ -94,7 +95,18 @@ class RuleModel:
                 c = F.col(prefix + STATS[stat]) <= F.lit(value) if below else F.col(prefix + STATS[stat]) > F.lit(value)
                 holds = c if holds is None else holds & c
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        return _logistic(total)
+
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        """What ``column`` sums, in its order, for rows of statistics."""
+        total = np.full(len(x), self.bias)
+        for rule, weight in self.rules:
+            total += np.where(holds(rule, x), weight, 0.0)
+        return total
+
+
+def _logistic(total: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
 def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
@@ -160,6 +172,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rat
     return RuleModel(bias, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
+def _rated(docs: DataFrame, model: RuleModel, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the model's ``log_odds`` of their texts."""
+    at, kept = docs.columns.index("text"), [docs.columns.index(k) for k in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, at):
+                rated = model.log_odds(statistics(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(rated)], names=[*keep, "log_odds"])
+
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[k] for k in keep], T.StructField("log_odds", T.DoubleType())]))
+
+
 def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``, fitted on ``labels.quality`` outside the held-out fold.
 
@@ -168,27 +193,19 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresho
     """
     sample = measured(labelled_sample(docs, labels, "quality", rows), labelled=True).toPandas()
     model = fit_rules(sample[list(STATS)].to_numpy(), sample["y"].to_numpy())
-    scored = measured(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    scored = _rated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, ["doc_id"])
+    scored = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _logistic(F.col("log_odds")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose quality score reaches ``threshold``, with all their columns, of any name.
 
-    Scored as by ``quality``, null and empty texts and rows with a null id like others. Statistics travel beside the
+    Scored as by ``quality``, null and empty texts and rows with a null id like others. Log odds travel beside the
     rows, so texts aren't shuffled.
     """
     sample = measured(labelled_sample(docs, labels, "quality", rows), labelled=True).toPandas()
     model = fit_rules(sample[list(STATS)].to_numpy(), sample["y"].to_numpy())
     inner = [f"c{i}" for i in range(len(docs.columns))]
-    at, names = docs.columns.index("text"), [f"stat_{s}" for s in STATS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, at):
-                x = statistics(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=[*inner, *names])
-
-    renamed = docs.toDF(*inner)
-    schema = T.StructType([*renamed.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    return renamed.mapInArrow(run, schema).where(model.column("stat_") >= threshold).select(*inner).toDF(*docs.columns)
+    inner[docs.columns.index("text")] = "text"
+    return _rated(docs.toDF(*inner), model, inner).where(_logistic(F.col("log_odds")) >= threshold).select(*inner).toDF(*docs.columns)
