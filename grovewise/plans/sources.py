@@ -31,7 +31,7 @@ def shred_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shred_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as XML text and read again have their turns back."""
     text = documents.serialised(conversation_forest(spark, sf_dir))
-    again = documents.shredded(text, "doc", "xml")
+    again = checkpointed(documents.shredded(text, "doc", "xml"))
     return step(each(again, "c", "conversation"), again, "c", "child", "turn", "t").groupBy(F.col("c.doc").alias("doc")).agg(F.count(F.lit(1)).alias("n_turns"))
 
 

@@ -105,7 +105,8 @@ def mixed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = E("p", T((F.lit("said by "),)), T((F.concat(F.element_at("t.attrs", "role"), F.lit(": ")),)), E("b", T((F.col("t.value"),))), T((F.lit(". End"),)))
     key = F.concat(F.lit("k"), F.substring("t.id", 2, 100))
     made = construct.constructed(turns, key, key, tree, mixed=True)
-    again = documents.shredded(documents.serialised(made), "doc", "xml").where("error is null")
+    # Stored: the step reads them twice.
+    again = checkpointed(documents.shredded(documents.serialised(made), "doc", "xml").where("error is null"))
     kids = step(each(again, "p", "p"), again, "p", "child", None, "x").select(F.col("p.doc").alias("id"), "x.ord", F.col("x.value").alias("value"))
     at = lambda n: F.max(F.when(F.col("ord") == n, F.col("value")))
     return kids.groupBy("id").agg(at(0).alias("before"), at(1).alias("bold"), at(2).alias("after"))

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from grovewise.sources.forest import FIELDS, NODE
 SHRED = NODE + ", error string"
 #: Nodes in one batch of the result: they take many times the bytes of their texts.
 SHREDDED = 1 << 12
+#: Characters of text in one batch of rendered documents.
+RENDERED = 1 << 22
+_WRITTEN = ("id", "parent_id", "kind", "name", "attrs", "value")
 TEXT = "#text"  # what text nodes have for a name
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -234,25 +238,62 @@ def gxl_lines(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     return n.unionByName(arcs.select(F.concat(F.lit('<edge from="'), escape_html(F.col("src")), F.lit('" to="'), escape_html(F.col("dst")), F.lit('">'), typed("kind"), F.lit("</edge>")).alias("value")))
 
 
-def serialised(nodes: DataFrame) -> DataFrame:
-    """(doc, xml): each document's nodes as escaped text. A document is one row, so its nodes meet in one group."""
-
-    def render(pdf: pd.DataFrame) -> pd.DataFrame:
-        quote = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
-        kids: dict[str | None, list] = {}
-        for r in sorted(pdf.itertuples(index=False), key=lambda r: list(r.pos)):
-            kids.setdefault(r.parent_id, []).append(r)
+def _quoted(s: object) -> str:
+    return str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+def _rendered(rows: Sequence[tuple]) -> str:
+    """The text of one document's nodes (id, parent_id, kind, name, attrs, value), in document order."""
+    kids: dict[str | None, list[tuple]] = {}
+    for r in rows:
+        kids.setdefault(r[1], []).append(r)
+
+    def write(r: tuple) -> str:
+        id_, _, kind, name, attrs, value = r
+        if kind == "text":
+            return _quoted(value or "")
+        marked = "".join(f' {k}="{_quoted(v)}"' for k, v in sorted(dict(attrs).items()))
+        inner = (_quoted(value) if value else "") + "".join(map(write, kids.get(id_, [])))
+        return f"<{name}{marked}>{inner}</{name}>" if inner else f"<{name}{marked}/>"
+
+    return "".join(map(write, kids.get(None, [])))
+
+
+def rendered_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, xml) of nodes sorted by document and position: what a document costs follows its nodes, however many documents
+    there are. Nodes of a document that goes on in the next batch are held."""
+    held: list[tuple] = []
+    now: str | None = None
+    docs: list[str | None] = []
+    texts: list[str] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(texts, pa.string())], names=["doc", "xml"])
+
+    for b in batches:
+        for doc, *node in zip(*(b.column(k).to_pylist() for k in ("doc", *_WRITTEN)), strict=True):
+            if held and doc != now:
+                docs.append(now)
+                texts.append(_rendered(held))
+                size, held = size + len(texts[-1]), []
+                if len(docs) >= SHREDDED or size >= RENDERED:
+                    yield batch()
+                    docs, texts, size = [], [], 0
+            now = doc
+            held.append(tuple(node))
+    if held:
+        docs.append(now)
+        texts.append(_rendered(held))
+    if docs:
+        yield batch()
 
-        def write(r) -> str:
-            if r.kind == "text":
-                return quote(r.value or "")
-            attrs = "".join(f' {k}="{quote(v)}"' for k, v in sorted(dict(r.attrs).items()))
-            inner = (quote(r.value) if r.value else "") + "".join(map(write, kids.get(r.id, [])))
-            return f"<{r.name}{attrs}>{inner}</{r.name}>" if inner else f"<{r.name}{attrs}/>"
 
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "xml": ["".join(map(write, kids.get(None, [])))]})
-
-    return nodes.groupBy("doc").applyInPandas(render, "doc string, xml string")
+def serialised(nodes: DataFrame) -> DataFrame:
+    """(doc, xml): each document's nodes as escaped text. A document is one row, so its nodes meet in one task, where they
+    come in order; documents follow each other there without a group of their own."""
+    rows = nodes.select("doc", "pos", *_WRITTEN).repartition("doc").sortWithinPartitions("doc", "pos").drop("pos")
+    return rows.mapInArrow(rendered_batches, "doc string, xml string")
 
 
 def collapsed_names(nodes: DataFrame) -> DataFrame:
