@@ -109,9 +109,9 @@ def running_extremes(rows: DataFrame, parent: str, order: str, value: str, befor
     null where there is none. ``order`` is a number that no two rows of a parent share. Two-level, as ``running_totals``."""
     cut = ranges(rows, parent, order)
     ends = cut.groupBy(parent, "_range").agg(F.max(value).alias("_range_most"), F.min(value).alias("_range_least"))
-    ranges, within = Window.partitionBy(parent).orderBy("_range"), Window.partitionBy(parent, "_range").orderBy(order)
+    others, within = Window.partitionBy(parent).orderBy("_range"), Window.partitionBy(parent, "_range").orderBy(order)
     past, rest = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
-    outside = ends.select(F.col(parent).alias("_parent"), F.col("_range").alias("_at"), F.max("_range_most").over(ranges.rowsBetween(*past)).alias("_range_most"), F.min("_range_least").over(ranges.rowsBetween(*rest)).alias("_range_least"))
+    outside = ends.select(F.col(parent).alias("_parent"), F.col("_range").alias("_at"), F.max("_range_most").over(others.rowsBetween(*past)).alias("_range_most"), F.min("_range_least").over(others.rowsBetween(*rest)).alias("_range_least"))
     # Only parents that lie in several ranges have an outside: fewer than two rows for each range.
     outside = outside.where("_range_most is not null or _range_least is not null")
     own = cut.withColumns({before: F.max(value).over(within.rowsBetween(*past)), after: F.min(value).over(within.rowsBetween(*rest))})
