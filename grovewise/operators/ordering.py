@@ -109,12 +109,18 @@ def running_extremes(rows: DataFrame, parent: str, order: str, value: str, befor
     null where there is none. ``order`` is a number that no two rows of a parent share. Two-level, as ``running_totals``."""
     cut = ranges(rows, parent, order)
     ends = cut.groupBy(parent, "_range").agg(F.max(value).alias("_range_most"), F.min(value).alias("_range_least"))
-    others, within = Window.partitionBy(parent).orderBy("_range"), Window.partitionBy(parent, "_range").orderBy(order)
-    past, rest = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
-    outside = ends.select(F.col(parent).alias("_parent"), F.col("_range").alias("_at"), F.max("_range_most").over(others.rowsBetween(*past)).alias("_range_most"), F.min("_range_least").over(others.rowsBetween(*rest)).alias("_range_least"))
+    # What comes after a row is what comes before it in the opposite order: Spark sums a frame that runs to the end anew for
+    # each row, in the square of the rows.
+    past = (Window.unboundedPreceding, -1)
+    at = Window.partitionBy(parent)
+    most = F.max("_range_most").over(at.orderBy("_range").rowsBetween(*past))
+    rest = F.min("_range_least").over(at.orderBy(F.desc("_range")).rowsBetween(*past))
+    outside = ends.select(F.col(parent).alias("_parent"), F.col("_range").alias("_at"), most.alias("_range_most"), rest.alias("_range_least"))
     # Only parents that lie in several ranges have an outside: fewer than two rows for each range.
     outside = outside.where("_range_most is not null or _range_least is not null")
-    own = cut.withColumns({before: F.max(value).over(within.rowsBetween(*past)), after: F.min(value).over(within.rowsBetween(*rest))})
+    within = Window.partitionBy(parent, "_range")
+    own = cut.withColumn(before, F.max(value).over(within.orderBy(order).rowsBetween(*past)))
+    own = own.withColumn(after, F.min(value).over(within.orderBy(F.desc(order)).rowsBetween(*past)))
     found = own.join(F.broadcast(outside), F.col(parent).eqNullSafe(F.col("_parent")) & (F.col("_range") == F.col("_at")), "left")
     return found.select(*rows.columns, F.greatest(before, "_range_most").alias(before), F.least(after, "_range_least").alias(after))
 
