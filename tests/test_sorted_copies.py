@@ -1,4 +1,4 @@
-"""Arrays of copies in sorted runs, and pairs of chosen classes."""
+"""Arrays of copies in sorted runs, pairs of chosen classes, and shares of rows that repeat each other."""
 
 from __future__ import annotations
 
@@ -33,3 +33,10 @@ def test_parts_of_other_sizes_have_the_cost_of_unlike_ones(spark, tmp_path):
     for query, cost in (("pair_cost", -400.0), ("package_cost", -500.0)):
         got = QUERIES[query](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted([(1, 0, cost), (3, 2, cost), *other])
+
+
+def test_rows_that_repeat_each_other_share_once(spark):
+    rows = [(i, v, i % 2) for i in range(8) for v in range(10) if (i * v) % 3 != 1]
+    once, twice = (spark.createDataFrame(r, "id long, v int, k int") for r in (rows, rows + rows[::2]))
+    got, want = (sorted(similarity.common_share_within(h, "id", "v", ["k"]).collect()) for h in (twice, once))
+    assert got == want and len(want) > 5
